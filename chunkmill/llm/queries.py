@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, secrets, simhash, token_files
+from . import ann, chat_windows, exact_dedup, mixing, quality, secrets, sentencepiece_nbest, simhash, token_files
 from .common import table
 
 
@@ -20,6 +20,23 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_nbest.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_windows.chat_digests(chat_windows.chat_windows(spark, turns))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -35,5 +52,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op4_secret_scan, op8_quality, op9_token_ids, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op4_secret_scan, op5_sentencepiece, op6_chat_format, op7_ann, op8_quality, op9_token_ids, op10_simhash)}
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL.format(docs="documents")}
