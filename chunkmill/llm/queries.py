@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_windows, exact_dedup, mixing, quality, secrets, sentencepiece_nbest, simhash, token_files
+from . import ann, chat_windows, exact_dedup, mixing, pii, quality, secrets, sentencepiece_nbest, simhash, token_files
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(spark, table(spark, sf_dir, "documents"))
 
@@ -52,5 +56,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op4_secret_scan, op5_sentencepiece, op6_chat_format, op7_ann, op8_quality, op9_token_ids, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_secret_scan, op5_sentencepiece, op6_chat_format, op7_ann, op8_quality, op9_token_ids, op10_simhash)}
 ORACLES = {"op1_exact_dedup": exact_dedup.SQL.format(docs="documents")}
