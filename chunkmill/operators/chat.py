@@ -54,7 +54,7 @@ def step(state: dict, e: dict) -> dict:
         ended = initial_state() | {"_tag": "complete" if tag == "finish" else "error", "segments": segments if live else []}
         if tag == "error":
             return ended | {"error_message": some(e["message"]), "recoverable": some(e["recoverable"])}
-        return ended | {"finish_reason": some(e["finish_reason"])} | {k: some(e[k]) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+        return ended | {"finish_reason": some(e["finish_reason"])} | {k: None if some(e[k]) is None else int(e[k]) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
     if not live:
         return state
     if tag == "text-complete" and opened:

@@ -594,7 +594,7 @@ def a6_upload_summary(spark, sf_dir):
     return uploads.upload_summary(uploads.upload_states(*upload_events(spark, sf_dir)))
 
 
-@query("SELECT doc_id, 64 AS width, CASE WHEN length(trim(text)) > 0 THEN 1.0 ELSE 0.0 END AS norm FROM documents")
+@query("SELECT doc_id, 64 AS width, CAST(CASE WHEN length(trim(text)) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS norm FROM documents")
 def u3_embed_documents(spark, sf_dir):
     """Embedding by a user's batch function; here the hashing one, whose vectors have length 1."""
     out = retrieve.embed(docs(spark, sf_dir).select("doc_id", "text"), retrieve.hashing_embedder())
