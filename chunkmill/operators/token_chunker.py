@@ -25,8 +25,17 @@ def token_chunks(text: Column, config: TokenConfig = TokenConfig()) -> Column:
     joiner between two windows isn't counted.
     """
     size, stride, over = config.chunk_size, config.chunk_size - config.chunk_overlap, config.chunk_overlap
-    made = character_windows(text, size, stride) if config.tokenizer.delimiter == "" else joined_windows(config.tokenizer, config.tokenizer.tokens(text), size, stride, over)
-    return F.when(is_blank(text), F.array().cast(CHUNK)).otherwise(made)
+
+    def windows(t: Column) -> Column:
+        made = character_windows(t, size, stride) if config.tokenizer.delimiter == "" else joined_windows(config.tokenizer, config.tokenizer.tokens(t), size, stride, over)
+        return F.when(is_blank(t), F.array().cast(CHUNK)).otherwise(made)
+
+    return bound(text, windows)
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda an expression would be computed at every call."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def chunk(text: Column, start: Column, count: Column) -> Column:
@@ -35,14 +44,13 @@ def chunk(text: Column, start: Column, count: Column) -> Column:
 
 def character_windows(text: Column, size: int, stride: int) -> Column:
     """Characters need no running sum: a window starts at its number times the stride."""
-    narrow = F.length(text) == utf16_length(text)
-
-    def one(k: Column) -> Column:
-        piece = F.substr(text, (k * stride + 1).cast("int"), F.lit(size))
-        start = F.when(narrow, k * stride).otherwise(utf16_length(F.substr(text, F.lit(1), (k * stride).cast("int"))))
-        return chunk(piece, start, utf16_length(piece))
+    def one(s: Column, k: Column) -> Column:
+        piece = F.substr(s["text"], (k * stride + 1).cast("int"), F.lit(size))
+        start = F.when(s["narrow"], k * stride).otherwise(utf16_length(F.substr(s["text"], F.lit(1), (k * stride).cast("int"))))
+        return chunk(piece, start, F.when(s["narrow"], F.length(piece)).otherwise(utf16_length(piece)))
 
-    return F.transform(window_numbers(F.length(text), size, stride), one)
+    known = F.struct(text.alias("text"), F.length(text).alias("n"), (F.length(text) == utf16_length(text)).alias("narrow"))
+    return bound(known, lambda s: F.transform(window_numbers(s["n"], size, stride), lambda k: one(s, k)))
 
 
 def joined_windows(tokenizer: Tokenizer, tokens: Column, size: int, stride: int, over: int) -> Column:
@@ -58,6 +66,5 @@ def joined_windows(tokenizer: Tokenizer, tokens: Column, size: int, stride: int,
         step = lambda s, p: F.struct((s["at"] - p["back"] + p["chars"]).alias("at"), F.concat(s["starts"], F.array(s["at"] - p["back"])).alias("starts"))
         return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step)["starts"]
 
-    # transforms over arrays of one element bind the tokens and the parts, so that each is computed once
-    parts = F.element_at(F.transform(F.array(tokens), lambda t: F.transform(window_numbers(F.size(t), size, stride), lambda k: part(t, k))), 1)
-    return F.element_at(F.transform(F.array(parts), lambda ps: F.zip_with(ps, starts(ps), lambda p, at: chunk(p["text"], at, p["n"]))), 1)
+    parts = bound(tokens, lambda t: F.transform(window_numbers(F.size(t), size, stride), lambda k: part(t, k)))
+    return bound(parts, lambda ps: F.zip_with(ps, starts(ps), lambda p, at: chunk(p["text"], at, p["n"])))
