@@ -29,7 +29,7 @@ def js_trim(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(F.length(js_trim(text)) == 0, F.lit(True))
+    return F.coalesce(~F.rlike(text, F.lit(rf"[^{JS_SPACE}]")), F.lit(True))
 
 
 def normalize_whitespace(text: Column) -> Column:
@@ -40,7 +40,8 @@ def normalize_whitespace(text: Column) -> Column:
 
 
 def utf16_length(text: Column) -> Column:
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+    """ASCII texts need no encoding to tell."""
+    return F.when(F.octet_length(text) == F.length(text), F.length(text)).otherwise(F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)).cast("int")
 
 
 def delimiter_pattern(delimiters: Sequence[str]) -> str:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 MAX_ITERATIONS = 12
 TOOL = "struct<id:string,name:string,arguments:string,arguments_text:string,status:string,result:string,success:boolean>"
@@ -93,15 +97,25 @@ def merged_deltas(events: DataFrame) -> DataFrame:
 
 
 def fold_chat(events: DataFrame) -> DataFrame:
-    """Last state per session; one session is one group, its deltas joined before."""
-
-    def one(key, rows: pd.DataFrame) -> pd.DataFrame:
-        state = initial_state()
-        for e in rows.sort_values("seq", kind="stable").to_dict("records"):
-            state = step(state, e)
-        return pd.DataFrame([{"session_id": key[0]} | state])
-
-    return merged_deltas(events).groupBy("session_id").applyInPandas(one, STATE)
+    """Last state per session: events sorted by session and number stream through one state at a time, deltas joined before."""
+    arrow = to_arrow_schema(_parse_datatype_string(STATE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, state, out = None, None, []
+        for batch in batches:
+            for e in batch.to_pylist():
+                if state is None or e["session_id"] != session:
+                    if state is not None:
+                        out.append({"session_id": session} | state)
+                    session, state = e["session_id"], initial_state()
+                state = step(state, e)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                out = []
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([{"session_id": session} | state], schema=arrow)
+
+    return merged_deltas(events).repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, STATE)
 
 
 def part_events(parts: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
