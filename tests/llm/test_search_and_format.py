@@ -111,9 +111,8 @@ def all_segmentations(lattice, word):
     if not word:
         return [(0.0, ())]
     out = []
-    for end in (len(word),):
-        for a, s, ids in lattice.edges(word, end):
-            out += [(score + s, before + ids) for score, before in all_segmentations(lattice, word[:a])]
+    for a, s, ids in lattice.forward(word)[1][-1]:
+        out += [(score + s, before + ids) for score, before in all_segmentations(lattice, word[:a])]
     return out
 
 
@@ -123,6 +122,8 @@ def test_nbest_is_exact(lattice):
         found = lattice.search(word)
         assert [s for s, _ in found] == want and len({ids for _, ids in found}) == len(found)
         assert {*found} <= {*all_segmentations(lattice, word)}
+        ids, best, loss, _ = lattice.word(word)
+        assert (tuple(np.frombuffer(ids, "<i4").tolist()), best) == found[0][::-1] and best - loss == want[1]
 
 
 def test_nbest_of_a_text_is_that_of_its_whole_lattice(lattice):
