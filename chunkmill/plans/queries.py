@@ -608,3 +608,26 @@ def u2_chunks_in_sql(spark, sf_dir):
     chunking.register_sql(spark, chunking.Router(token=TokenConfig(500)))
     docs(spark, sf_dir).createOrReplaceTempView("_sql_documents")
     return spark.sql("SELECT lang, count(*) AS chunks FROM _sql_documents, LATERAL chunk_text(text, 'token') GROUP BY lang")
+
+
+@query(f"SELECT session_id, count(*) AS deltas FROM (SELECT session_id, unnest(regexp_split_to_array(replace(text, ' ', ' ' || chr(1)), chr(1))) AS w FROM {TURNS_SQL} WHERE role = 'assistant') GROUP BY session_id")
+def io7_event_log(spark, sf_dir):
+    """Events written as JSON lines and read with the wide schema."""
+    path = scratch(spark, "events")
+    files.write_events(chat.part_events(model_parts(spark, sf_dir)), path)
+    return files.read_events(spark, path).filter("_tag = 'text-delta'").groupBy("session_id").agg(F.count(F.lit(1)).alias("deltas"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) - 1 AS INT) AS chunk_index, count(*) OVER (PARTITION BY l_orderkey) AS chunk_count FROM lineitem")
+def w1_chunk_numbers(spark, sf_dir):
+    """Numbers rows of a file that came apart: orders as files, their lines as chunks."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").alias("file_id"), (-F.col("l_linenumber")).alias("place"))
+    return uploads.chunk_numbers(lines, "place").select("l_orderkey", "l_linenumber", "chunk_index", "chunk_count")
+
+
+@query("""SELECT e.vec_id AS query_id, e.vec_id AS id, CASE WHEN e.vec_id % 2 = 0 THEN '' ELSE 'd' || e.vec_id END AS document, 0.0::DOUBLE AS score FROM embeddings e WHERE e.vec_id % 25 = 0""")
+def p8_hits(spark, sf_dir):
+    """Hits with their documents, null ones as empty text: every stated query finds itself first."""
+    e = read(spark, sf_dir, "embeddings").withColumn("document", F.when(F.col("vec_id") % 2 == 1, F.concat(F.lit("d"), "vec_id"))).withColumnRenamed("vec_id", "id")
+    asked = e.filter(F.col("id") % 25 == 0).select(F.col("id").alias("query_id"), "embedding")
+    return retrieve.hits(retrieve.top_k(e, asked, 1), e).select("query_id", "id", "document", "score")
