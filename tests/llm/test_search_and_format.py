@@ -134,6 +134,12 @@ def test_nbest_of_a_text_is_that_of_its_whole_lattice(lattice):
         assert [best - x for x in losses] == want
 
 
+def test_stems_and_stops_are_whole_words(spark, lattice, sample):
+    words = {c for r in sample.limit(40).collect() for c in sentencepiece_nbest.CHUNKS.findall(" " + r.text)} | {" x².", " .", "..", "a,b,", " ,", "?!", "e.g."}
+    for c in sorted(words)[:4000]:
+        assert lattice.learnt(c) == lattice.word(c.replace(" ", sentencepiece_nbest.MARK))
+
+
 def test_every_text_decodes(spark, odd_docs, sample, no_docs, lattice):
     path = public_tokenizers.path("piece_bpe_32k.model")
     for docs in (odd_docs, sample):
