@@ -12,8 +12,8 @@ neighbours can need; queries with equal vectors are searched once. Lists are cut
 queries into chunks, joined by list, so no list or query grows a task; a pair emits only what is within the bound.
 
 The centroids are fitted on a sample of at most ``SAMPLE`` distinct vectors (those with the smallest hash), and every
-row is indexed. On directions without structure, as in the test tables, lists separate little: ``PROBED`` of the
-lists give a recall of about 0.95 against brute force (see the tests); clustered data needs far fewer.
+row is indexed. On directions without structure, as in the test tables, lists separate little, so that ``PROBED`` of
+them are needed for a recall above 0.9 against brute force (see the tests); clustered data needs fewer.
 
 Nulls: vectors that are null or zero, or hold null or non-finite components, take no part, neither do vectors
 whose length isn't the most frequent one, nor rows with a null identifier. An identifier that comes with several
