@@ -42,6 +42,17 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def row_key(id_col: str, *columns: str) -> Column:
+    """Identifier and digests of the columns, null apart from any value: rows of one key are alike in all of them."""
+    parts = [F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), *[F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("")) for c in columns]]
+    return F.concat(*[x for p in parts for x in (p, F.lit(":"))])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """An order that depends on the rows' values alone."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t])
+
+
 def one_space(column: Column) -> Column:
     """Each run of white space as one space."""
     return F.regexp_replace(column, SPACE_RUN, " ")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage_table, text_of
+from .common import WORD, row_hash, row_key, stage_table, text_of
 
 #: Blocks of a size class by hash of the identifier.
 SUBBLOCKS = 64
@@ -65,7 +65,12 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = SEED) -> DataFrame:
     """One row per input row: id, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``."""
-    sized = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
+    return decided(spark, docs, F.lit(""), id_col, text_col, source_col, most, seed).drop("_key")
+
+
+def decided(spark: SparkSession, docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, most: int = 3, seed: int = SEED) -> DataFrame:
+    """The mix with ``_key``, the value of ``row``, for each row."""
+    sized = docs.select(F.col(id_col).alias("_id"), row.alias("_key"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     size_class = F.floor(F.log2(F.col("size") + 1) * CLASSES).cast("int")
     rising = F.col("sub") < SUBBLOCKS // 2
@@ -79,7 +84,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     placed = blocks.withColumn("rows_before", F.coalesce(F.sum("block_rows").over(before), F.lit(0))).join(source_targets(sizes, most).drop("source"), "source_key")
     offset = F.pmod(F.xxhash64(F.lit(seed), "source_rank"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     placed = placed.select("source_key", "place", "sub", "rows_before", "source_size", "target", offset.alias("offset"))
-    inside = Window.partitionBy("source_key", "place", "sub").orderBy(F.when(rising, F.col("size")).otherwise(-F.col("size")), "_id")
+    inside = Window.partitionBy("source_key", "place", "sub").orderBy(F.when(rising, F.col("size")).otherwise(-F.col("size")), "_id", "_key")
     at = rows.drop("source").withColumn("row", F.row_number().over(inside)).join(placed, ["source_key", "place", "sub"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
 
@@ -88,20 +93,20 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
 
     number = F.col("rows_before") + F.col("row")
     copies = F.least(crossed(number) - crossed(number - 1), F.lit(most)).cast("long")
-    return at.withColumn("copies", copies).select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return at.withColumn("copies", copies).select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "_key")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as it was taken, with its columns.
 
-    One key of the join on both sides, so that the texts are dealt out once; the n-th row of an identifier takes the
-    n-th decision on it.
+    One key of the join on both sides, so that the texts are dealt out once; rows of a key are alike in identifier,
+    text and source, and the n-th of them takes the n-th decision on them.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
+    key = row_key(id_col, text_col, source_col)
     nth = Window.partitionBy("_key")
-    taken = mix(spark, docs, id_col, text_col, source_col).select(key.alias("_key"), F.col("copies").alias("_copies"))
+    taken = decided(spark, docs, key, id_col, text_col, source_col).select("_key", F.col("copies").alias("_copies"))
     taken = taken.withColumn("_nth", F.row_number().over(nth.orderBy("_copies"))).filter("_copies > 0")
-    numbered = docs.withColumn("_key", key).withColumn("_doc_nth", F.row_number().over(nth.orderBy(F.xxhash64(text_col, source_col))))
+    numbered = docs.withColumn("_key", key).withColumn("_doc_nth", F.row_number().over(nth.orderBy(row_hash(docs))))
     found = numbered.alias("d").join(taken.alias("t"), (F.col("d._key") == F.col("t._key")) & (F.col("_doc_nth") - F.col("_nth") == 0))
     times = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")
     return found.select(*[F.col(f"d.`{c}`") for c in docs.columns], times).drop("_copy")

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stage_table, text_of
+from .common import row_hash, row_key, stage_table, text_of
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Shingles whose bits are counted at once.
@@ -55,8 +55,9 @@ def fingerprint(body: bytes) -> int:
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(x) for x in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+        *kept, body = batch.columns
+        found = np.fromiter((fingerprint(x) for x in body.to_pylist()), np.uint64, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(found.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,24 +151,34 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def families(spark: SparkSession, rows: DataFrame, low: Column) -> DataFrame:
+    """Distinct fingerprints of ``rows``: ``fp``, the least ``low`` of its rows, and the root of its component."""
+    distinct = stage_table(spark, rows.groupBy("fp").agg(F.min(low).alias("low")), "distinct-fingerprints")
+    spread = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
+    edges = spread.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "u long, v long")
+    roots = components(spark, edges)
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``fingerprint`` (hex), ``component_id``."""
     made = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("body")).mapInArrow(fingerprints, "id long, fp long")
     rows = stage_table(spark, made, "fingerprints")
-    distinct = stage_table(spark, rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    spread = distinct.select("fp").mapInArrow(replicate, "anchor long, fp long")
-    edges = spread.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(compare, "u long, v long")
-    roots = components(spark, edges)
-    grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    grouped = families(spark, rows, F.col("id"))
     named = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     known = grouped.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(known, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest identifier, with its columns."""
-    found = simhash_components(spark, docs, id_col, text_col)
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_key")).distinct()
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    once = Window.partitionBy("_key").orderBy(F.xxhash64(text_col))
-    return keyed.join(keep, "_key", "left_semi").withColumn("_once", F.row_number().over(once)).filter("_once = 1").select(*docs.columns)
+    """Of each component the row with the smallest identifier, with its columns.
+
+    A component names its row by identifier and text, as an identifier may be null or stand in several components.
+    """
+    key = row_key(id_col, text_col)
+    made = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), text_of(text_col).cast("binary").alias("body")).mapInArrow(fingerprints, "id long, key string, fp long")
+    rows = stage_table(spark, made, "fingerprints")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    keep = families(spark, rows, first).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("_key"))
+    once = Window.partitionBy("_key").orderBy(row_hash(docs))
+    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").withColumn("_once", F.row_number().over(once)).filter("_once = 1").select(*docs.columns)

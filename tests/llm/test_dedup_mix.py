@@ -173,6 +173,30 @@ def test_simhash(spark, odd_docs, sample, no_docs):
     assert kept.columns == odd_docs.columns
 
 
+def test_one_of_each_component_with_null_and_repeated_ids(spark):
+    texts = [f"{w} only words of {w} stand in {w}" for w in ("apple", "birch", "cedar", "daisy", "elder")]
+    rows = [(None, t, i) for i, t in enumerate(texts[:3])] + [(7, texts[3], 3), (7, texts[4], 4), (8, texts[3], 5), (None, texts[4], 6), (-(2**63), "zinnia", 7), (None, None, 8), (None, "", 9)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, n int")
+    assert len(set(brute_components([1, 2, 3, 4, 5], [brute_fingerprint(t) for t in texts]))) == 5
+    kept = simhash.one_of_each(spark, docs).collect()
+    assert sorted((r.n for r in kept if r.n < 8)) == [0, 1, 2, 3, 4, 7]
+    assert sum(r.n >= 8 for r in kept) == 1 and len(kept) == 7
+
+
+def test_mixed_documents_follow_the_decision_on_each_row(spark):
+    rows = [(None if i % 2 else 5, "w " * (1 + i % 7) + f"x{i % 11}", ("a", "b", None)[i % 3]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = Counter()
+    for r in mixing.mixed_documents(spark, docs).collect():
+        found[r.doc_id, r.source, len(r.text.split())] += 1
+    want = Counter()
+    sources = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("a", "b", None)}
+    assert len(set(sources.values())) == 3  # a decision's source is told by its size
+    for r in mixing.mix(spark, docs).collect():
+        want[r.doc_id, next(s for s, n in sources.items() if n == r.source_size), r.size] += r.copies
+    assert found == +want
+
+
 def test_anchors_lose_no_link():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 300, dtype=np.uint64)
