@@ -404,18 +404,40 @@ def c7_a1_csv_chunk_counts(spark, sf_dir):
     return chunking.chunk_documents(own).filter("chunk_index = 0").select("doc_id", "chunk_count")
 
 
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the documents as .pdf files, each line a page."""
+    own = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), "doc_id", F.lit(".pdf")).alias("file_name"), "text", F.split("text", "\n").alias("pages"))
+    return chunking.chunk_documents(own)
+
+
 @query(
     """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents), k AS (SELECT * FROM p WHERE length(trim(t)) BETWEEN 1 AND 2048)
 SELECT doc_id, CAST(i AS INT) AS page_number, CAST(n AS INT) AS page_count, md5(trim(t)) AS digest FROM k"""
 )
 def io2_pdf_pages(spark, sf_dir):
-    """Each line as a page: pages that fit are one chunk."""
-    own = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), "doc_id", F.lit(".pdf")).alias("file_name"), "text", F.split("text", "\n").alias("pages"))
-    chunks = chunking.chunk_documents(own)
+    """Each line as a page: pages that fit are one chunk; ``io2_pdf_page_chunks`` has those that don't, too."""
+    chunks = page_chunks(spark, sf_dir)
     whole = chunks.withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_number"))).filter("parts = 1 AND length(text) <= 2048")
     return whole.select("doc_id", "page_number", "page_count", F.md5("text").alias("digest"))
 
 
+@query()
+def io2_pdf_page_chunks(spark, sf_dir):
+    """All chunks of all pages, however long."""
+    return page_chunks(spark, sf_dir).select("doc_id", "page_number", "page_count", "chunk_index", "chunk_count", "chunk_strategy", "chunk_char_start", "chunk_char_end", "chunk_token_count", F.md5("text").alias("digest"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents), k AS (SELECT doc_id, i, n, regexp_replace(t, '{SP}+', '', 'g') AS t FROM p)
+SELECT doc_id, CAST(i AS INT) AS page_number, CAST(n AS INT) AS page_count, md5(t) AS digest FROM k WHERE length(t) > 0"""
+)
+def io2_pdf_pages_rebuilt(spark, sf_dir):
+    """Every page put together again from its chunks, but for white space."""
+    chunks = page_chunks(spark, sf_dir)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"])
+    return chunks.groupBy("doc_id", "page_number", "page_count").agg(F.md5(F.regexp_replace(F.array_join(ordered, ""), SP, "")).alias("digest"))
+
+
 @query(
     f"""WITH c AS ({TOKEN_SQL.format(text="text", size=240, stride=216)} SELECT doc_id, 'token' AS config, length(substring(t, CAST(k * 216 + 1 AS INT), 240)) AS n FROM w),
 l AS ({TOKEN_SQL.format(text="text", size=1000, stride=1000)} SELECT doc_id, 'wide' AS config, length(substring(t, CAST(k * 1000 + 1 AS INT), 1000)) AS n FROM w)

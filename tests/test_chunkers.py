@@ -1,5 +1,8 @@
 """Literal cases of the chunkers, the tokenizers and the router."""
 
+import hashlib
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +149,16 @@ def test_router(spark):
 def test_fast_from_the_threshold_on(spark):
     long, short = "word. " * 20000, "word. " * 10
     assert {r.chunk_strategy for r in routed(spark, "x.txt", long)} == {"fast"} and {r.chunk_strategy for r in routed(spark, "x.txt", short)} == {"sentence"}
+
+
+def test_long_pages_and_all_types_are_in_the_results(spark, tmp_path):
+    from chunkmill.plans import queries as plans
+
+    pages = ["short page", "".join(f"Word {i} ends. " for i in range(900)).strip(), "", "x" * 5000]
+    spark.createDataFrame([(i, "\n".join(pages[i:])) for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = plans.io2_pdf_page_chunks(spark, str(tmp_path)).collect()
+    parts = Counter((r.doc_id, r.page_number) for r in rows)
+    assert {*parts} == {(i, p - i + 1) for i in range(4) for p in range(i, 4) if pages[p]}
+    assert parts[0, 1] == 1 and parts[0, 2] > 1
+    found = {(r.doc_id, r.page_number): r.digest for r in plans.io2_pdf_pages_rebuilt(spark, str(tmp_path)).collect()}
+    assert found == {(i, n): hashlib.md5(pages[i + n - 1].replace(" ", "").encode()).hexdigest() for i, n in parts}
