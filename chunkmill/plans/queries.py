@@ -404,6 +404,13 @@ def c7_a1_csv_chunk_counts(spark, sf_dir):
     return chunking.chunk_documents(own).filter("chunk_index = 0").select("doc_id", "chunk_count")
 
 
+@query(f"SELECT doc_id, CAST(ceil(length(t) / 2048.0) AS INT) AS chunk_count FROM (SELECT doc_id, {normal_sql('text')} AS t FROM documents) WHERE length(t) > 0")
+def c7_a1_chunk_counts_as_csv(spark, sf_dir):
+    """Chunk counts of all documents, each taken as a .csv file."""
+    own = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("doc-"), "doc_id", F.lit(".csv")).alias("file_name"), "text")
+    return chunking.chunk_documents(own).filter("chunk_index = 0").select("doc_id", "chunk_count")
+
+
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of the documents as .pdf files, each line a page."""
     own = docs(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), "doc_id", F.lit(".pdf")).alias("file_name"), "text", F.split("text", "\n").alias("pages"))

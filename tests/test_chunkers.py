@@ -162,3 +162,5 @@ def test_long_pages_and_all_types_are_in_the_results(spark, tmp_path):
     assert parts[0, 1] == 1 and parts[0, 2] > 1
     found = {(r.doc_id, r.page_number): r.digest for r in plans.io2_pdf_pages_rebuilt(spark, str(tmp_path)).collect()}
     assert found == {(i, n): hashlib.md5(pages[i + n - 1].replace(" ", "").encode()).hexdigest() for i, n in parts}
+    counts = {r.doc_id: r.chunk_count for r in plans.c7_a1_chunk_counts_as_csv(spark, str(tmp_path)).collect()}
+    assert counts == {i: -(-len("\n".join(pages[i:]).strip()) // 2048) for i in range(4)}
