@@ -8,8 +8,8 @@ nothing. A document is the mean of its words' vectors, once over all occurrences
 words, with the shares of distinct words and of words that repeat the one before.
 
 Only the fit is on a bounded sample: at most ``FIT_ROWS`` labelled rows outside the held-out fold, the ones with
-the smallest hash, each with its first ``FIT_WORDS`` words. It runs in one task and yields a model of fixed size.
-Scoring reads every whole text. Labels, lang, source and the identifier are never inputs of a score; the
+the smallest hash. Their texts are read whole, as in scoring, by tasks that hand on part sums and pooled vectors;
+the network's fit on those runs in one place and yields a model of fixed size. Scoring reads every whole text. Labels, lang, source and the identifier are never inputs of a score; the
 identifier only chooses the fold.
 
 Nulls: a null text counts as empty; an empty text has the zero vector and is scored like any other. Labels that
@@ -32,13 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import stage_table, text_of
 
-FIT_ROWS, FIT_WORDS = 6144, 300
+FIT_ROWS, FIT_TASKS = 6144, 24
 DIMENSIONS, NONZERO, WINDOW, HIDDEN = 96, 6, 2, 32
 #: Features that the model knows: the most frequent of the sample.
 VOCABULARY = 20_000
 THRESHOLD, FOLDS, SEED = 0.3, 5, 8
 #: Words whose features a task keeps; beyond, it starts over.
 CACHE = 1 << 18
+#: Words whose surroundings a task sums before it hands them on to their features.
+CONTEXT_WORDS = 1 << 16
 CHUNK_WORDS = 1 << 16
 #: Standard deviations beyond which an input counts as this many.
 CLIP = 5
@@ -59,8 +61,8 @@ def features(word: bytes) -> tuple[bytes, ...]:
     return b"\x00" + core.lower(), shape
 
 
-def index_vectors(names: list[bytes]) -> np.ndarray:
-    """Sparse ternary vectors, fixed by each feature's hash: ``NONZERO`` places of +1 or -1."""
+def ternary_vectors(names: list[bytes]) -> np.ndarray:
+    """Sparse vectors of whole numbers, fixed by each feature's hash: ``NONZERO`` places of +1 or -1."""
     x = np.fromiter((zlib.crc32(f) | len(f) << 32 for f in names), np.uint64, len(names))
     out, rows = np.zeros((len(names), DIMENSIONS), np.float32), np.arange(len(names))
     for _ in range(NONZERO):  # the steps of the SplitMix64 generator
@@ -69,7 +71,11 @@ def index_vectors(names: list[bytes]) -> np.ndarray:
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
         out[rows, (z >> np.uint64(1)) % np.uint64(DIMENSIONS)] += np.where(z & np.uint64(1), np.float32(1), np.float32(-1))
-    return out / np.sqrt(np.float32(NONZERO))
+    return out
+
+
+def index_vectors(names: list[bytes]) -> np.ndarray:
+    return ternary_vectors(names) / np.sqrt(np.float32(NONZERO))
 
 
 class Vectors:
@@ -124,29 +130,111 @@ class Vectors:
         return np.concatenate([total / max(n, 1), distinct / max(n_distinct, 1), [n_distinct / max(n, 1), again / max(n, 1), min(n, 1)]])
 
 
-def word_vectors(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Random indexing over the sample: a feature's index vector plus the normed sum of those in the words around it."""
-    counts: Counter = Counter()
-    split: dict[bytes, tuple[bytes, ...]] = {}
-    for body in texts:
-        for w, n in Counter(body.split()).items():
-            for f in split.setdefault(w, features(w)):
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, its occurrences), in part sums."""
+
+    def part(words: Counter) -> pa.RecordBatch:
+        counts: Counter = Counter()
+        for w, n in words.items():
+            for f in features(w):
                 counts[f] += n
-    names = [f for f, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
-    at, index = {f: i for i, f in enumerate(names)}, index_vectors(names)
-    sums = np.zeros_like(index)
-    for body in texts:
-        known = [[at[f] for f in split[w] if f in at] for w in body.split()]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        flat, word = np.fromiter((i for x in known for i in x), np.int64), np.repeat(np.arange(len(known)), sizes)
-        run = np.zeros((len(known), DIMENSIONS), np.float32)
-        np.add.at(run, word, index[flat])
-        around = np.zeros_like(run)
-        for k in range(1, WINDOW + 1):
-            around[k:] += run[:-k]
-            around[:-k] += run[k:]
-        np.add.at(sums, flat, around[word])
-    return names, index + sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"])
+
+    words: Counter = Counter()
+    for batch in batches:
+        for body in batch.column(0).to_pylist():
+            words.update(body.split())
+            if len(words) > CACHE:
+                yield part(words)
+                words = Counter()
+    yield part(words)
+
+
+class Contexts:
+    """Sums, by feature, of the index vectors of the features in the words around it; whole numbers, so in any order the same."""
+
+    def __init__(self, names: list[bytes]):
+        self.feature, self.index = {f: i for i, f in enumerate(names)}, ternary_vectors(names)
+        self.sums = np.zeros(self.index.shape, np.int64)
+        self.reset()
+
+    def reset(self) -> None:
+        self.word: dict[bytes, int] = {}
+        self.row: dict[tuple, int] = {}
+        self.rows, self.around = np.zeros((1024, DIMENSIONS), np.float32), np.zeros((1024, DIMENSIONS))
+
+    def flush(self) -> None:
+        """Hand the sums around words on to their features."""
+        for key, n in self.row.items():
+            for i in key:
+                self.sums[i] += self.around[n].astype(np.int64)
+        self.reset()
+
+    def number(self, w: bytes) -> int:
+        n = self.word.get(w)
+        if n is None:
+            key = tuple(i for f in features(w) if (i := self.feature.get(f)) is not None)
+            n = self.row.get(key)
+            if n is None:
+                n = self.row[key] = len(self.row)
+                if n == len(self.rows):
+                    self.rows, self.around = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.around))
+                self.rows[n] = self.index[list(key)].sum(axis=0)
+            self.word[w] = n
+        return n
+
+    def add(self, body: bytes) -> None:
+        words = body.split()
+        for at in range(0, len(words), CHUNK_WORDS):
+            if len(self.word) > CONTEXT_WORDS:
+                self.flush()
+            low = max(at - WINDOW, 0)
+            chunk = words[low : at + CHUNK_WORDS + WINDOW]
+            numbers = np.fromiter(map(self.number, chunk), np.int64, len(chunk))
+            run = self.rows[numbers]
+            around = np.zeros_like(run)
+            for k in range(1, WINDOW + 1):
+                around[k:] += run[:-k]
+                around[:-k] += run[k:]
+            own = slice(at - low, at - low + CHUNK_WORDS)
+            numbers, around = numbers[own], around[own]
+            order = np.argsort(numbers, kind="stable")
+            numbers = numbers[order]
+            starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+            self.around[numbers[starts]] += np.add.reduceat(around[order], starts, axis=0)
+
+
+def word_vectors(texts: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """Random indexing over ``body``: a feature's index vector plus the normed sum of those in the words around it.
+
+    Tasks read the texts; only the vocabulary and its sums, of fixed size, come to the driver.
+    """
+    counts = texts.select("body").mapInArrow(count_features, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    names = [bytes(r["feature"]) for r in counts.orderBy(F.desc("n"), "feature").limit(VOCABULARY).collect()]
+    shared = texts.sparkSession.sparkContext.broadcast(names)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts = Contexts(shared.value)
+        for batch in batches:
+            for body in batch.column(0).to_pylist():
+                contexts.add(body)
+        contexts.flush()
+        met = np.flatnonzero(contexts.sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array([contexts.sums[i].tobytes() for i in met.tolist()], pa.binary())], names=["feature", "sums"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, part in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(part, np.int64)
+                sums[i] = sums[i] + own if i in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["feature", "sums"])
+
+    schema = "feature long, sums binary"
+    sums = np.zeros((len(names), DIMENSIONS))
+    for r in texts.select("body").mapInArrow(gather, schema).repartition("feature").mapInArrow(add_up, schema).collect():
+        sums[r["feature"]] = np.frombuffer(r["sums"], np.int64)
+    return names, (index_vectors(names) + sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, epochs: int = 60) -> dict[str, np.ndarray]:
@@ -195,16 +283,23 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     order = F.xxhash64(F.lit(SEED), F.col(id_col))
     chosen = known.filter(fold(id_col) != 0).orderBy(order, id_col).limit(FIT_ROWS).select(F.col(id_col).alias("_id"), "_y")
     chosen = stage_table(spark, chosen, "labelled")
-    start = F.regexp_extract(text_of("_text"), rf"^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){{0,{FIT_WORDS}}}", 0)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
-    texts = texts.select("_id", "_y", start.cast("binary").alias("body")).dropDuplicates(["_id"])
-    rows = sorted((r["_id"], r["_y"], bytes(r["body"])) for r in texts.collect())  # FIT_ROWS rows of FIT_WORDS words at most
-    y = np.array([r[1] for r in rows], float)
+    texts = texts.groupBy("_id", "_y").agg(F.min(text_of("_text")).cast("binary").alias("body"))
+    texts = stage_table(spark, texts.repartition(FIT_TASKS, "_id"), "labelled-texts")
+    y = np.array([r["_y"] for r in texts.select("_id", "_y").orderBy("_id").collect()], float)
     if len(set(y.tolist())) < 2:
         return {"share": float(y.mean()) if len(y) else 0.5}
-    vectors = word_vectors([r[2] for r in rows])
-    pooled = Vectors(*vectors).pooled
-    return {"vectors": vectors} | fit_network(np.stack([pooled(r[2]) for r in rows]), y)
+    vectors = word_vectors(texts)
+    shared = spark.sparkContext.broadcast(vectors)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Vectors(*shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.pooled(b).tobytes() for b in batch.column(1).to_pylist()], pa.binary())], names=["_id", "pooled"])
+
+    id_type = texts.schema["_id"].dataType.simpleString()
+    pooled = texts.select("_id", "body").mapInArrow(pool, f"_id {id_type}, pooled binary").orderBy("_id").collect()  # FIT_ROWS vectors at most
+    return {"vectors": vectors} | fit_network(np.stack([np.frombuffer(r["pooled"]) for r in pooled]), y)
 
 
 def scorer(model):

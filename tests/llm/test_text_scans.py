@@ -106,3 +106,29 @@ def test_quality_of_odd_texts(spark, odd_docs):
     none = quality.quality_scores(spark, odd_docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
     assert quality.good_documents(spark, odd_docs, labels.limit(0)).count() == odd_docs.count()
+
+
+def test_quality_learns_from_whole_texts(spark):
+    same = " ".join(f"word{i % 40}" for i in range(320))
+    rows = [(i, same + (" zq" if i % 2 else " kind") * 200, i % 2) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - bad) for i, _, bad in rows], "doc_id long, quality int")
+    found = quality.quality_scores(spark, docs, labels).collect()
+    assert all(r.predicted == 1 - r.doc_id % 2 for r in found) and any(r.held_out for r in found)
+
+
+def test_context_sums_against_brute_force(monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_WORDS", 7)
+    monkeypatch.setattr(quality, "CONTEXT_WORDS", 3)
+    texts = [b"a b C, d a b x9 d C, a a e f g h a b i j k l", b"one", b""]
+    names = sorted({f for t in texts for w in t.split() for f in quality.features(w)})[1:]
+    index, want, contexts = quality.ternary_vectors(names), np.zeros((len(names), quality.DIMENSIONS)), quality.Contexts(names)
+    for t in texts:
+        known = [[names.index(f) for f in quality.features(w) if f in names] for w in t.split()]
+        for i, own in enumerate(known):
+            for j in range(max(i - quality.WINDOW, 0), min(i + quality.WINDOW + 1, len(known))):
+                for f in own if i != j else ():
+                    want[f] += index[known[j]].sum(axis=0)
+        contexts.add(t)
+    contexts.flush()
+    assert (contexts.sums == want).all() and want.any()
