@@ -11,6 +11,7 @@ No piece has a line end, or a space mark after another character, so every word
 lattice of its own and the text's lattice is their chain. A word is searched once while it stays in a
 task's cache. The best segmentation of a text joins its words' best; the N best of the text follow from the
 words whose second best costs least, by the same best-first search over how many steps each word goes down.
+Segmentations 2 to N are given as changes to the best: the pieces from ``start`` on, ``length`` of them, become ``ids``.
 
 Text is prepared as the model's flags ask: a space mark in front, spaces as marks, nothing removed. Decoding joins
 the pieces, reads byte pieces as UTF-8 and takes the first mark off: it gives back every text, but for a mark in
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .common import text_of
 
@@ -42,6 +43,9 @@ MARK = "▁"
 CACHE = 1 << 19
 STOPS = ".,!?"
 ENCODED = StructType().add("piece_ids", ArrayType(IntegerType())).add("best_score", DoubleType()).add("nbest_losses", ArrayType(DoubleType())).add("decoded", BooleanType())
+#: Per segmentation from the second best on, the words in which it differs from the best.
+CHANGES = ArrayType(ArrayType(StructType().add("start", IntegerType()).add("length", IntegerType()).add("ids", ArrayType(IntegerType()))))
+CHANGES_ARROW = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 CHUNKS = re.compile(" +[^ \n]*|\n+|[^ \n]+")
 
 
@@ -75,7 +79,7 @@ class Lattice:
         #: Pairs of characters that stand side by side in some piece, as texts have them, the second a stop.
         self.joins = {f"{a}{b}".replace(MARK, " ") for p in self.ids for a, b in zip(p, p[1:]) if b in STOPS}
         self.known: dict[str, tuple] = {}
-        self.ladders: dict[str, list[float]] = {}
+        self.ladders: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def forward(self, word: str) -> tuple[list[float], list[list]]:
         """Best score of each position from the left, and the edges (start, score, ids) that end there."""
@@ -140,13 +144,13 @@ class Lattice:
             at = on[0]
         return array("i", [i for p in reversed(parts) for i in p]).tobytes(), best[-1], loss, word
 
-    def ladder(self, word: str) -> list[float]:
-        """Losses of the word's N best; asked for few words of a text."""
+    def ladder(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+        """Losses and ids of the word's N best; asked for few words of a text."""
         if word not in self.ladders:
             if len(self.ladders) > CACHE:
                 self.ladders = {}
             found = self.search(word)
-            self.ladders[word] = [found[0][0] - s for s, _ in found]
+            self.ladders[word] = [(found[0][0] - s, ids) for s, ids in found]
         return self.ladders[word]
 
     def words(self, text: str) -> list[tuple]:
@@ -176,29 +180,41 @@ class Lattice:
 
     def encode(self, text: str) -> tuple[bytes, float, list[float]]:
         """Ids of the best segmentation as 32-bit integers, its score, and the losses of the N best (the first is 0)."""
+        return self.segmentations(text)[:3]
+
+    def segmentations(self, text: str) -> tuple[bytes, float, list[float], list[list[tuple[int, int, tuple[int, ...]]]]]:
+        """``encode`` and, for the second best and on, the changes (start, length, ids) to the best one's pieces, in order."""
         words = self.words(text)
         if not words:
-            return b"", 0.0, [0.0]
+            return b"", 0.0, [0.0], []
         ids, scores, losses, names = zip(*words)
-        return b"".join(ids), sum(scores), self.losses(losses, names)
+        found, steps, places = self.losses(losses, names)
+        spans = [(sum(map(len, ids[:at])) // 4, len(ids[at]) // 4) for at in places]
+        changes = [sorted((*spans[k], self.ladder(names[places[k]])[n][1]) for k, n in enumerate(down) if n) for down in steps[1:]]
+        return b"".join(ids), sum(scores), found, changes
+
+    def losses(self, first: tuple[float, ...], names: tuple[str, ...]) -> tuple[list[float], list[tuple[int, ...]], list[int]]:
+        """Losses of the N best, the steps down of each, and the places of the words that step.
 
-    def losses(self, first: tuple[float, ...], names: tuple[str, ...]) -> list[float]:
-        """Only the words with the least first losses can differ in the N best."""
-        ladders, at = [], -1
+        Only the words with the least first losses can differ in the N best.
+        """
+        ladders, places, at = [], [], -1
         for i, loss in enumerate(least := sorted(first)[: self.nbest - 1]):
             at = first.index(loss, at + 1 if i and least[i - 1] == loss else 0)
             if loss < np.inf:
-                ladders.append(self.ladder(names[at]))
-        out, heap, seen = [], [(0.0, (0,) * len(ladders))], set()
+                ladders.append([x for x, _ in self.ladder(names[at])])
+                places.append(at)
+        out, taken, heap, seen = [], [], [(0.0, (0,) * len(ladders))], set()
         while heap and len(out) < self.nbest:
             loss, steps = heapq.heappop(heap)
             out.append(loss)
+            taken.append(steps)
             for k, ladder in enumerate(ladders):
                 nxt = (*steps[:k], steps[k] + 1, *steps[k + 1 :])
                 if nxt[k] < len(ladder) and nxt not in seen:
                     seen.add(nxt)
                     heapq.heappush(heap, (sum([ladders[j][n] for j, n in enumerate(nxt)]), nxt))
-        return out
+        return out, taken, places
 
 
 class Decoder:
@@ -213,6 +229,11 @@ class Decoder:
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))[1:]
 
+    def alike(self, ids: np.ndarray, changes: list[list[tuple]]) -> bool:
+        """Whether every change reads as the pieces that it replaces, so that its segmentation decodes as the best does."""
+        read = self.pieces.__getitem__
+        return all(b"".join(map(read, new)) == b"".join(map(read, ids[at : at + n].tolist())) for one in changes for at, n, new in one)
+
 
 def list_array(parts: list[bytes]) -> pa.Array:
     lengths = np.fromiter((len(p) // 4 for p in parts), np.int64, len(parts))
@@ -220,8 +241,11 @@ def list_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), values)
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", nbest: int = NBEST) -> DataFrame:
-    """Each row with its columns and ``piece_ids``, ``best_score``, ``nbest_losses``, ``decoded`` (whether decoding gives the text back)."""
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", nbest: int = NBEST, with_changes: bool = False) -> DataFrame:
+    """Each row with its columns and ``piece_ids``, ``best_score``, ``nbest_losses``, ``decoded`` (whether decoding any of the N best gives the text back).
+
+    If asked for, with ``nbest_changes``: what segmentations 2 to N have in place of the best one's pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(model_path, nbest)
@@ -229,32 +253,37 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", n
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids, scores, losses, same = [], [], [], []
+                ids, scores, losses, same, changes = [], [], [], [], []
                 for text in batch.column(batch.num_columns - 1).to_pylist():
-                    found, score, loss = lattice.encode(text)
+                    found, score, loss, change = lattice.segmentations(text)
+                    own = np.frombuffer(found, "<i4")
                     ids.append(found)
                     scores.append(score)
                     losses.append(loss)
-                    same.append(decoder.decode(np.frombuffer(found, "<i4")) == text.encode("utf-8", "replace").replace(MARK.encode(), b" "))
+                    changes.append([[{"start": a, "length": n, "ids": new} for a, n, new in one] for one in change])
+                    same.append(decoder.decode(own) == text.encode("utf-8", "replace").replace(MARK.encode(), b" ") and decoder.alike(own, change))
                 columns = [*batch.columns[:-1], list_array(ids), pa.array(scores, pa.float64()), pa.array(losses, pa.list_(pa.float64())), pa.array(same, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *ENCODED.names])
+                if with_changes:
+                    columns.append(pa.array(changes, CHANGES_ARROW))
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], *(f.name for f in added)])
 
-    kept = [c for c in docs.columns if c not in ENCODED.names]
+    added = [*ENCODED.fields, *([StructField("nbest_changes", CHANGES)] if with_changes else [])]
+    kept = [c for c in docs.columns if c not in [f.name for f in added]]
     rows = docs.select(*kept, text_of(text_col).alias("_body"))
-    schema = StructType([*docs.select(*kept).schema.fields, *ENCODED.fields])
+    schema = StructType([*docs.select(*kept).schema.fields, *added])
     return rows.mapInArrow(run, schema)
 
 
 def encoding_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", nbest: int = NBEST) -> DataFrame:
-    """Per row: id, ``n_pieces``, ``ids_crc32`` (of the ids as 32-bit integers), ``best_score``, ``nbest_losses``, ``decoded``."""
+    """Per row: id, ``n_pieces``, ``ids_crc32`` (of the ids as 32-bit integers), ``best_score``, ``nbest_losses``, ``decoded``, ``nbest_changes``."""
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             flat, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             sums = [zlib.crc32(flat[a:b].astype("<i4").tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64()), *batch.columns[2:]], names=["id", "n_pieces", "ids_crc32", "best_score", "nbest_losses", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64()), *batch.columns[2:]], names=["id", "n_pieces", "ids_crc32", "best_score", "nbest_losses", "decoded", "nbest_changes"])
 
-    made = encode_documents(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")), model_path, "_text", nbest)
-    found = made.select("id", "piece_ids", "best_score", "nbest_losses", "decoded").mapInArrow(digests, "id long, n_pieces long, ids_crc32 long, best_score double, nbest_losses array<double>, decoded boolean")
+    made = encode_documents(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text")), model_path, "_text", nbest, True)
+    found = made.select("id", "piece_ids", "best_score", "nbest_losses", "decoded", "nbest_changes").mapInArrow(digests, f"id long, n_pieces long, ids_crc32 long, best_score double, nbest_losses array<double>, decoded boolean, nbest_changes {CHANGES.simpleString()}")
     return found.withColumnRenamed("id", id_col)

@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages over the ``documents`` table, each on all that the one before kept.
 
 Quality classifier (rejected documents go), exact dedup, SimHash near-dedup (one document of each group stays),
-mixing of sources to target weights (a document comes as often as it was taken), SentencePiece encoding (adds the ids).
+mixing of sources to target weights (a document comes as often as it was taken), SentencePiece encoding (adds the ids of the N best).
 Every stage writes Parquet to the shared folder and the next one reads it, so a lost executor costs a stage's tasks
 at most.
 """
@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_nbest.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_nbest.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_changes=True)
 
 
 STAGES = [

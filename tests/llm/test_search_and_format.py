@@ -151,3 +151,26 @@ def test_every_text_decodes(spark, odd_docs, sample, no_docs, lattice):
     for r in encoded.collect():
         assert decoder.decode(np.array(r.piece_ids, "<i4")).decode() == (r.text or "")
     assert sentencepiece_nbest.encoding_report(no_docs, path).collect() == []
+
+
+def test_pieces_of_the_nbest(spark, lattice, sample):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["the cat", "a b a", "to\nbe", "x", ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(sample.select("doc_id", "text").limit(30))
+    decoder = sentencepiece_nbest.Decoder(lattice)
+    for n, r in enumerate(sentencepiece_nbest.encode_documents(docs, path, with_changes=True).collect()):
+        lists = [list(r.piece_ids)]
+        for changes in r.nbest_changes:
+            ids = list(r.piece_ids)
+            for c in reversed(changes):
+                ids[c.start : c.start + c.length] = c.ids
+            lists.append(ids)
+        assert len(lists) == len(r.nbest_losses) == len({*map(tuple, lists)}) and r.decoded
+        for ids, loss in zip(lists, r.nbest_losses):
+            assert decoder.decode(np.array(ids, "<i4")).decode() == r.text
+        if n < 4:
+            whole = sentencepiece_nbest.MARK + r.text.replace(" ", sentencepiece_nbest.MARK)
+            score = {ids: s for s, ids in all_segmentations(lattice, whole)}
+            assert [score[tuple(ids)] for ids in lists] == sorted(score.values(), reverse=True)[:3]
+    rows = sentencepiece_nbest.encoding_report(docs, path).collect()
+    assert all(len(r.nbest_changes) == len(r.nbest_losses) - 1 for r in rows)
