@@ -42,6 +42,27 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many ``_`` behind it as it needs to differ from the frame's columns in more than case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def numbered(df: DataFrame) -> list[Column]:
+    """The columns by number, as ``mapInArrow`` takes no name with a dot."""
+    return [quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)]
+
+
 def row_key(id_col: str, *columns: str) -> Column:
     """Identifier and digests of the columns, null apart from any value: rows of one key are alike in all of them."""
     parts = [F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), *[F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("")) for c in columns]]
@@ -50,7 +71,7 @@ def row_key(id_col: str, *columns: str) -> Column:
 
 def row_hash(df: DataFrame) -> Column:
     """An order that depends on the rows' values alone."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t and "variant" not in t])
+    return F.xxhash64(*[quoted(c) for c, t in df.dtypes if "map<" not in t and "variant" not in t])
 
 
 def one_space(column: Column) -> Column:

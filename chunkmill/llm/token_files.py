@@ -1,39 +1,50 @@
 """Token-ID output: flat files of unsigned integers, with 64-bit document offsets, read back memory-mapped.
 
 Documents are dealt out by ranges of the identifier and sorted, so partition after partition holds them in
-order. A task encodes its documents and writes one shard: ``<name>.ids``, the ids of all its documents as
-little-endian unsigned integers (16 bits if every id of the vocabulary fits, else 32), and ``<name>.idx``, the
-identifiers and the offsets of their ends within the shard as 64-bit integers. A shard gets its name only when
-both files are whole, so a task that runs twice replaces equal bytes. A running sum over the shards' counts
-gives each shard's base, the position of its first id in the whole sequence.
+order. A task encodes its documents and writes one shard, named by its partition's number: ``<name>.ids``, the ids of
+all its documents as little-endian unsigned integers (16 bits if every id of the vocabulary fits, else 32), and
+``<name>.idx``, the identifiers and the offsets of their ends within the shard as 64-bit integers. Each attempt of a
+task writes under a name of its own and gives the shard its name only when both files are whole, so a task that runs
+twice replaces equal bytes and leaves no other shard. A running sum over the shards' counts gives each shard's base,
+the position of its first id in the whole sequence.
+
+Ranges are cut by identifier, hash of the text and row, so that a repeated or null identifier, however frequent,
+spreads over many tasks.
 
 Memory-mapping needs a POSIX path: the shared folder must be a mounted file system (``file:``).
 
-The tokenizer drops white space and no token spans it, so a text's ids are its words' ids in order; a task
-encodes each different word once while it stays in the cache.
+If the tokenizer drops white space and no token spans it (``words_stand_alone`` reads that from its file), a text's
+ids are its words' ids in order, and a Python worker encodes each different word once while it stays in its cache,
+which lasts from task to task and is bounded. With any other tokenizer whole texts are encoded.
 
 Nulls: a null text counts as empty and has the end id alone; a null identifier sorts first. Repeated rows are
-documents of their own. An empty table writes no shard and gives an empty result. Other columns play no part.
+documents of their own. A very long text is held once as text and once as ids. An empty table writes no shard and
+gives an empty result. Other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import json
 import os
-import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_folder, stage_table, text_of
 
 END_ID = 2
-#: Different words whose ids a task keeps; beyond, it starts over.
-CACHE_WORDS = 1 << 19
+#: Different words whose ids a worker keeps in use; as many from before stay at hand.
+CACHE_WORDS = 3 << 18
+#: The last letter of Latin Extended-A: up to here lower-case letters are composed and lower case is one to one, but for U+0130.
+LAST_PLAIN = "\u017f"
 #: Ids read at once when a shard is read back.
 READ_IDS = 1 << 24
 NO_ID = -(2**63)
@@ -47,7 +58,36 @@ def posix_folder(uri: str) -> str:
     return at.path
 
 
-class WordEncoder:
+def words_stand_alone(tokenizer) -> bool:
+    """Whether encoding words one by one gives a text's ids.
+
+    The normalizers may only compose characters, fold case and fold white space, and the pre-tokenizer must first cut
+    by an expression whose matches alone are kept and hold no white space (probed with every white-space byte).
+    """
+    spec = json.loads(tokenizer.to_str())
+    parts = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    for n in parts(spec["normalizer"], "normalizers"):
+        if n["type"] not in ("NFC", "NFD", "Lowercase") and not (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "):
+            return False
+    first = (parts(spec["pre_tokenizer"], "pretokenizers") or [{"type": ""}])[0]
+    if len(parts(spec["pre_tokenizer"], "pretokenizers")) > 2 or first["type"] != "Split" or first["behavior"] != "Removed" or not first["invert"]:
+        return False
+    if any(t["lstrip"] or t["rstrip"] or t["content"].split() != [t["content"]] for t in spec["added_tokens"]):
+        return False
+    probe = [f"{a}{w}{b}" for w in " \t\n\x0b\x0c\r" for a in "a1.'" for b in ("b", "2", ",", "s")]
+    return all(piece.isspace() is False and len(piece) == 1 for text in probe for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text))
+
+
+def folded(tokenizer):
+    """The tokenizer for words of lower-case letters up to ``LAST_PLAIN``, which its first steps leave as they are: without those steps."""
+    from tokenizers import Tokenizer
+
+    spec = json.loads(tokenizer.to_str())
+    spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": spec["pre_tokenizer"]["pretokenizers"][1] if spec["pre_tokenizer"]["type"] == "Sequence" else None}
+    return Tokenizer.from_str(json.dumps(spec))
+
+
+class Encoder:
     """Bytes of a text to the bytes of its ids."""
 
     def __init__(self, tokenizer_path: str):
@@ -56,38 +96,81 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.end = np.array([END_ID], self.kind).tobytes()
+        self.by_words = words_stand_alone(self.tokenizer)
+        self.stops = {s: self.whole(s) for s in (b"", b".", b",", b"!", b"?")} if self.by_words else {}
+        self.folded = folded(self.tokenizer) if self.by_words else None
+        #: Words and their ids: the ones in use, and those from before it last filled up.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def whole(self, body: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(body.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, e in zip(new, encoded):
-            self.known[w] = np.array(e.ids, self.kind).tobytes()
+        """A word of letters with a stop is cut between them by any such pre-tokenizer, and case is folded anyway, so only lower-case stems are encoded."""
+        if len(self.known) + 2 * len(words) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        stems, plain, others = {}, {}, []
+        for w in words:
+            found = older.get(w)
+            if found is not None:
+                known[w] = found
+                continue
+            ended = w[-1:] in self.stops and len(w) > 1
+            text = (w[:-1] if ended else w).decode("utf-8", "replace")
+            if not text.isalpha() or max(text) > LAST_PLAIN or "\u0130" in text:
+                others.append(w)
+                continue
+            text = text.lower()
+            stem = text.encode()
+            stems[w] = stem, w[-1:] if ended else b""
+            if stem not in known:
+                found = older.get(stem)
+                if found is None:
+                    plain[stem] = text
+                else:
+                    known[stem] = found
+        for names, texts, tokenizer in ((plain, list(plain.values()), self.folded), (others, [w.decode("utf-8", "replace") for w in others], self.tokenizer)):
+            for w, e in zip(names, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                known[w] = array(self.code, e.ids).tobytes()
+        for w, (stem, stop) in stems.items():
+            known[w] = known[stem] + self.stops[stop]
 
     def encode(self, body: bytes) -> bytes:
+        if not self.by_words:
+            return self.whole(body)
         words = body.split()  # of bytes: the six ASCII white-space bytes
+        found = list(map(self.known.get, words))
         try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(found)
+        except TypeError:  # some word isn't known
+            self.learn({w for w, ids in zip(words, found) if ids is None})
+            known = self.known
+            return b"".join([known[w] if ids is None else ids for w, ids in zip(words, found)])
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(tokenizer_path: str) -> Encoder:
+    """One per Python worker and file, so that a worker's next task starts with a filled cache."""
+    return Encoder(tokenizer_path)
 
 
 def write_shards(folder: str, tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, name = WordEncoder(tokenizer_path), uuid.uuid4().hex
+        encoder, task = encoder_of(tokenizer_path), TaskContext.get()
+        name, own_name = f"{folder}/{task.partitionId():08d}", f"{folder}/.{task.partitionId():08d}-{task.taskAttemptId()}"
         ids, ends, at, out = [], [], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
                 os.makedirs(folder, exist_ok=True)
-                out = open(f"{folder}/{name}.ids.part", "wb")
-            for body in batch.column(1).to_pylist():
-                found = encoder.encode(body)
+                out = open(f"{own_name}.ids", "wb")
+            for body in batch.column(1):
+                found = encoder.encode(body.as_py())
                 out.write(found)
                 out.write(encoder.end)
                 at += len(found) // encoder.kind.itemsize + 1
@@ -97,12 +180,12 @@ def write_shards(folder: str, tokenizer_path: str):
             return
         out.close()
         own = np.concatenate(ids)
-        with open(f"{folder}/{name}.idx.part", "wb") as idx:
+        with open(f"{own_name}.idx", "wb") as idx:
             idx.write(own.tobytes())
             idx.write(np.array(ends, "<u8").tobytes())
         for kind in ("ids", "idx"):
-            os.replace(f"{folder}/{name}.{kind}.part", f"{folder}/{name}.{kind}")
-        row = [name], [int(own[0])], [len(own)], [at], [encoder.kind.itemsize]
+            os.replace(f"{own_name}.{kind}", f"{name}.{kind}")
+        row = [os.path.basename(name)], [int(own[0])], [len(own)], [at], [encoder.kind.itemsize]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["shard", "first_id", "documents", "ids", "width"])
 
     return run
@@ -112,9 +195,10 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
     """Write the shards; the manifest (a row per shard, with ``base``) and the folder."""
     folder = folder or new_folder(spark, "token-files")
     body = text_of(text_col)
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), body.cast("binary").alias("body")).repartitionByRange("id").sortWithinPartitions("id", "body")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), body.cast("binary").alias("body"), F.xxhash64(body).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    dealt = rows.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "body")
     shards = stage_table(spark, dealt.mapInArrow(write_shards(posix_folder(folder), tokenizer_path), MANIFEST), "manifest")
-    before = Window.orderBy("first_id", "shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("first_id", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))), folder
 
 
@@ -146,5 +230,5 @@ def read_shards(folder: str):
 
 def read_token_files(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
     """One row per document from the files: id, ``start``, ``n_tokens``, ``ids_crc32``."""
-    dealt = manifest.repartition("shard")
+    dealt = manifest.repartition(max(1, manifest.count()))
     return dealt.mapInArrow(read_shards(posix_folder(folder)), "id long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -111,7 +112,10 @@ def all_segmentations(lattice, word):
     if not word:
         return [(0.0, ())]
     out = []
-    for a, s, ids in lattice.forward(word)[1][-1]:
+    for a in range(len(word)):
+        s, ids = lattice.edge(word, a, len(word)) or (None, None)
+        if s is None:
+            continue
         out += [(score + s, before + ids) for score, before in all_segmentations(lattice, word[:a])]
     return out
 
@@ -120,24 +124,48 @@ def test_nbest_is_exact(lattice):
     for word in ("▁hello", "▁▁the", "▁naïve\U0001f600x", "aaaaa", "▁Größe"):
         want = sorted((s for s, _ in all_segmentations(lattice, word)), reverse=True)[:3]
         found = lattice.search(word)
-        assert [s for s, _ in found] == want and len({ids for _, ids in found}) == len(found)
-        assert {*found} <= {*all_segmentations(lattice, word)}
+        assert [want[0] - x for x, _ in found] == pytest.approx(want) and len({ids for _, ids in found}) == len(found)
+        score = {ids: s for s, ids in all_segmentations(lattice, word)}
+        assert [score[ids] for _, ids in found] == pytest.approx(want)
         ids, best, loss, _ = lattice.word(word)
-        assert (tuple(np.frombuffer(ids, "<i4").tolist()), best) == found[0][::-1] and best - loss == want[1]
+        assert (tuple(np.frombuffer(ids, "<i4").tolist()), best) == (found[0][1], want[0]) and best - loss == pytest.approx(want[1])
+
+
+def test_fractional_scores_and_pieces_across_words():
+    """As in a unigram model: scores that aren't whole numbers, pieces that hold a space."""
+    rng, own = random.Random(11), sentencepiece_nbest.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    own.weigh([-rng.random() * 12 for _ in own.texts])
+    words = ["▁" + "".join(rng.choices("aeinrst", k=rng.randrange(1, 8))) for _ in range(60)]
+    for word in words:
+        want = sorted((s for s, _ in all_segmentations(own, word)), reverse=True)[:3]
+        found = own.search(word)
+        assert [want[0] - x for x, _ in found] == pytest.approx(want) and len({ids for _, ids in found}) == len(found)
+    assert own.many(words) == [own.word(w) for w in words]
+    own.ids["s▁t"] = own.ids["the"]
+    own.weigh([-rng.random() * 12 for _ in own.texts])
+    assert not own.by_words
+    (_, best, losses, _), whole = next(own.segmentations(["as to"])), "▁as▁to"
+    assert [best - x for x in losses] == pytest.approx(sorted((s for s, _ in all_segmentations(own, whole)), reverse=True)[:3])
+
+
+def test_a_long_text_without_spaces(lattice):
+    ids, _, losses, changes = next(lattice.segmentations(["abcé😀" * 40_000]))
+    assert losses[0] == 0 and losses == sorted(losses) and len(changes) == 2 and len(lattice.known) < 10
+    assert sentencepiece_nbest.Decoder(lattice).decode(np.frombuffer(ids, "<i4")).decode() == "abcé😀" * 40_000
 
 
 def test_nbest_of_a_text_is_that_of_its_whole_lattice(lattice):
     for text in ("the cat", "a b a", "to\nbe", "x"):
         whole = sentencepiece_nbest.MARK + text.replace(" ", sentencepiece_nbest.MARK)
         want = sorted((s for s, _ in all_segmentations(lattice, whole)), reverse=True)[:3]
-        _, best, losses = lattice.encode(text)
-        assert [best - x for x in losses] == want
+        _, best, losses, _ = next(lattice.segmentations([text]))
+        assert [best - x for x in losses] == pytest.approx(want)
 
 
-def test_stems_and_stops_are_whole_words(spark, lattice, sample):
-    words = {c for r in sample.limit(40).collect() for c in sentencepiece_nbest.CHUNKS.findall(" " + r.text)} | {" x².", " .", "..", "a,b,", " ,", "?!", "e.g."}
-    for c in sorted(words)[:4000]:
-        assert lattice.learnt(c) == lattice.word(c.replace(" ", sentencepiece_nbest.MARK))
+def test_words_at_once_are_words_one_by_one(spark, lattice, sample):
+    words = {c for r in sample.limit(40).collect() for c in lattice.chunks(r.text)} | {" x²", " .", "..", "a,b,", "", "\n\n", " " * 70, "😀x", "é" * 65}
+    words = sorted(c.replace(" ", sentencepiece_nbest.MARK) for c in words)
+    assert lattice.many(words) == [lattice.word(w) for w in words]
 
 
 def test_every_text_decodes(spark, odd_docs, sample, no_docs, lattice):
@@ -145,6 +173,9 @@ def test_every_text_decodes(spark, odd_docs, sample, no_docs, lattice):
     for docs in (odd_docs, sample):
         rows = sentencepiece_nbest.encoding_report(docs, path).collect()
         assert len(rows) == docs.count() and all(r.decoded for r in rows)
+    clash = odd_docs.limit(3).selectExpr("text", "doc_id AS Piece_IDs", "doc_id AS _body", "doc_id AS `a.b`")
+    assert sentencepiece_nbest.encode_documents(clash, path).columns == ["text", "Piece_IDs", "_body", "a.b", "piece_ids_", "best_score", "nbest_losses", "decoded"]
+    assert all(r.decoded for r in sentencepiece_nbest.encode_documents(clash, path).collect())
     encoded = sentencepiece_nbest.encode_documents(odd_docs, path)
     assert encoded.columns == [*odd_docs.columns, "piece_ids", "best_score", "nbest_losses", "decoded"]
     decoder = sentencepiece_nbest.Decoder(lattice)
@@ -156,7 +187,7 @@ def test_every_text_decodes(spark, odd_docs, sample, no_docs, lattice):
 def test_pieces_of_the_nbest(spark, lattice, sample):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = ["the cat", "a b a", "to\nbe", "x", ""]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(sample.select("doc_id", "text").limit(30))
+    docs = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(sample.select("doc_id", "text").limit(30))
     decoder = sentencepiece_nbest.Decoder(lattice)
     for n, r in enumerate(sentencepiece_nbest.encode_documents(docs, path, with_changes=True).collect()):
         lists = [list(r.piece_ids)]
@@ -171,6 +202,8 @@ def test_pieces_of_the_nbest(spark, lattice, sample):
         if n < 4:
             whole = sentencepiece_nbest.MARK + r.text.replace(" ", sentencepiece_nbest.MARK)
             score = {ids: s for s, ids in all_segmentations(lattice, whole)}
-            assert [score[tuple(ids)] for ids in lists] == sorted(score.values(), reverse=True)[:3]
+            assert [score[tuple(ids)] for ids in lists] == pytest.approx(sorted(score.values(), reverse=True)[:3])
     rows = sentencepiece_nbest.encoding_report(docs, path).collect()
+    own = {r.doc_id: list(r.piece_ids) for r in sentencepiece_nbest.encode_documents(docs, path).collect()}
+    assert all((r.n_pieces, r.ids_crc32) == (len(own[r.doc_id]), zlib.crc32(np.array(own[r.doc_id], "<i4").tobytes())) for r in rows)
     assert all(len(r.nbest_changes) == len(r.nbest_losses) - 1 for r in rows)

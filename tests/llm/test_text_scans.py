@@ -83,11 +83,29 @@ def test_token_files_hold_the_tokenizers_ids(spark, odd_docs, sample, no_docs):
 
 def test_words_encode_by_themselves():
     path = public_tokenizers.path("word_bpe_49k.json")
-    tokenizer, encoder = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    tokenizer, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
     for text in ("Don't <|endoftext|>x <|startoftext|> 12́ Å Å b c İI ΣΣ", "e ́x ᄀ ᅡ", "a\x1cb\x85c d", "'s 't'll 123 +-*/ \U0001f600\U0001f3fd"):
         assert np.frombuffer(encoder.encode(text.encode()), "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_by_themselves_only_where_that_is_right():
+    words, other = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_files.words_stand_alone(words) and not token_files.words_stand_alone(other)
+
+
+def test_another_tokenizer_and_many_repeated_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = [(None if i % 2 else 4, ("Same text", "an other  one", None)[i % 3]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    manifest, folder = token_files.write_token_files(spark, docs, path)
+    found = sorted(map(tuple, token_files.read_token_files(manifest, folder).collect()), key=lambda r: r[1])
+    assert [r[0] for r in found] == [None] * 150 + [4] * 150
+    assert [r[1] for r in found] == [sum(r[2] for r in found[:i]) for i in range(300)]
+    crc = lambda text: zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) if (ids := [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]) else 0
+    assert sorted(r[3] for r in found) == sorted(crc(t) for _, t in rows)
+
+
 def test_quality_on_the_held_out_fold(spark, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
