@@ -1,23 +1,27 @@
 """Chat formatting in budgeted windows.
 
 Turns of a conversation get running sums of their tokens (words plus the template's share). A window holds the
-turns whose sum ends within one stride, so spans are aligned to turns; a stride is half of the budget for new
-turns, so a window stays within the budget unless a single turn exceeds the stride. Every window begins with the
-conversation's system turn and repeats up to ``HISTORY`` turns before its span; what is repeated is masked, so
-each assistant text is under exactly one loss mask.
+turns whose sum ends within one stride, so spans are aligned to turns. A stride is half of what the system turn leaves
+of the budget (a quarter of the budget at least): as a window's first turn may begin in the stride before, its turns come
+to less than two strides. Every window after the conversation's system turn (the first turn of that role) begins with it
+and repeats, nearest first, up to ``HISTORY`` turns before its span, as many as the budget leaves room for; what is
+repeated is masked, so each assistant text is under exactly one loss mask. ``tokens`` is a window's whole sum. It exceeds
+the budget only where a single turn is longer than a stride, as turns aren't cut, or the system turn is longer than half of
+the budget; such a window has no history.
 
 A turn is written ``### role: text </turn>`` and a line end. In texts and roles every backslash, ``#`` and ``<``
 gets a backslash in front (in roles the colon too), so control strings never appear inside and reading back is
 exact.
 
-Running sums need no task per conversation: turns fall into blocks of ``BLOCK`` turn numbers, blocks are summed by
-themselves, and only the blocks' totals are summed along a conversation. History is found by equi-join on the
-turn's number. The digest over a whole conversation is sequential by its definition: its windows are sorted and
-streamed through one hash state, in memory for one window at a time.
+Running sums need no task per conversation: turns are dealt out by ranges of conversation and turn, each partition sums
+its own part of a conversation, and only the parts' totals are summed along a conversation. History is found by
+equi-join on the turn's number. The digest over a whole conversation is sequential by its definition: its windows are
+sorted and streamed through one hash state, in memory for one window at a time.
 
 Nulls: a null text or role counts as empty, a null turn sorts first, and null identifiers form one conversation.
-Rows with equal turn are ordered by role and text; repeated rows are turns of their own. An empty table gives an
-empty result. Other columns play no part.
+Rows with equal turn are ordered by role and MD5 of the text; repeated rows are turns of their own. A very long text is
+one turn, held once per window that it is in. An empty table gives an empty result. Other columns play no part, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,15 +30,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stage_table
 
-BUDGET, HISTORY, TURN_COST, BLOCK = 1024, 2, 4, 32
-#: A turn of history longer than this isn't repeated.
-HISTORY_TOKENS = 128
+BUDGET, HISTORY, TURN_COST = 1024, 2, 4
 NONE = -(2**63)
 
 
@@ -46,35 +50,63 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted turns with their number and running sum of tokens in this partition's part of the conversation."""
+    part, conv, nth, ends = TaskContext.get().partitionId(), None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names, tokens = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        new = np.flatnonzero(np.r_[names[0] != conv, names[1:] != names[:-1]])
+        upto, number = np.cumsum(tokens), np.arange(1, len(names) + 1)
+        base = np.zeros((2, len(names)), np.int64)
+        base[:, 0] = -nth, -ends
+        base[:, new] = new, upto[new] - tokens[new]
+        at = np.zeros(len(names), np.int64)
+        at[new] = new
+        at = np.maximum.accumulate(at)
+        own, sums = number - base[0, at], upto - base[1, at]
+        conv, nth, ends = names[-1], own[-1], sums[-1]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(names), part, np.int64)), pa.array(own), pa.array(sums)], names=[*batch.schema.names, "part", "nth", "ends"])
+
+
 def numbered_turns(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """Each turn with its number in the conversation, its running sum of tokens, and its window."""
+    """Each turn with its number in the conversation, its window, and number and tokens of the system turn (null and 0 without one)."""
     key = F.coalesce(F.col("conv_id").cast("long"), F.lit(NONE))
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(NONE))
-    rows = turns.select(key.alias("conv"), turn.alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.regexp_count("text", F.lit(WORD)) + TURN_COST).withColumn("block", F.floor(F.col("turn") / BLOCK))
-    inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    summed = rows.withColumn("nth", F.row_number().over(inside)).withColumn("ends", F.sum("tokens").over(upto))
-    placed = stage_table(spark, summed, "turns")
-    before = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = placed.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("block_tokens"))
-    blocks = blocks.select("conv", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("block_tokens").over(before), F.lit(0)).alias("tokens_before"))
-    found = placed.join(blocks, ["conv", "block"])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    tokens = (F.regexp_count(text, F.lit(WORD)) + TURN_COST).cast("long")
+    order = ["conv", "turn", "role", "tie", "row"]
+    rows = turns.select(key.alias("conv"), F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("text"), tokens.alias("tokens"), turn.alias("turn"), F.md5(text.cast("binary")).alias("tie"), F.monotonically_increasing_id().alias("row"))
+    sums = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "role", "text", "tokens").mapInArrow(local_sums, "conv long, role string, text string, tokens long, part long, nth long, ends long")
+    placed = stage_table(spark, sums, "turns")
+    whole = Window.partitionBy("conv")
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("conv", "part").agg(F.count(F.lit(1)).alias("rows"), F.sum("tokens").alias("part_tokens"), F.min(F.when(F.col("role") == "system", F.struct("nth", "tokens"))).alias("system"))
+    parts = parts.select("conv", "part", "system", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("tokens_before"))
+    first = F.min(F.when(F.col("system").isNotNull(), F.struct((F.col("system.nth") + F.col("rows_before")).alias("n"), F.col("system.tokens").alias("tokens")))).over(whole)
+    parts = parts.withColumn("first_system", first)
+    found = placed.join(parts.hint("merge"), ["conv", "part"])
+    system_tokens = F.coalesce("first_system.tokens", F.lit(0))
+    stride = F.greatest(F.floor((BUDGET - system_tokens) / 2), F.lit(BUDGET // 4))
     ends = F.col("ends") + F.col("tokens_before")
-    return found.select("conv", (F.col("nth") + F.col("rows_before")).alias("n"), "role", "text", "tokens", F.floor((ends - 1) / (BUDGET // 2)).alias("window"))
+    return found.select("conv", (F.col("nth") + F.col("rows_before")).alias("n"), "role", "text", "tokens", F.floor((ends - 1) / stride).alias("window"), F.col("first_system.n").alias("system_n"), system_tokens.alias("system_tokens"))
 
 
 def chat_windows(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """``turns``: conv_id, turn, role, text. A row per window: ``conv_id``, ``window``, ``formatted``, ``repeated`` (leading turns that are repeated), ``loss_spans`` (code points, end exclusive)."""
+    """``turns``: conv_id, turn, role, text. A row per window: ``conv_id``, ``window``, ``formatted``, ``repeated`` (leading turns that are repeated), ``loss_spans`` (code points, end exclusive), ``tokens``."""
     own = stage_table(spark, numbered_turns(spark, turns), "numbered")
-    windows = own.groupBy("conv", "window").agg(F.min("n").alias("first"))
-    system = own.filter("n = 1 AND role = 'system'").select("conv", F.col("role").alias("s_role"), F.col("text").alias("s_text"))
-    part = lambda repeated: F.struct(F.lit(repeated).alias("own"), "n", "role", "text")
-    new = own.select("conv", "window", part(1).alias("part"))
-    wanted = windows.select("conv", "window", F.explode(F.array(*[F.col("first") - k for k in range(1, HISTORY + 1)])).alias("n")).filter("n >= 1")
-    history = wanted.join(own.drop("window").filter((F.col("tokens") <= HISTORY_TOKENS) & ~((F.col("n") == 1) & (F.col("role") == "system"))), ["conv", "n"]).select("conv", "window", part(0).alias("part"))
-    kept = windows.filter("first > 1").join(system, "conv").select("conv", "window", F.struct(F.lit(0).alias("own"), F.lit(1).cast("bigint").alias("n"), F.col("s_role").alias("role"), F.col("s_text").alias("text")).alias("part"))
-    parts = new.unionByName(history).unionByName(kept).groupBy("conv", "window").agg(F.array_sort(F.collect_list("part")).alias("parts"))  # a budget's worth
+    later = F.col("first") > F.col("system_n")
+    windows = own.groupBy("conv", "window", "system_n", "system_tokens").agg(F.min("n").alias("first"), F.sum("tokens").alias("new_tokens"))
+    windows = windows.withColumn("room", BUDGET - F.col("new_tokens") - F.when(later, F.col("system_tokens")).otherwise(0))
+    part = lambda repeated: F.struct(F.lit(repeated).alias("own"), "n", "role", "text", "tokens").alias("part")
+    new = own.select("conv", "window", part(1))
+    wanted = windows.select("conv", "window", "room", F.explode(F.array(*[F.col("first") - k for k in range(1, HISTORY + 1)])).alias("n"), "system_n").filter("n >= 1 AND NOT (n <=> system_n)").drop("system_n")
+    nearest = Window.partitionBy("conv", "window").orderBy(F.desc("n"))  # HISTORY rows
+    history = wanted.join(own.select("conv", "n", "role", "text", "tokens"), ["conv", "n"]).withColumn("repeats", F.sum("tokens").over(nearest)).filter("repeats <= room").select("conv", "window", part(0))
+    system = own.filter("n = system_n").select("conv", "n", "role", "text", "tokens")
+    kept = windows.filter(later).select("conv", "window").join(system, "conv").select("conv", "window", part(0))
+    parts = new.unionByName(history).unionByName(kept).groupBy("conv", "window").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("part.tokens").alias("tokens"))  # a budget's worth
     head = lambda p: F.concat(F.lit("### "), escaped(p["role"], ":"), F.lit(": "))
     body = lambda p: escaped(p["text"])
     tail = " </turn>\n"
@@ -89,7 +121,7 @@ def chat_windows(spark: SparkSession, turns: DataFrame) -> DataFrame:
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(head(p), body(p), F.lit(tail))), "")
     repeated = F.size(F.filter("parts", lambda p: p["own"] == 0))
     conv = F.when(F.col("conv") != NONE, F.col("conv"))
-    return parts.select(conv.alias("conv_id"), "window", formatted.alias("formatted"), repeated.alias("repeated"), spans.alias("loss_spans"))
+    return parts.select(conv.alias("conv_id"), "window", formatted.alias("formatted"), repeated.alias("repeated"), spans.alias("loss_spans"), "tokens")
 
 
 TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\#<])*) </turn>\n", re.S)

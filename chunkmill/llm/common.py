@@ -63,6 +63,11 @@ def numbered(df: DataFrame) -> list[Column]:
     return [quoted(c).alias(f"c{i}") for i, c in enumerate(df.columns)]
 
 
+def nested(df: DataFrame) -> Column:
+    """All columns as one, ``row``, so that no name of theirs meets an operator's own; ``row.*`` gives them back."""
+    return F.struct(*[quoted(c) for c in df.columns]).alias("row")
+
+
 def row_key(id_col: str, *columns: str) -> Column:
     """Identifier and digests of the columns, null apart from any value: rows of one key are alike in all of them."""
     parts = [F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), *[F.coalesce(F.md5(F.col(c).cast("string").cast("binary")), F.lit("")) for c in columns]]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import one_space, text_of
+from .common import nested, one_space, row_hash, text_of
 from .radix_trie import RadixTrie
 
 #: Bytes of trie that a task holds before it emits (first pass) or spills (second pass).
@@ -121,12 +121,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with their columns."""
-    own = text_owners(docs, id_col, text_col).select(F.col("keep_id").alias("_keep"), F.col("sha").alias("_sha"), F.lit(True).alias("_found"))
-    at = docs.withColumn("_sha_own", F.unhex(F.sha2(normalised(text_col), 256)))
-    kept = at.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_sha_own") == F.col("_sha")), "left_semi")
-    once = Window.partitionBy("_sha_own", id_col).orderBy(F.lit(0))
-    return kept.withColumn("_once", F.row_number().over(once)).filter("_once = 1").select(*docs.columns)
+    """The rows that stay, with their columns, whatever names those have.
+
+    Of rows alike in identifier and text the one with the smallest hash over its columns stays.
+    """
+    own = text_owners(docs, id_col, text_col).select(F.col("keep_id").alias("keep"), F.col("sha").alias("owned"))
+    at = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("sha"), row_hash(docs).alias("order"), nested(docs))
+    kept = at.join(own, F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("owned")), "left_semi")
+    once = Window.partitionBy("sha", "id").orderBy("order")
+    return kept.withColumn("nth", F.row_number().over(once)).filter("nth = 1").select("row.*")
 
 
 SQL = r"""

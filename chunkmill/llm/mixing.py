@@ -5,15 +5,20 @@ at ``most`` times its size and the excess goes to the others by weight. A docume
 source's target over its source's size. Within a source one half of the documents stands in rising, the other in
 falling order of size; their expected copies are summed in that order, one random offset is added, and a document
 is emitted once per integer boundary that its interval crosses. Neighbours in that order are of like size and both
-ends are small, so the words taken come near the target, wherever the offset falls.
+ends are small, so the words taken come near the target, wherever the offset falls, but for a document that holds much of
+its source: so of ``DRAWS`` random offsets a source takes the one by which its words come nearest to the target.
 
-The running sum needs no task per source: documents fall into blocks (half, size class, hash of the identifier),
-each block is summed by itself, and only the blocks' counts are summed over a source.
+The running sum needs no task per source: documents fall into blocks (half, size class, hash of identifier and text) of
+about ``BLOCK_ROWS`` rows, as many as their size class has need of, each block is summed by itself, and only the blocks'
+counts are summed over a source. Blocks and sources meet their rows in sorted joins, on the keys that the rows are
+dealt by anyway; nothing is broadcast by its number of blocks. One row per source, its sums, goes through one task,
+which sorts them twice.
 
 Nulls: a null text has size 0; documents of size 0 are sampled like others and take 0 words. A null source is
 a source of its own, the last. A source without words has target 0 and is never taken. Repeated rows are rows
-of their own. An empty table gives an empty result. The sums are exact integers; the offset depends on the
-seed and the source's rank alone, so reruns agree.
+of their own, and rows alike in identifier and text share a block, unless their identifier is null. A very long text is
+only counted. An empty table gives an empty result. The sums are exact integers; the offset depends on the
+seed, the source's rank and its documents, so reruns agree (among rows without identifier: on the same files).
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, row_hash, row_key, stage_table, text_of
+from .common import WORD, nested, row_hash, row_key, stage_table, text_of
 
-#: Blocks of a size class by hash of the identifier.
-SUBBLOCKS = 64
+#: Rows of a block, about.
+BLOCK_ROWS = 4096
 #: Size classes per doubling.
 CLASSES = 6
 SEED = 20
+#: Random offsets that a source draws.
+DRAWS = 16
 #: Above twice any size class (6 for each of 63 doublings).
 LAST_PLACE = 1000
 BIG = "decimal(38,0)"
@@ -37,6 +44,11 @@ def words(text_col: str = "text") -> Column:
     return F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
 
 
+def salt(id_col: str, text_col: str) -> Column:
+    """What deals documents out to halves and blocks: a hash of identifier and text, and of the row where it has no identifier."""
+    return F.xxhash64(F.col(id_col), F.md5(text_of(text_col).cast("binary")), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()))
+
+
 def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     """``sizes``: source, source_size, source_rows, one row per source. Adds rank, weight and target.
 
@@ -65,48 +77,52 @@ def source_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = 3, seed: int = SEED) -> DataFrame:
     """One row per input row: id, ``size``, ``source_size``, ``target``, ``taken`` and ``copies``."""
-    return decided(spark, docs, F.lit(""), id_col, text_col, source_col, most, seed).drop("_key")
+    return decided(spark, docs, F.lit(""), id_col, text_col, source_col, most, seed).drop("row_key")
 
 
 def decided(spark: SparkSession, docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str, most: int = 3, seed: int = SEED) -> DataFrame:
-    """The mix with ``_key``, the value of ``row``, for each row."""
-    sized = docs.select(F.col(id_col).alias("_id"), row.alias("_key"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"))
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    """The mix with ``row_key``, the value of ``row``, for each row."""
+    sized = docs.select(F.col(id_col).alias("id"), row.alias("key"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), salt(id_col, text_col).alias("salt"))
+    source_key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     size_class = F.floor(F.log2(F.col("size") + 1) * CLASSES).cast("int")
-    rising = F.col("sub") < SUBBLOCKS // 2
-    blocked = sized.withColumn("source_key", key).withColumn("sub", F.pmod(F.xxhash64("_id"), F.lit(SUBBLOCKS)).cast("int"))
-    blocked = blocked.withColumn("place", F.when(rising, size_class).otherwise(LAST_PLACE - size_class))
-    rows = stage_table(spark, blocked, "mix")
+    rising = F.pmod(F.col("salt"), F.lit(2)) == 0
+    placed = sized.withColumn("source_key", source_key).withColumn("place", F.when(rising, size_class).otherwise(LAST_PLACE - size_class))
+    rows = stage_table(spark, placed, "mix")
+    classes = rows.groupBy("source_key", "place").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
+    rows = stage_table(spark, rows.join(classes.hint("merge"), ["source_key", "place"]).withColumn("sub", F.pmod(F.shiftright("salt", 1), F.col("parts"))).drop("parts", "salt"), "mix-rows")
     blocks = rows.groupBy("source_key", "place", "sub").agg(F.first("source").alias("source"), F.sum("size").alias("block_size"), F.count(F.lit(1)).alias("block_rows"))
     blocks = stage_table(spark, blocks, "mix-blocks")
     sizes = blocks.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("block_size").alias("source_size"), F.sum("block_rows").alias("source_rows"))
     before = Window.partitionBy("source_key").orderBy("place", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("rows_before", F.coalesce(F.sum("block_rows").over(before), F.lit(0))).join(source_targets(sizes, most).drop("source"), "source_key")
-    offset = F.pmod(F.xxhash64(F.lit(seed), "source_rank"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    placed = placed.select("source_key", "place", "sub", "rows_before", "source_size", "target", offset.alias("offset"))
-    inside = Window.partitionBy("source_key", "place", "sub").orderBy(F.when(rising, F.col("size")).otherwise(-F.col("size")), "_id", "_key")
-    at = rows.drop("source").withColumn("row", F.row_number().over(inside)).join(placed, ["source_key", "place", "sub"])
+    placed = blocks.withColumn("rows_before", F.coalesce(F.sum("block_rows").over(before), F.lit(0))).join(source_targets(sizes, most).drop("source").hint("merge"), "source_key")
+    placed = placed.select("source_key", "place", "sub", "rows_before", "source_rank", "source_size", "target")
+    inside = Window.partitionBy("source_key", "place", "sub").orderBy(F.when(F.col("place") < LAST_PLACE // 2, F.col("size")).otherwise(-F.col("size")), "id", "key")
+    at = rows.drop("source").withColumn("row", F.row_number().over(inside)).join(placed.hint("merge"), ["source_key", "place", "sub"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    at = stage_table(spark, at.select("id", "key", "size", "source_rank", "source_size", "target", rate.alias("rate"), (F.col("rows_before") + F.col("row")).alias("number")), "mix-numbered")
 
-    def crossed(n: Column) -> Column:
-        return F.floor(n * rate + F.col("offset"))
+    def copies(offset: Column) -> Column:
+        crossed = lambda n: F.floor(n * F.col("rate") + offset)
+        return F.least(crossed(F.col("number")) - crossed(F.col("number") - 1), F.lit(most)).cast("long")
 
-    number = F.col("rows_before") + F.col("row")
-    copies = F.least(crossed(number) - crossed(number - 1), F.lit(most)).cast("long")
-    return at.withColumn("copies", copies).select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "_key")
+    offsets = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "source_rank"), F.lit(1 << 20)) / F.lit(float(1 << 20)) for k in range(DRAWS)]
+    taken = at.groupBy("source_rank").agg(F.max("target").alias("target"), *[F.sum(copies(o) * F.col("size")).alias(f"t{k}") for k, o in enumerate(offsets)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(offsets)]))
+    drawn = taken.select("source_rank", nearest["offset"].alias("offset"))
+    found = at.join(drawn, "source_rank").withColumn("copies", copies(F.col("offset")))
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.col("key").alias("row_key"))
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each document as often as it was taken, with its columns.
+    """The mix itself: each document as often as it was taken, with its columns, whatever names those have.
 
     One key of the join on both sides, so that the texts are dealt out once; rows of a key are alike in identifier,
     text and source, and the n-th of them takes the n-th decision on them.
     """
     key = row_key(id_col, text_col, source_col)
-    nth = Window.partitionBy("_key")
-    taken = decided(spark, docs, key, id_col, text_col, source_col).select("_key", F.col("copies").alias("_copies"))
-    taken = taken.withColumn("_nth", F.row_number().over(nth.orderBy("_copies"))).filter("_copies > 0")
-    numbered = docs.withColumn("_key", key).withColumn("_doc_nth", F.row_number().over(nth.orderBy(row_hash(docs))))
-    found = numbered.alias("d").join(taken.alias("t"), (F.col("d._key") == F.col("t._key")) & (F.col("_doc_nth") - F.col("_nth") == 0))
-    times = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int"))).alias("_copy")
-    return found.select(*[F.col(f"d.`{c}`") for c in docs.columns], times).drop("_copy")
+    nth = Window.partitionBy("key")
+    taken = decided(spark, docs, key, id_col, text_col, source_col).select(F.col("row_key").alias("key"), "copies")
+    taken = taken.withColumn("nth", F.row_number().over(nth.orderBy("copies"))).filter("copies > 0")
+    at = docs.select(key.alias("key"), row_hash(docs).alias("order"), nested(docs)).withColumn("doc_nth", F.row_number().over(nth.orderBy("order")))
+    found = at.join(taken.withColumnRenamed("key", "taken_key"), (F.col("key") == F.col("taken_key")) & (F.col("doc_nth") - F.col("nth") == 0))
+    return found.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

@@ -45,7 +45,7 @@ from .common import free_names, numbered, text_of
 NBEST = 3
 MARK = "▁"
 #: Words whose segmentations a worker keeps in use; as many from before stay at hand.
-CACHE = 3 << 17
+CACHE = 1 << 18
 #: Texts whose new words are segmented together.
 TEXTS = 512
 #: A word of more characters isn't kept.

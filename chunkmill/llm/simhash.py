@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_hash, row_key, stage_table, text_of
+from .common import nested, row_hash, row_key, stage_table, text_of
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
 #: Shingles whose bits are counted at once.
@@ -171,7 +171,7 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest identifier, with its columns.
+    """Of each component the row with the smallest identifier, with its columns, whatever names those have.
 
     A component names its row by identifier and text, as an identifier may be null or stand in several components.
     """
@@ -179,6 +179,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     made = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), text_of(text_col).cast("binary").alias("body")).mapInArrow(fingerprints, "id long, key string, fp long")
     rows = stage_table(spark, made, "fingerprints")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
-    keep = families(spark, rows, first).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("_key"))
-    once = Window.partitionBy("_key").orderBy(row_hash(docs))
-    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").withColumn("_once", F.row_number().over(once)).filter("_once = 1").select(*docs.columns)
+    keep = families(spark, rows, first).groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.key").alias("key"))
+    once = Window.partitionBy("key").orderBy("order")
+    at = docs.select(key.alias("key"), row_hash(docs).alias("order"), nested(docs)).join(keep, "key", "left_semi")
+    return at.withColumn("nth", F.row_number().over(once)).filter("nth = 1").select("row.*")

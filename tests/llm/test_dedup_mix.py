@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from chunkmill.llm import exact_dedup, mixing, quality, simhash
@@ -83,29 +84,36 @@ def brute_targets(size):
     return target, {s: i + 1 for i, s in enumerate(names)}
 
 
+def salted(docs):
+    return docs.select("doc_id", "source", "text", mixing.salt("doc_id", "text").alias("salt")).collect()
+
+
 def brute_mix(rows):
-    """Rows (id, source, text) to (id, size, source_size, target, taken)."""
-    sized = [(i, s, len(WORD.findall(t or ""))) for i, s, t in rows]
+    """Rows (id, source, text, salt) to (id, size, source_size, target, taken)."""
+    sized = [(i, s, len(WORD.findall(t or "")), salt) for i, s, t, salt in rows]
     size = Counter()
-    for _, s, n in sized:
+    for _, s, n, _ in sized:
         size[s] += n
     target, rank = brute_targets(size)
+    place_of = lambda x: (c if x[3] % 2 == 0 else mixing.LAST_PLACE - c) if (c := int(np.floor(np.log2(x[2] + 1) * mixing.CLASSES))) is not None else 0
+    rows_in = Counter((x[1], place_of(x)) for x in sized)
     out = []
     for s in size:
-        seed = hashed("<i", mixing.SEED)
-        signed = hashed("<i", rank[s], seed)
-        offset = (signed - (1 << 64) * (signed >> 63)) % (1 << 20) / float(1 << 20)
+        rank_of = lambda k: hashed("<i", rank[s], hashed("<i", k, hashed("<i", mixing.SEED)))
+        signed = lambda x: x - (1 << 64) * (x >> 63)
+        offsets = [signed(rank_of(k)) % (1 << 20) / float(1 << 20) for k in range(mixing.DRAWS)]
 
-        def place(x):
-            sub = 42 if x[0] is None else hashed("<q", x[0])
-            sub = (sub - (1 << 64) * (sub >> 63)) % mixing.SUBBLOCKS
-            cls, up = int(np.floor(np.log2(x[2] + 1) * mixing.CLASSES)), sub < mixing.SUBBLOCKS // 2
-            return (cls if up else mixing.LAST_PLACE - cls, sub, x[2] if up else -x[2], x[0] is not None, x[0] or 0)
+        def order_of(x):
+            place = place_of(x)
+            parts = -(-rows_in[s, place] // mixing.BLOCK_ROWS)
+            return (place, (x[3] >> 1) % parts, x[2] if place < mixing.LAST_PLACE // 2 else -x[2], x[0] is not None, x[0] or 0)
 
         rate = target[s] / size[s] if size[s] else 0.0
-        for n, (i, _, words) in enumerate(sorted((x for x in sized if x[1] == s), key=place), 1):
-            copies = min(int(np.floor(n * rate + offset) - np.floor((n - 1) * rate + offset)), 3)
-            out.append((i, words, size[s], target[s] if size[s] else 0.0, copies * words))
+        own = sorted((x for x in sized if x[1] == s), key=order_of)
+        copies = lambda n, offset: min(int(np.floor(n * rate + offset) - np.floor((n - 1) * rate + offset)), 3)
+        goal = target[s] if size[s] else 0.0
+        offset = min(offsets, key=lambda o: abs(sum(copies(n, o) * x[2] for n, x in enumerate(own, 1)) - goal))
+        out += [(x[0], x[2], size[s], goal, copies(n, offset) * x[2]) for n, x in enumerate(own, 1)]
     return out
 
 
@@ -113,11 +121,13 @@ def near(rows):
     return sorted(((*r[:3], round(r[3], 6), r[4]) for r in map(tuple, rows)), key=order)
 
 
-def test_mix(spark, odd_docs, sample, no_docs):
+@pytest.mark.parametrize("block_rows", [4096, 3])
+def test_mix(spark, odd_docs, sample, no_docs, monkeypatch, block_rows):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", block_rows)
     small = spark.createDataFrame([(i, f"s{min(i, 3)}", "w " * (1 if i < 3 else 200)) for i in range(40)], "doc_id long, source string, text string")
     for docs in (odd_docs, sample, small):
         found = mixing.mix(spark, docs)
-        want = brute_mix([(r.doc_id, r.source, r.text) for r in docs.collect()])
+        want = brute_mix(map(tuple, salted(docs)))
         assert near(found.select("doc_id", "size", "source_size", "target", "taken").collect()) == near(want)
         assert near(found.select("doc_id", "size", "source_size", "target", "taken").collect()) == near(want)
         assert all(r.taken <= 3 * r.size for r in found.collect())
@@ -197,6 +207,21 @@ def test_mixed_documents_follow_the_decision_on_each_row(spark):
     assert found == +want
 
 
+#: Names that the operators use inside, and one with a dot.
+INNER = "row key sha owned keep order nth id body doc_nth taken_key copies row_key fp low root no_id salt place sub size score a.b KEY_ piece_ids".split()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = [(i, f"some words of text {i % 7} " * 9, f"s{i % 2}", *[f"{n}{i}" for n in INNER]) for i in range(30)]
+    docs = spark.createDataFrame(rows, StructType([StructField("doc_id", LongType()), *[StructField(n, StringType()) for n in ["text", "source", *INNER]]]))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    given = {tuple(r) for r in docs.collect()}
+    for made in (exact_dedup.drop_copies(docs), simhash.one_of_each(spark, docs), mixing.mixed_documents(spark, docs), quality.good_documents(spark, docs, labels)):
+        found = [tuple(r) for r in made.collect()]
+        assert made.columns == docs.columns and set(found) <= given
+    assert exact_dedup.drop_copies(docs).count() == 7 and exact_dedup.exact_dedup(docs).count() == 30 and mixing.mix(spark, docs).count() == 30
+
+
 def test_anchors_lose_no_link():
     rng = np.random.default_rng(4)
     x = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 300, dtype=np.uint64)
@@ -229,13 +254,13 @@ def test_pipeline_against_brute_force(spark):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
     model = quality.fit(spark, docs, labels)
-    vectors = quality.Vectors(*model["vectors"])
-    rows = [r for r in rows if quality.probability(model, vectors.pooled((r[2] or "").encode())) >= quality.THRESHOLD]
+    rows = [r for r, p in zip(rows, quality.scores(model, [(r[2] or "").encode() for r in rows])) if p >= quality.THRESHOLD]
     kept = {r[0] for r in brute_exact([(i, t) for i, _, t in rows]) if r[3]}
     rows = [r for r in rows if r[0] in kept]
     roots = brute_components([r[0] for r in rows], [brute_fingerprint(r[2]) for r in rows])
     rows = [r for r, c in zip(rows, roots) if r[0] == c]
-    want = Counter({i: taken // size for i, size, _, _, taken in brute_mix(rows) if taken})
+    salts = {r.doc_id: r.salt for r in salted(docs)}
+    want = Counter({i: taken // size for i, size, _, _, taken in brute_mix([(*r, salts[r[0]]) for r in rows]) if taken})
     found = corpus_pipeline.run(spark, sf).collect()
     assert Counter(r.doc_id for r in found) == +want and all(r.decoded for r in found)
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality classifier"

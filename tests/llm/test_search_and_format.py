@@ -22,6 +22,10 @@ def brute(ids, vectors, every=100, k=10):
     return out
 
 
+def embedded(spark, v, kind="double"):
+    return spark.createDataFrame(list(enumerate(v.tolist())), f"vec_id long, embedding array<{kind}>")
+
+
 def by_query(rows):
     found = {}
     for r in sorted(rows, key=lambda r: (r.query_id, r.rank)):
@@ -43,6 +47,32 @@ def test_recall_against_brute_force(spark):
         assert all(abs(s - exact[i]) < 1e-12 for i, s in hits if i in exact) and hits == sorted(hits, key=lambda x: (x[1], x[0]))
 
 
+@pytest.mark.parametrize("clusters", [0, 100])
+def test_recall_of_200_queries_in_20_000_vectors(spark, clusters):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(20_000, 32)) + (rng.normal(size=(clusters, 32)) * 4)[rng.integers(0, clusters, 20_000)] if clusters else rng.normal(size=(20_000, 32))
+    v = v.astype(np.float32)
+    rows = embedded(spark, v, "float")
+    found, want = by_query(ann.nearest(spark, rows).collect()), brute(np.arange(20_000), v.astype(float))
+    assert len(want) == 200 and all(len(x) == 10 for x in found.values())
+    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_exact_mode_and_long_near_vectors(spark):
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=(1500, 12)), 1e7 + rng.normal(size=(300, 12)) * 1e-2])
+    rows = embedded(spark, v)
+    found, want = by_query(ann.nearest(spark, rows, probed=1.0, epsilon=None).collect()), brute(np.arange(1800), v)
+    assert {q: [i for i, _ in x] for q, x in found.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
+@pytest.mark.parametrize("n", [12, 60])
+def test_small_tables_are_searched_whole(spark, n):
+    v = np.random.default_rng(n).normal(size=(n, 6))
+    rows = embedded(spark, v)
+    assert by_query(ann.nearest(spark, rows, every=3).collect()) == brute(np.arange(n), v, every=3)
+
+
 def test_few_and_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [3.0, 4.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (None, [1.0, 1.0])]
@@ -69,7 +99,7 @@ def test_many_equal_vectors(spark):
 
 def conversation_digests(rows):
     out = {}
-    for conv, group in itertools.groupby(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")), key=lambda r: r[0]):
+    for conv, group in itertools.groupby(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", hashlib.md5((r[3] or "").encode()).hexdigest())), key=lambda r: r[0]):
         group = list(group)
         told = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in group)
         loss = "".join(r[3] or "" for r in group if r[2] == "assistant")
@@ -77,6 +107,41 @@ def conversation_digests(rows):
     return out
 
 
+def check_windows(made):
+    """Budget, system turn and history of every window."""
+    cost = lambda t: len(t.split()) + chat_windows.TURN_COST
+    for _, group in itertools.groupby(sorted(made, key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.window)), key=lambda r: r.conv_id):
+        told, system = [], None
+        for r in group:
+            turns = chat_windows.read_window(r.formatted)
+            repeated, own = turns[: r.repeated], turns[r.repeated :]
+            assert own and r.tokens == sum(cost(t) for _, t in turns)
+            past = [t for i, t in enumerate(told) if i != system]
+            if system is not None:
+                assert repeated[0] == told[system]
+                repeated = repeated[1:]
+            assert repeated == past[len(past) - len(repeated) :] and len(repeated) <= chat_windows.HISTORY
+            stride = max((chat_windows.BUDGET - (cost(told[system][1]) if system is not None else 0)) // 2, chat_windows.BUDGET // 4)
+            long = max(cost(t) for _, t in own) > stride or system is not None and cost(told[system][1]) > chat_windows.BUDGET // 2
+            assert r.tokens <= chat_windows.BUDGET or long and not repeated
+            told += own
+            if system is None:
+                system = next((i for i, (role, _) in enumerate(told) if role == "system"), None)
+
+
+def test_windows_hold_the_budget(spark):
+    rng = random.Random(7)
+    rows = [(c, t, "system" if t == c % 3 and c < 5 else rng.choice(["user", "assistant"]), "w " * rng.choice([1, 30, 200, 250])) for c in range(8) for t in range(60)]
+    rows += [(20, 0, "system", "s " * 900), (20, 1, "user", "u " * 300), (20, 2, "assistant", "a " * 40), (21, None, "user", "x"), (21, None, "user", "y " * 600)]
+    rows += [(30, 1, "assistant", f"tie {i}") for i in range(500)]
+    made = chat_windows.chat_windows(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    check_windows(made)
+    for conv in {r[0] for r in rows}:
+        told = [t for r in sorted((r for r in made if r.conv_id == conv), key=lambda r: r.window) for t in chat_windows.read_window(r.formatted)[r.repeated :]]
+        assert len(told) == sum(r[0] == conv for r in rows)
+        assert sum(len(r.formatted) for r in made if r.conv_id == conv) == sum(len("### : </turn>\n ") + len(role) + len(text) for r in made if r.conv_id == conv for role, text in chat_windows.read_window(r.formatted))
+
+
 def test_chat_windows_read_back(spark, tmp_path):
     rng = random.Random(2)
     pieces = ["### Assistant: ", "</turn>", "\\", "\\\\#", "<", "a b", "\n", ": ", "\U0001f600", "word " * 40]
@@ -87,11 +152,7 @@ def test_chat_windows_read_back(spark, tmp_path):
     made = windows.collect()
     found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_windows.chat_digests(windows).collect()}
     assert found == conversation_digests(rows)
-    for r in made:
-        own = chat_windows.read_window(r.formatted)[r.repeated :]
-        assert own and len(own) <= chat_windows.BUDGET
-        tokens = [len(t.split()) + chat_windows.TURN_COST for _, t in own]
-        assert sum(tokens) - max(tokens) <= chat_windows.BUDGET // 2
+    check_windows(made)
     assert chat_windows.chat_digests(chat_windows.chat_windows(spark, turns.limit(0))).collect() == []
 
 
@@ -101,6 +162,8 @@ def test_chat_query(spark):
     said = "\\### Assistant: </turn> ok"
     want = conversation_digests([*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)])
     assert {k: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for k, r in found.items()} == want
+    # "### user: " and "### assistant: ", 26 characters with 5 backslashes in front, " </turn>" and a line end
+    assert found[-7].formatted_chars == (10 + 26 + 5 + 9) + (15 + 26 + 5 + 9)
 
 
 @pytest.fixture(scope="module")

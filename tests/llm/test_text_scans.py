@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from chunkmill.llm import quality, secrets, token_files
@@ -135,18 +136,67 @@ def test_quality_learns_from_whole_texts(spark):
     assert all(r.predicted == 1 - r.doc_id % 2 for r in found) and any(r.held_out for r in found)
 
 
-def test_context_sums_against_brute_force(monkeypatch):
-    monkeypatch.setattr(quality, "CHUNK_WORDS", 7)
-    monkeypatch.setattr(quality, "CONTEXT_WORDS", 3)
-    texts = [b"a b C, d a b x9 d C, a a e f g h a b i j k l", b"one", b""]
-    names = sorted({f for t in texts for w in t.split() for f in quality.features(w)})[1:]
-    index, want, contexts = quality.ternary_vectors(names), np.zeros((len(names), quality.DIMENSIONS)), quality.Contexts(names)
+def brute_vectors(texts):
+    """Bucket vectors by plain loops."""
+    index, sums = quality.index_vectors(), np.zeros((quality.BUCKETS + 1, quality.DIMENSIONS))
     for t in texts:
-        known = [[names.index(f) for f in quality.features(w) if f in names] for w in t.split()]
+        known = [[k for k in quality.features(w) if k != quality.NONE] for w in t.split()]
         for i, own in enumerate(known):
             for j in range(max(i - quality.WINDOW, 0), min(i + quality.WINDOW + 1, len(known))):
                 for f in own if i != j else ():
-                    want[f] += index[known[j]].sum(axis=0)
-        contexts.add(t)
-    contexts.flush()
-    assert (contexts.sums == want).all() and want.any()
+                    for k in known[j]:
+                        sums[f] += index[k]
+    return quality.whole_vectors(sums), sums
+
+
+def brute_pooled(text, vectors):
+    words = text.split()
+    if not words:
+        return np.zeros(2 * quality.DIMENSIONS + 3)
+
+    def of(w):
+        own = [k for k in quality.features(w) if k != quality.NONE]
+        return sum(vectors[k].astype(int) for k in own) // len(own)
+
+    total, distinct = sum(map(of, words)), sum(map(of, set(words)))
+    again = sum(a == b for a, b in zip(words, words[1:]))
+    return np.concatenate([total / len(words) / quality.SCALE, distinct / len(set(words)) / quality.SCALE, [len(set(words)) / len(words), again / len(words), 1]])
+
+
+TEXTS = [b"a b C, d a b x9 d C, a a e f g h a b i j k l", b"one", b"", b"... ***", "Größe größe 12,5 (TITLE) e-mail".encode(), b"w " * 40 + b"v"]
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 1 << 16])
+def test_vectors_and_pools_against_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    contexts = quality.Contexts(quality.Words())
+    contexts.add(TEXTS[:2])
+    contexts.add(TEXTS[2:])
+    vectors, sums = brute_vectors(TEXTS)
+    assert (contexts.sums[: quality.NONE] == sums[: quality.NONE]).all() and sums.any()
+    pools = quality.Pools(quality.Words(), vectors)
+    assert np.allclose(pools.pooled(TEXTS), [brute_pooled(t, vectors) for t in TEXTS], atol=1e-12)
+    assert pools.pooled([]).shape == (0, 2 * quality.DIMENSIONS + 3)
+
+
+def test_scores_against_brute_force(spark, sample):
+    """Scores from the model's network by plain loops over plainly pooled texts."""
+    docs = sample.limit(120)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model, rows = quality.fit(spark, docs, labels), docs.collect()
+    vectors, _ = brute_vectors([(r.text or "").encode() for r in rows])
+    assert (model["vectors"][: quality.NONE] == vectors[: quality.NONE]).all()
+    found = {r.doc_id: r.score for r in quality.quality_scores(spark, docs, labels).collect()}
+    for r in rows:
+        z = np.clip((brute_pooled((r.text or "").encode(), vectors) - model["mean"]) / model["scale"], -quality.CLIP, quality.CLIP)
+        hidden = [np.tanh(sum(z[i] * model["a"][i, j] for i in range(len(z))) + model["b"][j]) for j in range(quality.HIDDEN)]
+        logit = (sum(h * c for h, c in zip(hidden, model["c"])) + model["d"][0]) / model["t"][0]
+        assert abs(found[r.doc_id] - 1 / (1 + np.exp(-logit))) < 1e-6
+
+
+def test_few_labels_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", i, i) for i in range(12)], "doc_id long, text string, `a.b` int, score int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert quality.fit(spark, docs, labels)["t"] == [1.0]
+    kept = quality.good_documents(spark, docs, labels)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= {tuple(r) for r in docs.collect()}
