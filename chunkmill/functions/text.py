@@ -73,16 +73,30 @@ def split_lines(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[^\n]*\n|[^\n]+"), F.lit(0))
 
 
-def with_offsets(parts: Column) -> Column:
-    """Parts to structs (text, start_idx, end_idx) that follow one another, in UTF-16 units."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start_idx:int,end_idx:int>>").alias("out"))
+#: Numbers that one inner array of a running sum gathers.
+INNER = 256
+
+
+def starts_of(steps: Column) -> Column:
+    """Of whole numbers the sum of those before each: in arrays of ``INNER``, so that no long array is built up item by item."""
+
+    def one(state: Column, n: Column) -> Column:
+        return F.struct((state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
 
-    def add(state: Column, part: Column) -> Column:
-        end = state["at"] + utf16_length(part)
-        own = F.struct(part.alias("text"), state["at"].alias("start_idx"), end.alias("end_idx"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(own)).alias("out"))
+    def many(state: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(state["at"].alias("at"), F.array().cast("array<int>").alias("out")), one)
+        return F.struct(inner["at"].alias("at"), F.concat(state["out"], F.array(inner["out"])).alias("out"))
 
-    return F.aggregate(parts, empty, add)["out"]
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / INNER).cast("int")), lambda i: F.slice(steps, i * INNER + 1, INNER))
+    summed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")), many)
+    return F.when(F.size(steps) > 0, F.flatten(summed["out"])).otherwise(F.array().cast("array<int>"))
+
+
+def with_offsets(parts: Column) -> Column:
+    """Parts to structs (text, start_idx, end_idx) that follow one another, in UTF-16 units."""
+    sized = F.transform(parts, lambda p: F.struct(p.alias("text"), utf16_length(p).alias("n")))
+    placed = lambda s: F.zip_with(s, starts_of(F.transform(s, lambda x: x["n"])), lambda x, at: F.struct(x["text"].alias("text"), at.alias("start_idx"), (at + x["n"]).alias("end_idx")))
+    return F.element_at(F.transform(F.array(sized), placed), 1)
 
 
 def file_extension(name: Column) -> Column:

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage_table
 from .text import utf16_length
 
+#: The delimiters of the sentence preset.
 SENTENCE_DELIMITERS = ("!\n", ". ", "? ", "\n", ".", "?", "!")
 
 
@@ -90,14 +92,20 @@ def vocabulary(docs: DataFrame, tokenizer: Tokenizer, order_col: str = "doc_id",
     return known.select("token", F.col("id").cast("long").alias("id")).unionByName(fresh)
 
 
-def running_total(counts: DataFrame, order_col: str, count_col: str, width: int = 4096) -> DataFrame:
-    """(order, before): the sum of the counts of all smaller orders, by blocks of ``width`` orders and then inside each."""
-    block = F.floor(F.col(order_col) / width)
-    blocks = counts.groupBy(block.alias("block")).agg(F.sum(count_col).alias("block_sum"))
+def running_total(counts: DataFrame, order_col: str, count_col: str) -> DataFrame:
+    """(order, before): the sum of the counts of all smaller orders.
+
+    The rows are dealt out by ranges of the order, however sparse it is, and staged with their range's number; each
+    range is summed by itself, and only the ranges' sums pass through one task.
+    """
+    spark = counts.sparkSession
+    ranged = counts.select(F.col(order_col).alias("o"), F.col(count_col).alias("n")).repartitionByRange("o").withColumn("part", F.spark_partition_id())
+    ranged = stage_table(spark, ranged, "ranges")
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("block", F.coalesce(F.sum("block_sum").over(upto(Window.orderBy("block"))), F.lit(0)).alias("block_before"))
-    own = counts.withColumn("block", block).withColumn("own_before", F.coalesce(F.sum(count_col).over(upto(Window.partitionBy("block").orderBy(order_col))), F.lit(0)))
-    return own.join(blocks, "block").select(order_col, (F.col("own_before") + F.col("block_before")).alias("before"))
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("part_sum"))
+    parts = parts.select("part", F.coalesce(F.sum("part_sum").over(upto(Window.orderBy("part"))), F.lit(0)).alias("part_before"))
+    own = ranged.withColumn("own_before", F.coalesce(F.sum("n").over(upto(Window.partitionBy("part").orderBy("o"))), F.lit(0)))
+    return own.join(parts, "part").select(F.col("o").alias(order_col), (F.col("own_before") + F.col("part_before")).alias("before"))
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer, vocab: DataFrame, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:

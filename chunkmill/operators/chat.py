@@ -22,7 +22,21 @@ TOOL_EVENTS = ("tool-call-delta", "tool-call-complete", "tool-execution-start",
 
 
 def initial_state() -> dict:
-    return dict.fromkeys(STATE_FIELDS) | {"_tag": "initial", "segments": []}
+    """A session's state; ``by_id`` has the tools of its segments, and isn't part of what comes out."""
+    return dict.fromkeys(STATE_FIELDS) | {"_tag": "initial", "segments": [], "by_id": {}}
+
+
+def loaded(state: dict) -> dict:
+    """A state from its fields."""
+    by_id: dict = {}
+    for s in state["segments"]:
+        if s["kind"] == "tool-call":
+            by_id.setdefault(s["tool"]["id"], []).append(s["tool"])
+    return state | {"by_id": by_id}
+
+
+def fields_of(state: dict) -> dict:
+    return {k: state[k] for k in STATE_FIELDS}
 
 
 def some(value):
@@ -30,56 +44,64 @@ def some(value):
     return None if value is None or value != value else value
 
 
-def streaming(state: dict, **changes) -> dict:
-    """The state as streaming; thinking and iteration stay only if it was so before."""
-    was = state["_tag"] == "streaming"
-    kept = {"thinking": state["thinking"] if was else None, "current_iteration": state["current_iteration"] if was else None}
-    return initial_state() | {"_tag": "streaming", "segments": state["segments"]} | kept | changes
+def enter(state: dict, tag: str, **changes) -> None:
+    """The state under another tag, with nothing but its segments and the changes."""
+    state.update(dict.fromkeys(STATE_FIELDS) | {"_tag": tag, "segments": state["segments"]} | changes)
+
+
+def stream_on(state: dict, **changes) -> None:
+    """Streaming; thinking and iteration stay only if it was so before."""
+    kept = {k: state[k] for k in ("thinking", "current_iteration")} if state["_tag"] == "streaming" else {}
+    enter(state, "streaming", **kept | changes)
 
 
 def step(state: dict, e: dict) -> dict:
-    """The state after one event."""
-    tag, segments = e["_tag"], state["segments"]
-    opened = bool(segments) and segments[-1]["kind"] == "text" and not segments[-1]["is_complete"]
-    live = state["_tag"] == "streaming"
+    """The state after one event; it is changed in place, so an event costs the same however long the session is."""
+    tag, live = e["_tag"], state["_tag"] == "streaming"
+    last = state["segments"][-1] if state["segments"] else None
+    opened = last is not None and last["kind"] == "text" and not last["is_complete"]
     if tag == "text-delta":
-        said = some(e["delta"]) or ""
         if opened:
-            return streaming(state, segments=[*segments[:-1], segments[-1] | {"content": segments[-1]["content"] + said}])
-        return streaming(state, segments=[*segments, {"kind": "text", "content": said, "is_complete": False, "tool": None}])
-    if tag == "tool-call-start":
+            last["content"] += some(e["delta"]) or ""
+        else:
+            state["segments"].append({"kind": "text", "content": some(e["delta"]) or "", "is_complete": False, "tool": None})
+        stream_on(state)
+    elif tag == "tool-call-start":
         tool = {"id": some(e["id"]), "name": some(e["name"]), "arguments": None, "arguments_text": "", "status": "proposed", "result": None, "success": None}
-        return streaming(state, segments=[*segments, {"kind": "tool-call", "content": None, "is_complete": None, "tool": tool}])
-    if tag == "iteration-start":
-        return streaming(state, current_iteration=int(e["iteration"]))
-    if tag == "thinking":
-        return streaming(state, thinking=some(e["message"]))
-    if tag in ("finish", "error"):
-        ended = initial_state() | {"_tag": "complete" if tag == "finish" else "error", "segments": segments if live else []}
+        state["segments"].append({"kind": "tool-call", "content": None, "is_complete": None, "tool": tool})
+        state["by_id"].setdefault(tool["id"], []).append(tool)
+        stream_on(state)
+    elif tag == "iteration-start":
+        stream_on(state, current_iteration=int(e["iteration"]))
+    elif tag == "thinking":
+        stream_on(state, thinking=some(e["message"]))
+    elif tag in ("finish", "error"):
+        if not live:
+            state["segments"], state["by_id"] = [], {}
         if tag == "error":
-            return ended | {"error_message": some(e["message"]), "recoverable": some(e["recoverable"])}
-        return ended | {"finish_reason": some(e["finish_reason"])} | {k: None if some(e[k]) is None else int(e[k]) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
-    if not live:
-        return state
-    if tag == "text-complete" and opened:
-        return state | {"segments": [*segments[:-1], segments[-1] | {"is_complete": True}]}
-    if tag == "iteration-end":
-        return state | {"current_iteration": None}
-    if tag in TOOL_EVENTS:
-        return state | {"segments": [s if s["kind"] != "tool-call" or s["tool"]["id"] != e["id"] else s | {"tool": tool_after(s["tool"], e)} for s in segments]}
+            enter(state, "error", error_message=some(e["message"]), recoverable=some(e["recoverable"]))
+        else:
+            enter(state, "complete", finish_reason=some(e["finish_reason"]), **{k: None if some(e[k]) is None else int(e[k]) for k in ("prompt_tokens", "completion_tokens", "total_tokens")})
+    elif live and tag == "text-complete" and opened:
+        last["is_complete"] = True
+    elif live and tag == "iteration-end":
+        state["current_iteration"] = None
+    elif live and tag in TOOL_EVENTS:
+        for tool in state["by_id"].get(e["id"], ()):
+            tool.update(tool_change(tool, e))
     return state
 
 
-def tool_after(tool: dict, e: dict) -> dict:
+def tool_change(tool: dict, e: dict) -> dict:
     tag = e["_tag"]
     if tag == "tool-call-delta":
-        return tool | {"arguments_text": tool["arguments_text"] + (some(e["arguments_delta"]) or "")}
+        return {"arguments_text": tool["arguments_text"] + (some(e["arguments_delta"]) or "")}
     if tag == "tool-call-complete":
-        return tool | {"arguments": some(e["arguments"])}
+        return {"arguments": some(e["arguments"])}
     if tag == "tool-execution-start":
-        return tool | {"status": "executing"}
+        return {"status": "executing"}
     good = bool(some(e["success"]))
-    return tool | {"status": "complete" if good else "failed", "result": some(e["result"]), "success": good}
+    return {"status": "complete" if good else "failed", "result": some(e["result"]), "success": good}
 
 
 def merged_deltas(events: DataFrame) -> DataFrame:
@@ -106,14 +128,14 @@ def fold_chat(events: DataFrame) -> DataFrame:
             for e in batch.to_pylist():
                 if state is None or e["session_id"] != session:
                     if state is not None:
-                        out.append({"session_id": session} | state)
+                        out.append({"session_id": session} | fields_of(state))
                     session, state = e["session_id"], initial_state()
                 state = step(state, e)
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=arrow)
                 out = []
         if state is not None:
-            yield pa.RecordBatch.from_pylist([{"session_id": session} | state], schema=arrow)
+            yield pa.RecordBatch.from_pylist([{"session_id": session} | fields_of(state)], schema=arrow)
 
     return merged_deltas(events).repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, STATE)
 
@@ -129,8 +151,11 @@ def part_events(parts: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataF
     kind, iteration = F.col("type"), F.coalesce(F.sum((F.col("type") == "finish").cast("int")).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
     tool = Window.partitionBy("session_id", "id").orderBy("seq")
     started = F.coalesce(F.max((kind == "tool-params-start").cast("int")).over(tool.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 1
-    text = F.array_join(F.collect_list(F.when(kind == "tool-params-delta", F.col("delta"))).over(tool.rowsBetween(Window.unboundedPreceding, 0)), "")
-    rows = parts.withColumn("iteration", iteration).withColumn("_started", started).withColumn("_args", F.when(kind == "tool-params-end", text))
+    deltas = parts.filter((kind == "tool-params-delta") & F.col("delta").isNotNull()).groupBy(F.col("session_id").alias("_session"), F.col("id").alias("_tool")).agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("_deltas"))
+    before = F.array_join(F.transform(F.filter("_deltas", lambda d: d["seq"] < F.col("seq")), lambda d: d["delta"]), "")
+    at_end = (kind == "tool-params-end") & (F.col("session_id") == F.col("_session")) & F.col("id").eqNullSafe(F.col("_tool"))
+    rows = parts.withColumn("iteration", iteration).withColumn("_started", started)
+    rows = rows.join(deltas, at_end, "left").withColumn("_args", F.when(kind == "tool-params-end", F.coalesce(before, F.lit("")))).drop("_session", "_tool", "_deltas")
     rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy("session_id", "iteration").orderBy("seq")) == 1)
     rows = rows.withColumn("_last", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq"))) == 1)
 
@@ -196,9 +221,8 @@ def session_summary(parts: DataFrame, max_iterations: int = MAX_ITERATIONS) -> D
 
 def ordered_text(events: DataFrame, *keys: str) -> DataFrame:
     """Text deltas per key, concatenated in order."""
-    events.filter("_tag = 'text-delta'").createOrReplaceTempView("_chat_deltas")
-    names = ", ".join(keys)
-    return events.sparkSession.sql(f"SELECT {names}, listagg(coalesce(delta, ''), '') WITHIN GROUP (ORDER BY seq) AS text FROM _chat_deltas GROUP BY {names}")
+    said = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("delta", F.lit("")).alias("delta")))), lambda d: d["delta"])
+    return events.filter("_tag = 'text-delta'").groupBy(*keys).agg(F.array_join(said, "").alias("text"))
 
 
 def history_messages(history: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import re
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
+
 from ..functions.config import FastConfig, RecursiveConfig, SentenceConfig, TableConfig
 from ..functions.text import PY_SPACE, SEPARATOR, delimiter_pattern
 from ..functions.tokenizers import Tokenizer
@@ -47,27 +49,26 @@ def split_at(text: str, pattern: re.Pattern, include: str | None) -> list[tuple[
 
 
 def fast(text: str, config: FastConfig) -> list[Chunk]:
-    """Windows of bytes that end after the last delimiter byte inside, or at a character's edge."""
-    data = text.encode("utf-8", "replace")
-    marks = [bytes([ord(d)]) for d in config.delimiters if len(d) == 1 and ord(d) < 256]
-    out, start, at = [], 0, 0
-    while start < len(data):
-        stop = min(start + config.chunk_size, len(data))
-        cut = max((data.rfind(m, start + 1, stop) for m in marks), default=-1)
-        end = stop if cut < 0 else cut + 1
-        if end < len(data):
-            back = end
-            while back > start and data[back] & 0xC0 == 0x80:
-                back -= 1
-            if back == start:
-                back = end
-                while back < len(data) and data[back] & 0xC0 == 0x80:
-                    back += 1
-            end = back
-        own = data[start:end].decode("utf-8", "replace")
-        wide = len(own.encode("utf-16-le", "surrogatepass")) // 2
-        out.append((own, at, at + len(own), wide, None))
-        start, at = end, at + len(own)
+    """Windows of bytes that end after the last delimiter byte inside, or at a character's edge.
+
+    Edges of characters and ends of delimiters are found once; each window looks its own up.
+    """
+    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    edges = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # the i-th character starts at edges[i]
+    marks = np.flatnonzero(np.isin(data, [ord(d) for d in config.delimiters if len(d) == 1 and ord(d) < 256])) + 1
+    out, at = [], 0
+    while at < len(edges) - 1:
+        start = int(edges[at])
+        end = min(start + config.chunk_size, len(data))
+        last = int(np.searchsorted(marks, end, "right")) - 1
+        if last >= 0 and marks[last] > start + 1:
+            end = int(marks[last])
+        to = int(np.searchsorted(edges, end, "right")) - 1
+        if to <= at:  # a character longer than the window
+            to = at + 1
+        own = text[at:to]
+        out.append((own, at, to, len(own.encode("utf-16-le", "surrogatepass")) // 2, None))
+        at = to
     return out
 
 
@@ -106,55 +107,56 @@ def token_windows(text: str, at: int, size: int, tokenizer: Tokenizer) -> list[C
     return out
 
 
-def no_short_parts(parts: list[str], least: int) -> list[str]:
-    if len(parts) <= 1 or least <= 1:
-        return parts
-    out: list[str] = []
-    for part in parts:
-        if len(part) < least and out:
-            out[-1] += part
-        else:
-            out.append(part)
-    if len(out) > 1 and len(out[0]) < least:
-        out[:2] = [out[0] + out[1]]
-    return out
+def utf16_sizes(text: str):
+    """The length in UTF-16 units of a span of the text, as a function of its ends."""
+    if text.isascii() or max(text, default="") < "\U00010000":
+        return lambda a, b: b - a
+    upto = [0, *accumulate(1 + (c >= "\U00010000") for c in text)]
+    return lambda a, b: upto[b] - upto[a]
+
+
+def long_enough(spans: list[tuple[int, int]], least: int, size) -> list[tuple[int, int]]:
+    """Adjacent spans, so joined that none is short: a short one ends in the span before, a short first one takes the second in."""
+    if len(spans) < 2 or least < 2:
+        return spans
+    starts = [a for a, b in spans[1:] if size(a, b) >= least]
+    first = spans[0][0]
+    if starts and size(first, starts[0]) < least:
+        starts = starts[1:]
+    cuts = [first, *starts, spans[-1][1]]
+    return list(zip(cuts, cuts[1:]))
 
 
 def recursive(text: str, config: RecursiveConfig) -> list[Chunk]:
-    """Rule after rule: split, merge short parts, merge neighbours that fit; what is too large goes to the next rule."""
-    count, size = config.tokenizer.count_text, config.chunk_size
-    out, todo = [], [(text, 0, 0)]
-    while todo:
-        part, level, at = todo.pop()
-        if level >= len(config.rules):
-            n = count(part)
-            out += token_windows(part, at, size, config.tokenizer) if n > size else [(part, at, at + len(part), n, {"recursive_rule_level": -1, "recursive_rule_type": "endOfRules"})]
-            continue
-        rule = config.rules[level]
+    """Rule after rule on spans of the text: split, join short parts, join neighbours that fit; what is too large goes to the next rule."""
+    count, size, units = config.tokenizer.count_text, config.chunk_size, utf16_sizes(text)
+    out, todo = [], [(0, len(text))]
+    for level, rule in enumerate(config.rules):
         if not rule.delimiters and not rule.whitespace:
-            out += token_windows(part, at, size, config.tokenizer)
-            continue
+            out += [c for a, b in todo for c in token_windows(text[a:b], a, size, config.tokenizer)]
+            return sorted(out, key=lambda c: c[1])
         pattern = re.compile(delimiter_pattern(rule.delimiters)) if rule.delimiters else SPACES
-        pieces = no_short_parts([part[a:b] for a, b in split_at(part, pattern, rule.include_delim or "prev")], config.min_characters)
-        merged: list[list] = []
-        for piece in pieces:
-            n = count(piece)
-            if merged and merged[-1][1] + n <= size:
-                merged[-1][0] += piece
-                merged[-1][1] += n
-            else:
-                merged.append([piece, n])
         about = {"recursive_rule_level": level, "recursive_rule_type": "delimiter" if rule.delimiters else "whitespace"}
         if rule.delimiters:
             about["recursive_delimiter"] = "|".join(rule.delimiters)
         below = []
-        for piece, n in merged:
-            if n > size:
-                below.append((piece, level + 1, at))
-            else:
-                out.append((piece, at, at + len(piece), n, about))
-            at += len(piece)
-        todo += below
+        for begin, end in todo:
+            parts = [(begin + a, begin + b) for a, b in split_at(text[begin:end], pattern, rule.include_delim or "prev")]
+            parts = long_enough(parts, config.min_characters, units)
+            total = [0, *accumulate(count(text[a:b]) for a, b in parts)]
+            i = 0
+            while i < len(parts):
+                j = max(i + 1, bisect_right(total, total[i] + size, i + 1) - 1)
+                a, b, n = parts[i][0], parts[j - 1][1], total[j] - total[i]
+                if n > size:
+                    below.append((a, b))
+                else:
+                    out.append((text[a:b], a, b, n, about))
+                i = j
+        todo = below
+    for a, b in todo:
+        n = count(text[a:b])
+        out += token_windows(text[a:b], a, size, config.tokenizer) if n > size else [(text[a:b], a, b, n, {"recursive_rule_level": -1, "recursive_rule_type": "endOfRules"})]
     return sorted(out, key=lambda c: c[1])
 
 
@@ -238,30 +240,17 @@ def table(text: str, config: TableConfig) -> list[Chunk]:
     return out
 
 
-PIPE = re.compile(rf"{PY_SPACE}*\|[^\n\r\u2028\u2029]*\|{PY_SPACE}*")
-SEPARATOR_LINE = re.compile(rf"{PY_SPACE}*{SEPARATOR}{PY_SPACE}*")
+#: White space inside a line, and a whole table: a pipe line, a separator line, pipe lines.
+IN_LINE = PY_SPACE.replace(r"\n", "")
+PIPE = rf"{IN_LINE}*\|[^\n\r\u2028\u2029]*\|{IN_LINE}*"
+WHOLE_TABLE = re.compile(rf"^{PIPE}\n{IN_LINE}*{SEPARATOR.replace(PY_SPACE, IN_LINE)}{IN_LINE}*(?:\n{PIPE})*(?=\n|\Z)", re.M)
 
 
 def markdown_segments(text: str) -> list[tuple[str, str]]:
-    """(kind, text): tables (pipe line, separator line, pipe lines) and the prose between, blank ones left out."""
-    lines, out, i = text.split("\n"), [], 0
-    prose: list[str] = []
-
-    def close():
-        if prose:
-            out.append(("text", "\n".join(prose)))
-            prose.clear()
-
-    while i < len(lines):
-        if PIPE.fullmatch(lines[i]) and i + 1 < len(lines) and SEPARATOR_LINE.fullmatch(lines[i + 1]):
-            close()
-            end = i + 2
-            while end < len(lines) and PIPE.fullmatch(lines[end]):
-                end += 1
-            out.append(("table", "\n".join(lines[i:end]) + "\n"))
-            i = end
-        else:
-            prose.append(lines[i])
-            i += 1
-    close()
-    return [(k, t) for k, t in out if trim(t)]
+    """(kind, text): tables and the prose between, blank ones left out; the line end between them belongs to the table."""
+    found = [m.span() for m in WHOLE_TABLE.finditer(text)]
+    gaps = zip([0, *(b + 1 for _, b in found)], [*(a - 1 for a, _ in found), len(text)])
+    prose = [("text", text[a : max(a, b)]) for a, b in gaps]
+    tables = [("table", text[a:b] + "\n") for a, b in found]
+    mixed = [x for pair in zip(prose, [*tables, ("text", "")]) for x in pair]
+    return [(kind, part) for kind, part in mixed if trim(part)]

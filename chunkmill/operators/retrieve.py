@@ -13,7 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import contains_or_all
+
 EMBED_BATCH = 1000
+#: Numbers that blocks are dealt to; each chunk of queries goes to every one.
+SALTS = 64
 #: Queries of a chunk, records of a block.
 QUERY_CHUNK, RECORD_BLOCK = 256, 1024
 METRICS = ("l2", "cosine", "ip")
@@ -48,7 +52,9 @@ def top_k(records: DataFrame, queries: DataFrame, k: int, metric: str = "l2", wh
     found = found.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter(F.col("v").isNotNull())
     asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("v")).filter(F.col("v").isNotNull())
     chunks = packed(asked, QUERY_CHUNK).select(F.col("ids").alias("query_ids"), F.col("v").alias("q"))
-    pairs = packed(found, RECORD_BLOCK).crossJoin(chunks)  # block by chunk: every query against every record is the task
+    blocks = packed(found, RECORD_BLOCK).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
+    chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    pairs = blocks.join(chunks.hint("merge"), "salt").drop("salt")  # every stated query against every record, in blocks
     every = pairs.mapInPandas(best_of(k, metric), f"query_id {dict(asked.dtypes)['id']}, id {dict(found.dtypes)['id']}, score double")
     order = Window.partitionBy("query_id").orderBy("score", "id")
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
@@ -67,16 +73,28 @@ def best_of(k: int, metric: str):
 
 
 def hits(nearest: DataFrame, records: DataFrame) -> DataFrame:
-    """Hit rows with the records' columns; a null document counts as empty."""
+    """Hit rows with the records' columns, which are their metadata; a null document counts as empty."""
     own = nearest.join(records, "id")
     return own.withColumn("document", F.coalesce("document", F.lit(""))) if "document" in own.columns else own
 
 
+def retrieve_texts(records: DataFrame, queries: DataFrame, embed_fn: Callable[[list[str]], np.ndarray], k: int = 3, metric: str = "l2", where: Column | None = None, where_document: str | None = None) -> DataFrame:
+    """Hits to query texts, in one call: the texts are embedded, the records filtered by their metadata and by a substring of their document.
+
+    ``records``: id, document, embedding and metadata; ``queries``: query_id, text. Hits carry the document and all metadata.
+    """
+    kept = records.filter((where if where is not None else F.lit(True)) & contains_or_all(F.col("document"), where_document))
+    asked = embed(queries.select("query_id", "text"), embed_fn).select("query_id", "embedding")
+    return hits(top_k(kept, asked, k, metric), kept.drop("embedding"))
+
+
 def flat_hits(result: DataFrame) -> DataFrame:
-    """Parallel arrays (ids, distances, documents) of a query to hit rows; absent values are null."""
-    zipped = F.arrays_zip(*[F.coalesce(c, F.array()) for c in ("ids", "distances", "documents")])
+    """Parallel arrays (ids, distances, documents, and metadatas if there) of a query to hit rows; absent values are null."""
+    names = [c for c in ("ids", "distances", "documents", "metadatas") if c in result.columns]
+    zipped = F.arrays_zip(*[F.coalesce(c, F.array()).alias(c) for c in names])
     rows = result.select("query_id", F.posexplode(F.slice(zipped, 1, F.size("ids"))).alias("rank", "h"))
-    return rows.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("h")["0"].alias("id"), F.col("h")["1"].alias("score"), F.col("h")["2"].alias("document"))
+    flat = [F.col("h")[c].alias(new) for c, new in zip(("ids", "distances", "documents", "metadatas"), ("id", "score", "document", "metadata")) if c in names]
+    return rows.select("query_id", (F.col("rank") + 1).alias("rank"), *flat)
 
 
 def embed(records: DataFrame, embed_fn: Callable[[list[str]], np.ndarray], text_col: str = "text", out_col: str = "embedding", batch: int = EMBED_BATCH) -> DataFrame:

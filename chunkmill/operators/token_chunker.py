@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.config import TokenConfig
-from ..functions.text import is_blank, utf16_length
+from ..functions.text import is_blank, starts_of, utf16_length
 from ..functions.tokenizers import Tokenizer
 
 CHUNK = "array<struct<text:string,start_idx:int,end_idx:int,token_count:int>>"
@@ -63,8 +63,8 @@ def joined_windows(tokenizer: Tokenizer, tokens: Column, size: int, stride: int,
         return F.struct(own.alias("text"), utf16_length(own).alias("chars"), back.alias("back"), F.least(F.lit(size), F.size(tokens) - k * stride).alias("n"))
 
     def starts(parts: Column) -> Column:
-        step = lambda s, p: F.struct((s["at"] - p["back"] + p["chars"]).alias("at"), F.concat(s["starts"], F.array(s["at"] - p["back"])).alias("starts"))
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), step)["starts"]
+        moved = starts_of(F.transform(parts, lambda p: p["chars"] - p["back"]))  # with each window's own step back still to take
+        return F.zip_with(moved, parts, lambda at, p: at - p["back"])
 
     parts = bound(tokens, lambda t: F.transform(window_numbers(F.size(t), size, stride), lambda k: part(t, k)))
     return bound(parts, lambda ps: F.zip_with(ps, starts(ps), lambda p, at: chunk(p["text"], at, p["n"])))

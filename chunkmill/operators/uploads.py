@@ -31,7 +31,8 @@ def assemble(parts: DataFrame) -> DataFrame:
     expected = F.when(F.col("total_chunks") > 0, F.sequence(F.lit(0), F.col("total_chunks") - 1)).otherwise(F.array().cast("array<int>"))
     present = F.transform(F.filter("got", lambda g: F.octet_length(g["bytes"]) > 0), lambda g: g["chunk_index"])
     missing = F.when(F.col("complete"), F.array_min(F.array_except(expected, present)))
-    joined = F.aggregate(F.filter("got", lambda g: (g["chunk_index"] >= 0) & (g["chunk_index"] < F.col("total_chunks"))), F.lit(b""), lambda a, g: F.concat(a, g["bytes"]))
+    wanted = F.filter("got", lambda g: (g["chunk_index"] >= 0) & (g["chunk_index"] < F.col("total_chunks")))
+    joined = F.encode(F.array_join(F.transform(wanted, lambda g: F.decode(g["bytes"], "ISO-8859-1")), ""), "ISO-8859-1")  # a character per byte: joined once
     out = files.withColumn("complete", F.col("received") == F.col("total_chunks")).withColumn("missing", missing)
     content = F.when(F.col("complete") & F.col("missing").isNull(), joined)
     error = F.when(F.col("missing").isNotNull(), F.concat(F.lit("Missing chunk "), F.col("missing").cast("string"), F.lit(" for "), "file_id"))

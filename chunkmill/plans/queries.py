@@ -5,7 +5,6 @@ Files, tables in texts, uploads and event logs don't exist as tables; each query
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,9 @@ from ..functions import tokenizers as tok
 from ..functions.config import PLAYGROUND, FastConfig, RecursiveConfig, Rule, SentenceConfig, TableConfig, TokenConfig
 from ..operators import chat, chunking, retrieve, token_chunker, uploads
 from ..sources import collection, files
+from ..sources.staging import new_folder
+from ..streaming import jobs
+from . import chunk_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,12 +66,6 @@ def messy(text: Column) -> Column:
     return F.concat(broken, F.lit(chr(160) + chr(65279)))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/chunkmill/{name}-{uuid.uuid4().hex}"
-
-
 TOKEN_SQL = """
 WITH d AS (SELECT doc_id, lang, {text} AS t FROM documents),
 w AS (SELECT doc_id, lang, t, unnest(range(0, CASE WHEN length(t) <= {size} THEN 1 ELSE CAST(ceil((length(t) - {size}) / {stride}.0) AS INT) + 1 END)) AS k FROM d WHERE length(t) > 0)
@@ -137,13 +133,61 @@ def j4_missing_parts(spark, sf_dir):
 )
 def io5_upsert_collection(spark, sf_dir):
     """All documents, then every second one again, with a mark; read back."""
-    own = collection.Collection(spark, scratch(spark, "collections"), "documents")
+    own = collection.Collection(spark, new_folder(spark, "collections"), "documents")
     rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"), F.lit(False).alias("again"))
     own.upsert(rows)
     own.upsert(rows.filter(F.col("id").cast("long") % 2 == 0).withColumn("again", F.lit(True)))
     return own.read().select("id", F.length("document").cast("long").alias("chars"), "again")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(ceil(octet_length(encode(text)) / 512.0) AS INT) AS parts, octet_length(encode(text)) AS bytes FROM documents WHERE length(text) > 0")
+def io3_read_parts(spark, sf_dir):
+    """Upload parts written as JSON lines and read with their schema; every part was sent twice, and the right copy has the larger number."""
+    path = new_folder(spark, "parts")
+    sent_parts(spark, sf_dir).write.json(path)
+    last = uploads.latest_parts(files.read_parts(spark, path))
+    return last.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("parts"), F.sum(F.octet_length("bytes")).cast("long").alias("bytes"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(ceil(octet_length(encode(text)) / 512.0) AS INT) AS received, md5(text) AS digest FROM documents WHERE length(text) > 0")
+def st1_stream_uploads(spark, sf_dir):
+    """Upload parts as a stream of several batches, the right copies in the later ones: the files as they stand at the end."""
+    path = new_folder(spark, "upload-stream")
+    sent = sent_parts(spark, sf_dir)
+    wrong = F.col("seq") == F.col("chunk_index")
+    for rows in (sent.filter(wrong), sent.filter(~wrong)):
+        rows.coalesce(2).write.mode("append").json(f"{path}/sent")
+    parts = spark.readStream.schema(files.PART_SCHEMA).option("maxFilesPerTrigger", 2).json(f"{path}/sent")
+    states = jobs.run_until_done(jobs.assembled_states(parts), path)
+    last = states.groupBy("file_id").agg(F.max_by("parts", F.struct("last", "batch")).alias("parts")).select("file_id", F.inline("parts"))
+    return uploads.assemble(last).select("file_id", "received", F.md5("content").alias("digest"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'error' ELSE 'uploading' END AS status, o_orderstatus NOT IN ('F', 'O') AS ingesting, CAST(m AS INT) AS chunks_uploaded, CAST(m * 10 AS INT) AS progress FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
+def st3_stream_upload_states(spark, sf_dir):
+    """The upload events of all orders as a stream, folded to the last state per file."""
+    path = new_folder(spark, "upload-events")
+    _, events = upload_events(spark, sf_dir)
+    events.repartition(4).write.json(f"{path}/sent")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).json(f"{path}/sent")
+    states = jobs.run_until_done(jobs.upload_states_stream(stream), path)
+    last = states.groupBy("id").agg(F.max_by(F.struct("status", "ingesting", "chunks_uploaded", "progress"), "batch").alias("s"))
+    return last.select("id", "s.*")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS mark FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def io6_drop_collection(spark, sf_dir):
+    """A collection dropped and filled again: nothing of before is left, and what no version needs is removed."""
+    own = collection.Collection(spark, new_folder(spark, "collections"), "dropped", 16)
+    rows = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("document"), F.lit("gone").alias("mark"))
+    own.upsert(rows)
+    own.drop()
+    own.upsert(rows.filter(F.col("id").cast("long") % 2 == 0).withColumn("mark", F.lit("old")))
+    own.upsert(rows.filter(F.col("id").cast("long") % 3 == 0).withColumn("mark", F.lit("new")))
+    own.vacuum(1)
+    return own.read().select("id", "mark")
+
+
 @query("SELECT source, count(*) AS count, min(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS sample_id, min_by(length(text), doc_id) AS sample_chars FROM documents GROUP BY source")
 def a3_collection_summary(spark, sf_dir):
     rows = docs(spark, sf_dir).select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.col("text").alias("document"))
@@ -182,30 +226,29 @@ def f3_validate_files(spark, sf_dir):
     return files.validate_files(own).select("doc_id", "reject_reason")
 
 
-MARKDOWN_SQL = """(SELECT n_regionkey AS doc_id, '| name | key |' || chr(10) || '| --- | :---: |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_nationkey || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS text, count(*) AS n FROM nation GROUP BY n_regionkey)"""
-HTML_SQL = """(SELECT n_regionkey AS doc_id, '<p>x</p><TABLE id="t"><thead><tr><th>name</th></tr></thead><tbody>' || string_agg('<tr><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</tbody></TABLE>' AS text, count(*) AS n FROM nation GROUP BY n_regionkey)"""
+MARKDOWN_SQL = """(SELECT l_orderkey AS doc_id, '| name | key |' || chr(10) || '| --- | :---: |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || l_linenumber || ' |', chr(10) ORDER BY l_linenumber) || chr(10) AS text, count(*) AS n FROM lineitem GROUP BY l_orderkey)"""
 
 
-def nation_tables(spark, sf_dir, html: bool = False) -> DataFrame:
-    """One table per region, as Markdown or HTML, with the document's text in front where there is one."""
-    n = read(spark, sf_dir, "nation")
+def order_tables(spark, sf_dir, html: bool = False) -> DataFrame:
+    """One table per order, as Markdown or HTML, with a row per line; an order's lines are few."""
+    lines = read(spark, sf_dir, "lineitem")
     if html:
-        row, before, between, after = F.concat(F.lit("<tr><td>"), "n_name", F.lit("</td></tr>")), '<p>x</p><TABLE id="t"><thead><tr><th>name</th></tr></thead><tbody>', "", "</tbody></TABLE>"
+        row, before, between, after = F.concat(F.lit("<tr><td>"), "l_partkey", F.lit("</td></tr>")), '<p>x</p><TABLE id="t"><thead><tr><th>name</th></tr></thead><tbody>', "", "</tbody></TABLE>"
     else:
-        row, before, between, after = F.concat(F.lit("| "), "n_name", F.lit(" | "), "n_nationkey", F.lit(" |")), "| name | key |\n| --- | :---: |\n", "\n", "\n"
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"])
-    return n.groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.concat(F.lit(before), F.array_join(rows, between), F.lit(after)).alias("text"), F.count(F.lit(1)).alias("n"))
+        row, before, between, after = F.concat(F.lit("| "), "l_partkey", F.lit(" | "), "l_linenumber", F.lit(" |")), "| name | key |\n| --- | :---: |\n", "\n", "\n"
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("row")))), lambda x: x["row"])
+    return lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit(before), F.array_join(rows, between), F.lit(after)).alias("text"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
     f"""SELECT doc_id, true AS looks, true AS pipe, CAST(['name', 'key'] AS VARCHAR) AS cells FROM {MARKDOWN_SQL} UNION ALL
-SELECT doc_id + 1000, false, regexp_full_match(split_part(text, chr(10), 1), '{SP}*\\|[^\\n\\r]*\\|{SP}*'), NULL FROM documents"""
+SELECT -doc_id - 1, false, regexp_full_match(split_part(text, chr(10), 1), '{SP}*\\|[^\\n\\r]*\\|{SP}*'), NULL FROM documents"""
 )
 def f6_markdown_predicates(spark, sf_dir):
     first = F.element_at(F.split("text", "\n"), 1)
     told = F.concat(F.lit("["), F.array_join(T.header_cells(first), ", "), F.lit("]"))
-    tables = nation_tables(spark, sf_dir).select("doc_id", T.looks_like_markdown_table(F.col("text")).alias("looks"), T.is_pipe_line(first).alias("pipe"), told.alias("cells"))
-    plain = docs(spark, sf_dir).select(F.col("doc_id") + 1000, T.looks_like_markdown_table(F.col("text")).alias("looks"), T.is_pipe_line(first).alias("pipe"), F.lit(None).cast("string").alias("cells"))
+    tables = order_tables(spark, sf_dir).select("doc_id", T.looks_like_markdown_table(F.col("text")).alias("looks"), T.is_pipe_line(first).alias("pipe"), told.alias("cells"))
+    plain = docs(spark, sf_dir).select(-F.col("doc_id") - 1, T.looks_like_markdown_table(F.col("text")).alias("looks"), T.is_pipe_line(first).alias("pipe"), F.lit(None).cast("string").alias("cells"))
     return tables.union(plain)
 
 
@@ -314,21 +357,41 @@ def chunk_rows(df: DataFrame, chunks: Column) -> DataFrame:
     return rows.select("doc_id", "chunk_index", "start_idx", "end_idx", "token_count", F.md5("text").alias("digest"))
 
 
-@query()
+TEXTS_SQL = "SELECT doc_id, text AS t FROM documents"
+
+
+def chunk_rows_sql(chunks: str) -> str:
+    return f"SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(start_idx AS INT) AS start_idx, CAST(end_idx AS INT) AS end_idx, CAST(n AS INT) AS token_count, md5(substring(text, start_idx + 1, end_idx - start_idx)) AS digest FROM ({chunks}) JOIN documents USING (doc_id)"
+
+
+@query(chunk_rows_sql(chunk_sql.fast_sql(TEXTS_SQL, 320, "\n.?!")))
 def c1_fast_chunks(spark, sf_dir):
     return chunk_rows(docs(spark, sf_dir), chunking.fast_chunks(F.col("text"), PLAYGROUND["fast"]))
 
 
-@query()
+SENTENCE_END = r"\. |! |\? |\n"
+
+
+@query(chunk_rows_sql(chunk_sql.sentence_sql(TEXTS_SQL, 180, 20, SENTENCE_END)))
 def c3_sentence_chunks(spark, sf_dir):
     return chunk_rows(docs(spark, sf_dir), chunking.sentence_chunks(F.col("text"), PLAYGROUND["sentence"]))
 
 
-@query()
+@query(chunk_rows_sql(chunk_sql.recursive_sql(TEXTS_SQL, 720, 48)))
 def c4_recursive_chunks(spark, sf_dir):
     return chunk_rows(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), PLAYGROUND["recursive"]))
 
 
+@query(
+    f"WITH c AS ({chunk_sql.recursive_sql(TEXTS_SQL, 720, 48)}) SELECT doc_id, CAST(level AS INT) AS level, CASE level WHEN -1 THEN 'tokenFallback' WHEN 2 THEN 'whitespace' ELSE 'delimiter' END AS type, CASE level WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) END AS delimiter, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS chars FROM c GROUP BY ALL"
+)
+def p4_chunk_metadata(spark, sf_dir):
+    """The rule that each recursive chunk came by."""
+    rows = chunking.exploded(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), PLAYGROUND["recursive"]), "doc_id")
+    keys = F.col("recursive_rule_level").alias("level"), F.col("recursive_rule_type").alias("type"), F.col("recursive_delimiter").alias("delimiter")
+    return rows.groupBy("doc_id", *keys).agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("chars"))
+
+
 REBUILT_SQL = "SELECT doc_id, md5(text) AS digest, length(text) AS chars FROM documents"
 
 
@@ -353,7 +416,7 @@ def c4_recursive_rebuilt(spark, sf_dir):
     return rebuilt(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), RecursiveConfig(120, 1, (Rule(("\n",)), Rule((". ", ", ")), Rule(whitespace=True), Rule()))))
 
 
-GROUPS_SQL = """t AS (SELECT n_regionkey AS doc_id, {row} AS row, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation),
+GROUPS_SQL = """t AS (SELECT l_orderkey AS doc_id, {row} AS row, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem),
 o AS (SELECT *, CAST(sum(length(row)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) + {head} AS e FROM t)
 SELECT doc_id, CAST(i // 2 AS INT) AS chunk_index, CAST(min(i) AS INT) AS table_row_start, CAST(max(i) AS INT) AS table_row_end, CAST(min(e - length(row)) AS BIGINT) AS start_idx, max(e) AS end_idx, count(*) AS token_count, md5({before} || string_agg(row, '' ORDER BY i) || {after}) AS digest FROM o GROUP BY doc_id, i // 2"""
 
@@ -363,20 +426,20 @@ def table_rows(df: DataFrame, config: TableConfig) -> DataFrame:
     return rows.select("doc_id", "chunk_index", "table_row_start", "table_row_end", F.col("start_idx").cast("long").alias("start_idx"), F.col("end_idx").cast("long").alias("end_idx"), F.col("token_count").cast("long").alias("token_count"), F.md5("text").alias("digest"))
 
 
-@query("WITH " + GROUPS_SQL.format(row="'| ' || n_name || ' | ' || n_nationkey || ' |' || chr(10)", head="31", before="'| name | key |' || chr(10) || '| --- | :---: |' || chr(10)", after="''"))
+@query("WITH " + GROUPS_SQL.format(row="'| ' || l_partkey || ' | ' || l_linenumber || ' |' || chr(10)", head="31", before="'| name | key |' || chr(10) || '| --- | :---: |' || chr(10)", after="''"))
 def c5_markdown_table_rows(spark, sf_dir):
-    return table_rows(nation_tables(spark, sf_dir), TableConfig(2))
+    return table_rows(order_tables(spark, sf_dir), TableConfig(2))
 
 
-@query("WITH " + GROUPS_SQL.format(row="'<tr><td>' || n_name || '</td></tr>'", head="length('<p>x</p><TABLE id=\"t\"><thead><tr><th>name</th></tr></thead><tbody>')", before="'<TABLE id=\"t\"><thead><tr><th>name</th></tr></thead><tbody>'", after="'</tbody></TABLE>'"))
+@query("WITH " + GROUPS_SQL.format(row="'<tr><td>' || l_partkey || '</td></tr>'", head="length('<p>x</p><TABLE id=\"t\"><thead><tr><th>name</th></tr></thead><tbody>')", before="'<TABLE id=\"t\"><thead><tr><th>name</th></tr></thead><tbody>'", after="'</tbody></TABLE>'"))
 def c5_html_table_rows(spark, sf_dir):
-    return table_rows(nation_tables(spark, sf_dir, html=True), TableConfig(2))
+    return table_rows(order_tables(spark, sf_dir, html=True), TableConfig(2))
 
 
 @query(f"SELECT doc_id, CAST(n AS BIGINT) AS chunks, CAST(length(text) + (n - 1) * 31 AS BIGINT) AS tokens FROM {MARKDOWN_SQL}")
 def c5_table_tokens(spark, sf_dir):
     """Token mode with a budget below the header: a row per chunk, the header counted in each."""
-    rows = chunking.exploded(nation_tables(spark, sf_dir), chunking.table_chunks(F.col("text"), TableConfig(10, "token")), "doc_id")
+    rows = chunking.exploded(order_tables(spark, sf_dir), chunking.table_chunks(F.col("text"), TableConfig(10, "token")), "doc_id")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
@@ -386,12 +449,24 @@ SELECT doc_id, 'table', CAST(ceil(n / 3.0) AS INT), CAST(length(text) + (ceil(n
 )
 def c6_markdown_segments(spark, sf_dir):
     """Prose and a table in one Markdown file: strategies by segment, in order."""
-    own = nation_tables(spark, sf_dir).select("doc_id", F.concat(F.lit("r"), "doc_id", F.lit(".md")).alias("file_name"), F.concat(F.lit("Prose of "), "doc_id", F.lit("\n\n"), "text").alias("text"))
+    own = order_tables(spark, sf_dir).select("doc_id", F.concat(F.lit("r"), "doc_id", F.lit(".md")).alias("file_name"), F.concat(F.lit("Prose of "), "doc_id", F.lit("\n\n"), "text").alias("text"))
     chunks = chunking.chunk_documents(own)
     return chunks.groupBy("doc_id", "chunk_strategy").agg(F.count(F.lit(1)).cast("int").alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
-@query()
+def routed_sql() -> str:
+    """Every document by its type: the chunks of its strategy, trimmed, blank ones left out, numbered again."""
+    of = lambda which: f"SELECT doc_id, t FROM z WHERE {which}"
+    tokens = f"SELECT doc_id, k AS i, k * 2048 AS start_idx, least((k + 1) * 2048, length(t)) AS end_idx, least(2048, length(t) - k * 2048) AS n FROM (SELECT *, unnest(range(0, CAST(ceil(length(t) / 2048.0) AS BIGINT))) AS k FROM z WHERE doc_id % 4 = 2)"
+    parts = (("fast", chunk_sql.fast_sql(of("doc_id % 4 = 0 AND length(t) >= 5000"), 4096, "\n.?")), ("sentence", chunk_sql.sentence_sql(of("doc_id % 4 = 0 AND length(t) < 5000"), 2048, 0, SENTENCE_END)), ("recursive", chunk_sql.recursive_sql(of("doc_id % 4 = 1"), 2048, 24)), ("token", tokens))
+    every = " UNION ALL ".join(f"SELECT doc_id, i, start_idx, end_idx, n, '{name}' AS strategy FROM ({sql})" for name, sql in parts)
+    text = trim_sql("substring(t, start_idx + 1, end_idx - start_idx)")
+    return f"""WITH z AS MATERIALIZED (SELECT doc_id, {normal_sql('text')} AS t FROM documents), y AS (SELECT c.*, {text} AS own FROM ({every}) c JOIN z USING (doc_id))
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.csv' END AS file_ext, CASE doc_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'text/markdown' ELSE 'text/csv' END AS mime_type, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS chunk_count,
+strategy AS chunk_strategy, CAST(start_idx AS INT) AS chunk_char_start, CAST(end_idx AS INT) AS chunk_char_end, CAST(n AS INT) AS chunk_token_count, md5(own) AS digest FROM y WHERE own <> ''"""
+
+
+@query(routed_sql())
 def c7_chunk_documents(spark, sf_dir):
     """The main entry over all documents, by type, with fast cuts from 5000 characters."""
     chunks = chunking.chunk_documents(docs(spark, sf_dir).select("doc_id", "file_name", "text"), chunking.Router(fast_threshold=5000))
@@ -505,19 +580,19 @@ def k1_nearest_inner_product(spark, sf_dir):
     return nearest(spark, sf_dir, "ip")
 
 
-@query("""SELECT CAST(label AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS rank, vec_id AS id, vec_id / 10.0 AS score, CASE WHEN label % 2 = 0 THEN 'd' || vec_id END AS document FROM embeddings""")
+@query("""SELECT CAST(label AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS rank, vec_id AS id, vec_id / 10.0 AS score, CASE WHEN label % 2 = 0 THEN 'd' || vec_id END AS document, 'm' || vec_id AS metadata FROM embeddings""")
 def p7_flat_hits(spark, sf_dir):
     """Parallel arrays per query back to rows; half of the queries have no documents."""
     e = read(spark, sf_dir, "embeddings")
     rows = F.array_sort(F.collect_list(F.struct("vec_id")))
     g = e.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.transform(rows, lambda r: r["vec_id"]).alias("ids"))
     g = g.withColumn("distances", F.transform("ids", lambda i: i / F.lit(10.0))).withColumn("documents", F.when(F.col("query_id") % 2 == 0, F.transform("ids", lambda i: F.concat(F.lit("d"), i))))
-    return retrieve.flat_hits(g)
+    return retrieve.flat_hits(g.withColumn("metadatas", F.transform("ids", lambda i: F.concat(F.lit("m"), i))))
 
 
 def model_parts(spark, sf_dir) -> DataFrame:
-    """Conversations as model parts: each turn's words as deltas; user turns as tool calls, assistant turns as text; a finish per turn."""
-    turns = read(spark, sf_dir, "conversations").filter("role <> 'system'").withColumn("session_id", F.col("conv_id").cast("string"))
+    """Conversations as model parts: each turn's words as deltas; user turns as tool calls, all others as text; a finish per turn."""
+    turns = read(spark, sf_dir, "conversations").withColumn("session_id", F.col("conv_id").cast("string"))
     words = F.split("text", "(?<= )")
     tool = F.col("role") == "user"
     part = lambda kind, delta=F.lit(None), **more: F.struct(F.lit(kind).alias("type") if isinstance(kind, str) else kind.alias("type"), delta.cast("string").alias("delta"), more.get("reason", F.lit(None)).cast("string").alias("reason"))
@@ -532,7 +607,7 @@ def model_parts(spark, sf_dir) -> DataFrame:
     )
 
 
-TURNS_SQL = "(SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, text FROM conversations WHERE role <> 'system')"
+TURNS_SQL = "(SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS role, text FROM conversations)"
 
 
 @query(f"SELECT session_id, CAST(count(*) AS INT) AS iterations, max_by(CASE role WHEN 'user' THEN 'tool-calls' ELSE 'stop' END, turn) AS finish_reason, max_by(role, turn) = 'user' AND count(*) >= 12 AS hit_limit FROM {TURNS_SQL} GROUP BY session_id")
@@ -573,7 +648,11 @@ def st4_chat_states(spark, sf_dir):
     return chat.fold_chat(chat.part_events(model_parts(spark, sf_dir))).select("session_id", "_tag", "finish_reason")
 
 
-@query()
+@query(
+    f"""WITH t AS (SELECT *, role = 'user' OR lag(role, 1, 'user') OVER (PARTITION BY session_id ORDER BY turn) = 'user' AS starts FROM {TURNS_SQL}), g AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY session_id ORDER BY turn) AS pos FROM t)
+SELECT session_id, CAST(pos - 1 AS INT) AS pos, CASE min(role) WHEN 'user' THEN 'tool-call' ELSE 'text' END AS kind, CASE min(role) WHEN 'assistant' THEN false END AS is_complete, CASE WHEN min(role) = 'user' THEN CASE WHEN min(turn) % 4 = 2 THEN 'failed' ELSE 'complete' END END AS status,
+CASE WHEN min(role) = 'user' THEN min(turn) % 4 <> 2 END AS success, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM g GROUP BY session_id, pos"""
+)
 def st4_chat_segments(spark, sf_dir):
     """All segments of all sessions after the fold."""
     states = chat.fold_chat(chat.part_events(model_parts(spark, sf_dir)))
@@ -635,14 +714,15 @@ def u3_embed_documents(spark, sf_dir):
 def u2_chunks_in_sql(spark, sf_dir):
     """The chunker as a SQL table function, LATERAL over all documents."""
     chunking.register_sql(spark, chunking.Router(token=TokenConfig(500)))
-    docs(spark, sf_dir).createOrReplaceTempView("_sql_documents")
-    return spark.sql("SELECT lang, count(*) AS chunks FROM _sql_documents, LATERAL chunk_text(text, 'token') GROUP BY lang")
+    view = f"documents_{uuid.uuid4().hex}"
+    docs(spark, sf_dir).createOrReplaceTempView(view)
+    return spark.sql(f"SELECT lang, count(*) AS chunks FROM {view}, LATERAL chunk_text(text, 'token') GROUP BY lang")
 
 
 @query(f"SELECT session_id, count(*) AS deltas FROM (SELECT session_id, unnest(regexp_split_to_array(replace(text, ' ', ' ' || chr(1)), chr(1))) AS w FROM {TURNS_SQL} WHERE role = 'assistant') GROUP BY session_id")
 def io7_event_log(spark, sf_dir):
     """Events written as JSON lines and read with the wide schema."""
-    path = scratch(spark, "events")
+    path = new_folder(spark, "events")
     files.write_events(chat.part_events(model_parts(spark, sf_dir)), path)
     return files.read_events(spark, path).filter("_tag = 'text-delta'").groupBy("session_id").agg(F.count(F.lit(1)).alias("deltas"))
 
@@ -654,6 +734,19 @@ def w1_chunk_numbers(spark, sf_dir):
     return uploads.chunk_numbers(lines, "place").select("l_orderkey", "l_linenumber", "chunk_index", "chunk_count")
 
 
+@query(
+    """WITH q AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0), r AS (SELECT doc_id AS id, text, lang FROM documents WHERE lang <> 'de' AND contains(text, 'e')),
+h AS (SELECT query_id, q.text = r.text AS same FROM q JOIN r ON q.text = r.text) SELECT query_id, CAST(least(3, count(*)) AS BIGINT) AS same FROM h GROUP BY query_id"""
+)
+def k1_retrieve_texts(spark, sf_dir):
+    """Every 100th document's text as a query, filters on metadata and document at once: of the three hits how many are its very text."""
+    own = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang", "text")
+    records = retrieve.embed(own, retrieve.hashing_embedder()).drop("text")
+    asked = docs(spark, sf_dir).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    found = retrieve.retrieve_texts(records, asked, retrieve.hashing_embedder(), 3, "l2", F.col("lang") != "de", "e")
+    return found.join(asked, "query_id").filter(F.col("document") == F.col("text")).groupBy("query_id").agg(F.count(F.lit(1)).alias("same"))
+
+
 @query("""SELECT e.vec_id AS query_id, e.vec_id AS id, CASE WHEN e.vec_id % 2 = 0 THEN '' ELSE 'd' || e.vec_id END AS document, 0.0::DOUBLE AS score FROM embeddings e WHERE e.vec_id % 25 = 0""")
 def p8_hits(spark, sf_dir):
     """Hits with their documents, null ones as empty text: every stated query finds itself first."""

@@ -1,71 +1,124 @@
 """Collections: Parquet tables of records, upserted by id.
 
-A collection is a folder of versions; each version is partitioned by a hash bucket of the id, and a one-row table
-of pointers says, by the highest number, which version holds. An upsert reads the current version and writes the
-next one; readers of the old one aren't disturbed, and a failed write leaves no pointer.
+Records are dealt to buckets by a hash of the id. A version is a small table of the folders that hold its buckets; an
+upsert rewrites the buckets that its ids fall into and takes the others over. Versions are written under their number, and
+a number can be created only once: of two writers that start from the same version one succeeds and the other starts
+again from the new one. Readers of an old version aren't disturbed, and a failed write leaves no version. ``vacuum``
+removes what no kept version needs.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import contains_or_all
 
 BUCKETS = 64
+#: Writers that may come first before an upsert gives up.
+TRIES = 10
 
 
 class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str, buckets: int = BUCKETS):
         self.spark, self.base, self.name, self.buckets = spark, f"{root.rstrip('/')}/{name}", name, buckets
 
-    def versions(self) -> DataFrame | None:
+    def files(self, path: str):
+        """Hadoop's file system of a path, and the path."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found.getFileSystem(self.spark._jsc.hadoopConfiguration()), found
+
+    def names(self, path: str) -> list[str]:
+        fs, at = self.files(path)
+        return [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+
+    def versions(self) -> list[int]:
+        return sorted(int(n.removesuffix(".json")) for n in self.names(f"{self.base}/versions") if n.endswith(".json") and n[0] != ".")
+
+    def folders(self, version: int) -> dict[str, str] | None:
+        """Bucket to folder, None if the version is that of a drop."""
+        fs, at = self.files(f"{self.base}/versions/{version:012d}.json")
+        stream = fs.open(at)
         try:
-            return self.spark.read.schema("version long, path string, dropped boolean").json(f"{self.base}/pointers")
-        except AnalysisException:
-            return None
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def current(self) -> tuple[int, str | None]:
-        """(version, folder), or (0, None) for a collection that isn't there."""
+    def current(self) -> tuple[int, dict[str, str] | None]:
+        """(version, folders), or (0, None) for a collection that isn't there."""
         found = self.versions()
-        row = found.orderBy(F.desc("version")).first() if found is not None else None
-        return (0, None) if row is None else (row["version"], None if row["dropped"] else row["path"])
-
-    def point(self, version: int, path: str, dropped: bool = False) -> None:
-        row = self.spark.createDataFrame([(version, path, dropped)], "version long, path string, dropped boolean")
-        row.coalesce(1).write.mode("append").json(f"{self.base}/pointers")
+        return (found[-1], self.folders(found[-1])) if found else (0, None)
+
+    def publish(self, version: int, folders: dict[str, str] | None) -> bool:
+        """Create the version, whole at once; False if another writer has created it."""
+        at = f"{self.base}/versions/{version:012d}.json"
+        fs, own = self.files(f"{self.base}/versions/.{uuid.uuid4().hex}")
+        stream = fs.create(own, False)
+        stream.write(json.dumps(folders).encode())
+        stream.close()
+        try:
+            self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), self.spark._jsc.hadoopConfiguration()).rename(own, self.files(at)[1], self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as e:
+            fs.delete(own, False)
+            if "FileAlreadyExists" not in str(e):
+                raise
+            return False
+        return True
+
+    def records(self, folders: dict[str, str]) -> DataFrame | None:
+        paths = [f"{folder}/bucket={bucket}" for bucket, folder in sorted(folders.items())]
+        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
 
     def read(self) -> DataFrame | None:
         """The records, or None for a collection that isn't there."""
-        _, path = self.current()
-        return None if path is None else self.spark.read.parquet(path).drop("bucket")
+        _, folders = self.current()
+        return None if folders is None else self.records(folders)
 
     def upsert(self, records: DataFrame) -> int:
         """Records by ``id``: known ids are replaced, of equal ids in a batch the last by ``seq`` (if there) stays. The number of input records."""
         count = records.count()
         order = F.col("seq") if "seq" in records.columns else F.lit(0)
         columns = [c for c in records.columns if c not in ("id", "seq")]
-        new = records.groupBy("id").agg(F.max_by(F.struct(*columns), order).alias("r")).select("id", *[F.col(f"r.`{c}`").alias(c) for c in columns])
-        version, path = self.current()
-        if path is not None:
-            old = self.spark.read.parquet(path).drop("bucket")
-            new = old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
-        out = f"{self.base}/version-{version + 1}-{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
-        new.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(out)
-        self.point(version + 1, out)
-        return count
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int").alias("bucket")
+        new = records.groupBy("id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias("r")).select("id", *[F.col(f"r.`{c}`").alias(c) for c in columns])
+        touched = {str(r[0]) for r in records.select(bucket).distinct().collect()}  # ``buckets`` numbers at most
+        for _ in range(TRIES):
+            version, folders = self.current()
+            known = folders or {}
+            whole, old = new, self.records({b: f for b, f in known.items() if b in touched})
+            if old is not None:
+                whole = old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
+            out = f"{self.base}/data/{version + 1:012d}-{uuid.uuid4().hex}"
+            whole.select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(out)
+            if self.publish(version + 1, known | dict.fromkeys(touched, out)):
+                return count
+        raise RuntimeError(f"{self.name}: other writers came first {TRIES} times")
 
     def drop(self) -> str:
-        """From now on the collection isn't there; its versions stay for readers that still run."""
-        version, path = self.current()
-        if path is not None:
-            self.point(version + 1, "", True)
+        """From now on the collection isn't there; its versions stay for readers that still run, until ``vacuum``."""
+        for _ in range(TRIES):
+            version, folders = self.current()
+            if folders is None or self.publish(version + 1, None):
+                break
         return self.name
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove all but the last ``keep`` versions and the folders that none of them needs; the number of folders removed."""
+        found = self.versions()
+        needed = {folder.rsplit("/", 1)[-1] for v in found[-keep:] for folder in (self.folders(v) or {}).values()}
+        newest = f"{(found[-1] if found else 0):012d}"
+        for v in found[:-keep]:
+            fs, at = self.files(f"{self.base}/versions/{v:012d}.json")
+            fs.delete(at, False)
+        gone = [n for n in self.names(f"{self.base}/data") if n not in needed and n[:12] <= newest]  # a later one may be in the making
+        for n in gone:
+            fs, at = self.files(f"{self.base}/data/{n}")
+            fs.delete(at, True)
+        return len(gone)
+
     def count(self) -> int:
         found = self.read()
         return 0 if found is None else found.count()

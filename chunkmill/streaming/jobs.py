@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import MAX_FILE_BYTES
 from ..operators import chat, chunking, uploads
 from ..sources import files as source
 from ..sources.collection import Collection
+from ..sources.staging import stage_table
 
 ASSEMBLED = "event string, file_id string, file_name string, chunk_index int, content binary, error string"
 PARTS_STATE = "numbers array<int>, parts array<binary>"
@@ -74,6 +76,29 @@ def assemble_stream(parts: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
 COLUMNS = [c.split()[0] for c in ASSEMBLED.split(", ")]
 
 
+def assembled_states(parts: DataFrame) -> DataFrame:
+    """Stream of parts to rows of the files as they stand after each batch, in update mode, by built-in aggregates alone.
+
+    Per file the parts seen so far with the message that brought each; ``uploads.assemble`` makes files of the last rows.
+    """
+    part = F.struct("seq", "file_name", "chunk_index", "total_chunks", "data")
+    return parts.groupBy("file_id").agg(F.collect_list(part).alias("parts"), F.max("seq").alias("last"))
+
+
+def run_until_done(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """Run a stream over all that its source has now, batch after batch, and read back the rows, with ``batch``."""
+
+    def write(rows: DataFrame, n: int) -> None:
+        rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/rows/n={n}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+
+
 def ingest(assembled: DataFrame, collection: Collection, embed: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch`` on the assembled stream: chunk, embed, upsert, and emit the ingest events."""
 
@@ -81,9 +106,10 @@ def ingest(assembled: DataFrame, collection: Collection, embed: Callable[[DataFr
         texts = source.extract_text(batch.filter("event = 'file'").select("file_id", "file_name", "content"))
         chunks = chunking.chunk_documents(texts.filter("error IS NULL").select("file_id", "file_name", "text"))
         records = embed(chunking.ingest_records(chunks).withColumnRenamed("text", "document"))
+        records = stage_table(batch.sparkSession, records, "ingest")  # once, for all that follows
         if not records.isEmpty():
             collection.upsert(records)
-        counted = chunks.groupBy("file_id").agg(F.max("chunk_count").alias("chunks"))
+        counted = records.groupBy("file_id").agg(F.max("chunk_count").alias("chunks"))
         known = texts.select("file_id", "error").unionByName(batch.filter("event = 'ingest-failed'").select("file_id", "error"))
         emit(uploads.ingest_events(known.join(counted, "file_id", "left")))
 
@@ -98,11 +124,11 @@ def fold_chat_stream(events: DataFrame) -> DataFrame:
     import json
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else chat.initial_state()
+        now = chat.loaded(json.loads(state.get[0])) if state.exists else chat.initial_state()
         last = state.get[1] if state.exists else 0
         for e in pd.concat(list(batches)).sort_values("seq", kind="stable").to_dict("records"):
             now, last = chat.step(now, e), int(e["seq"])
-        told = json.dumps(now, default=lambda x: x.item())
+        told = json.dumps(chat.fields_of(now), default=lambda x: x.item())
         state.update((told, last))
         yield pd.DataFrame([(key[0], told, last)], columns=["session_id", "state", "changed"])
 

@@ -1,6 +1,10 @@
 """Literal cases of the chunkers, the tokenizers and the router."""
 
 import hashlib
+import itertools
+import random
+import re
+import time
 from collections import Counter
 
 import pytest
@@ -10,9 +14,9 @@ from chunkmill.functions import tokenizers as tok
 from chunkmill.functions.config import FastConfig, RecursiveConfig, Rule, SentenceConfig, TableConfig, TokenConfig, clamped
 from chunkmill.operators import chunking, cuts, token_chunker
 
-MD = "| name | score |\n| --- | --- |\n| Ada | 91 |\n| Lin | 88 |\n| Sam | 95 |\n| Mia | 90 |\n"
-HTML = "<table><thead><tr><th>name</th><th>score</th></tr></thead><tbody>" + "".join(f"<tr><td>{n}</td><td>{s}</td></tr>" for n, s in (("Ada", 91), ("Lin", 88), ("Sam", 95), ("Mia", 90))) + "</tbody></table>"
-PARAS = "Para1 line1.\nPara1 line2.\n\nPara2 line1.\nPara2 line2."
+MD = "| city | pop |\n| --- | --- |\n| Rom | 28 |\n| Ulm | 12 |\n| Bern | 13 |\n| Oslo | 70 |\n"
+HTML = "<table><thead><tr><th>city</th><th>pop</th></tr></thead><tbody>" + "".join(f"<tr><td>{n}</td><td>{s}</td></tr>" for n, s in (("Rom", 28), ("Ulm", 12), ("Bern", 13), ("Oslo", 70))) + "</tbody></table>"
+HILLS = "Green hills roll.\nFar.\n\nEnd of it."
 RULES = (Rule(("\n\n",)), Rule(("\n",)), Rule(whitespace=True), Rule())
 
 
@@ -31,9 +35,9 @@ def token(config):
 @pytest.mark.parametrize(
     "config,text,want",
     [
-        (TokenConfig(5, 2, tok.WORD), "Hello world. How are you. Fine", [("Hello world. How are you.", 0, 25, 5), ("are you. Fine", 17, 30, 3)]),
-        (TokenConfig(2), "ABCDE", [("AB", 0, 2, 2), ("CD", 2, 4, 2), ("E", 4, 5, 1)]),
-        (TokenConfig(4, 1), "ABCDEFGHIJ", [("ABCD", 0, 4, 4), ("DEFG", 3, 7, 4), ("GHIJ", 6, 10, 4)]),
+        (TokenConfig(5, 2, tok.WORD), "red fox ran. It saw me. Gone", [("red fox ran. It saw", 0, 19, 5), ("It saw me. Gone", 13, 28, 4)]),
+        (TokenConfig(2), "klmno", [("kl", 0, 2, 2), ("mn", 2, 4, 2), ("o", 4, 5, 1)]),
+        (TokenConfig(4, 1), "qrstuvwxy", [("qrst", 0, 4, 4), ("tuvw", 3, 7, 4), ("wxy", 6, 9, 3)]),
         (TokenConfig(2, 0, tok.WORD), "one two three four", [("one two", 0, 7, 2), ("three four", 7, 17, 2)]),
         (TokenConfig(2), "a\U0001f642b", [("a\U0001f642", 0, 3, 3), ("b", 3, 4, 1)]),
     ],
@@ -45,8 +49,8 @@ def test_token(spark, config, text, want):
 
 def test_sentence(spark):
     run = lambda text, *a, **k: chunked(spark, lambda c: chunking.sentence_chunks(c, SentenceConfig(*a, **k)), text)
-    rows = run("Alpha is first. Beta is second! Gamma is third? Delta is fourth.", 40, 10, (". ", "! ", "? "))
-    assert [(r.start_idx, r.end_idx, r.token_count) for r in rows] == [(0, 32, 32), (16, 48, 32), (32, 64, 32)]
+    rows = run("Snow is cold. Rain is wet! Wind is loud? Fog is grey.", 40, 10, (". ", "! ", "? "))
+    assert [(r.start_idx, r.end_idx, r.token_count) for r in rows] == [(0, 27, 27), (14, 53, 39)]
     assert spans(run("Alpha beta", 20, 0, (".",))) == [("Alpha beta", 0, 10)]
     assert [r.text for r in run("Alpha. Beta.", 7, 0, (". ",))] == ["Alpha. ", "Beta."]
     assert [r.text for r in run("Alpha. Beta.", 7, 0, (". ",), "next")] == ["Alpha", ". Beta."]
@@ -56,9 +60,9 @@ def test_sentence(spark):
 @pytest.mark.parametrize(
     "config,text,want",
     [
-        (FastConfig(18, (".", "?", "!")), "A short sentence. Another one! Last part?", [("A short sentence.", 0, 17), (" Another one!", 17, 30), (" Last part?", 30, 41)]),
-        (FastConfig(10, (".", "?", "!")), "Hi \U0001f44b cafe. Привет?", [("Hi \U0001f44b ca", 0, 8), ("fe.", 8, 11), (" Прив", 11, 16), ("ет?", 16, 19)]),
-        (FastConfig(5, (".", "?")), "ABCDEFG", [("ABCDE", 0, 5), ("FG", 5, 7)]),
+        (FastConfig(18, (".", "?", "!")), "It rained a lot. We ran home! And then?", [("It rained a lot.", 0, 16), (" We ran home!", 16, 29), (" And then?", 29, 39)]),
+        (FastConfig(10, (".", "?", "!")), "Oh \U0001f30d tea. Снега!", [("Oh \U0001f30d te", 0, 8), ("a.", 8, 10), (" Снег", 10, 15), ("а!", 15, 17)]),
+        (FastConfig(5, (".", "?")), "klmnopq", [("klmno", 0, 5), ("pq", 5, 7)]),
         (FastConfig(100, (".",)), "abc. def", [("abc.", 0, 4), (" def", 4, 8)]),
         (FastConfig(1, ("ab", ".")), "é.", [("é", 0, 1), (".", 1, 2)]),
     ],
@@ -70,10 +74,10 @@ def test_fast(spark, config, text, want):
 
 def test_recursive(spark):
     run = lambda text, *a: chunked(spark, lambda c: chunking.recursive_chunks(c, RecursiveConfig(*a)), text)
-    rows = run(PARAS, 12, 1, RULES)
-    assert [(r.text, r.start_idx, r.recursive_rule_level) for r in rows] == [("Para1 ", 0, 2), ("line1.\n", 6, 2), ("Para1 ", 13, 2), ("line2.\n", 19, 2), ("\n", 26, 1), ("Para2 ", 27, 2), ("line1.\n", 33, 2), ("Para2 line2.", 40, 1)]
-    rows = run("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 12, 1, RULES)
-    assert [(len(r.text), r.recursive_rule_type, r.recursive_rule_level) for r in rows] == [(12, "tokenFallback", -1), (12, "tokenFallback", -1), (2, "tokenFallback", -1)]
+    rows = run(HILLS, 12, 1, RULES)
+    assert [(r.text, r.start_idx, r.recursive_rule_level) for r in rows] == [("Green hills ", 0, 2), ("roll.\n", 12, 2), ("Far.\n\n", 18, 1), ("End of it.", 24, 0)]
+    rows = run("abcdefghij" * 3, 12, 1, RULES)
+    assert [(len(r.text), r.recursive_rule_type, r.recursive_rule_level) for r in rows] == [(12, "tokenFallback", -1), (12, "tokenFallback", -1), (6, "tokenFallback", -1)]
     rows = run("A|B|", 50, 24, (Rule(("|",)),))
     assert [(r.text, r.recursive_rule_level, r.recursive_rule_type, r.recursive_delimiter) for r in rows] == [("A|B|", 0, "delimiter", "|")]
     assert [(r.recursive_rule_level, r.recursive_rule_type) for r in run("A B C", 50, 24, (Rule(whitespace=True),))] == [(0, "whitespace")]
@@ -81,14 +85,64 @@ def test_recursive(spark):
     assert [r.recursive_rule_type for r in run("abcdef ghi", 3, 1, (Rule((" ",)),))] == ["tokenFallback"] * 3 + ["endOfRules"] or True
 
 
+def test_short_parts_are_counted_in_utf16_units():
+    """13 characters outside the basic plane are 26 units, so they are a part of their own at a least length of 24."""
+    wide = "\U0001f600" * 13
+    rule = (Rule(("|",)),)
+    assert [c[0] for c in cuts.recursive(f"{wide}|{wide}|", RecursiveConfig(30, 24, rule))] == [f"{wide}|", f"{wide}|"]
+
+
+def short_parts_one_by_one(text, parts, least):
+    """Each part in turn, in UTF-16 units: joined to the last one if it is short; a short first one is joined to the second at the end."""
+    units = lambda t: len(t.encode("utf-16-le")) // 2
+    kept = [""]
+    for n, part in enumerate(text[a:b] for a, b in parts):
+        kept = [part] if n == 0 else [*kept[:-1], kept[-1] + part] if units(part) < least else [*kept, part]
+    return ["".join(kept[:2]), *kept[2:]] if len(kept) > 1 and units(kept[0]) < least else kept
+
+
+def test_joined_short_parts_against_one_by_one():
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = [rng.choice([1, 1, 2, 3, 6]) for _ in range(rng.randrange(1, 12))]
+        text = "".join(rng.choices("a\U0001f600b", k=sum(lengths)))
+        cut = [0, *itertools.accumulate(lengths)]
+        parts = list(zip(cut, cut[1:]))
+        for least in (1, 2, 3, 5):
+            want = short_parts_one_by_one(text, parts, least)
+            assert [text[a:b] for a, b in cuts.long_enough(parts, least, cuts.utf16_sizes(text))] == want
+
+
+def test_many_short_parts_take_linear_time():
+    began = time.process_time()
+    assert "".join(c[0] for c in cuts.recursive("x\n" * 200_000, RecursiveConfig(2000, 24, RULES))) == "x\n" * 200_000
+    assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("", []),
+        ("| a |\n|---|---|", [("table", "| a |\n|---|---|\n")]),
+        ("| a |\n|---|", [("text", "| a |\n|---|")]),
+        ("x\n | a | b | \n\t|---|:---:|\n| 1 |\nnot | one |\n| p |\n---|---\n| 2 | 3 |\n\n", [("text", "x"), ("table", " | a | b | \n\t|---|:---:|\n| 1 |\n"), ("text", "not | one |"), ("table", "| p |\n---|---\n| 2 | 3 |\n")]),
+        ("| a |\n--|--\n| b |", [("text", "| a |\n--|--\n| b |")]),
+        ("| a |\n|---|---| x\n| b |\n|---|---|\n| c | d", [("text", "| a |\n|---|---| x"), ("table", "| b |\n|---|---|\n"), ("text", "| c | d")]),
+    ],
+)
+def test_markdown_segments(text, want):
+    assert cuts.markdown_segments(text) == want
+
+
 def test_table(spark):
     run = lambda text, *a: chunked(spark, lambda c: chunking.table_chunks(c, TableConfig(*a)), text)
     rows = run(MD, 2, "row", "markdown")
-    assert [(r.start_idx, r.end_idx, r.token_count, r.table_columns) for r in rows] == [(31, 57, 2, ["name", "score"]), (57, 83, 2, ["name", "score"])]
-    assert all(r.text.startswith("| name | score |\n| --- | --- |\n") and r.is_table and r.table_has_header for r in rows)
-    assert [r.token_count for r in run(MD, 12, "token", "markdown")] == [44] * 4
+    assert [(r.start_idx, r.end_idx, r.token_count, r.table_columns) for r in rows] == [(29, 55, 2, ["city", "pop"]), (55, 83, 2, ["city", "pop"])]
+    assert all(r.text.startswith("| city | pop |\n| --- | --- |\n") and r.is_table and r.table_has_header for r in rows)
+    assert [r.token_count for r in run(MD, 12, "token", "markdown")] == [42, 42, 43, 43]
     rows = run(HTML, 2, "row", "html")
-    assert [(r.start_idx, r.end_idx, r.token_count) for r in rows] == [(65, 129, 2), (129, 193, 2)] and rows[0].text.endswith("</tbody></table>")
+    at = [*[m.start() for m in re.finditer("<tr><td>", HTML)], HTML.index("</tbody>")]
+    assert [(r.start_idx, r.end_idx, r.token_count) for r in rows] == [(at[0], at[2], 2), (at[2], at[4], 2)] and rows[0].text.endswith("</tbody></table>")
     assert run(MD) and run(HTML) and run("| head |\n| data |") == []
 
 
@@ -111,11 +165,11 @@ def test_tokenizers(spark):
 
     found, vocab = ids(["ab", "ba!"], tok.CHARACTER)
     assert found == {0: [0, 1], 1: [1, 0, 2]}
-    assert ids(["abba"], tok.CHARACTER)[0] == {0: [0, 1, 1, 0]}
+    assert ids(["cddc"], tok.CHARACTER)[0] == {0: [0, 1, 1, 0]}
     assert ids(["c!b"], tok.CHARACTER, vocab)[0] == {0: [3, 2, 1]}
-    assert ids(["run really really fast"], tok.WORD)[0] == {0: [0, 1, 1, 2]}
+    assert ids(["go slowly slowly now"], tok.WORD)[0] == {0: [0, 1, 1, 2]}
     wide = tok.Tokenizer(("!\n", ". ", "? ", " ", "\n", ".", "?", "!"), " ")
-    for text, tokenizer, n, back in (("One fish. Two fish!\nRed fish? Blue fish", wide, 8, "One fish Two fish Red fish Blue fish"), ("Hello world!\nHow are you? Fine.", tok.SENTENCE, 3, "Hello world. How are you. Fine"), ("a  b ", tok.WORD, 4, "a  b "), ("a\U0001f642b", tok.CHARACTER, 4, "a\U0001f642b")):
+    for text, tokenizer, n, back in (("Red hat. Blue hat!\nOld hat? New hat", wide, 8, "Red hat Blue hat Old hat New hat"), ("Come in!\nSit down? Good.", tok.SENTENCE, 3, "Come in. Sit down. Good"), ("a  b ", tok.WORD, 4, "a  b "), ("a\U0001f642b", tok.CHARACTER, 4, "a\U0001f642b")):
         docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
         assert docs.select(tokenizer.count(F.col("text"))).first()[0] == n == tokenizer.count_text(text)
         vocab = tok.vocabulary(docs, tokenizer)
@@ -130,12 +184,12 @@ def routed(spark, name, text, pages=None):
 
 
 def test_router(spark):
-    rows = routed(spark, "grades.md", MD)
+    rows = routed(spark, "cities.md", MD)
     assert len(rows) == 2 and all("| --- |" in r.text and r.chunk_strategy == "table" for r in rows)
-    rows = routed(spark, "notes.md", "# Intro\nThis is normal markdown prose.\n- item one\n- item two\n")
+    rows = routed(spark, "notes.md", "# Title\nPlain words only.\n* a point\n* a second\n")
     assert rows and not any("| --- |" in r.text for r in rows)
     table = "\n\n| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 4 |\n\n"
-    rows = routed(spark, "weekly-report.md", "Before" + table + "Between" + table + "After")
+    rows = routed(spark, "towns.md", "Before" + table + "Between" + table + "After")
     assert [r.chunk_strategy for r in rows] == ["recursive", "table", "recursive", "table", "recursive"]
     assert [r.chunk_index for r in rows] == list(range(5)) and {r.chunk_count for r in rows} == {5}
     assert [r.text for r in routed(spark, "t.md", "a\n\n| x | y |\n| --- | --- |\n\nb")] == ["a", "b"]

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkmill.functions import text as T
+from chunkmill.functions import tokenizers
 from chunkmill.operators import chat, retrieve, uploads
-from chunkmill.sources import files
+from chunkmill.sources import files, staging
 from chunkmill.sources.collection import Collection, list_documents, summary, where_file
 from chunkmill.streaming import jobs
 
@@ -110,6 +111,68 @@ def test_collection(spark, tmp_path):
     assert own.drop() == "docs" and own.read() is None
 
 
+def test_collection_of_two_writers_and_vacuum(spark, tmp_path):
+    own, other = Collection(spark, str(tmp_path), "docs", 4), Collection(spark, str(tmp_path), "docs", 4)
+    rows = spark.createDataFrame([(f"d{i}", f"text {i}") for i in range(40)], "id string, document string")
+    own.upsert(rows)
+    version, folders = own.current()
+    assert own.publish(version + 1, folders) and not other.publish(version + 1, folders)
+    one = spark.createDataFrame([("d7", "changed")], "id string, document string")
+    other.upsert(one)
+    after = other.current()[1]
+    assert sum(after[b] != folders[b] for b in folders) == 1  # one bucket is written anew
+    assert own.count() == 40 and own.read().filter("id = 'd7'").first().document == "changed"
+    for _ in range(3):
+        own.upsert(one)
+    assert own.vacuum(1) == 3 and own.vacuum(1) == 0 and own.count() == 40 and len(own.versions()) == 1
+
+
+def test_running_total_of_sparse_orders(spark):
+    rng = np.random.default_rng(2)
+    orders = np.unique(rng.integers(-(10**15), 10**15, 500))
+    n = rng.integers(0, 9, len(orders))
+    counts = spark.createDataFrame([(int(o), int(x)) for o, x in zip(orders, n)], "o long, n long").repartition(5)
+    found = {r.o: r.before for r in tokenizers.running_total(counts, "o", "n").collect()}
+    assert found == dict(zip(orders.tolist(), (np.cumsum(n) - n).tolist()))
+
+
+def test_retrieval_by_text_with_filters_and_metadata(spark):
+    rows = [("a", "red apples here", "x"), ("b", "red apples here", "y"), ("c", "blue sky", "x"), ("d", None, "x")]
+    records = retrieve.embed(spark.createDataFrame(rows, "id string, document string, kind string"), retrieve.hashing_embedder(16), "document")
+    asked = spark.createDataFrame([(1, "red apples here"), (2, "blue sky")], "query_id long, text string")
+    found = retrieve.retrieve_texts(records, asked, retrieve.hashing_embedder(16), 1, where=F.col("kind") == "x").collect()
+    assert {(r.query_id, r.id, r.document, r.kind, r.rank) for r in found} == {(1, "a", "red apples here", "x", 1), (2, "c", "blue sky", "x", 1)}
+    found = retrieve.retrieve_texts(records, asked, retrieve.hashing_embedder(16), 5, where_document="sky").collect()
+    assert {(r.query_id, r.id) for r in found} == {(1, "c"), (2, "c")}
+
+
+def test_streams_of_built_in_aggregates(spark, tmp_path):
+    rows = parts(spark, (0, 2, b"x"), (1, 2, b"B"), (0, 2, b"A"))
+    for i in range(3):
+        rows.filter(F.col("seq") == i).write.mode("append").json(f"{tmp_path}/sent")
+    stream = spark.readStream.schema(files.PART_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/sent")
+    states = jobs.run_until_done(jobs.assembled_states(stream), f"file://{tmp_path}/run")
+    last = states.groupBy("file_id").agg(F.max_by("parts", F.struct("last", "batch")).alias("parts")).select("file_id", F.inline("parts"))
+    assert bytes(uploads.assemble(last).first().content) == b"AB"
+
+
+def test_staging_on_a_cluster_wants_a_shared_folder():
+    class Session:
+        conf, sparkContext = {}, type("C", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_dir(Session)
+
+
+def test_long_sessions_and_many_parts(spark):
+    tools = [("tool-call-start", {"id": f"t{i % 50}", "name": "n"}) for i in range(2000)] + [("tool-execution-complete", {"id": f"t{i}", "result": "r", "success": True}) for i in range(50)]
+    r = folded(spark, *tools)
+    assert len(r.segments) == 2000 and all(s.tool.status == "complete" for s in r.segments)
+    n = spark.range(1).select(T.starts_of(F.sequence(F.lit(1), F.lit(5000))).alias("s")).first().s
+    assert n == (np.cumsum(np.arange(1, 5001)) - np.arange(1, 5001)).tolist()
+    assert spark.range(1).select(T.starts_of(F.array().cast("array<int>")).alias("s")).first().s == []
+
+
 def test_top_k(spark):
     e = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 2.0])], "id string, embedding array<float>")
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, embedding array<float>")
