@@ -21,10 +21,8 @@ def fast_sql(source: str, size: int, delimiters: str) -> str:
     return f"""WITH RECURSIVE s AS MATERIALIZED ({source}),
 u AS (SELECT doc_id, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM s WHERE length(t) > 0),
 c AS MATERIALIZED (SELECT doc_id, i, c, CAST(sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM u),
-w AS (SELECT doc_id, i, upto - strlen(c) AS low, upto - strlen(c) + {size} AS most FROM c),
-m AS (SELECT w.*, d.i AS mark, d.upto AS mark_upto FROM w ASOF LEFT JOIN (SELECT * FROM c WHERE c IN ({marks})) d ON w.doc_id = d.doc_id AND w.most >= d.upto),
-e AS (SELECT m.*, x.i AS fits FROM m ASOF LEFT JOIN c x ON m.doc_id = x.doc_id AND m.most >= x.upto),
-p AS MATERIALIZED (SELECT doc_id, i - 1 AS a, CASE WHEN mark_upto > low + 1 THEN mark WHEN fits >= i THEN fits ELSE i END AS b FROM e),
+w AS (SELECT doc_id, i, max(i) OVER inside AS fits, max(CASE WHEN c IN ({marks}) THEN i END) OVER inside AS mark FROM c WINDOW inside AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN CURRENT ROW AND greatest({size} - strlen(c), 0) FOLLOWING)),
+p AS MATERIALIZED (SELECT doc_id, i - 1 AS a, CASE WHEN mark > i THEN mark ELSE fits END AS b FROM w),
 r AS (SELECT doc_id, 0 AS i, a, b FROM p WHERE a = 0 UNION ALL SELECT p.doc_id, r.i + 1, p.a, p.b FROM r JOIN p ON p.doc_id = r.doc_id AND p.a = r.b)
 SELECT doc_id, i, a AS start_idx, b AS end_idx, b - a AS n FROM r"""
 

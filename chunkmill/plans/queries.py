@@ -416,7 +416,7 @@ def c4_recursive_rebuilt(spark, sf_dir):
     return rebuilt(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), RecursiveConfig(120, 1, (Rule(("\n",)), Rule((". ", ", ")), Rule(whitespace=True), Rule()))))
 
 
-GROUPS_SQL = """t AS (SELECT l_orderkey AS doc_id, {row} AS row, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i FROM lineitem),
+GROUPS_SQL = """t AS (SELECT l_orderkey AS doc_id, {row} AS row, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {row}) - 1 AS i FROM lineitem),
 o AS (SELECT *, CAST(sum(length(row)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) + {head} AS e FROM t)
 SELECT doc_id, CAST(i // 2 AS INT) AS chunk_index, CAST(min(i) AS INT) AS table_row_start, CAST(max(i) AS INT) AS table_row_end, CAST(min(e - length(row)) AS BIGINT) AS start_idx, max(e) AS end_idx, count(*) AS token_count, md5({before} || string_agg(row, '' ORDER BY i) || {after}) AS digest FROM o GROUP BY doc_id, i // 2"""
 
