@@ -1,38 +1,19 @@
-"""What several operators share: the shared working folder and staged tables."""
+"""What several operators share: staged tables, texts, row keys, and columns of any name."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import new_folder, stage_table
+
+__all__ = ["SPACE_RUN", "WORD", "free_names", "nested", "new_folder", "numbered", "one_space", "quoted", "row_hash", "row_key", "stage_table", "table", "text_of"]
+
 #: White space of the text contracts: space and U+0009 to U+000D. A plain single space needs no replacing.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/chunkmill/{name}-{uuid.uuid4().hex}"
-
-
-def stage_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
