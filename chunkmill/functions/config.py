@@ -1,4 +1,7 @@
-"""Settings of the chunkers, checked on the driver before a plan is built."""
+"""Settings of the chunkers, checked on the driver before a plan is built.
+
+Fixed values, for equal results: the default sizes, delimiters and rules, the playground's sizes, and the messages.
+"""
 
 from __future__ import annotations
 

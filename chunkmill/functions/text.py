@@ -45,7 +45,7 @@ def utf16_length(text: Column) -> Column:
 
 
 def delimiter_pattern(delimiters: Sequence[str]) -> str:
-    """Alternatives longest first, the order of equals kept."""
+    """Alternatives longest first, the order of equals kept. The characters that get a backslash."""
     return "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", d) for d in sorted(delimiters, key=len, reverse=True))
 
 
