@@ -4,7 +4,7 @@ A word is read as up to three features: its letters in lower case, its shape (ca
 symbols at its edges. Features fall into ``BUCKETS`` by hash, so every feature of every corpus has one and the model's
 size is fixed. A bucket has a sparse ternary index vector; its context vector is the sum of the index vectors of the
 features in the words around it, gathered in tasks over **all** documents; its vector is the index vector plus the
-normed context vector. A word is the mean of its features' vectors, rounded to whole 1/``SCALE``, so that sums agree in
+normed context vector. A word is the mean of its features' vectors, which are rounded to whole ``PARTS_OF_ONE``, so that sums agree in
 any order. A document is the mean of its words' vectors, once over all occurrences and once over the distinct
 words, with the shares of distinct words and of words that repeat the one before.
 
@@ -36,18 +36,20 @@ from pyspark.sql import functions as F
 from .common import numbered, stage_table, text_of
 
 FIT_ROWS, FIT_TASKS, FEWEST = 6144, 24, 50
-DIMENSIONS, NONZERO, WINDOW, HIDDEN = 64, 6, 2, 32
+DIMENSIONS, NONZERO, WINDOW, HIDDEN = 32, 4, 2, 32
 #: Buckets of a word's letters, of symbols, of shapes.
 WIDTHS = {"letters": 12_288, "symbols": 3072, "shape": 1024}
 BUCKETS = sum(WIDTHS.values())
 #: The bucket of no feature: its vector is zero.
 NONE = BUCKETS
-SCALE = 1 << 12
+#: Parts of a vector's 1; a word's vector is in sixths of them, so that the mean of one to three features is whole.
+PARTS_OF_ONE = 1 << 10
+SCALE = 6 * PARTS_OF_ONE
 THRESHOLD, FOLDS, SEED = 0.3, 5, 8
 #: Different words whose buckets a worker keeps; beyond, it starts over.
 CACHE = 3 << 18
 #: Words whose vectors are gathered at once.
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 #: Standard deviations beyond which an input counts as this many.
 CLIP = 5
 
@@ -81,13 +83,13 @@ def features(word: bytes) -> tuple[int, int, int]:
 def index_vectors() -> np.ndarray:
     """Sparse vectors of whole numbers, fixed by the bucket's number: ``NONZERO`` places of +1 or -1. The last one, of no feature, is zero."""
     x = np.arange(BUCKETS, dtype=np.uint64) + np.uint64(SEED << 32)
-    out, rows = np.zeros((BUCKETS + 1, DIMENSIONS), np.int16), np.arange(BUCKETS)
+    out, rows = np.zeros((BUCKETS + 1, DIMENSIONS), np.float32), np.arange(BUCKETS)
     for _ in range(NONZERO):  # the steps of the SplitMix64 generator
         x = x + np.uint64(0x9E3779B97F4A7C15)
         z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         z = z ^ (z >> np.uint64(31))
-        out[rows, (z >> np.uint64(1)) % np.uint64(DIMENSIONS)] += np.where(z & np.uint64(1), 1, -1).astype(np.int16)
+        out[rows, (z >> np.uint64(1)) % np.uint64(DIMENSIONS)] += np.where(z & np.uint64(1), np.float32(1), np.float32(-1))
     return out
 
 
@@ -136,10 +138,16 @@ def words_of_worker() -> Words:
 
 
 def add_by_key(out: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:
+    """Add rows of whole numbers, whose sums stay below 2^24 and so are exact as floats, to ``out`` by key; the key of no feature is left out."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
+    if keys[-1] == NONE:
+        n = int(np.searchsorted(keys, NONE))
+        order, keys = order[:n], keys[:n]
+    if not len(keys):
+        return
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    out[keys[starts]] += np.add.reduceat(rows[order], starts, axis=0, dtype=out.dtype)
+    out[keys[starts]] += np.add.reduceat(rows[order], starts, axis=0).astype(out.dtype)
 
 
 class Contexts:
@@ -161,19 +169,22 @@ class Contexts:
         """The words around ``n`` words from ``skip`` on."""
         names, at = np.unique(numbers, return_inverse=True)
         keys = self.words.keys[names]
-        run = self.index[keys].sum(axis=1, dtype=np.int16)[at]
+        run = (self.index[keys[:, 0]] + self.index[keys[:, 1]] + self.index[keys[:, 2]])[at]
         around = np.zeros_like(run)
         for k in range(1, WINDOW + 1):
             around[k:] += run[:-k]
             around[:-k] += run[k:]
-        per_word = np.zeros((len(names), DIMENSIONS), np.int32)
-        add_by_key(per_word, at[skip : skip + n], around[skip : skip + n])
-        for own in keys.T:
+        at, around = at[skip : skip + n], around[skip : skip + n]
+        order = np.argsort(at, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+        met = at[order[starts]]
+        per_word = np.add.reduceat(around[order], starts, axis=0)
+        for own in keys[met].T:
             add_by_key(self.sums, own, per_word)
 
 
 def word_vectors(texts: DataFrame) -> np.ndarray:
-    """Random indexing over ``body``: a bucket's index vector plus the normed sum of those in the words around it, in whole 1/``SCALE``.
+    """Random indexing over ``body``: a bucket's index vector plus the normed sum of those in the words around it, in whole ``PARTS_OF_ONE``.
 
     Tasks read the texts; only the buckets' sums, of fixed size, come to the driver.
     """
@@ -202,7 +213,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
 
 def whole_vectors(sums: np.ndarray) -> np.ndarray:
     own = index_vectors() / np.sqrt(NONZERO) + sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)
-    return np.rint(own * SCALE).astype(np.int32)
+    return np.rint(own * PARTS_OF_ONE).astype(np.int32)
 
 
 class Pools:
@@ -213,8 +224,8 @@ class Pools:
 
     def of_words(self, names: np.ndarray) -> np.ndarray:
         keys = self.words.keys[names]
-        n = (keys != NONE).sum(axis=1)
-        return (self.vectors[keys].sum(axis=1) // np.maximum(n, 1)[:, None]).astype(np.int32)
+        sixths = np.array([6, 6, 3, 2], np.int32)[(keys != NONE).sum(axis=1)]
+        return (self.vectors[keys[:, 0]] + self.vectors[keys[:, 1]] + self.vectors[keys[:, 2]]) * sixths[:, None]
 
     def pooled(self, bodies: list[bytes]) -> np.ndarray:
         """Per text the mean over occurrences, the mean over distinct words, and the shares of distinct and of repeated words."""

@@ -156,7 +156,7 @@ def brute_pooled(text, vectors):
 
     def of(w):
         own = [k for k in quality.features(w) if k != quality.NONE]
-        return sum(vectors[k].astype(int) for k in own) // len(own)
+        return sum(vectors[k].astype(int) for k in own) * (6 // len(own))
 
     total, distinct = sum(map(of, words)), sum(map(of, set(words)))
     again = sum(a == b for a, b in zip(words, words[1:]))
