@@ -108,7 +108,7 @@ def decided(spark: SparkSession, docs: DataFrame, row: Column, id_col: str, text
     offsets = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "source_rank"), F.lit(1 << 20)) / F.lit(float(1 << 20)) for k in range(DRAWS)]
     taken = at.groupBy("source_rank").agg(F.max("target").alias("target"), *[F.sum(copies(o) * F.col("size")).alias(f"t{k}") for k, o in enumerate(offsets)])
     nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(offsets)]))
-    drawn = taken.select("source_rank", nearest["offset"].alias("offset"))
+    drawn = stage_table(spark, taken.select("source_rank", nearest["offset"].alias("offset")), "mix-offsets")  # its size is known to the join
     found = at.join(drawn, "source_rank").withColumn("copies", copies(F.col("offset")))
     return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.col("key").alias("row_key"))
 
