@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat_windows, exact_dedup, mixing, pii, quality, secrets, sentencepiece_nbest, simhash, token_files
+from . import alignment, ann, chat_windows, exact_dedup, mixing, pii, quality, secrets, sentencepiece_nbest, simhash, token_counts, token_files, vector_codes
 from .common import table
 
 
@@ -56,5 +56,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_secret_scan, op5_sentencepiece, op6_chat_format, op7_ann, op8_quality, op9_token_ids, op10_simhash)}
-ORACLES = {"op1_exact_dedup": exact_dedup.SQL.format(docs="documents")}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.alignment_report(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(spark, table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mix_sources, op3_pii, op4_secret_scan, op5_sentencepiece, op6_chat_format, op7_ann, op8_quality, op9_token_ids, op10_simhash, op11_token_counts, op12_alignment, op13_vector_codes)}
+ORACLES = {"op1_exact_dedup": exact_dedup.SQL.format(docs="documents"), "op13_vector_codes": vector_codes.SQL.format(rows="embeddings")}
