@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The characters that JavaScript's trim and \s take as white space.
 JS_SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+LINE_ENDS = r"\n\r\u2028\u2029"
 #: MIME types by extension; accepted types and extensions; limits.
 MIME_TYPES = {".pdf": "application/pdf", ".txt": "text/plain", ".md": "text/markdown", ".csv": "text/csv"}
 DEFAULT_MIME = "application/octet-stream"
@@ -18,14 +20,12 @@ PART_BYTES = 512 * 1024
 FAST_THRESHOLD = 100_000
 PREVIEW_CHARS = 180
 
-#: For Python's re: a separator line of a Markdown table, and a pipe line.
-PY_SPACE = f"[{JS_SPACE}]"
-SEPARATOR = rf"\|?{PY_SPACE}*:?-{{3,}}:?{PY_SPACE}*(?:\|{PY_SPACE}*:?-{{3,}}:?{PY_SPACE}*)+\|?"
-PIPE_LINE = r"\|[^\n\r\u2028\u2029]*\|"
+#: One cell of a Markdown separator line.
+CELL = r":?-{3,}:?"
 
 
 def js_trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{JS_SPACE}]+|[{JS_SPACE}]+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
@@ -77,8 +77,8 @@ def split_lines(text: Column) -> Column:
 INNER = 256
 
 
-def starts_of(steps: Column) -> Column:
-    """Of whole numbers the sum of those before each: in arrays of ``INNER``, so that no long array is built up item by item."""
+def starts_of(values: Column) -> Column:
+    """Of whole numbers the sum of those before each: in arrays of ``INNER``, so that no long array is built up item by item. The numbers are bound once."""
 
     def one(state: Column, n: Column) -> Column:
         return F.struct((state["at"] + n).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
@@ -87,9 +87,11 @@ def starts_of(steps: Column) -> Column:
         inner = F.aggregate(part, F.struct(state["at"].alias("at"), F.array().cast("array<int>").alias("out")), one)
         return F.struct(inner["at"].alias("at"), F.concat(state["out"], F.array(inner["out"])).alias("out"))
 
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / INNER).cast("int")), lambda i: F.slice(steps, i * INNER + 1, INNER))
-    summed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")), many)
-    return F.when(F.size(steps) > 0, F.flatten(summed["out"])).otherwise(F.array().cast("array<int>"))
+    def summed(steps: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / INNER).cast("int")), lambda i: F.slice(steps, i * INNER + 1, INNER))
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")), many)["out"])
+
+    return F.element_at(F.transform(F.array(values), lambda steps: F.when(F.size(steps) > 0, summed(steps)).otherwise(F.array().cast("array<int>"))), 1)
 
 
 def with_offsets(parts: Column) -> Column:
@@ -109,17 +111,23 @@ def mime_type(name: Column) -> Column:
 
 
 def looks_like_markdown_table(text: Column) -> Column:
-    """Some pipe line and some separator line."""
-    line = lambda p: rf"(?:\A|[\n\r\u2028\u2029])[{JS_SPACE}]*{p}[{JS_SPACE}]*(?:\z|[\n\r\u2028\u2029])"
-    return F.rlike(text, F.lit(line(PIPE_LINE))) & F.rlike(text, F.lit(line(SEPARATOR)))
+    """Some pipe line and some separator line. The latter's cells may stand on several lines, which matters only for two of one cell each."""
+    lines = F.split(text, f"[{LINE_ENDS}]", -1)
+    space, inside = f"[{JS_SPACE}]*+", f"(?:(?![{LINE_ENDS}])[{JS_SPACE}])*+"
+    cell = CELL.replace("}", "}+")
+    broken = rf"(?:\A|[{LINE_ENDS}]){inside}(?:\|{space})?+{cell}{space}\|{space}{cell}{inside}(?:\|{inside})?+(?:\z|[{LINE_ENDS}])"
+    return F.exists(lines, is_pipe_line) & (F.exists(lines, is_separator_line) | F.rlike(text, F.lit(broken)))
 
 
 def is_pipe_line(line: Column) -> Column:
-    return F.rlike(line, F.lit(rf"\A[{JS_SPACE}]*{PIPE_LINE}[{JS_SPACE}]*\z"))
+    own = js_trim(line)
+    return F.startswith(own, F.lit("|")) & F.endswith(own, F.lit("|")) & (F.length(own) > 1) & ~F.rlike(own, F.lit(f"[{LINE_ENDS}]"))
 
 
 def is_separator_line(line: Column) -> Column:
-    return F.rlike(line, F.lit(rf"\A[{JS_SPACE}]*{SEPARATOR}[{JS_SPACE}]*\z"))
+    """Two cells of dashes at least, whose pipes may enclose the line. Cells are looked at one by one, so that a line costs no more than its length."""
+    inner = F.regexp_replace(F.regexp_replace(js_trim(line), r"^\|", ""), r"\|\z", "")
+    return F.contains(line, F.lit("---")) & (F.size(F.split(inner, r"\|", 3)) > 1) & F.forall(F.split(inner, r"\|", -1), lambda c: F.rlike(js_trim(c), F.lit(rf"\A{CELL}\z")))
 
 
 def strategy(name: Column, text: Column, fast_threshold: int = FAST_THRESHOLD) -> Column:

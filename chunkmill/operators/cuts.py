@@ -7,24 +7,36 @@ units where a text needs it.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 
 from ..functions.config import FastConfig, RecursiveConfig, SentenceConfig, TableConfig
-from ..functions.text import PY_SPACE, SEPARATOR, delimiter_pattern
+from ..functions.text import CELL, JS_SPACE, LINE_ENDS, SPACES, delimiter_pattern
 from ..functions.tokenizers import Tokenizer
 
-EDGES = re.compile(rf"\A{PY_SPACE}+|{PY_SPACE}+\Z")
-SPACES = re.compile(f"{PY_SPACE}+")
-SEPARATOR_ROW = re.compile(SEPARATOR)
+RUNS = re.compile(f"[{JS_SPACE}]+")
+SEPARATOR_CELL = re.compile(CELL)
+OTHER_ENDS = re.compile(f"[{LINE_ENDS}]")
 
 Chunk = tuple[str, int, int, int, dict | None]
 
 
 def trim(text: str) -> str:
-    return EDGES.sub("", text)
+    return text.strip(SPACES)
+
+
+def is_pipe(line: str) -> bool:
+    own = trim(line)
+    return len(own) > 1 and own[0] == own[-1] == "|" and OTHER_ENDS.search(own) is None
+
+
+def is_separator(line: str) -> bool:
+    """Two cells of dashes at least, whose pipes may enclose the line."""
+    cells = trim(line).removeprefix("|").removesuffix("|").split("|")
+    return len(cells) > 1 and all(SEPARATOR_CELL.fullmatch(trim(c)) for c in cells)
 
 
 def in_utf16(text: str, chunks: list[Chunk]) -> list[Chunk]:
@@ -135,7 +147,7 @@ def recursive(text: str, config: RecursiveConfig) -> list[Chunk]:
         if not rule.delimiters and not rule.whitespace:
             out += [c for a, b in todo for c in token_windows(text[a:b], a, size, config.tokenizer)]
             return sorted(out, key=lambda c: c[1])
-        pattern = re.compile(delimiter_pattern(rule.delimiters)) if rule.delimiters else SPACES
+        pattern = re.compile(delimiter_pattern(rule.delimiters)) if rule.delimiters else RUNS
         about = {"recursive_rule_level": level, "recursive_rule_type": "delimiter" if rule.delimiters else "whitespace"}
         if rule.delimiters:
             about["recursive_delimiter"] = "|".join(rule.delimiters)
@@ -160,59 +172,75 @@ def recursive(text: str, config: RecursiveConfig) -> list[Chunk]:
     return sorted(out, key=lambda c: c[1])
 
 
-def lower_ascii(text: str) -> str:
-    return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
+#: Where tags of a table begin or end, and where any tag closes.
+TAGS = re.compile(r"</?table|</?tbody|</?tr|>", re.I | re.A)
+TABLE_START = re.compile("<table", re.I | re.A)
 
 
 def parse_markdown(text: str) -> tuple | None:
-    """(header, columns, row spans, footer) of the first table with rows."""
+    """(header, columns, row spans, footer) of the first table with rows: they reach from a separator line to the next blank line."""
     lines = [m.span() for m in re.finditer(r"[^\n]*\n|[^\n]+", text)]
+    blank = [i for i, (a, b) in enumerate(lines) if not trim(text[a:b])]
     for i in range(1, len(lines)):
-        if len(lines) < 3 or not SEPARATOR_ROW.fullmatch(trim(text[slice(*lines[i])])):
+        if "---" not in text[lines[i][0] : lines[i][1]] or not is_separator(text[lines[i][0] : lines[i][1]]):
             continue
-        end = i + 1
-        while end < len(lines) and trim(text[slice(*lines[end])]):
-            end += 1
-        if end > i + 1:
-            head = re.sub(r"\|\Z", "", re.sub(r"\A\|", "", trim(text[slice(*lines[i - 1])])))
-            columns = [c for c in map(trim, head.split("|")) if c]
-            return text[lines[i - 1][0] : lines[i][1]], columns, lines[i + 1 : end], ""
+        k = bisect_right(blank, i)
+        rows = lines[i + 1 : blank[k] if k < len(blank) else len(lines)]
+        if rows:
+            cells = trim(text[lines[i - 1][0] : lines[i - 1][1]]).removeprefix("|").removesuffix("|").split("|")
+            return text[lines[i - 1][0] : lines[i][1]], [c for c in map(trim, cells) if c], rows, ""
     return None
 
 
+class Tags:
+    """Positions of a text's table tags by kind, for looking up the first one from a place on."""
+
+    def __init__(self, text: str):
+        self.at: dict[str, list[int]] = {}
+        for m in TAGS.finditer(text):
+            kind = m[0].lower()
+            if kind[1:2] == "/" and text[m.end() : m.end() + 1] == ">":  # an end tag counts whole only; its > is found by itself
+                kind += ">"
+            self.at.setdefault(kind, []).append(m.start())
+
+    def first(self, kind: str, start: int, end: int) -> int | None:
+        """The first one with start <= position < end."""
+        found = self.at.get(kind, [])
+        k = bisect_left(found, start)
+        return found[k] if k < len(found) and found[k] < end else None
+
+
 def parse_html(text: str) -> tuple | None:
-    """(header, no columns, row spans, footer) of the first table element with rows."""
-    low = lower_ascii(text)
-    start = low.find("<table")
-    opened = low.find(">", start) if start >= 0 else -1
-    closed = low.find("</table>", opened + 1) if opened >= 0 else -1
-    if closed < 0:
+    """(header, no columns, row spans, footer) of the first table element with rows: those of its first body, if it has one."""
+    tags, n = Tags(text), len(text)
+    start = tags.first("<table", 0, n)
+    inner = None if start is None else tags.first(">", start, n)
+    close = None if inner is None else tags.first("</table>", inner, n)
+    if close is None:
         return None
-    first, last = opened + 1, closed
-    body = low.find("<tbody", opened + 1)
-    if 0 <= body < closed:
-        first = low.find(">", body) + 1
-        if first == 0 or first - 1 > closed:
+    begin, end = inner + 1, close
+    body = tags.first("<tbody", begin, close)
+    if body is not None:
+        opened = tags.first(">", body, close + 1)
+        if opened is None:
             return None
-        end = low.find("</tbody>", first)
-        last = end if 0 <= end <= closed else closed
-    rows, at = [], first
-    while at < last:
-        a = low.find("<tr", at)
-        opened = low.find(">", a) if 0 <= a < last else -1
-        b = low.find("</tr>", opened + 1) if 0 <= opened < last else -1
-        if b < 0 or b + 5 > last:
+        begin = opened + 1
+        end = tags.first("</tbody>", begin, close) or close
+    rows: list[tuple[int, int]] = []
+    for row in tags.at.get("<tr", []):
+        if row < (rows[-1][1] if rows else begin) or row >= end:
+            continue
+        opened = tags.first(">", row, end)
+        last = None if opened is None else tags.first("</tr>", opened, end - len("</tr>") + 1)
+        if last is None:
             break
-        rows.append((a, b + 5))
-        at = b + 5
-    if not rows:
-        return None
-    return text[start : rows[0][0]], [], rows, text[rows[-1][1] : closed + len("</table>")]
+        rows.append((row, last + len("</tr>")))
+    return (text[start : rows[0][0]], [], rows, text[rows[-1][1] : close + len("</table>")]) if rows else None
 
 
 def table(text: str, config: TableConfig) -> list[Chunk]:
     """Groups of rows, each between the table's header and footer."""
-    kind = config.format if config.format != "auto" else "html" if "<table" in lower_ascii(text) else "markdown"
+    kind = config.format if config.format != "auto" else "html" if TABLE_START.search(text) else "markdown"
     parsed = parse_html(text) if kind == "html" else parse_markdown(text)
     if parsed is None:
         return []
@@ -240,15 +268,24 @@ def table(text: str, config: TableConfig) -> list[Chunk]:
     return out
 
 
-#: White space inside a line, and a whole table: a pipe line, a separator line, pipe lines.
-IN_LINE = PY_SPACE.replace(r"\n", "")
-PIPE = rf"{IN_LINE}*\|[^\n\r\u2028\u2029]*\|{IN_LINE}*"
-WHOLE_TABLE = re.compile(rf"^{PIPE}\n{IN_LINE}*{SEPARATOR.replace(PY_SPACE, IN_LINE)}{IN_LINE}*(?:\n{PIPE})*(?=\n|\Z)", re.M)
+def markdown_tables(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of whole tables, without the last line's end: a pipe line, a separator line, and the pipe lines that follow."""
+    lines, at = text.split("\n"), 0
+    starts = [0, *accumulate(len(line) + 1 for line in lines)]
+    while at + 1 < len(lines):
+        if not (is_pipe(lines[at]) and is_separator(lines[at + 1])):
+            at += 1
+            continue
+        end = at + 2
+        while end < len(lines) and is_pipe(lines[end]):
+            end += 1
+        yield starts[at], starts[end] - 1
+        at = end
 
 
 def markdown_segments(text: str) -> list[tuple[str, str]]:
     """(kind, text): tables and the prose between, blank ones left out; the line end between them belongs to the table."""
-    found = [m.span() for m in WHOLE_TABLE.finditer(text)]
+    found = list(markdown_tables(text))
     gaps = zip([0, *(b + 1 for _, b in found)], [*(a - 1 for a, _ in found), len(text)])
     prose = [("text", text[a : max(a, b)]) for a, b in gaps]
     tables = [("table", text[a:b] + "\n") for a, b in found]

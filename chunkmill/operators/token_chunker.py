@@ -43,14 +43,27 @@ def chunk(text: Column, start: Column, count: Column) -> Column:
 
 
 def character_windows(text: Column, size: int, stride: int) -> Column:
-    """Characters need no running sum: a window starts at its number times the stride."""
-    def one(s: Column, k: Column) -> Column:
-        piece = F.substr(s["text"], (k * stride + 1).cast("int"), F.lit(size))
-        start = F.when(s["narrow"], k * stride).otherwise(utf16_length(F.substr(s["text"], F.lit(1), (k * stride).cast("int"))))
-        return chunk(piece, start, F.when(s["narrow"], F.length(piece)).otherwise(utf16_length(piece)))
-
-    known = F.struct(text.alias("text"), F.length(text).alias("n"), (F.length(text) == utf16_length(text)).alias("narrow"))
-    return bound(known, lambda s: F.transform(window_numbers(s["n"], size, stride), lambda k: one(s, k)))
+    """Characters need no running sum where each is a byte: a window is cut by its place. Other texts are first cut into parts of a
+    stride's length; a window joins the parts that it reaches into, so that none is looked for from the text's start."""
+
+    def narrow(s: Column) -> Column:
+        def one(k: Column) -> Column:
+            start, n = k * stride, F.least(F.lit(size), s["n"] - k * stride)
+            return F.struct(F.substr(s["bytes"], start + 1, F.lit(size)).cast("string").alias("text"), start.alias("start_idx"), (start + n).alias("end_idx"), n.alias("token_count"))
+
+        return F.transform(window_numbers(s["n"], size, stride), one)
+
+    def wide(s: Column) -> Column:
+        numbers = window_numbers(s["n"], size, stride)
+        joined = lambda k: F.substr(F.array_join(F.slice(s["parts"], k + 1, -(-size // stride)), ""), F.lit(1), F.lit(size))
+        sized = F.transform(F.transform(numbers, joined), lambda t: F.struct(t.alias("text"), utf16_length(t).alias("n")))
+        starts = F.slice(starts_of(F.transform(s["parts"], utf16_length)), F.lit(1), F.size(numbers))
+        return F.zip_with(sized, starts, lambda w, at: F.struct(w["text"].alias("text"), at.alias("start_idx"), (at + w["n"]).alias("end_idx"), w["n"].alias("token_count")))
+
+    n = F.length(text)
+    plain = F.struct(n.alias("n"), text.cast("binary").alias("bytes"))
+    cut = F.struct(n.alias("n"), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{stride}}}"), F.lit(0)).alias("parts"))
+    return F.when(n == F.octet_length(text), bound(plain, narrow)).otherwise(bound(cut, wide))
 
 
 def joined_windows(tokenizer: Tokenizer, tokens: Column, size: int, stride: int, over: int) -> Column:
