@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+import json
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -19,24 +21,42 @@ STATE = (
 )
 STATE_FIELDS = ("_tag", "segments", "thinking", "current_iteration", "finish_reason", "prompt_tokens", "completion_tokens", "total_tokens", "error_message", "recoverable")
 TOOL_EVENTS = ("tool-call-delta", "tool-call-complete", "tool-execution-start", "tool-execution-complete")
+#: What an event has besides its session, number and tag.
+EVENT_FIELDS = {
+    "delta": "string", "message": "string", "iteration": "int", "id": "string", "name": "string", "arguments_delta": "string", "arguments": "string", "result": "string",
+    "success": "boolean", "finish_reason": "string", "prompt_tokens": "bigint", "completion_tokens": "bigint", "total_tokens": "bigint", "recoverable": "boolean",
+}
+EVENTS = "session_id string, seq long, _tag string, " + ", ".join(f"{k} {t}" for k, t in EVENT_FIELDS.items())
 
 
-def initial_state() -> dict:
-    """A session's state; ``by_id`` has the tools of its segments, and isn't part of what comes out."""
-    return dict.fromkeys(STATE_FIELDS) | {"_tag": "initial", "segments": [], "by_id": {}}
+class Segments:
+    """A session's segments in order, and the tools among them by id. Whoever asks for one may change it."""
 
+    def __init__(self):
+        self.clear()
 
-def loaded(state: dict) -> dict:
-    """A state from its fields."""
-    by_id: dict = {}
-    for s in state["segments"]:
-        if s["kind"] == "tool-call":
-            by_id.setdefault(s["tool"]["id"], []).append(s["tool"])
-    return state | {"by_id": by_id}
+    def clear(self) -> None:
+        self.items: list[dict] = []
+        self.by_id: dict[str | None, list[dict]] = {}
+
+    def last(self) -> dict | None:
+        return self.items[-1] if self.items else None
+
+    def add(self, segment: dict) -> None:
+        self.items.append(segment)
+        if segment["tool"] is not None:
+            self.by_id.setdefault(segment["tool"]["id"], []).append(segment["tool"])
+
+    def tools(self, tool_id: str | None) -> list[dict]:
+        return self.by_id.get(tool_id, [])
+
+
+def initial_state(segments: Segments | None = None) -> dict:
+    return dict.fromkeys(STATE_FIELDS) | {"_tag": "initial", "segments": segments or Segments()}
 
 
 def fields_of(state: dict) -> dict:
-    return {k: state[k] for k in STATE_FIELDS}
+    return {k: state[k] for k in STATE_FIELDS} | {"segments": state["segments"].items}
 
 
 def some(value):
@@ -57,19 +77,18 @@ def stream_on(state: dict, **changes) -> None:
 
 def step(state: dict, e: dict) -> dict:
     """The state after one event; it is changed in place, so an event costs the same however long the session is."""
-    tag, live = e["_tag"], state["_tag"] == "streaming"
-    last = state["segments"][-1] if state["segments"] else None
+    tag, live, segments = e["_tag"], state["_tag"] == "streaming", state["segments"]
+    last = segments.last() if tag in ("text-delta", "text-complete") else None
     opened = last is not None and last["kind"] == "text" and not last["is_complete"]
     if tag == "text-delta":
         if opened:
             last["content"] += some(e["delta"]) or ""
         else:
-            state["segments"].append({"kind": "text", "content": some(e["delta"]) or "", "is_complete": False, "tool": None})
+            segments.add({"kind": "text", "content": some(e["delta"]) or "", "is_complete": False, "tool": None})
         stream_on(state)
     elif tag == "tool-call-start":
         tool = {"id": some(e["id"]), "name": some(e["name"]), "arguments": None, "arguments_text": "", "status": "proposed", "result": None, "success": None}
-        state["segments"].append({"kind": "tool-call", "content": None, "is_complete": None, "tool": tool})
-        state["by_id"].setdefault(tool["id"], []).append(tool)
+        segments.add({"kind": "tool-call", "content": None, "is_complete": None, "tool": tool})
         stream_on(state)
     elif tag == "iteration-start":
         stream_on(state, current_iteration=int(e["iteration"]))
@@ -77,7 +96,7 @@ def step(state: dict, e: dict) -> dict:
         stream_on(state, thinking=some(e["message"]))
     elif tag in ("finish", "error"):
         if not live:
-            state["segments"], state["by_id"] = [], {}
+            segments.clear()
         if tag == "error":
             enter(state, "error", error_message=some(e["message"]), recoverable=some(e["recoverable"]))
         else:
@@ -87,7 +106,7 @@ def step(state: dict, e: dict) -> dict:
     elif live and tag == "iteration-end":
         state["current_iteration"] = None
     elif live and tag in TOOL_EVENTS:
-        for tool in state["by_id"].get(e["id"], ()):
+        for tool in segments.tools(some(e["id"])):
             tool.update(tool_change(tool, e))
     return state
 
@@ -140,51 +159,90 @@ def fold_chat(events: DataFrame) -> DataFrame:
     return merged_deltas(events).repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, STATE)
 
 
+class Loop:
+    """Where a session's model loop stands: the iteration, whether a part of it has come, its tool calls' arguments by id, and the next event's number."""
+
+    def __init__(self, iteration: int = 0, opened: bool = False, seq: int = 0):
+        self.iteration, self.opened, self.seq = iteration, opened, seq
+        self.calls: dict[str | None, str] = {}
+
+
+def json_object(text: str) -> str:
+    """A JSON object as it is; anything else as an empty one."""
+
+    def refuse(name: str):
+        raise ValueError(name)
+
+    try:
+        return text if isinstance(json.loads(text, parse_constant=refuse), dict) else "{}"
+    except (ValueError, RecursionError):
+        return "{}"
+
+
+def part_step(loop: Loop, p: dict, max_iterations: int) -> Iterator[dict]:
+    """The events of one model part; the loop is changed in place. A finish ends the iteration, and the next part opens another with calls of its own."""
+    kind, tool = p["type"], some(p["id"])
+    if not loop.opened:
+        loop.iteration, loop.opened = loop.iteration + 1, True
+        loop.calls.clear()
+        yield {"_tag": "iteration-start", "iteration": loop.iteration}
+    if kind == "text-delta":
+        yield {"_tag": "text-delta", "delta": some(p["delta"])}
+    elif kind == "tool-params-start":
+        loop.calls[tool] = ""
+        yield {"_tag": "tool-call-start", "id": tool, "name": some(p["name"])}
+    elif kind == "tool-params-delta" and tool in loop.calls:
+        loop.calls[tool] += some(p["delta"]) or ""
+        yield {"_tag": "tool-call-delta", "id": tool, "arguments_delta": some(p["delta"])}
+    elif kind == "tool-params-end" and tool in loop.calls:
+        yield {"_tag": "tool-call-complete", "id": tool, "arguments": json_object(loop.calls[tool])}
+        yield {"_tag": "tool-execution-start", "id": tool}
+    elif kind == "tool-result" and tool in loop.calls:
+        yield {"_tag": "tool-execution-complete", "id": tool, "result": some(p["result"]), "success": not some(p["is_failure"])}
+    elif kind == "error":
+        yield {"_tag": "error", "message": some(p["error"]), "recoverable": False}
+    elif kind == "finish":
+        loop.opened = False
+        reason, prompt, completion = some(p["reason"]), int(some(p["input_tokens"]) or 0), int(some(p["output_tokens"]) or 0)
+        if reason != "tool-calls":
+            yield {"_tag": "finish", "finish_reason": reason, "prompt_tokens": prompt, "completion_tokens": completion, "total_tokens": prompt + completion}
+        elif loop.iteration == max_iterations:
+            yield {"_tag": "thinking", "message": f"Reached maximum iterations ({max_iterations}). Stopping here."}
+
+
+def numbered_events(loop: Loop, session_id: str, parts: Iterable[dict], max_iterations: int) -> Iterator[dict]:
+    for p in parts:
+        for e in part_step(loop, p, max_iterations):
+            yield {"session_id": session_id, "seq": loop.seq} | e
+            loop.seq += 1
+
+
+#: Events of a batch that a fold hands on at once.
+FLUSH = 8192
+
+
 def part_events(parts: DataFrame, max_iterations: int = MAX_ITERATIONS) -> DataFrame:
-    """Model parts to chat events.
+    """Model parts to chat events, numbered per session.
 
     ``parts``: session_id, seq, type, id, name, delta, result, is_failure, reason, input_tokens, output_tokens, error.
-    Iterations end with a finish part; ``iteration-start`` opens each, and a thinking event tells of the limit.
-    Parts of a tool call that never started are dropped. Sequence numbers are renumbered per session.
+    Iterations end with a finish part; ``iteration-start`` opens each, and a thinking event tells of the limit. Parts of a
+    tool call that did not start in the same iteration are dropped. One shuffle: parts stream through a loop's state in sorted order.
     """
-    per = Window.partitionBy("session_id").orderBy("seq")
-    kind, iteration = F.col("type"), F.coalesce(F.sum((F.col("type") == "finish").cast("int")).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1
-    tool = Window.partitionBy("session_id", "id").orderBy("seq")
-    started = F.coalesce(F.max((kind == "tool-params-start").cast("int")).over(tool.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 1
-    deltas = parts.filter((kind == "tool-params-delta") & F.col("delta").isNotNull()).groupBy(F.col("session_id").alias("_session"), F.col("id").alias("_tool")).agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("_deltas"))
-    before = F.array_join(F.transform(F.filter("_deltas", lambda d: d["seq"] < F.col("seq")), lambda d: d["delta"]), "")
-    at_end = (kind == "tool-params-end") & (F.col("session_id") == F.col("_session")) & F.col("id").eqNullSafe(F.col("_tool"))
-    rows = parts.withColumn("iteration", iteration).withColumn("_started", started)
-    rows = rows.join(deltas, at_end, "left").withColumn("_args", F.when(kind == "tool-params-end", F.coalesce(before, F.lit("")))).drop("_session", "_tool", "_deltas")
-    rows = rows.withColumn("_first", F.row_number().over(Window.partitionBy("session_id", "iteration").orderBy("seq")) == 1)
-    rows = rows.withColumn("_last", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq"))) == 1)
-
-    def event(tag: str, **values: Column) -> Column:
-        wide = {"delta": "string", "message": "string", "iteration": "int", "id": "string", "name": "string", "arguments_delta": "string", "arguments": "string", "result": "string", "success": "boolean", "finish_reason": "string", "prompt_tokens": "long", "completion_tokens": "long", "total_tokens": "long", "recoverable": "boolean"}
-        return F.struct(F.lit(tag).alias("_tag"), *[(values.get(k, F.lit(None))).cast(t).alias(k) for k, t in wide.items()])
-
-    c = F.col
-    parsed = F.coalesce(F.when(F.try_parse_json(c("_args")).isNotNull() & c("_args").rlike(r"^\s*\{"), c("_args")), F.lit("{}"))
-    prompt, completion = F.coalesce("input_tokens", F.lit(0)), F.coalesce("output_tokens", F.lit(0))
-    none = F.array().cast(event_array(event("x")))
-    own = (
-        F.when(kind == "text-delta", F.array(event("text-delta", delta=c("delta"))))
-        .when(kind == "tool-params-start", F.array(event("tool-call-start", id=c("id"), name=c("name"))))
-        .when((kind == "tool-params-delta") & c("_started"), F.array(event("tool-call-delta", id=c("id"), arguments_delta=c("delta"))))
-        .when((kind == "tool-params-end") & c("_started"), F.array(event("tool-call-complete", id=c("id"), arguments=parsed), event("tool-execution-start", id=c("id"))))
-        .when((kind == "tool-result") & c("_started"), F.array(event("tool-execution-complete", id=c("id"), result=c("result"), success=~F.coalesce("is_failure", F.lit(False)))))
-        .when((kind == "finish") & ~c("reason").eqNullSafe("tool-calls"), F.array(event("finish", finish_reason=c("reason"), prompt_tokens=prompt, completion_tokens=completion, total_tokens=prompt + completion)))
-        .when(kind == "error", F.array(event("error", message=c("error"), recoverable=F.lit(False))))
-        .otherwise(none)
-    )
-    opening = F.when(c("_first"), F.array(event("iteration-start", iteration=c("iteration")))).otherwise(none)
-    limit = F.when(c("_last") & (kind == "finish") & (c("reason") == "tool-calls") & (c("iteration") >= max_iterations), F.array(event("thinking", message=F.concat(F.lit("Reached maximum iterations ("), F.lit(str(max_iterations)), F.lit("). Stopping here."))))).otherwise(none)
-    out = rows.select("session_id", F.col("seq").alias("_seq"), F.posexplode(F.concat(opening, own, limit)).alias("_at", "e"))
-    return out.select("session_id", (F.row_number().over(Window.partitionBy("session_id").orderBy("_seq", "_at")) - 1).cast("long").alias("seq"), "e.*")
-
+    arrow = to_arrow_schema(_parse_datatype_string(EVENTS))
 
-def event_array(event: Column) -> str:
-    return "array<struct<_tag:string,delta:string,message:string,iteration:int,id:string,name:string,arguments_delta:string,arguments:string,result:string,success:boolean,finish_reason:string,prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,recoverable:boolean>>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in b.to_pylist())
+        out: list[dict] = []
+        for session, own in itertools.groupby(rows, key=lambda r: r["session_id"]):
+            for e in numbered_events(Loop(), session, own, max_iterations):
+                out.append(e)
+                if len(out) == FLUSH:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return parts.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, EVENTS)
 
 
 def tool_calls(events: DataFrame) -> DataFrame:

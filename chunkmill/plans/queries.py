@@ -149,30 +149,73 @@ def io3_read_parts(spark, sf_dir):
     return last.groupBy("file_id").agg(F.count(F.lit(1)).cast("int").alias("parts"), F.sum(F.octet_length("bytes")).cast("long").alias("bytes"))
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(ceil(octet_length(encode(text)) / 512.0) AS INT) AS received, md5(text) AS digest FROM documents WHERE length(text) > 0")
+UPLOAD_PARTS_SQL = "SELECT doc_id, CAST(doc_id AS VARCHAR) AS file_id, text, CAST(ceil(octet_length(encode(text)) / {size}.0) AS INT) AS n FROM documents WHERE length(text) > 0"
+
+
+@query(
+    f"""WITH p AS ({UPLOAD_PARTS_SQL.format(size=512)}) SELECT file_id, n - 1 AS total_chunks, n AS received, true AS complete, CAST((n - 1) * 512 AS INT) AS bytes, md5(encode(text)[1 : (n - 1) * 512]) AS digest FROM p"""
+)
+def a4_surplus_parts(spark, sf_dir):
+    """The messages tell of one part more than there is, the last one of one part less: more parts than that have come, and the file goes on with those it tells of."""
+    own = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), "file_name", F.encode("text", "UTF-8").alias("content"))
+    parts = files.upload_parts(own, 512).withColumn("seq", F.col("chunk_index").cast("long"))
+    last = F.col("chunk_index") == F.col("total_chunks") - 1
+    told = parts.withColumn("total_chunks", F.when(last, F.col("total_chunks") - 1).otherwise(F.col("total_chunks") + 1))
+    return uploads.assemble(told).select("file_id", "total_chunks", "received", "complete", F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
+
+
+STREAMED_SQL = f"""WITH p AS ({UPLOAD_PARTS_SQL.format(size=4096)}), w AS (SELECT *, unnest(range(0, n)) AS i FROM p)
+SELECT file_id, 'chunk-received' AS event, CAST(i AS INT) AS chunk_index, NULL AS digest FROM w UNION ALL SELECT file_id, 'chunk-received', CAST(i AS INT), NULL FROM w WHERE doc_id % 5 <> 1 OR i < n - 1 UNION ALL
+SELECT file_id, 'file', NULL, md5(repeat('wrong', n)) FROM p UNION ALL SELECT file_id, 'file', NULL, md5(text) FROM p WHERE doc_id % 5 <> 1"""
+
+
+def parts_sent_twice(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Parts of 4096 bytes: wrong copies, then the right ones in falling order; every fifth file's last part comes once only."""
+    own = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), "file_name", F.encode("text", "UTF-8").alias("content"))
+    parts = files.upload_parts(own, 4096)
+    wrong = parts.withColumn("data", F.base64(F.lit(b"wrong"))).withColumn("seq", F.col("chunk_index").cast("long"))
+    lost = (F.col("file_id").cast("long") % 5 == 1) & (F.col("chunk_index") == F.col("total_chunks") - 1)
+    return wrong, parts.withColumn("seq", F.lit(10**9) - F.col("chunk_index")).filter(~lost)
+
+
+def told_events(events: DataFrame) -> DataFrame:
+    return events.select("file_id", "event", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query(STREAMED_SQL)
+def a5_assembly_events(spark, sf_dir):
+    """All events of uploads that are sent twice, in batch."""
+    wrong, right = parts_sent_twice(spark, sf_dir)
+    return told_events(uploads.assembly_events(wrong.unionByName(right)))
+
+
+def streamed(spark, batches: tuple[DataFrame, ...], path: str, schema: str) -> DataFrame:
+    """Rows written as JSON, a file per batch, and read as a stream of them."""
+    for rows in batches:
+        rows.coalesce(1).write.mode("append").json(f"{path}/sent")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{path}/sent")
+
+
+@query(STREAMED_SQL)
 def st1_stream_uploads(spark, sf_dir):
-    """Upload parts as a stream of several batches, the right copies in the later ones: the files as they stand at the end."""
+    """The same as a stream of two batches, a state per upload: some parts of an open upload wait in it for the second."""
     path = new_folder(spark, "upload-stream")
-    sent = sent_parts(spark, sf_dir)
-    wrong = F.col("seq") == F.col("chunk_index")
-    for rows in (sent.filter(wrong), sent.filter(~wrong)):
-        rows.coalesce(2).write.mode("append").json(f"{path}/sent")
-    parts = spark.readStream.schema(files.PART_SCHEMA).option("maxFilesPerTrigger", 2).json(f"{path}/sent")
-    states = jobs.run_until_done(jobs.assembled_states(parts), path)
-    last = states.groupBy("file_id").agg(F.max_by("parts", F.struct("last", "batch")).alias("parts")).select("file_id", F.inline("parts"))
-    return uploads.assemble(last).select("file_id", "received", F.md5("content").alias("digest"))
+    wrong, right = parts_sent_twice(spark, sf_dir)
+    cut = F.col("chunk_index") % 2 == 0
+    parts = streamed(spark, (wrong.filter(cut), wrong.filter(~cut).unionByName(right)), path, files.PART_SCHEMA)
+    return told_events(jobs.run_until_done(jobs.assemble_stream(parts), path, "append"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'error' ELSE 'uploading' END AS status, o_orderstatus NOT IN ('F', 'O') AS ingesting, CAST(m AS INT) AS chunks_uploaded, CAST(m * 10 AS INT) AS progress FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
-def st3_stream_upload_states(spark, sf_dir):
-    """The upload events of all orders as a stream, folded to the last state per file."""
-    path = new_folder(spark, "upload-events")
-    _, events = upload_events(spark, sf_dir)
-    events.repartition(4).write.json(f"{path}/sent")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).json(f"{path}/sent")
-    states = jobs.run_until_done(jobs.upload_states_stream(stream), path)
-    last = states.groupBy("id").agg(F.max_by(F.struct("status", "ingesting", "chunks_uploaded", "progress"), "batch").alias("s"))
-    return last.select("id", "s.*")
+def ingested(spark, sf_dir) -> tuple[collection.Collection, DataFrame]:
+    """Documents as files in parts, as a stream: assembled, cut, embedded and upserted; the collection and the events."""
+    path = new_folder(spark, "ingest-stream")
+    own = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), "file_name", F.encode("text", "UTF-8").alias("content"))
+    parts = files.upload_parts(own, 4096).withColumn("seq", F.col("chunk_index").cast("long"))
+    stream = streamed(spark, (parts.filter("chunk_index % 2 = 0"), parts.filter("chunk_index % 2 = 1")), path, files.PART_SCHEMA)
+    into = collection.Collection(spark, path, "uploads", 16)
+    run = jobs.ingest(into, lambda r: retrieve.embed(r, retrieve.hashing_embedder(16), "document"), f"{path}/events", router=chunking.Router(fast_threshold=5000), batch=10)
+    jobs.run_batches(jobs.assemble_stream(stream), path, run)
+    return into, spark.read.parquet(f"{path}/events")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS mark FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
@@ -466,6 +509,13 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.csv'
 strategy AS chunk_strategy, CAST(start_idx AS INT) AS chunk_char_start, CAST(end_idx AS INT) AS chunk_char_end, CAST(n AS INT) AS chunk_token_count, md5(own) AS digest FROM y WHERE own <> ''"""
 
 
+@query(f"SELECT file_ext, chunk_strategy, count(DISTINCT doc_id) AS files, count(*) AS chunks FROM ({routed_sql()}) GROUP BY file_ext, chunk_strategy")
+def c7_a1_csv_chunk_counts(spark, sf_dir):
+    """Files and chunks by type and strategy."""
+    chunks = chunking.chunk_documents(docs(spark, sf_dir).select("doc_id", "file_name", "text"), chunking.Router(fast_threshold=5000))
+    return chunks.groupBy("file_ext", "chunk_strategy").agg(F.count_if(F.col("chunk_index") == 0).alias("files"), F.count(F.lit(1)).alias("chunks"))
+
+
 @query(routed_sql())
 def c7_chunk_documents(spark, sf_dir):
     """The main entry over all documents, by type, with fast cuts from 5000 characters."""
@@ -473,12 +523,6 @@ def c7_chunk_documents(spark, sf_dir):
     return chunks.select("doc_id", "file_ext", "mime_type", "chunk_index", "chunk_count", "chunk_strategy", "chunk_char_start", "chunk_char_end", "chunk_token_count", F.md5("text").alias("digest"))
 
 
-@query(f"SELECT doc_id, CAST(ceil(length(t) / 2048.0) AS INT) AS chunk_count FROM (SELECT doc_id, {normal_sql('text')} AS t FROM documents WHERE doc_id % 4 = 2) WHERE length(t) > 0")
-def c7_a1_csv_chunk_counts(spark, sf_dir):
-    own = docs(spark, sf_dir).filter(F.col("doc_id") % 4 == 2).select("doc_id", "file_name", "text")
-    return chunking.chunk_documents(own).filter("chunk_index = 0").select("doc_id", "chunk_count")
-
-
 @query(f"SELECT doc_id, CAST(ceil(length(t) / 2048.0) AS INT) AS chunk_count FROM (SELECT doc_id, {normal_sql('text')} AS t FROM documents) WHERE length(t) > 0")
 def c7_a1_chunk_counts_as_csv(spark, sf_dir):
     """Chunk counts of all documents, each taken as a .csv file."""
@@ -492,23 +536,29 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_documents(own)
 
 
-@query(
-    """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents), k AS (SELECT * FROM p WHERE length(trim(t)) BETWEEN 1 AND 2048)
-SELECT doc_id, CAST(i AS INT) AS page_number, CAST(n AS INT) AS page_count, md5(trim(t)) AS digest FROM k"""
-)
-def io2_pdf_pages(spark, sf_dir):
-    """Each line as a page: pages that fit are one chunk; ``io2_pdf_page_chunks`` has those that don't, too."""
-    chunks = page_chunks(spark, sf_dir)
-    whole = chunks.withColumn("parts", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "page_number"))).filter("parts = 1 AND length(text) <= 2048")
-    return whole.select("doc_id", "page_number", "page_count", F.md5("text").alias("digest"))
+def page_chunks_sql() -> str:
+    """Each page as a text of its own: its chunks trimmed, blank ones left out, and numbered through the document."""
+    of = lambda which: f"SELECT doc_id, t FROM z WHERE {which}"
+    parts = (("fast", chunk_sql.fast_sql(of(f"length(t) >= {T.FAST_THRESHOLD}"), 4096, "\n.?")), ("sentence", chunk_sql.sentence_sql(of(f"length(t) < {T.FAST_THRESHOLD}"), 2048, 0, SENTENCE_END)))
+    every = " UNION ALL ".join(f"SELECT doc_id, i, start_idx, end_idx, n, '{name}' AS strategy FROM ({sql})" for name, sql in parts)
+    return f"""WITH p AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS page, len(string_split(text, chr(10))) AS pages FROM documents),
+z AS MATERIALIZED (SELECT file * 1000000 + page AS doc_id, file, page, pages, {normal_sql('t')} AS t FROM p), y AS (SELECT c.*, file, page, pages, {trim_sql("substring(t, start_idx + 1, end_idx - start_idx)")} AS own FROM ({every}) c JOIN z USING (doc_id))
+SELECT file AS doc_id, CAST(page AS INT) AS page_number, CAST(pages AS INT) AS page_count, CAST(row_number() OVER (PARTITION BY file ORDER BY page, i) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY file) AS INT) AS chunk_count, strategy AS chunk_strategy,
+CAST(start_idx AS INT) AS chunk_char_start, CAST(end_idx AS INT) AS chunk_char_end, CAST(n AS INT) AS chunk_token_count, md5(own) AS digest FROM y WHERE own <> ''"""
 
 
-@query()
+@query(page_chunks_sql())
 def io2_pdf_page_chunks(spark, sf_dir):
     """All chunks of all pages, however long."""
     return page_chunks(spark, sf_dir).select("doc_id", "page_number", "page_count", "chunk_index", "chunk_count", "chunk_strategy", "chunk_char_start", "chunk_char_end", "chunk_token_count", F.md5("text").alias("digest"))
 
 
+@query(f"SELECT doc_id, page_number, page_count, count(*) AS chunks FROM ({page_chunks_sql()}) GROUP BY doc_id, page_number, page_count")
+def io2_pdf_pages(spark, sf_dir):
+    """Each page that isn't blank with the number of its chunks."""
+    return page_chunks(spark, sf_dir).groupBy("doc_id", "page_number", "page_count").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 @query(
     f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents), k AS (SELECT doc_id, i, n, regexp_replace(t, '{SP}+', '', 'g') AS t FROM p)
 SELECT doc_id, CAST(i AS INT) AS page_number, CAST(n AS INT) AS page_count, md5(t) AS digest FROM k WHERE length(t) > 0"""
@@ -631,13 +681,44 @@ def j5_tool_calls(spark, sf_dir):
     return out.select("session_id", "id", "name", F.md5("arguments_text").alias("digest"), "arguments", "result", "success")
 
 
-@query(
-    f"""WITH t AS (SELECT *, len(regexp_split_to_array(replace(text, ' ', ' ' || chr(1)), chr(1))) - CASE WHEN text LIKE '% ' THEN 1 ELSE 0 END AS words FROM {TURNS_SQL})
-SELECT session_id, _tag, CAST(sum(n) AS BIGINT) AS n FROM (SELECT session_id, unnest(CASE role WHEN 'user' THEN ['iteration-start', 'tool-call-start', 'tool-call-complete', 'tool-execution-start', 'tool-execution-complete'] ELSE ['iteration-start', 'finish'] END) AS _tag, 1 AS n FROM t UNION ALL
-SELECT session_id, CASE role WHEN 'user' THEN 'tool-call-delta' ELSE 'text-delta' END, words FROM t) GROUP BY session_id, _tag"""
-)
+def event_sql(at: str, tag: str, source: str, **values: str) -> str:
+    every = ", ".join(f"CAST({values.get(k, 'NULL')} AS {t}) AS {k}" for k, t in chat.EVENT_FIELDS.items())
+    return f"SELECT session_id, turn, {at} AS place, '{tag}' AS _tag, {every} FROM {source}"
+
+
+def part_events_sql() -> str:
+    """Every event of every turn, in full: user turns are tool calls, the others text."""
+    user, said, words = "t WHERE role = 'user'", "t WHERE role = 'assistant'", "(SELECT *, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM t)"
+    call, spent = "'t' || turn", "CASE WHEN turn % 3 > 0 THEN turn * 2 ELSE 0 END"
+    parts = (
+        event_sql("0", "iteration-start", "t", iteration="it"),
+        event_sql("1", "tool-call-start", user, id=call, name="'ask'"),
+        event_sql("1 + i", "tool-call-delta", f"{words} WHERE role = 'user'", id=call, arguments_delta="w"),
+        event_sql("1 + i", "text-delta", f"{words} WHERE role = 'assistant'", delta="w"),
+        event_sql("1000001", "tool-call-complete", user, id=call, arguments="'{}'"),
+        event_sql("1000002", "tool-execution-start", user, id=call),
+        event_sql("1000003", "tool-execution-complete", user, id=call, result="'done'", success="turn % 4 <> 2"),
+        event_sql("1000004", "finish", said, finish_reason="'stop'", prompt_tokens="turn + 1", completion_tokens=spent, total_tokens=f"turn + 1 + {spent}"),
+        event_sql("1000004", "thinking", f"{user} AND it = {chat.MAX_ITERATIONS}", message=f"'Reached maximum iterations ({chat.MAX_ITERATIONS}). Stopping here.'"),
+    )
+    cut = "regexp_split_to_array(replace(text, ' ', ' ' || chr(1)), chr(1))"
+    return f"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS it, CASE WHEN text LIKE '% ' THEN {cut}[:-2] ELSE {cut} END AS words FROM {TURNS_SQL}),
+e AS ({" UNION ALL ".join(parts)}) SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn, place) - 1 AS BIGINT) AS seq, * EXCLUDE (session_id, turn, place) FROM e"""
+
+
+@query(part_events_sql())
 def st5_part_events(spark, sf_dir):
-    return chat.part_events(model_parts(spark, sf_dir)).groupBy("session_id", "_tag").agg(F.count(F.lit(1)).alias("n"))
+    return chat.part_events(model_parts(spark, sf_dir))
+
+
+@query(part_events_sql())
+def st5_stream_part_events(spark, sf_dir):
+    """The same as a stream whose batches cut through turns, with a state per session."""
+    path = new_folder(spark, "model-parts")
+    parts = model_parts(spark, sf_dir)
+    cuts = (F.col("seq") < 100_010, F.col("seq").between(100_010, 300_020), F.col("seq") > 300_020)
+    stream = streamed(spark, tuple(parts.filter(c) for c in cuts), path, parts.schema)
+    return jobs.run_until_done(jobs.part_event_stream(stream), path, "append").drop("batch")
 
 
 @query(
@@ -648,15 +729,30 @@ def st4_chat_states(spark, sf_dir):
     return chat.fold_chat(chat.part_events(model_parts(spark, sf_dir))).select("session_id", "_tag", "finish_reason")
 
 
-@query(
-    f"""WITH t AS (SELECT *, role = 'user' OR lag(role, 1, 'user') OVER (PARTITION BY session_id ORDER BY turn) = 'user' AS starts FROM {TURNS_SQL}), g AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY session_id ORDER BY turn) AS pos FROM t)
+SEGMENTS_SQL = f"""WITH t AS (SELECT *, role = 'user' OR lag(role, 1, 'user') OVER (PARTITION BY session_id ORDER BY turn) = 'user' AS starts FROM {TURNS_SQL}), g AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY session_id ORDER BY turn) AS pos FROM t)
 SELECT session_id, CAST(pos - 1 AS INT) AS pos, CASE min(role) WHEN 'user' THEN 'tool-call' ELSE 'text' END AS kind, CASE min(role) WHEN 'assistant' THEN false END AS is_complete, CASE WHEN min(role) = 'user' THEN CASE WHEN min(turn) % 4 = 2 THEN 'failed' ELSE 'complete' END END AS status,
 CASE WHEN min(role) = 'user' THEN min(turn) % 4 <> 2 END AS success, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM g GROUP BY session_id, pos"""
-)
+
+
+def segment_rows(states: DataFrame) -> DataFrame:
+    rows = states.select("session_id", F.posexplode("segments").alias("pos", "s"))
+    return rows.select("session_id", "pos", "s.kind", "s.is_complete", "s.tool.status", "s.tool.success", F.md5(F.coalesce("s.content", "s.tool.arguments_text")).alias("digest"))
+
+
+@query(SEGMENTS_SQL)
 def st4_chat_segments(spark, sf_dir):
     """All segments of all sessions after the fold."""
-    states = chat.fold_chat(chat.part_events(model_parts(spark, sf_dir)))
-    return states.select("session_id", F.posexplode("segments").alias("pos", "s")).select("session_id", "pos", "s.kind", "s.is_complete", "s.tool.status", "s.tool.success", F.md5(F.coalesce("s.content", "s.tool.arguments_text")).alias("digest"))
+    return segment_rows(chat.fold_chat(chat.part_events(model_parts(spark, sf_dir))))
+
+
+@query(SEGMENTS_SQL)
+def st4_stream_chat_segments(spark, sf_dir):
+    """The same as a stream of three batches, with a state per session of which each batch touches what changes."""
+    path = new_folder(spark, "chat-events")
+    events = chat.part_events(model_parts(spark, sf_dir))
+    cuts = (F.col("seq") < 40, F.col("seq").between(40, 200), F.col("seq") > 200)
+    stream = streamed(spark, tuple(events.filter(c) for c in cuts), path, files.CHAT_EVENT_SCHEMA)
+    return segment_rows(jobs.chat_states(jobs.run_until_done(jobs.chat_changes(stream), path)))
 
 
 @query("SELECT conv_id, turn, role, CASE role WHEN 'assistant' THEN text || '!' ELSE text END AS content FROM conversations")
@@ -678,6 +774,23 @@ def st2_ingest_events(spark, sf_dir):
     return uploads.ingest_events(counted, 10).drop("ord")
 
 
+@query(
+    f"""WITH k AS (SELECT doc_id, count(*) AS c FROM ({routed_sql()}) GROUP BY doc_id), g AS (SELECT d.doc_id, CASE WHEN d.doc_id % 4 < 3 THEN coalesce(c, 0) END AS c FROM documents d LEFT JOIN k USING (doc_id) WHERE length(text) > 0)
+SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN c IS NULL THEN 'ingest-failed' ELSE 'ingest-complete' END AS _tag, NULL::INT AS processed, CAST(c AS INT) AS total, CASE WHEN c IS NULL THEN 'Unsupported file type: ' || {NAME_SQL} END AS message FROM g UNION ALL SELECT CAST(doc_id AS VARCHAR), 'ingest-start', NULL, NULL, NULL FROM g WHERE c IS NOT NULL UNION ALL
+SELECT CAST(doc_id AS VARCHAR), 'ingest-progress', CAST(least(i * 10, c) AS INT), CAST(c AS INT), NULL FROM (SELECT doc_id, c, unnest(range(1, CAST(ceil(c / 10.0) AS INT) + 1)) AS i FROM g WHERE c > 0)"""
+)
+def st2_stream_ingest(spark, sf_dir):
+    """The server's job from parts to collection as one stream: its events."""
+    return ingested(spark, sf_dir)[1].select("id", "_tag", "processed", "total", "message")
+
+
+@query(f"SELECT doc_id || '-' || chunk_index AS id, CAST(doc_id AS VARCHAR) AS file_id, chunk_index, chunk_count AS total_chunks, chunk_strategy, mime_type, digest, 16 AS width FROM ({routed_sql()}) JOIN (SELECT doc_id FROM documents WHERE length(text) > 0) USING (doc_id)")
+def st2_stream_records(spark, sf_dir):
+    """The same: the records of the collection."""
+    found = ingested(spark, sf_dir)[0].read()
+    return found.select("id", "file_id", "chunk_index", "total_chunks", "chunk_strategy", "mime_type", F.md5("document").alias("digest"), F.size("embedding").alias("width"))
+
+
 def upload_events(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Files and their events, from orders: each order's lines progress, its status tells the end."""
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_orderstatus")
@@ -689,14 +802,29 @@ def upload_events(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return o.select("id", F.lit("pending").alias("status")), events
 
 
-@query(
-    """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'error' ELSE 'uploading' END AS status, CASE o_orderstatus WHEN 'O' THEN 'Ingest failed. Check server logs.' END AS error, o_orderstatus NOT IN ('F', 'O') AS ingesting,
+UPLOAD_STATES_SQL = """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'error' ELSE 'uploading' END AS status, CASE o_orderstatus WHEN 'O' THEN 'Ingest failed. Check server logs.' END AS error, o_orderstatus NOT IN ('F', 'O') AS ingesting,
 CAST(coalesce(m, 0) AS INT) AS chunks_uploaded, CAST(coalesce(m, 0) * 10 AS INT) AS progress FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
-)
+
+
+@query(UPLOAD_STATES_SQL)
 def st3_upload_states(spark, sf_dir):
     return uploads.upload_states(*upload_events(spark, sf_dir))
 
 
+@query(UPLOAD_STATES_SQL)
+def st3_stream_upload_states(spark, sf_dir):
+    """The upload events of all orders as a stream, with some of unknown files among them."""
+    path = new_folder(spark, "upload-events")
+    known, events = upload_events(spark, sf_dir)
+    unknown = events.filter("_tag = 'ingest'").withColumn("id", F.concat(F.lit("x"), "id"))
+    first = F.col("seq") < 3
+    stream = streamed(spark, (events.filter(first), events.filter(~first).unionByName(unknown)), path, events.schema)
+    folded = jobs.run_until_done(jobs.upload_state_stream(known, stream), path)
+    values = [c for c in folded.columns if c.startswith("e_")]
+    last = folded.groupBy("id").agg(F.max_by(F.struct(*values), "batch").alias("s")).select("id", "s.*")
+    return uploads.states_of(known, last)
+
+
 @query("SELECT count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) AS total, bool_or(o_orderstatus NOT IN ('F', 'O')) AS uploading FROM orders")
 def a6_upload_summary(spark, sf_dir):
     return uploads.upload_summary(uploads.upload_states(*upload_events(spark, sf_dir)))

@@ -12,10 +12,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_or_all
+from .staging import stage_table
 
 BUCKETS = 64
 #: Writers that may come first before an upsert gives up.
@@ -38,8 +39,8 @@ class Collection:
     def versions(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in self.names(f"{self.base}/versions") if n.endswith(".json") and n[0] != ".")
 
-    def folders(self, version: int) -> dict[str, str] | None:
-        """Bucket to folder, None if the version is that of a drop."""
+    def about(self, version: int) -> dict:
+        """``folders``, bucket to folder (None if the version is that of a drop), and ``sources``, a stream's name to the number of its last batch."""
         fs, at = self.files(f"{self.base}/versions/{version:012d}.json")
         stream = fs.open(at)
         try:
@@ -47,17 +48,23 @@ class Collection:
         finally:
             stream.close()
 
-    def current(self) -> tuple[int, dict[str, str] | None]:
-        """(version, folders), or (0, None) for a collection that isn't there."""
+    def folders(self, version: int) -> dict[str, str] | None:
+        return self.about(version)["folders"]
+
+    def current(self) -> tuple[int, dict[str, str] | None, dict[str, int]]:
+        """(version, folders, sources), or (0, None, {}) for a collection that isn't there."""
         found = self.versions()
-        return (found[-1], self.folders(found[-1])) if found else (0, None)
+        if not found:
+            return 0, None, {}
+        own = self.about(found[-1])
+        return found[-1], own["folders"], own["sources"]
 
-    def publish(self, version: int, folders: dict[str, str] | None) -> bool:
+    def publish(self, version: int, folders: dict[str, str] | None, sources: dict[str, int]) -> bool:
         """Create the version, whole at once; False if another writer has created it."""
         at = f"{self.base}/versions/{version:012d}.json"
         fs, own = self.files(f"{self.base}/versions/.{uuid.uuid4().hex}")
         stream = fs.create(own, False)
-        stream.write(json.dumps(folders).encode())
+        stream.write(json.dumps({"folders": folders, "sources": sources}).encode())
         stream.close()
         try:
             self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(own.toUri(), self.spark._jsc.hadoopConfiguration()).rename(own, self.files(at)[1], self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
@@ -74,34 +81,44 @@ class Collection:
 
     def read(self) -> DataFrame | None:
         """The records, or None for a collection that isn't there."""
-        _, folders = self.current()
+        _, folders, _ = self.current()
         return None if folders is None else self.records(folders)
 
-    def upsert(self, records: DataFrame) -> int:
-        """Records by ``id``: known ids are replaced, of equal ids in a batch the last by ``seq`` (if there) stays. The number of input records."""
-        count = records.count()
+    def upsert(self, records: DataFrame, source: str | None = None, batch: int | None = None) -> int:
+        """Records by ``id``: known ids are replaced, of equal ids in a batch the last by ``seq`` (if there) stays; a null id is an id. The number of input records.
+
+        Batches of a ``source`` are numbered, and one whose number isn't above the last one's is left out: 0 records.
+        """
         order = F.col("seq") if "seq" in records.columns else F.lit(0)
         columns = [c for c in records.columns if c not in ("id", "seq")]
         bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int").alias("bucket")
-        new = records.groupBy("id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias("r")).select("id", *[F.col(f"r.`{c}`").alias(c) for c in columns])
-        touched = {str(r[0]) for r in records.select(bucket).distinct().collect()}  # ``buckets`` numbers at most
+        if source is not None and self.current()[2].get(source, -1) >= batch:
+            return 0
+        counted = Observation()
+        latest = records.observe(counted, F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in columns]), order).alias("r"))
+        new = stage_table(self.spark, latest.select("id", *[F.col(f"r.`{c}`").alias(c) for c in columns]), "upsert")
+        touched = {str(r[0]) for r in new.select(bucket).distinct().collect()}  # ``buckets`` numbers at most
         for _ in range(TRIES):
-            version, folders = self.current()
+            version, folders, sources = self.current()
+            if source is not None and sources.get(source, -1) >= batch:
+                return 0
             known = folders or {}
             whole, old = new, self.records({b: f for b, f in known.items() if b in touched})
             if old is not None:
-                whole = old.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True)
+                ids = new.select(F.col("id").alias("new_id"))
+                whole = old.join(ids, F.col("id").eqNullSafe(F.col("new_id")), "left_anti").unionByName(new, allowMissingColumns=True)
             out = f"{self.base}/data/{version + 1:012d}-{uuid.uuid4().hex}"
-            whole.select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(out)
-            if self.publish(version + 1, known | dict.fromkeys(touched, out)):
-                return count
+            if touched:
+                whole.select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(out)
+            if self.publish(version + 1, known | dict.fromkeys(touched, out), sources | ({} if source is None else {source: batch})):
+                return counted.get["n"]
         raise RuntimeError(f"{self.name}: other writers came first {TRIES} times")
 
     def drop(self) -> str:
         """From now on the collection isn't there; its versions stay for readers that still run, until ``vacuum``."""
         for _ in range(TRIES):
-            version, folders = self.current()
-            if folders is None or self.publish(version + 1, None):
+            version, folders, sources = self.current()
+            if folders is None or self.publish(version + 1, None, sources):
                 break
         return self.name
 

@@ -1,154 +1,109 @@
-"""Structured Streaming twins of the batch jobs: upload assembly, ingest, upload states and chat states.
-
-State is keyed by file or session and lives in the state store; abandoned uploads end by a processing-time timeout.
-"""
+"""Structured Streaming twins of the batch jobs: upload assembly, ingest, upload states, model loops and chat states."""
 
 from __future__ import annotations
 
-import base64
-import binascii
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.text import MAX_FILE_BYTES
 from ..operators import chat, chunking, uploads
 from ..sources import files as source
 from ..sources.collection import Collection
 from ..sources.staging import stage_table
+from . import processors
 
-ASSEMBLED = "event string, file_id string, file_name string, chunk_index int, content binary, error string"
-PARTS_STATE = "numbers array<int>, parts array<binary>"
-
-
-def decoded(data: str | None) -> bytes:
-    try:
-        return base64.b64decode(data or "", validate=True)
-    except (binascii.Error, ValueError):
-        return b""
+#: For a run to the end of what is there: state in RocksDB, and no batch without data, as with processing-time timers such batches never end.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 def assemble_stream(parts: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
-    """Stream of parts to rows: ``chunk-received`` per part, then ``file`` with its content or ``ingest-failed``.
+    """Stream of parts to ``uploads.EVENTS``: ``chunk-received`` per part, then ``file`` with its content or ``ingest-failed``.
 
-    When as many different parts have come as the message at hand says, the file goes on and its state ends; a part
-    that comes later opens a new entry. A file larger than the upload limit fails.
+    When as many different parts have come as the message at hand says, or more, the upload ends and its state with it; a part
+    that comes later opens a new one. An upload past the size limit fails, and so does one that gets no part for ``timeout_ms``.
     """
+    data = F.coalesce(F.try_to_binary("data", F.lit("base64")), F.lit(b""))
+    own = parts.select("file_id", "file_name", F.coalesce("chunk_index", F.lit(-1)).alias("chunk_index"), F.coalesce("total_chunks", F.lit(0)).alias("total_chunks"), data.alias("bytes"), "seq")
+    return own.groupBy("file_id").transformWithState(processors.Assembly(timeout_ms), uploads.EVENTS, "append", "processingTime")
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        file_id = key[0]
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([("ingest-failed", file_id, None, None, None, f"Upload abandoned: {file_id}")], columns=COLUMNS)
-            return
-        numbers, held = state.get if state.exists else ([], [])
-        got = dict(zip(numbers, held))
-        out = []
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        for r in rows.to_dict("records"):
-            got[int(r["chunk_index"])] = decoded(r["data"])
-            out.append(("chunk-received", file_id, r["file_name"], int(r["chunk_index"]), None, None))
-            total = int(r["total_chunks"])
-            if len(got) != total and sum(map(len, got.values())) <= MAX_FILE_BYTES:
-                continue
-            missing = next((i for i in range(total) if not got.get(i)), None)
-            if len(got) != total:
-                out.append(("ingest-failed", file_id, r["file_name"], None, None, f"{r['file_name']}: exceeds 100MB limit"))
-            elif missing is not None:
-                out.append(("ingest-failed", file_id, r["file_name"], None, None, f"Missing chunk {missing} for {file_id}"))
-            else:
-                out.append(("file", file_id, r["file_name"], None, b"".join(got[i] for i in range(total)), None))
-            got = {}
-        if got:
-            state.update((list(got), list(got.values())))
-            state.setTimeoutDuration(timeout_ms)
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=COLUMNS)
-
-    return parts.groupBy("file_id").applyInPandasWithState(run, ASSEMBLED, PARTS_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-COLUMNS = [c.split()[0] for c in ASSEMBLED.split(", ")]
-
-
-def assembled_states(parts: DataFrame) -> DataFrame:
-    """Stream of parts to rows of the files as they stand after each batch, in update mode, by built-in aggregates alone.
-
-    Per file the parts seen so far with the message that brought each; ``uploads.assemble`` makes files of the last rows.
-    """
-    part = F.struct("seq", "file_name", "chunk_index", "total_chunks", "data")
-    return parts.groupBy("file_id").agg(F.collect_list(part).alias("parts"), F.max("seq").alias("last"))
 
+def part_event_stream(parts: DataFrame, max_iterations: int = chat.MAX_ITERATIONS) -> DataFrame:
+    """Stream of model parts to chat events, as ``chat.part_events``."""
+    return parts.groupBy("session_id").transformWithState(processors.ModelLoop(max_iterations), chat.EVENTS, "append", "none")
 
-def run_until_done(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
-    """Run a stream over all that its source has now, batch after batch, and read back the rows, with ``batch``."""
 
-    def write(rows: DataFrame, n: int) -> None:
-        rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/rows/n={n}")
+def chat_changes(events: DataFrame) -> DataFrame:
+    """Stream of chat events to ``processors.CHANGES``: what each batch changes in a session's state. ``chat_states`` makes states of them."""
+    return events.groupBy("session_id").transformWithState(processors.ChatSession(), processors.CHANGES, "update", "none")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
-    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
-    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
+def chat_states(changes: DataFrame) -> DataFrame:
+    """Changes to the columns of the batch fold: of each session the last head, and of each place the last segment of its epoch."""
+    last = changes.groupBy("session_id", "pos").agg(F.max_by(F.struct("epoch", "told"), "changed").alias("c"))
+    scalars = ", ".join(f for f in chat.STATE.split(", ")[1:] if not f.startswith("segments"))
+    heads = last.filter("pos IS NULL").select("session_id", F.col("c.epoch").alias("epoch"), F.from_json("c.told", scalars).alias("s"))
+    own = last.filter("pos IS NOT NULL").select("session_id", F.col("c.epoch").alias("epoch"), "pos", F.from_json("c.told", chat.SEGMENT).alias("segment"))
+    ordered = own.groupBy("session_id", "epoch").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "segment"))), lambda x: x["segment"]).alias("segments"))
+    out = heads.join(ordered, ["session_id", "epoch"], "left")
+    segments = F.coalesce("segments", F.array().cast(f"array<{chat.SEGMENT}>"))
+    return out.select("session_id", *[segments.alias(f) if f == "segments" else F.col(f"s.{f}") for f in chat.STATE_FIELDS])
 
-def ingest(assembled: DataFrame, collection: Collection, embed: Callable[[DataFrame], DataFrame], emit: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` on the assembled stream: chunk, embed, upsert, and emit the ingest events."""
 
-    def run(batch: DataFrame, _: int) -> None:
-        texts = source.extract_text(batch.filter("event = 'file'").select("file_id", "file_name", "content"))
-        chunks = chunking.chunk_documents(texts.filter("error IS NULL").select("file_id", "file_name", "text"))
-        records = embed(chunking.ingest_records(chunks).withColumnRenamed("text", "document"))
-        records = stage_table(batch.sparkSession, records, "ingest")  # once, for all that follows
-        if not records.isEmpty():
-            collection.upsert(records)
-        counted = records.groupBy("file_id").agg(F.max("chunk_count").alias("chunks"))
-        known = texts.select("file_id", "error").unionByName(batch.filter("event = 'ingest-failed'").select("file_id", "error"))
-        emit(uploads.ingest_events(known.join(counted, "file_id", "left")))
+def upload_state_stream(files: DataFrame, events: DataFrame) -> DataFrame:
+    """Stream of upload events to the last values of known files, in update mode, by the aggregates of the batch fold; ``uploads.states_of`` puts them over the initial states."""
+    known = files.select("id")
+    return events.join(known, "id").groupBy("id").agg(*uploads.folded_states())
 
-    return run
 
+def run_until_done(stream: DataFrame, folder: str, mode: str = "update") -> DataFrame:
+    """Run a stream over all that its source has now, batch after batch, and read back the rows, with ``batch``. Run again on the same folder it goes on where it stood."""
 
-CHAT_STATE = "session_id string, state string, changed long"
+    def write(rows: DataFrame, n: int) -> None:
+        rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/rows/n={n}")
 
+    run_batches(stream, folder, write, mode)
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    return stream.sparkSession.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
-def fold_chat_stream(events: DataFrame) -> DataFrame:
-    """Stream of chat events to the session's state after each batch, as JSON."""
-    import json
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = chat.loaded(json.loads(state.get[0])) if state.exists else chat.initial_state()
-        last = state.get[1] if state.exists else 0
-        for e in pd.concat(list(batches)).sort_values("seq", kind="stable").to_dict("records"):
-            now, last = chat.step(now, e), int(e["seq"])
-        told = json.dumps(chat.fields_of(now), default=lambda x: x.item())
-        state.update((told, last))
-        yield pd.DataFrame([(key[0], told, last)], columns=["session_id", "state", "changed"])
+def run_batches(stream: DataFrame, folder: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Hand a stream's batches to ``write`` until its source has no more; state lies in RocksDB, progress in the folder."""
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
 
-    return events.groupBy("session_id").applyInPandasWithState(run, CHAT_STATE, "state string, last long", "update", GroupStateTimeout.NoTimeout)
 
+def ingest(collection: Collection, embed: Callable[[DataFrame], DataFrame], folder: str, name: str = "uploads", router: chunking.Router = chunking.Router(), batch: int = uploads.BATCH) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on the assembled stream: chunk the files, embed, upsert, and write the ingest events to ``folder``.
 
-def chat_states(folded: DataFrame) -> DataFrame:
-    """Rows of ``fold_chat_stream`` to the columns of the batch fold, the latest per session."""
-    last = folded.groupBy("session_id").agg(F.max_by("state", "changed").alias("state"))
-    fields = ", ".join(chat.STATE.split(", ")[1:])
-    return last.select("session_id", F.from_json("state", fields).alias("s")).select("session_id", "s.*")
+    Exactly once: the collection's version holds the number of the stream's last batch, written together with the records, so a
+    batch that is run again after a failure finds its number there and leaves the collection alone; its events go to
+    a place of their own by its number and replace what the first run may have left.
+    """
 
+    def run(rows: DataFrame, n: int) -> None:
+        spark = rows.sparkSession
+        assembled = stage_table(spark, rows.filter("event <> 'chunk-received'"), "assembled")
+        texts = source.extract_text(assembled.filter("event = 'file'").select("file_id", "file_name", "content"))
+        chunks = chunking.chunk_documents(texts.filter("error IS NULL").select("file_id", "file_name", "text"), router)
+        records = stage_table(spark, embed(chunking.ingest_records(chunks).withColumnRenamed("text", "document")), "ingest")
+        collection.upsert(records, source=name, batch=n)
+        counted = records.groupBy("file_id").agg(F.max("chunk_count").alias("chunks"))
+        known = texts.select("file_id", "error").unionByName(assembled.filter("event = 'ingest-failed'").select("file_id", "error"))
+        uploads.ingest_events(known.join(counted, "file_id", "left"), batch).write.mode("overwrite").parquet(f"{folder}/batch={n}")
 
-def upload_states_stream(events: DataFrame) -> DataFrame:
-    """Latest values per file in update mode, by the aggregates of the batch fold."""
-    tag, seq, status = F.col("_tag"), F.col("seq"), F.col("status")
-    ended = (tag == "ingest") & status.isin("complete", "error")
-    return events.groupBy("id").agg(
-        F.max_by(status, F.when((tag == "status") | ended, seq)).alias("status"),
-        F.max_by(status == "start", F.when(tag == "ingest", seq)).alias("ingesting"),
-        F.max_by("chunks_uploaded", F.when(tag == "progress", seq)).alias("chunks_uploaded"),
-        F.max_by("progress", F.when(tag == "progress", seq)).alias("progress"),
-    )
+    return run

@@ -5,14 +5,16 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from chunkmill.functions import text as T
 from chunkmill.functions import tokenizers
 from chunkmill.operators import chat, retrieve, uploads
 from chunkmill.sources import files, staging
 from chunkmill.sources.collection import Collection, list_documents, summary, where_file
-from chunkmill.streaming import jobs
+from chunkmill.streaming import jobs, processors
 
 
 def parts(spark, *rows):
@@ -24,6 +26,9 @@ UPLOADS = [
     ([(0, 2, b"x"), (0, 2, b"A"), (1, 2, b"B")], b"AB", None),
     ([(0, 2, b"A"), (1, 2, b"")], None, "Missing chunk 1 for f"),
     ([(0, 2, b"A"), (5, 2, b"B")], None, "Missing chunk 1 for f"),
+    ([(0, 3, b"A"), (1, 3, b"B"), (2, 2, b"C")], b"AB", None),  # more parts than the last message tells of
+    ([(0, 0, b"A")], b"", None),
+    ([(0, 2, b"A"), (1, 2, b"B"), (1, 2, b"C")], b"AB", None),  # a part behind the end opens another upload
 ]
 
 
@@ -33,37 +38,143 @@ def test_assemble(spark, rows, content, error):
     assert (bytes(r.content) if r.content is not None else None, r.error) == (content, error)
 
 
-def streamed(spark, df, run, tmp_path, schema, mode="append"):
-    source, out = str(tmp_path / "in"), []
-    for i, batch in enumerate(df):
-        batch.coalesce(1).write.mode("append").json(source)
-    stream = run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source))
-    q = stream.writeStream.outputMode(mode).foreachBatch(lambda b, i: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert q.exception() is None
-    return out
+def test_open_uploads(spark):
+    r = uploads.assemble(parts(spark, (0, 3, b"A"), (0, 4, b"B"))).first()
+    assert (r.total_chunks, r.received, r.complete, r.content, r.error) == (4, 1, False, None, None)
+    odd = spark.createDataFrame([("f", None, None, None, "?", 1), (None, "n", 0, 1, "QQ==", 1)], files.PART_SCHEMA)
+    found = {r.file_id: (r.complete, r.content) for r in uploads.assemble(odd).collect()}
+    assert found == {"f": (True, b""), None: (True, b"A")}
+    assert uploads.assemble(odd.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("rows,content,error", UPLOADS)
-def test_assemble_stream_is_the_batch(spark, tmp_path, rows, content, error):
-    out = streamed(spark, [parts(spark, *rows)], jobs.assemble_stream, tmp_path, files.PART_SCHEMA)
-    assert [r.event for r in out if r.event == "chunk-received"] == ["chunk-received"] * len(rows)
-    last = [r for r in out if r.event != "chunk-received"]
-    assert [(bytes(r.content) if r.content is not None else None, r.error) for r in last] == [(content, error)]
-
-
-def test_ingest_of_a_stream(spark, tmp_path):
-    own, events = Collection(spark, str(tmp_path), "c", 4), []
-    batch = spark.createDataFrame([("file", "f", "a.txt", None, b"One. Two.", None), ("file", "g", "b.exe", None, b"x", None), ("file", "h", "c.txt", None, b" ", None)], jobs.ASSEMBLED)
-    run = jobs.ingest(batch, own, lambda r: retrieve.embed(r, retrieve.hashing_embedder(8), "document"), lambda e: events.extend(e.collect()))
-    run(batch, 0)
-    assert [r.id for r in own.read().collect()] == ["f-0"]
-    told = {}
-    for e in sorted(events, key=lambda e: e.ord):
-        told.setdefault(e.id, []).append((e._tag, e.processed, e.total, e.message))
-    assert told["f"] == [("ingest-start", None, None, None), ("ingest-progress", 1, 1, None), ("ingest-complete", None, 1, None)]
-    assert told["g"] == [("ingest-failed", None, None, "Unsupported file type: b.exe")]
-    assert told["h"] == [("ingest-start", None, None, None), ("ingest-complete", None, 0, None)]
+def streamed(spark, batches, run, folder, schema, mode="append"):
+    """Rows of a stream whose batches come as a file each; a second call on the same folder goes on."""
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").json(f"{folder}/in")
+    stream = run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{folder}/in"))
+    return jobs.run_until_done(stream, f"file://{folder}", mode).collect()
+
+
+def outcomes(rows):
+    return [(r.event, None if r.content is None else bytes(r.content), r.error) for r in rows if r.event != "chunk-received"]
+
+
+def test_assemble_stream_is_the_batch(spark, tmp_path):
+    every = [p.withColumn("file_id", F.lit(f"f{k}")) for k, (rows, _, _) in enumerate(UPLOADS) for p in [parts(spark, *rows)]]
+    whole = every[0]
+    for p in every[1:]:
+        whole = whole.unionByName(p)
+    batches = [whole.filter("seq = 0"), whole.filter("seq = 1"), whole.filter("seq > 1")]
+    out = streamed(spark, batches, jobs.assemble_stream, tmp_path, files.PART_SCHEMA)
+    assert sum(r.event == "chunk-received" for r in out) == sum(len(rows) for rows, _, _ in UPLOADS)
+    twin = uploads.assembly_events(whole).collect()
+    assert len(out) == len(twin)
+    for k, (_, content, error) in enumerate(UPLOADS):
+        error = error and error.replace("for f", f"for f{k}")
+        own = [outcomes(r for r in rows if r.file_id == f"f{k}") for rows in (out, twin)]
+        assert own[0] == own[1] == [("file" if error is None else "ingest-failed", content, error)]
+
+
+def test_assembly_goes_on_from_its_checkpoint(spark, tmp_path):
+    first = streamed(spark, [parts(spark, (0, 3, b"A"), (1, 3, b"B"))], jobs.assemble_stream, tmp_path, files.PART_SCHEMA)
+    assert outcomes(first) == []
+    both = streamed(spark, [parts(spark, (2, 3, b"C"))], jobs.assemble_stream, tmp_path, files.PART_SCHEMA)
+    assert outcomes(both) == [("file", b"ABC", None)] and len(both) == 4
+
+
+class Fake:
+    """A state as the processors see one, in a dictionary; a map state, or a value state under one key."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.kept
+
+    def getValue(self, key):
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.kept[key] = value
+
+    def clear(self):
+        self.kept = {}
+
+    def get(self):
+        return self.kept.get(None)
+
+    def update(self, value):
+        self.kept[None] = value
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getMapState(self, *schemas):
+        return Fake()
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def listTimers(self):
+        return iter(self.timers)
+
+
+class Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.ms
+
+
+def test_abandoned_and_too_large_uploads(monkeypatch):
+    own, handle = processors.Assembly(1000), Handle()
+    own.init(handle)
+    row = lambda i, n, data, seq: {"file_name": "f.txt", "chunk_index": i, "total_chunks": n, "bytes": data, "seq": seq}
+    assert len(list(own.handleInputRows(("f",), iter([row(0, 2, b"A", 1)]), Now(5)))) == 1 and handle.timers == [1005]
+    list(own.handleInputRows(("f",), iter([row(0, 2, b"B", 2)]), Now(50)))
+    assert handle.timers == [1050]
+    gone = list(own.handleExpiredTimer(("f",), Now(1051), None))
+    assert [(r.event, r.error) for r in gone] == [("ingest-failed", "Upload abandoned: f")] and own.so_far.get() is None and own.parts.kept == {}
+    monkeypatch.setattr(uploads, "MAX_FILE_BYTES", 3)
+    out = list(own.handleInputRows(("f",), iter([row(0, 9, b"ABCD", 3), row(1, 9, b"A", 4)]), Now(60)))
+    assert [r.error for r in out] == [None, "f.txt: exceeds 100MB limit", None] and own.so_far.get() == ("f.txt", 1, 1)
+
+
+def test_ingest_of_a_stream_is_exactly_once(spark, tmp_path):
+    own = Collection(spark, str(tmp_path), "c", 4)
+    batch = spark.createDataFrame([("file", "f", "a.txt", None, b"One. Two.", None), ("file", "g", "b.exe", None, b"x", None), ("file", "h", "c.txt", None, b" ", None), ("chunk-received", "f", "a.txt", 0, None, None), ("ingest-failed", "i", "d.txt", None, None, "bad")], uploads.EVENTS)
+    run = jobs.ingest(own, lambda r: retrieve.embed(r, retrieve.hashing_embedder(8), "document"), str(tmp_path / "events"))
+    for _ in range(2):  # the second time as after a failure
+        run(batch, 0)
+        assert [r.id for r in own.read().collect()] == ["f-0"] and own.versions() == [1]
+        told = {}
+        for e in sorted(spark.read.parquet(str(tmp_path / "events")).collect(), key=lambda e: e.ord):
+            told.setdefault(e.id, []).append((e._tag, e.processed, e.total, e.message))
+        assert told["f"] == [("ingest-start", None, None, None), ("ingest-progress", 1, 1, None), ("ingest-complete", None, 1, None)]
+        assert told["g"] == [("ingest-failed", None, None, "Unsupported file type: b.exe")]
+        assert told["h"] == [("ingest-start", None, None, None), ("ingest-complete", None, 0, None)]
+        assert told["i"] == [("ingest-failed", None, None, "bad")]
+    run(batch.filter("file_id = 'h'"), 1)
+    assert own.versions() == [1, 2] and own.current()[2] == {"uploads": 1} and own.count() == 1
+    own.drop()
+    assert own.read() is None and own.current()[2] == {"uploads": 1}
+
+
+def test_upsert_of_null_ids(spark, tmp_path):
+    own = Collection(spark, str(tmp_path), "n", 2)
+    rows = spark.createDataFrame([(None, "a"), ("x", "b")], "id string, document string")
+    assert own.upsert(rows) == 2 and own.upsert(rows.withColumn("document", F.lit("c"))) == 2
+    assert sorted((r.id or "", r.document) for r in own.read().collect()) == [("", "c"), ("x", "c")]
 
 
 def test_progress_in_batches(spark):
@@ -115,8 +226,8 @@ def test_collection_of_two_writers_and_vacuum(spark, tmp_path):
     own, other = Collection(spark, str(tmp_path), "docs", 4), Collection(spark, str(tmp_path), "docs", 4)
     rows = spark.createDataFrame([(f"d{i}", f"text {i}") for i in range(40)], "id string, document string")
     own.upsert(rows)
-    version, folders = own.current()
-    assert own.publish(version + 1, folders) and not other.publish(version + 1, folders)
+    version, folders, sources = own.current()
+    assert own.publish(version + 1, folders, sources) and not other.publish(version + 1, folders, sources)
     one = spark.createDataFrame([("d7", "changed")], "id string, document string")
     other.upsert(one)
     after = other.current()[1]
@@ -146,16 +257,6 @@ def test_retrieval_by_text_with_filters_and_metadata(spark):
     assert {(r.query_id, r.id) for r in found} == {(1, "c"), (2, "c")}
 
 
-def test_streams_of_built_in_aggregates(spark, tmp_path):
-    rows = parts(spark, (0, 2, b"x"), (1, 2, b"B"), (0, 2, b"A"))
-    for i in range(3):
-        rows.filter(F.col("seq") == i).write.mode("append").json(f"{tmp_path}/sent")
-    stream = spark.readStream.schema(files.PART_SCHEMA).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/sent")
-    states = jobs.run_until_done(jobs.assembled_states(stream), f"file://{tmp_path}/run")
-    last = states.groupBy("file_id").agg(F.max_by("parts", F.struct("last", "batch")).alias("parts")).select("file_id", F.inline("parts"))
-    assert bytes(uploads.assemble(last).first().content) == b"AB"
-
-
 def test_staging_on_a_cluster_wants_a_shared_folder():
     class Session:
         conf, sparkContext = {}, type("C", (), {"master": "yarn"})
@@ -223,22 +324,36 @@ def test_chat_fold(spark):
 
 def test_chat_stream_is_the_batch(spark, tmp_path):
     rows = [*HELLO, *CALL, ("text-delta", {"delta": "x"}), FINISH]
-    whole = events(spark, *rows)
+    whole = events(spark, *rows).unionByName(events(spark, *HELLO, FINISH, FINISH, *HELLO, session="cleared")).unionByName(events(spark, FINISH, session="none"))
     batches = [whole.filter(F.col("seq") < 5), whole.filter(F.col("seq") >= 5)]
-    out = streamed(spark, batches, jobs.fold_chat_stream, tmp_path, files.CHAT_EVENT_SCHEMA, "update")
-    last = json.loads(max(out, key=lambda r: r.changed).state)
-    want = chat.fold_chat(whole).first()
-    assert last["_tag"] == want._tag == "complete" and [s["content"] for s in last["segments"]] == [s.content for s in want.segments]
-    again = jobs.chat_states(spark.createDataFrame([tuple(r) for r in out], jobs.CHAT_STATE)).first()
-    assert again == want
+    out = streamed(spark, batches, jobs.chat_changes, tmp_path, files.CHAT_EVENT_SCHEMA, "update")
+    again = jobs.chat_states(spark.createDataFrame(out, f"{processors.CHANGES}, batch int")).orderBy("session_id").collect()
+    assert again == chat.fold_chat(whole).orderBy("session_id").collect() and len(again) == 3
+
+
+def test_a_batch_touches_what_it_changes():
+    own, handle = processors.ChatSession(), Handle()
+    own.init(handle)
+    event = lambda seq, tag, **v: Row(*FIELDS)(*(({"session_id": "s", "seq": seq, "_tag": tag} | v).get(f) for f in FIELDS))
+    calls = [event(i, "tool-call-start", id=f"t{i}", name="n") for i in range(500)]
+    list(own.handleInputRows(("s",), iter(calls), None))
+    own.segments.calls = own.places.calls = 0
+    out = list(own.handleInputRows(("s",), iter([event(900, "tool-execution-complete", id="t7", result="r", success=True), event(800, "tool-execution-start", id="t7")]), None))
+    assert [r.pos for r in out] == [None, 7] and json.loads(out[1].told)["tool"]["status"] == "complete"
+    assert own.segments.calls <= 2 and own.places.calls <= 2
 
 
 def test_upload_states_stream(spark, tmp_path):
     schema = "_tag string, id string, status string, error string, chunks_uploaded int, progress int, seq long"
-    one = spark.createDataFrame([("status", "a", "uploading", None, None, None, 1), ("progress", "a", None, None, 2, 20, 2)], schema)
-    two = spark.createDataFrame([("ingest", "a", "start", None, None, None, 3), ("ingest", "a", "complete", None, None, None, 4)], schema)
-    out = streamed(spark, [one, two], jobs.upload_states_stream, tmp_path, schema, "update")
-    assert tuple(out[-1]) == ("a", "complete", False, 2, 20)
+    one = spark.createDataFrame([("status", "a", "uploading", None, None, None, 1), ("progress", "a", None, None, 2, 20, 2), ("status", "zzz", "uploading", None, None, None, 1)], schema)
+    two = spark.createDataFrame([("ingest", "a", "start", None, None, None, 3), ("ingest", "a", "error", None, None, None, 4)], schema)
+    known = spark.createDataFrame([("a", "pending"), ("b", "pending")], "id string, status string")
+    out = streamed(spark, [one, two], lambda e: jobs.upload_state_stream(known, e), tmp_path, schema, "update")
+    assert {r.id for r in out} == {"a"}
+    last = spark.createDataFrame([max(out, key=lambda r: r.batch)], jobs.upload_state_stream(known, one).schema.add("batch", IntegerType())).drop("batch")
+    found = uploads.states_of(known, last).orderBy("id").collect()
+    assert found == uploads.upload_states(known, one.unionByName(two)).orderBy("id").collect()
+    assert tuple(found[0]) == ("a", "error", "Ingest failed. Check server logs.", False, 2, 20) and tuple(found[1]) == ("b", "pending", None, False, 0, 0)
 
 
 PART_FIELDS = "session_id string, seq long, type string, id string, name string, delta string, result string, is_failure boolean, reason string, input_tokens long, output_tokens long, error string"
@@ -265,6 +380,17 @@ def test_model_parts(spark):
     assert tuple(chat.session_summary(many).first()) == ("s", 12, "tool-calls", True)
 
 
+def test_part_stream_is_the_batch(spark, tmp_path):
+    rows = [("text-delta", {"delta": "hi"}), ("tool-params-start", {"id": "t", "name": "n"}), ("tool-params-delta", {"id": "t", "delta": '{"a":'}), ("tool-params-delta", {"id": "t", "delta": " 1}"}), ("tool-params-end", {"id": "t"}), ("finish", {"reason": "tool-calls"}),
+            ("tool-params-delta", {"id": "t", "delta": "x"}), ("tool-result", {"id": "t", "result": "r"}), ("error", {"error": "bad"}), ("finish", {"reason": "stop", "output_tokens": 2})]
+    whole = model_parts(spark, *rows)
+    batches = [whole.filter("seq < 3"), whole.filter("seq BETWEEN 3 AND 5"), whole.filter("seq > 5")]
+    out = sorted(streamed(spark, batches, jobs.part_event_stream, tmp_path, PART_FIELDS), key=lambda r: r.seq)
+    assert [tuple(r)[:-1] for r in out] == [tuple(r) for r in chat.part_events(whole).orderBy("seq").collect()]
+    assert [r.arguments for r in out if r._tag == "tool-call-complete"] == ['{"a": 1}']
+    assert [r._tag for r in out][-3:] == ["iteration-start", "error", "finish"]  # the call of the iteration before isn't open any more
+
+
 def test_history(spark):
     rows = spark.createDataFrame([("assistant", "m", [("text", "a"), ("tool-call", "x"), ("text", "b")]), ("assistant", "m", []), ("user", "u", [("text", "z")])], "role string, message string, segments array<struct<kind:string,content:string>>")
     assert [r.content for r in chat.history_messages(rows).collect()] == ["ab", "m", "u"]
