@@ -18,7 +18,7 @@ queries into chunks; they meet in a sorted join on list and salt, whose blocks a
 blocks on average, so that neither a list nor a query grows a task; a pair emits only what is within the bound. Nothing
 but centroids and list sizes is broadcast.
 
-The centroids are fitted on a sample of at most ``SAMPLE`` distinct vectors (those with the smallest hash), ``PER_LIST``
+The centroids are fitted on a sample of at most ``SAMPLE`` distinct vectors and ``SAMPLE_BYTES`` (those with the smallest hash), ``PER_LIST``
 for each list at least, which bounds the lists at 1024; every row is indexed. On directions without structure, as in the
 test tables, lists separate little, so that ``PROBED`` of them are needed for a recall above 0.9 against brute force (see
 the tests); clustered data needs fewer.
@@ -42,6 +42,7 @@ from .common import stage_table
 
 SAMPLE, PER_LIST, PROBED, LEAST, NEIGHBOURS = 16_384, 16, 0.6, 512, 10
 COLUMN, EPSILON, SEED = 16, 2.1, 7
+SAMPLE_BYTES = 1 << 27
 #: Vectors of a block, queries of a chunk, rows that a task holds before it emits all blocks.
 BLOCK, CHUNK, HELD = 1024, 128, 32_768
 
@@ -219,8 +220,8 @@ def nearest(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", vector
     first = Window.partitionBy("v").orderBy("id")
     distinct = own.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= keep).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     distinct = stage_table(spark, distinct.select(F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("bound"), "ids", "v"), "distinct-vectors")
-    drawn = distinct.select("v", F.xxhash64(F.col("ids")[0]).alias("h")).orderBy("h", "v").limit(SAMPLE).collect()  # SAMPLE vectors at most
-    sample = np.array([r["v"] for r in drawn])
+    drawn = distinct.select("v", F.xxhash64(F.col("ids")[0]).alias("h")).orderBy("h", "v").limit(max(PER_LIST, min(SAMPLE, SAMPLE_BYTES // (8 * length["n"]))))
+    sample = matrix(drawn.toArrow().column("v").combine_chunks())
     n = distinct.count()
     lists = max(1, min(round(n**0.5), len(sample) // PER_LIST))
     centroids, rotation = fit(sample, lists)

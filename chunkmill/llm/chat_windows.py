@@ -3,11 +3,10 @@
 Turns of a conversation get running sums of their tokens (words plus the template's share). A window holds the
 turns whose sum ends within one stride, so spans are aligned to turns. A stride is half of what the system turn leaves
 of the budget (a quarter of the budget at least): as a window's first turn may begin in the stride before, its turns come
-to less than two strides. Every window after the conversation's system turn (the first turn of that role) begins with it
-and repeats, nearest first, up to ``HISTORY`` turns before its span, as many as the budget leaves room for; what is
+to less than two strides. Every window after the conversation's system turn (the first turn of that role) begins with it,
+cut to its first words if it is longer than half of the budget, and repeats, nearest first, up to ``HISTORY`` turns before its span, as many as the budget leaves room for; what is
 repeated is masked, so each assistant text is under exactly one loss mask. ``tokens`` is a window's whole sum. It exceeds
-the budget only where a single turn is longer than a stride, as turns aren't cut, or the system turn is longer than half of
-the budget; such a window has no history.
+the budget only where a single turn is longer than a stride, as a window's own turns aren't cut; such a window has no history.
 
 A turn is written ``### role: text </turn>`` and a line end. In texts and roles every backslash, ``#`` and ``<``
 gets a backslash in front (in roles the colon too), so control strings never appear inside and reading back is
@@ -39,7 +38,10 @@ from pyspark.sql import functions as F
 from .common import WORD, stage_table
 
 BUDGET, HISTORY, TURN_COST = 1024, 2, 4
-NONE = -(2**63)
+#: Tokens of the system turn that windows repeat at most.
+SYSTEM_SHARE = BUDGET // 2
+#: Conversations by a key that tells null from every number.
+NONE = "n"
 
 
 def escaped(column: Column, also: str = "") -> Column:
@@ -56,7 +58,7 @@ def local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        names, tokens = batch.column(0).to_numpy(), batch.column(3).to_numpy()
+        names, tokens = batch.column(0).to_numpy(zero_copy_only=False), batch.column(3).to_numpy()
         new = np.flatnonzero(np.r_[names[0] != conv, names[1:] != names[:-1]])
         upto, number = np.cumsum(tokens), np.arange(1, len(names) + 1)
         base = np.zeros((2, len(names)), np.int64)
@@ -71,14 +73,14 @@ def local_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def numbered_turns(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """Each turn with its number in the conversation, its window, and number and tokens of the system turn (null and 0 without one)."""
-    key = F.coalesce(F.col("conv_id").cast("long"), F.lit(NONE))
-    turn = F.coalesce(F.col("turn").cast("long"), F.lit(NONE))
+    """Each turn with its number in the conversation, its window, and number of the system turn and the tokens that windows repeat of it (null and 0 without one)."""
+    key = F.coalesce(F.concat(F.lit("v"), F.col("conv_id").cast("long").cast("string")), F.lit(NONE))
+    turn = F.col("turn").cast("long")
     text = F.coalesce(F.col("text"), F.lit(""))
     tokens = (F.regexp_count(text, F.lit(WORD)) + TURN_COST).cast("long")
     order = ["conv", "turn", "role", "tie", "row"]
     rows = turns.select(key.alias("conv"), F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("text"), tokens.alias("tokens"), turn.alias("turn"), F.md5(text.cast("binary")).alias("tie"), F.monotonically_increasing_id().alias("row"))
-    sums = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "role", "text", "tokens").mapInArrow(local_sums, "conv long, role string, text string, tokens long, part long, nth long, ends long")
+    sums = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", "role", "text", "tokens").mapInArrow(local_sums, "conv string, role string, text string, tokens long, part long, nth long, ends long")
     placed = stage_table(spark, sums, "turns")
     whole = Window.partitionBy("conv")
     before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,7 +89,7 @@ def numbered_turns(spark: SparkSession, turns: DataFrame) -> DataFrame:
     first = F.min(F.when(F.col("system").isNotNull(), F.struct((F.col("system.nth") + F.col("rows_before")).alias("n"), F.col("system.tokens").alias("tokens")))).over(whole)
     parts = parts.withColumn("first_system", first)
     found = placed.join(parts.hint("merge"), ["conv", "part"])
-    system_tokens = F.coalesce("first_system.tokens", F.lit(0))
+    system_tokens = F.least(F.coalesce("first_system.tokens", F.lit(0)), F.lit(SYSTEM_SHARE))
     stride = F.greatest(F.floor((BUDGET - system_tokens) / 2), F.lit(BUDGET // 4))
     ends = F.col("ends") + F.col("tokens_before")
     return found.select("conv", (F.col("nth") + F.col("rows_before")).alias("n"), "role", "text", "tokens", F.floor((ends - 1) / stride).alias("window"), F.col("first_system.n").alias("system_n"), system_tokens.alias("system_tokens"))
@@ -104,7 +106,9 @@ def chat_windows(spark: SparkSession, turns: DataFrame) -> DataFrame:
     wanted = windows.select("conv", "window", "room", F.explode(F.array(*[F.col("first") - k for k in range(1, HISTORY + 1)])).alias("n"), "system_n").filter("n >= 1 AND NOT (n <=> system_n)").drop("system_n")
     nearest = Window.partitionBy("conv", "window").orderBy(F.desc("n"))  # HISTORY rows
     history = wanted.join(own.select("conv", "n", "role", "text", "tokens"), ["conv", "n"]).withColumn("repeats", F.sum("tokens").over(nearest)).filter("repeats <= room").select("conv", "window", part(0))
-    system = own.filter("n = system_n").select("conv", "n", "role", "text", "tokens")
+    space = WORD.replace("^", "")
+    start = F.regexp_extract("text", rf"\A{space.replace('+', '*+')}(?:{WORD}+{space.replace('+', '*+')}){{0,{SYSTEM_SHARE - TURN_COST}}}+", 0)
+    system = own.filter("n = system_n").select("conv", "n", "role", F.when(F.col("tokens") > SYSTEM_SHARE, start).otherwise(F.col("text")).alias("text"), F.least("tokens", F.lit(SYSTEM_SHARE)).alias("tokens"))
     kept = windows.filter(later).select("conv", "window").join(system, "conv").select("conv", "window", part(0))
     parts = new.unionByName(history).unionByName(kept).groupBy("conv", "window").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.sum("part.tokens").alias("tokens"))  # a budget's worth
     head = lambda p: F.concat(F.lit("### "), escaped(p["role"], ":"), F.lit(": "))
@@ -120,7 +124,7 @@ def chat_windows(spark: SparkSession, turns: DataFrame) -> DataFrame:
     spans = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans")), add)["spans"]
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(head(p), body(p), F.lit(tail))), "")
     repeated = F.size(F.filter("parts", lambda p: p["own"] == 0))
-    conv = F.when(F.col("conv") != NONE, F.col("conv"))
+    conv = F.when(F.col("conv") != NONE, F.substr("conv", F.lit(2)).cast("long"))
     return parts.select(conv.alias("conv_id"), "window", formatted.alias("formatted"), repeated.alias("repeated"), spans.alias("loss_spans"), "tokens")
 
 

@@ -46,8 +46,9 @@ NONE = BUCKETS
 PARTS_OF_ONE = 1 << 10
 SCALE = 6 * PARTS_OF_ONE
 THRESHOLD, FOLDS, SEED = 0.3, 5, 8
-#: Different words whose buckets a worker keeps; beyond, it starts over.
+#: Different words whose buckets a worker keeps; beyond, it starts over. Bytes of a kept one.
 CACHE = 3 << 18
+SHORT = 64
 #: Words whose vectors are gathered at once.
 CHUNK = 1 << 14
 #: Standard deviations beyond which an input counts as this many.
@@ -101,6 +102,7 @@ class Words:
 
     def reset(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.used = 0
         self.keys = np.full((1 << 12, 3), NONE, np.int32)
 
     def numbers(self, body: bytes) -> np.ndarray:
@@ -109,18 +111,23 @@ class Words:
             return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         except KeyError:
             new = set(words).difference(self.number)
-            at = len(self.number) + 1
+            at = self.used + 1
             while at + len(new) > len(self.keys):
                 self.keys = np.concatenate([self.keys, np.full_like(self.keys, NONE)])
             self.keys[at : at + len(new)] = list(map(features, new))
             self.number.update(zip(new, range(at, at + len(new))))
-            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            self.used += len(new)
+            found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            for w in new:
+                if len(w) > SHORT:  # its buckets stay until all start over, the word doesn't
+                    del self.number[w]
+            return found
 
     def batches(self, bodies: list[bytes]) -> Iterator[list[np.ndarray]]:
         """Numbers of the texts' words, in groups of about ``CHUNK`` words."""
         group, held = [], 0
         for body in bodies:
-            if not group and len(self.number) > CACHE:
+            if not group and self.used > CACHE:
                 self.reset()
             group.append(self.numbers(body))
             held += len(group[-1])

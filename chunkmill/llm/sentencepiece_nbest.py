@@ -15,9 +15,9 @@ best; the N best of the text follow from the words whose second best costs least
 how many steps each word goes down. With any other vocabulary the whole text is one word.
 Segmentations 2 to N are given as changes to the best: the pieces from ``start`` on, ``length`` of them, become ``ids``.
 
-Text is prepared as the model's flags ask: a space mark in front, spaces as marks, nothing removed. Decoding joins
-the pieces, reads byte pieces as UTF-8 and takes the first mark off: it gives back every text, but for a mark in
-the text itself, which reads as a space.
+Text is prepared with a space mark in front, spaces as marks, nothing removed or folded; a model whose flags ask for something else is
+refused. Decoding joins the pieces, reads byte pieces as UTF-8 and takes the first mark off: it gives back every text, but for a mark in
+the text itself, which reads as a space; ``decoded`` is false for such a text.
 
 Nulls: a null text counts as empty; an empty text has no pieces and one segmentation of score 0. Repeated rows
 each get a row. A very long text, or one long word, is one lattice, held once. An empty table gives an empty result.
@@ -54,6 +54,8 @@ ENCODED = StructType().add("piece_ids", ArrayType(IntegerType())).add("best_scor
 #: Per segmentation from the second best on, the words in which it differs from the best.
 CHANGES = ArrayType(ArrayType(StructType().add("start", IntegerType()).add("length", IntegerType()).add("ids", ArrayType(IntegerType()))))
 CHANGES_ARROW = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
+#: Texts that only come back if the model's flags are the supported ones: spaces at the ends and in runs, characters that normalisation folds.
+PROBES = ("x", "  a  b ", "\n c\t", "\uff21\ufb01\u00e9e\u0301\u00bd\u3000")
 CHUNKS = re.compile(" +[^ \n]*|\n+|[^ \n]+")
 
 
@@ -64,6 +66,8 @@ class Lattice:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
+        if any(model.decode(model.encode(t)) != t or model.encode(t, out_type=str)[0][:1] != MARK for t in PROBES):
+            raise ValueError("the model must put a mark in front, remove no white space and fold no character")
         n = model.get_piece_size()
         self.nbest, self.texts, self.bytes = nbest, [model.id_to_piece(i) for i in range(n)], {}
         scores = [model.get_score(i) for i in range(n)]
@@ -374,7 +378,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", n
                     scores.append(score)
                     losses.append(loss)
                     changes.append([[{"start": a, "length": n, "ids": new} for a, n, new in one] for one in change])
-                    same.append(decoder.decode(own) == text.encode("utf-8", "replace").replace(MARK.encode(), b" ") and decoder.alike(own, change))
+                    same.append(decoder.decode(own) == text.encode("utf-8", "replace") and decoder.alike(own, change))
                 columns = [*batch.columns[:-1], list_array(ids), pa.array(scores, pa.float64()), pa.array(losses, pa.list_(pa.float64())), pa.array(same, pa.bool_())]
                 if with_changes:
                     columns.append(pa.array(changes, CHANGES_ARROW))

@@ -15,9 +15,10 @@ Memory-mapping needs a POSIX path: the shared folder must be a mounted file syst
 
 If the tokenizer drops white space and no token spans it (``words_stand_alone`` reads that from its file), a text's
 ids are its words' ids in order, and a Python worker encodes each different word once while it stays in its cache,
-which lasts from task to task and is bounded. With any other tokenizer whole texts are encoded.
+which lasts from task to task and is bounded; a word of more than ``SHORT`` bytes isn't kept. With any other tokenizer whole texts are encoded.
 
-Nulls: a null text counts as empty and has the end id alone; a null identifier sorts first. Repeated rows are
+Nulls: a null text counts as empty and has the end id alone; a null identifier sorts first, and the manifest tells how many a
+shard begins with, as the file holds zeros for them. Repeated rows are
 documents of their own. A very long text is held once as text and once as ids. An empty table writes no shard and
 gives an empty result. Other columns play no part, whatever their names.
 """
@@ -43,12 +44,13 @@ from .common import new_folder, stage_table, text_of
 END_ID = 2
 #: Different words whose ids a worker keeps in use; as many from before stay at hand.
 CACHE_WORDS = 3 << 18
+#: Bytes of a kept word.
+SHORT = 64
 #: The last letter of Latin Extended-A: up to here lower-case letters are composed and lower case is one to one, but for U+0130.
 LAST_PLAIN = "\u017f"
 #: Ids read at once when a shard is read back.
 READ_IDS = 1 << 24
-NO_ID = -(2**63)
-MANIFEST = "shard string, first_id long, documents long, ids long, width int"
+MANIFEST = "shard string, nulls long, documents long, ids long, width int"
 
 
 def posix_folder(uri: str) -> str:
@@ -147,8 +149,10 @@ class Encoder:
         try:
             return b"".join(found)
         except TypeError:  # some word isn't known
-            self.learn({w for w, ids in zip(words, found) if ids is None})
-            known = self.known
+            new = {w for w, ids in zip(words, found) if ids is None}
+            long = {w: self.whole(w) for w in new if len(w) > SHORT}
+            self.learn(new.difference(long) if long else new)
+            known = self.known | long if long else self.known
             return b"".join([known[w] if ids is None else ids for w, ids in zip(words, found)])
 
 
@@ -162,7 +166,7 @@ def write_shards(folder: str, tokenizer_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = encoder_of(tokenizer_path), TaskContext.get()
         name, own_name = f"{folder}/{task.partitionId():08d}", f"{folder}/.{task.partitionId():08d}-{task.taskAttemptId()}"
-        ids, ends, at, out = [], [], 0, None
+        ids, ends, at, nulls, out = [], [], 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -175,7 +179,8 @@ def write_shards(folder: str, tokenizer_path: str):
                 out.write(encoder.end)
                 at += len(found) // encoder.kind.itemsize + 1
                 ends.append(at)
-            ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
+            nulls += batch.column(0).null_count
+            ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
         if out is None:
             return
         out.close()
@@ -185,8 +190,8 @@ def write_shards(folder: str, tokenizer_path: str):
             idx.write(np.array(ends, "<u8").tobytes())
         for kind in ("ids", "idx"):
             os.replace(f"{own_name}.{kind}", f"{name}.{kind}")
-        row = [os.path.basename(name)], [int(own[0])], [len(own)], [at], [encoder.kind.itemsize]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["shard", "first_id", "documents", "ids", "width"])
+        row = [os.path.basename(name)], [nulls], [len(own)], [at], [encoder.kind.itemsize]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["shard", "nulls", "documents", "ids", "width"])
 
     return run
 
@@ -198,7 +203,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str,
     rows = docs.select(F.col(id_col).cast("long").alias("id"), body.cast("binary").alias("body"), F.xxhash64(body).alias("tie"), F.monotonically_increasing_id().alias("row"))
     dealt = rows.repartitionByRange("id", "tie", "row").sortWithinPartitions("id", "tie", "row").select("id", "body")
     shards = stage_table(spark, dealt.mapInArrow(write_shards(posix_folder(folder), tokenizer_path), MANIFEST), "manifest")
-    before = Window.orderBy("first_id", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard; partitions are in order of identifiers
     return shards.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))), folder
 
 
@@ -222,7 +227,7 @@ def read_shards(folder: str):
                             crc = zlib.crc32(flat[x : min(b, x + READ_IDS)].astype("<u4").tobytes(), crc)
                         sums[i] = crc
                     id_ = np.asarray(own[part])
-                    columns = [pa.array(id_, mask=id_ == NO_ID), pa.array(starts[part] + row["base"]), pa.array(ends[part] - starts[part]), pa.array(sums)]
+                    columns = [pa.array(id_, mask=np.arange(lo, lo + len(id_)) < row["nulls"]), pa.array(starts[part] + row["base"]), pa.array(ends[part] - starts[part]), pa.array(sums)]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "n_tokens", "ids_crc32"])
 
     return run

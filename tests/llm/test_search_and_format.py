@@ -118,11 +118,13 @@ def check_windows(made):
             assert own and r.tokens == sum(cost(t) for _, t in turns)
             past = [t for i, t in enumerate(told) if i != system]
             if system is not None:
-                assert repeated[0] == told[system]
+                role, text = repeated[0]  # whole, or its first words if it is longer than its share
+                assert role == "system" and told[system][1].startswith(text) and cost(text) == min(cost(told[system][1]), chat_windows.SYSTEM_SHARE)
+                assert text == told[system][1] or cost(text) == chat_windows.SYSTEM_SHARE
                 repeated = repeated[1:]
             assert repeated == past[len(past) - len(repeated) :] and len(repeated) <= chat_windows.HISTORY
-            stride = max((chat_windows.BUDGET - (cost(told[system][1]) if system is not None else 0)) // 2, chat_windows.BUDGET // 4)
-            long = max(cost(t) for _, t in own) > stride or system is not None and cost(told[system][1]) > chat_windows.BUDGET // 2
+            kept = min(cost(told[system][1]), chat_windows.SYSTEM_SHARE) if system is not None else 0
+            long = max(cost(t) for _, t in own) > (chat_windows.BUDGET - kept) // 2
             assert r.tokens <= chat_windows.BUDGET or long and not repeated
             told += own
             if system is None:
@@ -142,6 +144,22 @@ def test_windows_hold_the_budget(spark):
         assert sum(len(r.formatted) for r in made if r.conv_id == conv) == sum(len("### : </turn>\n ") + len(role) + len(text) for r in made if r.conv_id == conv for role, text in chat_windows.read_window(r.formatted))
 
 
+def test_a_long_system_turn_does_not_grow_every_window(spark):
+    rows = [(1, 0, "system", "s " * 20_000)] + [(1, t, "user" if t % 2 else "assistant", "w " * 200) for t in range(1, 200)]
+    made = chat_windows.chat_windows(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    check_windows(made)
+    assert sorted(r.tokens for r in made)[-2] <= chat_windows.BUDGET  # but for the window of that turn itself
+    assert sum(len(r.formatted) for r in made) < 4 * sum(len(r[3]) for r in rows)
+
+
+def test_the_least_identifier_is_not_null(spark):
+    rows = [(-(2**63), 0, "user", "least"), (None, 0, "user", "none"), (None, None, "assistant", "first"), (None, -(2**63), "user", "second")]
+    made = chat_windows.chat_digests(chat_windows.chat_windows(spark, spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in made}
+    rows = [rows[0], (None, 0, *rows[2][2:]), (None, 1, *rows[3][2:]), (None, 2, *rows[1][2:])]
+    assert len(found) == 2 and found == conversation_digests(rows)
+
+
 def test_chat_windows_read_back(spark, tmp_path):
     rng = random.Random(2)
     pieces = ["### Assistant: ", "</turn>", "\\", "\\\\#", "<", "a b", "\n", ": ", "\U0001f600", "word " * 40]
@@ -247,6 +265,24 @@ def test_every_text_decodes(spark, odd_docs, sample, no_docs, lattice):
     assert sentencepiece_nbest.encoding_report(no_docs, path).collect() == []
 
 
+def test_a_mark_in_a_text_is_told(spark):
+    rows = spark.createDataFrame([("a ▁b",), ("a b",)], "text string")
+    found = sentencepiece_nbest.encode_documents(rows, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert [r.decoded for r in found] == [False, True]
+
+
+def test_models_that_fold_or_remove_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Folding(sentencepiece.SentencePieceProcessor):
+        def encode(self, text, **more):
+            return super().encode(text.strip(), **more)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+    with pytest.raises(ValueError, match="remove no white space"):
+        sentencepiece_nbest.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def test_pieces_of_the_nbest(spark, lattice, sample):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = ["the cat", "a b a", "to\nbe", "x", ""]

@@ -107,6 +107,24 @@ def test_another_tokenizer_and_many_repeated_ids(spark):
     assert sorted(r[3] for r in found) == sorted(crc(t) for _, t in rows)
 
 
+def test_long_words_are_not_kept():
+    encoder, words = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json")), quality.Words()
+    bodies = [(f"a{i} " + chr(97 + i % 26) * 100_000 + " b").encode() for i in range(40)]
+    for body in bodies + bodies[:3]:
+        assert encoder.encode(body) == encoder.whole(body)
+        own = words.numbers(body)
+        assert [tuple(words.keys[n]) for n in own] == [quality.features(w) for w in body.split()]
+    assert max(map(len, encoder.known)) <= token_files.SHORT and max(map(len, words.number)) <= quality.SHORT
+    assert sum(map(len, encoder.known)) < 10_000 and words.used >= len(words.number)
+
+
+def test_the_least_identifier_in_token_files(spark):
+    rows = spark.createDataFrame([(None, "a"), (-(2**63), "b c"), (None, "d"), (0, "e")], "doc_id long, text string")
+    manifest, folder = token_files.write_token_files(spark, rows, public_tokenizers.path("word_bpe_49k.json"))
+    found = token_files.read_token_files(manifest, folder).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens) for r in found] == [(None, 2), (None, 2), (-(2**63), 3), (0, 2)]
+
+
 def test_quality_on_the_held_out_fold(spark, no_docs):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
