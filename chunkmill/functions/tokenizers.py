@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,28 +72,75 @@ class Tokenizer:
 CHARACTER, WORD, SENTENCE = Tokenizer(""), Tokenizer(" "), Tokenizer(SENTENCE_DELIMITERS, ". ")
 
 
-def token_rows(docs: DataFrame, tokenizer: Tokenizer, order_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(order_col).alias("doc_order"), F.posexplode(tokenizer.tokens(F.col(text_col))).alias("pos", "token"))
+#: Bytes of tokens that a block holds, unless one document has more.
+BLOCK_BYTES = 1 << 22
+
+
+def blocks_of(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows (doc_order, items) in staged blocks of documents, which share a dictionary: the different items of a block and, per
+    document, their places in it. Whatever joins items later has a row per block and item, not one per position.
+
+    A block: ``block``, ``orders``, ``sizes`` (-1: no list), ``codes`` (32-bit places, -1: null), ``items``, and per item the place where it first appears,
+    ``first_order`` and ``first_pos``, in the order of the documents. Staged, because all that reads a block must see the same one.
+    """
+    order = dict(rows.dtypes)["doc_order"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number = TaskContext.get().partitionId(), itertools.count()
+        for whole in batches:
+            at = 0
+            lengths = pc.fill_null(pc.list_value_length(whole.column(1)), 0).to_numpy(zero_copy_only=False)
+            per_item = max(1, whole.column(1).nbytes // max(1, int(lengths.sum())))
+            upto = np.cumsum(lengths * per_item)
+            while at < whole.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_BYTES, side="right")))
+                batch = whole.slice(at, end - at).sort_by([(whole.schema.names[0], "ascending")])
+                at = end
+                orders, lists = batch.column(0), batch.column(1)
+                sizes = pc.fill_null(pc.list_value_length(lists), -1)
+                coded = lists.flatten().dictionary_encode()
+                codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype("<i4")
+                n = np.maximum(sizes.to_numpy(zero_copy_only=False), 0)
+                _, first = np.unique(codes, return_index=True)
+                first = first[codes[first] >= 0] if len(codes) else np.zeros(0, np.int64)
+                doc = np.repeat(np.arange(len(n)), n)
+                pos = first - (np.cumsum(n) - n)[doc[first]]
+                one = lambda values, kind=None: pa.array([values], None if kind is None else pa.list_(kind))
+                columns = [pa.array([f"{task}-{next(number)}"]), one(orders, orders.type), one(sizes, pa.int32()), pa.array([codes.tobytes()]), one(coded.dictionary, coded.dictionary.type), one(orders.take(pa.array(doc[first])), orders.type), one(pos.astype(np.int32), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "orders", "sizes", "codes", "items", "first_order", "first_pos"])
+
+    schema = f"block string, orders array<{order}>, sizes array<int>, codes binary, items array<{kind}>, first_order array<{order}>, first_pos array<int>"
+    return stage_table(rows.sparkSession, rows.mapInArrow(run, schema), "token-blocks")
+
+
+def token_blocks(docs: DataFrame, tokenizer: Tokenizer, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return blocks_of(docs.select(F.col(order_col).alias("doc_order"), tokenizer.tokens(F.col(text_col)).alias("items")), "string")
 
 
 def vocabulary(docs: DataFrame, tokenizer: Tokenizer, order_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
-    """(token, id), numbered by first appearance; ``known`` keeps its ids and new tokens follow it.
+    """(token, id), numbered by first appearance; ``known`` keeps its ids and new tokens follow it."""
+    return vocabulary_of(token_blocks(docs, tokenizer, order_col, text_col), known)
+
+
+def vocabulary_of(blocks: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The vocabulary of token blocks.
 
-    One aggregation by token with minima combined before the shuffle. Numbering sums the counts of ranges of first
-    appearances, so no task holds all tokens.
+    A row per block and token; their minima are combined before the shuffle. The first appearances are dealt out by ranges and
+    staged, and ids are a place in the range and the counts of the ranges before, so no task holds all tokens.
     """
-    first = token_rows(docs, tokenizer, order_col, text_col).groupBy("token").agg(F.min(F.struct("doc_order", "pos")).alias("first"))
-    base = F.lit(0).cast("long")
+    rows = blocks.select(F.inline(F.arrays_zip(F.col("items").alias("token"), "first_order", "first_pos")))
+    first = rows.groupBy("token").agg(F.min(F.struct("first_order", "first_pos")).alias("first")).select("token", F.col("first.first_order").alias("o"), F.col("first.first_pos").alias("p"))
     if known is not None:
         first = first.join(known, "token", "left_anti")
-        start = known.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("start"))
-    ranged = first.select("token", F.col("first.doc_order").alias("o"), F.col("first.pos").alias("p"))
-    inside = Window.partitionBy("o").orderBy("p")
-    per_doc = ranged.groupBy("o").agg(F.count(F.lit(1)).alias("n"))
-    numbered = ranged.withColumn("k", F.row_number().over(inside) - 1).join(running_total(per_doc, "o", "n"), "o")
-    fresh = numbered.select("token", (F.col("before") + F.col("k")).cast("long").alias("id"))
+    dealt = stage_table(blocks.sparkSession, first.repartitionByRange("o", "p").withColumn("part", F.spark_partition_id()), "first-appearances")
+    parts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("o", "p")) - 1
+    fresh = dealt.withColumn("place", place).join(parts, "part").select("token", (F.col("before") + F.col("place")).cast("long").alias("id"))
     if known is None:
-        return fresh.withColumn("id", F.col("id") + base)
+        return fresh
+    start = known.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("start"))
     fresh = fresh.crossJoin(F.broadcast(start)).select("token", (F.col("id") + F.col("start")).cast("long").alias("id"))  # one row
     return known.select("token", F.col("id").cast("long").alias("id")).unionByName(fresh)
 
@@ -108,17 +161,58 @@ def running_total(counts: DataFrame, order_col: str, count_col: str) -> DataFram
     return own.join(parts, "part").select(F.col("o").alias(order_col), (F.col("own_before") + F.col("part_before")).alias("before"))
 
 
+def looked_up(blocks: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """Blocks with ``values``: of each item what the table has for it, null if nothing. An item is joined once per block."""
+    items = blocks.select("block", F.posexplode("items").alias("k", "item"))
+    found = items.join(table.select(F.col(key).alias("item"), F.col(value).alias("value")), "item", "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"])
+    values = found.groupBy("block").agg(ordered.alias("values"))
+    return blocks.select("block", "orders", "sizes", "codes", "items").join(values, "block", "left")
+
+
 def encode(docs: DataFrame, tokenizer: Tokenizer, vocab: DataFrame, order_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(order_col, ids): an equi-join on the token; Spark splits or broadcasts it by measured size."""
-    found = token_rows(docs, tokenizer, order_col, text_col).join(vocab, "token")
-    return found.groupBy("doc_order").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids")).withColumnRenamed("doc_order", order_col)
+    """(order_col, ids); tokens that the vocabulary lacks are left out."""
+    return encode_blocks(token_blocks(docs, tokenizer, order_col, text_col), vocab, order_col)
+
+
+def encode_blocks(blocks: DataFrame, vocab: DataFrame, order_col: str = "doc_id") -> DataFrame:
+    """(order_col, ids) of token blocks: ids are put in by their places in the block's dictionary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(batch.num_rows):
+                orders, sizes, codes, values = (batch.column(c)[b] for c in (1, 2, 3, 5))
+                codes = np.frombuffer(codes.as_py(), "<i4")
+                ids = values.values.take(pa.array(codes, mask=codes < 0)) if len(codes) else pa.array([], pa.int64())
+                kept = pc.is_valid(ids).to_numpy(zero_copy_only=False)
+                ends = np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(np.maximum(sizes.values.to_numpy(), 0))]]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pc.drop_null(ids))
+                yield pa.RecordBatch.from_arrays([orders.values, lists], names=[order_col, "ids"])
+
+    order = dict(blocks.dtypes)["orders"][6:-1]
+    return looked_up(blocks, vocab, "token", "id").mapInArrow(run, f"`{order_col}` {order}, ids array<bigint>")
 
 
 def decode(encoded: DataFrame, tokenizer: Tokenizer, vocab: DataFrame, order_col: str = "doc_id") -> DataFrame:
-    """(order_col, text, error): an id that the vocabulary lacks gives the error and no text."""
-    rows = encoded.select(F.col(order_col).alias("doc_order"), F.posexplode_outer("ids").alias("pos", "id")).join(vocab, "id", "left")
-    tokens = F.transform(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "token")))), lambda x: x["token"])
-    unknown = F.min_by("id", F.when(F.col("token").isNull() & F.col("id").isNotNull(), F.col("pos")))
-    out = rows.groupBy("doc_order").agg(tokens.alias("tokens"), unknown.alias("unknown"))
-    error = F.when(F.col("unknown").isNotNull(), F.concat(F.lit("Unknown token id: "), F.col("unknown")))
-    return out.select(F.col("doc_order").alias(order_col), F.when(F.col("unknown").isNull(), F.array_join("tokens", tokenizer.joined_by)).alias("text"), error.alias("error"))
+    """(order_col, text, error): an id that the vocabulary lacks gives the error, of the first such id, and no text. Null ids are left out."""
+    joiner = tokenizer.joined_by
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(batch.num_rows):
+                orders, sizes, codes, items, values = (batch.column(c)[b] for c in (1, 2, 3, 4, 5))
+                codes, at = np.frombuffer(codes.as_py(), "<i4"), 0
+                ids, tokens = items.as_py(), (values.as_py() or [])
+                texts, errors = [], []
+                for n in sizes.as_py():
+                    own = codes[at : at + max(n, 0)]
+                    at += max(n, 0)
+                    parts = [tokens[c] for c in own.tolist() if c >= 0]
+                    unknown = next((ids[c] for c in own.tolist() if c >= 0 and tokens[c] is None), None)
+                    texts.append(joiner.join(parts) if unknown is None else None)
+                    errors.append(None if unknown is None else f"Unknown token id: {unknown}")
+                yield pa.RecordBatch.from_arrays([orders.values, pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=[order_col, "text", "error"])
+
+    rows = encoded.select(F.col(order_col).alias("doc_order"), F.col("ids").cast("array<bigint>").alias("items"))
+    order = dict(rows.dtypes)["doc_order"]
+    return looked_up(blocks_of(rows, "bigint"), vocab, "id", "token").mapInArrow(run, f"`{order_col}` {order}, text string, error string")

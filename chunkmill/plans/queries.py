@@ -365,7 +365,8 @@ def t3_vocabulary(spark, sf_dir):
 def t3_encode(spark, sf_dir):
     own = docs(spark, sf_dir)
     ids = F.col("ids")
-    out = tok.encode(own, tok.WORD, tok.vocabulary(own, tok.WORD))
+    blocks = tok.token_blocks(own, tok.WORD)
+    out = tok.encode_blocks(blocks, tok.vocabulary_of(blocks))
     return out.select("doc_id", F.size(ids).cast("long").alias("n"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.element_at(ids, -1).alias("last"))
 
 
@@ -373,8 +374,9 @@ def t3_encode(spark, sf_dir):
 def t4_decode(spark, sf_dir):
     """Encoded and decoded again; every tenth document gets an unknown id."""
     own = docs(spark, sf_dir)
-    vocab = tok.vocabulary(own, tok.WORD)
-    ids = tok.encode(own, tok.WORD, vocab).withColumn("ids", F.when(F.col("doc_id") % 10 == 0, F.concat("ids", F.array(F.lit(-1).cast("long")))).otherwise(F.col("ids")))
+    blocks = tok.token_blocks(own, tok.WORD)
+    vocab = tok.vocabulary_of(blocks)
+    ids = tok.encode_blocks(blocks, vocab).withColumn("ids", F.when(F.col("doc_id") % 10 == 0, F.concat("ids", F.array(F.lit(-1).cast("long")))).otherwise(F.col("ids")))
     return tok.decode(ids, tok.WORD, vocab).select("doc_id", F.md5("text").alias("digest"), "error")
 
 
