@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from .tokenizers import CHARACTER, Tokenizer
+from .tokenizers import WORD, TextTokenizer
 
 
 def positive(name: str, value: int) -> None:
@@ -43,7 +43,7 @@ class FastConfig:
 class TokenConfig:
     chunk_size: int = 2048
     chunk_overlap: int = 0
-    tokenizer: Tokenizer = CHARACTER
+    tokenizer: TextTokenizer = WORD
 
     def __post_init__(self):
         positive("chunkSize", self.chunk_size)
@@ -56,7 +56,7 @@ class SentenceConfig:
     chunk_overlap: int = 0
     delimiters: tuple[str, ...] = (". ", "! ", "? ", "\n")
     include_delim: str | None = "prev"
-    tokenizer: Tokenizer = CHARACTER
+    tokenizer: TextTokenizer = WORD
 
     def __post_init__(self):
         positive("chunkSize", self.chunk_size)
@@ -81,7 +81,7 @@ class RecursiveConfig:
     chunk_size: int = 2048
     min_characters: int = 24
     rules: tuple[Rule, ...] = field(default=(Rule(("\n\n",)), Rule(("\n",)), Rule(whitespace=True), Rule()))
-    tokenizer: Tokenizer = CHARACTER
+    tokenizer: TextTokenizer = WORD
 
     def __post_init__(self):
         positive("chunkSize", self.chunk_size)
@@ -95,7 +95,7 @@ class TableConfig:
     chunk_size: int = 3
     mode: str = "row"
     format: str = "auto"
-    tokenizer: Tokenizer = CHARACTER
+    tokenizer: TextTokenizer = WORD
 
     def __post_init__(self):
         positive("chunkSize", self.chunk_size)
@@ -103,7 +103,7 @@ class TableConfig:
             raise ValueError("mode must be row or token, format markdown, html or auto")
 
 
-#: Sizes that the playground starts with.
+#: Sizes that the playground starts with; it counts words, as the chunkers by themselves do.
 PLAYGROUND = {
     "fast": FastConfig(320, ("\n", ".", "?", "!")),
     "recursive": RecursiveConfig(720, 48),

@@ -1,9 +1,12 @@
-"""Delimiter tokenizers on columns, and vocabularies as DataFrames (token, id)."""
+"""Tokenizers, those by delimiters on columns too, and vocabularies as DataFrames (token, id)."""
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Iterator
+import os
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,17 +25,42 @@ SENTENCE_DELIMITERS = ("!\n", ". ", "? ", "\n", ".", "?", "!")
 
 def alternation(delimiters: tuple[str, ...]) -> str:
     """In the order given: a list's first delimiter wins, unlike in the chunkers."""
-    import re
-
     return "|".join(re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", d) for d in delimiters)
 
 
+class TextTokenizer:
+    """What chunkers ask of a tokenizer, inside tasks: the tokens of a text, the text of tokens, and numbers of tokens, of many texts at once.
+
+    Tokens may be of any kind. Subclasses are sent to tasks with the settings that hold them, so they must be picklable.
+    """
+
+    #: Whether ``tokens`` and ``count`` do the same on columns.
+    on_columns = False
+
+    def split_text(self, text: str) -> Sequence:
+        raise NotImplementedError
+
+    def join_tokens(self, tokens: Sequence) -> str:
+        raise NotImplementedError
+
+    def count_texts(self, texts: list[str]) -> list[int]:
+        return [len(self.split_text(t)) for t in texts]
+
+    def count_text(self, text: str) -> int:
+        return self.count_texts([text])[0]
+
+    def count_window(self, tokens: Sequence, text: str) -> int:
+        """The number that a window of tokens counts as; ``text`` is their text."""
+        return len(tokens)
+
+
 @dataclass(frozen=True)
-class Tokenizer:
+class Tokenizer(TextTokenizer):
     """``delimiter``: a string (empty parts stay), a tuple of strings (empty parts go) or "" (characters)."""
 
     delimiter: str | tuple[str, ...]
     joiner: str | None = None
+    on_columns = True
 
     @property
     def joined_by(self) -> str:
@@ -51,23 +79,51 @@ class Tokenizer:
         """Characters count in UTF-16 units and are never cut apart."""
         return utf16_length(text) if self.delimiter == "" else F.size(self.tokens(text))
 
-    def count_text(self, text: str) -> int:
-        """The same for one string, for helpers inside a task."""
+    def count_texts(self, texts: list[str]) -> list[int]:
         if self.delimiter == "":
-            return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
+            return [len(t) if t.isascii() else len(t.encode("utf-16-le", "surrogatepass")) // 2 for t in texts]
         if isinstance(self.delimiter, str):
-            return text.count(self.delimiter) + 1
-        return len(self.split_text(text))
+            return [t.count(self.delimiter) + 1 for t in texts]
+        return super().count_texts(texts)
 
     def split_text(self, text: str) -> list[str]:
-        import re
-
         if self.delimiter == "":
             return list(text)
         if isinstance(self.delimiter, str):
             return text.split(self.delimiter)
         return [t for t in re.split(alternation(self.delimiter), text) if t]
 
+    def join_tokens(self, tokens: Sequence[str]) -> str:
+        return ("" if self.delimiter == "" else self.joined_by).join(tokens)
+
+    def count_window(self, tokens: Sequence[str], text: str) -> int:
+        return self.count_text(text) if self.delimiter == "" else len(tokens)
+
+
+@functools.lru_cache(maxsize=4)
+def library_tokenizer(path: str):
+    """One per Python worker and file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    from tokenizers import Tokenizer as Library
+
+    return Library.from_file(path)
+
+
+@dataclass(frozen=True)
+class LibraryTokenizer(TextTokenizer):
+    """A tokenizer file of the ``tokenizers`` library at a path that all executors have; no special tokens are added. Tokens are ids."""
+
+    path: str
+
+    def split_text(self, text: str) -> list[int]:
+        return library_tokenizer(self.path).encode(text, add_special_tokens=False).ids
+
+    def join_tokens(self, tokens: Sequence[int]) -> str:
+        return library_tokenizer(self.path).decode(list(tokens), skip_special_tokens=False)
+
+    def count_texts(self, texts: list[str]) -> list[int]:
+        return [len(e.ids) for e in library_tokenizer(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+
 
 CHARACTER, WORD, SENTENCE = Tokenizer(""), Tokenizer(" "), Tokenizer(SENTENCE_DELIMITERS, ". ")
 

@@ -8,55 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.config import FastConfig, RecursiveConfig, SentenceConfig, TableConfig, TokenConfig
+from ..functions.tokenizers import CHARACTER
 from . import cuts
-
-FIELDS = {
-    "text": "string",
-    "start_idx": "int",
-    "end_idx": "int",
-    "token_count": "int",
-    "is_table": "boolean",
-    "table_format": "string",
-    "table_mode": "string",
-    "table_row_start": "int",
-    "table_row_end": "int",
-    "table_row_count": "int",
-    "table_has_header": "boolean",
-    "table_columns": "array<string>",
-    "recursive_rule_level": "int",
-    "recursive_rule_type": "string",
-    "recursive_delimiter": "string",
-}
-CHUNK = f"struct<{','.join(f'{k}:{v}' for k, v in FIELDS.items())}>"
-ROUTED = f"struct<part:int,chunk_strategy:string,{CHUNK[7:]}"
-METADATA = tuple(FIELDS)[4:]
-
-
-def as_dict(chunk: cuts.Chunk) -> dict:
-    return dict.fromkeys(METADATA) | dict(zip(("text", "start_idx", "end_idx", "token_count"), chunk)) | (chunk[4] or {})
-
-
-def cut_all(text: str | None, cut: Callable[[str], list[cuts.Chunk]]) -> list[dict]:
-    if text is None or not cuts.trim(text):
-        return []
-    return [as_dict(c) for c in cuts.in_utf16(text, cut(text))]
-
-
-def chunk_column(text: Column, cut: Callable[[str], list[cuts.Chunk]]) -> Column:
-    """Chunks of a text column by any function from a text to chunks: the pluggable chunker."""
-
-    @F.pandas_udf(f"array<{CHUNK}>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: cut_all(t, cut), na_action=None)
-
-    return run(text)
-
+from .chunk_lists import CUT, FIELDS, METADATA, ROUTE, ROUTED, chunk_column, cut_all, lists
+from .token_chunker import token_chunks
 
 def fast_chunks(text: Column, config: FastConfig = FastConfig()) -> Column:
     return chunk_column(text, lambda t: cuts.fast(t, config))
@@ -88,41 +49,27 @@ def exploded(df: DataFrame, chunks: Column, *kept: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Router:
-    """Settings of all strategies, and the length from which a text is cut fast."""
+    """Settings of all strategies, which count characters here, and the length from which a text is cut fast."""
 
     fast: FastConfig = FastConfig()
-    sentence: SentenceConfig = SentenceConfig()
-    token: TokenConfig = TokenConfig()
-    recursive: RecursiveConfig = RecursiveConfig()
-    table: TableConfig = TableConfig()
+    sentence: SentenceConfig = SentenceConfig(tokenizer=CHARACTER)
+    token: TokenConfig = TokenConfig(tokenizer=CHARACTER)
+    recursive: RecursiveConfig = RecursiveConfig(tokenizer=CHARACTER)
+    table: TableConfig = TableConfig(tokenizer=CHARACTER)
     fast_threshold: int = T.FAST_THRESHOLD
 
 
-def windows(text: str, config: TokenConfig) -> list[cuts.Chunk]:
-    """Token windows of one text; the overlap is the start of the next window."""
-    tokens, size, over = config.tokenizer.split_text(text), config.chunk_size, config.chunk_overlap
-    join = "" if config.tokenizer.delimiter == "" else config.tokenizer.joined_by
-    out, at = [], 0
-    for i in range(0, max(len(tokens) - over, 1), size - over):
-        own = tokens[i : i + size]
-        joined = join.join(own)
-        start = at - len(join.join(own[:over])) if i else 0
-        at = start + len(joined)
-        out.append((joined, start, at, config.tokenizer.count_text(joined) if not join else len(own), None))
-    return out
-
-
-def routed(kind: str | None, text: str, router: Router) -> list[tuple[str, dict]]:
+def routed(kind: str | None, text: str | None, router: Router) -> list[tuple[str, cuts.Chunk]]:
     """(strategy, chunk) of one normalised text; Markdown goes by segments, with positions inside the segment."""
     run = {
         "fast": lambda t: cuts.fast(t, router.fast),
         "sentence": lambda t: cuts.sentence(t, router.sentence),
-        "token": lambda t: windows(t, router.token),
+        "token": lambda t: cuts.windows(t, router.token),
         "recursive": lambda t: cuts.recursive(t, router.recursive),
         "table": lambda t: cuts.table(t, router.table),
     }
     if kind == "markdown":
-        parts = [("table" if k == "table" else "recursive", t) for k, t in cuts.markdown_segments(text)]
+        parts = [("table" if k == "table" else "recursive", t) for k, t in cuts.markdown_segments(text or "")]
     else:
         parts = [(kind, text)] if kind in run else []
     return [(name, c) for name, t in parts for c in cut_all(t, run[name])]
@@ -131,25 +78,26 @@ def routed(kind: str | None, text: str, router: Router) -> list[tuple[str, dict]
 def chunk_documents(docs: DataFrame, router: Router = Router()) -> DataFrame:
     """``docs``: file_name, text, optional pages (array of page texts), other columns kept. One row per chunk.
 
-    Pages count for .pdf only; a type that has no strategy gives no chunks.
+    Pages count for .pdf only; a type that has no strategy gives no chunks. Texts in token windows are cut on columns and don't come by the helper.
     """
-    router_ = router
-
-    @F.pandas_udf(f"array<{ROUTED}>")
-    def run(parts: pd.Series) -> pd.Series:
-        def one(row) -> list[dict]:
-            return [c | {"part": i, "chunk_strategy": s} for i, p in enumerate(row) for s, c in routed(p["kind"], p["text"] or "", router_)]
 
-        return parts.map(one)
+    def run(parts: pa.Array) -> pa.Array:
+        rows = [[(i, s, *c) for i, p in enumerate(row or ()) for s, c in routed(p["kind"], p["text"], router)] for row in parts.to_pylist()]
+        return lists(rows, (*ROUTE, *CUT))
 
     ext = T.file_extension(F.col("file_name"))
     whole = F.array(F.col("text"))
     pages = F.when((ext == ".pdf") & (F.size("pages") > 0), F.col("pages")).otherwise(whole) if "pages" in docs.columns else whole
     paged = (ext == ".pdf") & (F.size("pages") > 0) if "pages" in docs.columns else F.lit(False)
     kind = lambda t: F.when(ext == ".md", "markdown").otherwise(T.strategy(F.col("file_name"), t, router.fast_threshold))
-    parts = F.transform(F.transform(pages, T.normalize_whitespace), lambda t: F.struct(kind(t).alias("kind"), t.alias("text")))
+    on_columns = (ext == ".csv") & F.lit(router.token.tokenizer.on_columns)
+    helped = F.transform(F.transform(F.when(~on_columns, pages), T.normalize_whitespace), lambda t: F.struct(kind(t).alias("kind"), t.alias("text")))
+    none = [F.lit(None).cast(FIELDS[m]).alias(m) for m in METADATA]
+    as_routed = lambda c: F.struct(F.lit(0).alias("part"), F.lit("token").alias("chunk_strategy"), *[c[k].alias(k) for k in CUT], *none)
+    windows = F.transform(token_chunks(T.normalize_whitespace(F.col("text")), router.token), as_routed) if router.token.tokenizer.on_columns else F.lit(None)
+    chunks = F.when(on_columns, windows).otherwise(F.arrow_udf(run, f"array<{ROUTED}>")(helped))
     kept = [c for c in docs.columns if c not in ("text", "pages")]
-    cut = docs.withColumn("_pages", F.when(paged, F.size(pages))).withColumn("_chunks", run(parts))
+    cut = docs.withColumn("_pages", F.when(paged, F.size(pages))).withColumn("_chunks", chunks)
     trimmed = F.filter(F.transform("_chunks", lambda c: c.withField("text", T.js_trim(c["text"]))), lambda c: c["text"] != "")
     rows = cut.select(*kept, "_pages", F.posexplode(with_count(trimmed)).alias("chunk_index", "n")).select(*kept, "_pages", "chunk_index", "n.chunk_count", "n.c")
     return rows.select(
@@ -197,6 +145,6 @@ def register_sql(spark, router: Router = Router()) -> None:
     class ChunkText:
         def eval(self, text: str, kind: str):
             for _, c in routed(kind, text or "", router):
-                yield c["text"], c["start_idx"], c["end_idx"], c["token_count"]
+                yield c[:4]
 
     spark.udtf.register("chunk_text", ChunkText)

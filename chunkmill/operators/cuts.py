@@ -13,9 +13,9 @@ from itertools import accumulate
 
 import numpy as np
 
-from ..functions.config import FastConfig, RecursiveConfig, SentenceConfig, TableConfig
+from ..functions.config import FastConfig, RecursiveConfig, SentenceConfig, TableConfig, TokenConfig
 from ..functions.text import CELL, JS_SPACE, LINE_ENDS, SPACES, delimiter_pattern
-from ..functions.tokenizers import Tokenizer
+from ..functions.tokenizers import TextTokenizer
 
 RUNS = re.compile(f"[{JS_SPACE}]+")
 SEPARATOR_CELL = re.compile(CELL)
@@ -87,7 +87,7 @@ def fast(text: str, config: FastConfig) -> list[Chunk]:
 def sentence(text: str, config: SentenceConfig) -> list[Chunk]:
     """Sentences packed up to the size; the next chunk steps back over sentences that make up the overlap."""
     spans = split_at(text, re.compile(delimiter_pattern(config.delimiters)), config.include_delim)
-    total = [0, *accumulate(config.tokenizer.count_text(text[a:b]) for a, b in spans)]
+    total = [0, *accumulate(config.tokenizer.count_texts([text[a:b] for a, b in spans]))]
     out, first = [], 0
     while first < len(spans):
         end = first + 1
@@ -106,19 +106,31 @@ def sentence(text: str, config: SentenceConfig) -> list[Chunk]:
     return out
 
 
-def token_windows(text: str, at: int, size: int, tokenizer: Tokenizer) -> list[Chunk]:
+def token_windows(text: str, at: int, size: int, tokenizer: TextTokenizer) -> list[Chunk]:
     """Windows of tokens, joined; positions follow the joined texts."""
     tokens = tokenizer.split_text(text)
-    join = "" if tokenizer.delimiter == "" else tokenizer.joined_by
     out = []
     for i in range(0, len(tokens), size):
-        own = join.join(tokens[i : i + size])
-        n = tokenizer.count_text(own) if tokenizer.delimiter == "" else len(tokens[i : i + size])
-        out.append((own, at, at + len(own), n, {"recursive_rule_level": -1, "recursive_rule_type": "tokenFallback"}))
+        own = tokenizer.join_tokens(tokens[i : i + size])
+        out.append((own, at, at + len(own), tokenizer.count_window(tokens[i : i + size], own), {"recursive_rule_level": -1, "recursive_rule_type": "tokenFallback"}))
         at += len(own)
     return out
 
 
+def windows(text: str, config: TokenConfig) -> list[Chunk]:
+    """Token windows of a text; the overlap is the start of the next window."""
+    tokenizer, size, over = config.tokenizer, config.chunk_size, config.chunk_overlap
+    tokens = tokenizer.split_text(text)
+    out, at = [], 0
+    for i in range(0, max(len(tokens) - over, 1), size - over):
+        own = tokens[i : i + size]
+        joined = tokenizer.join_tokens(own)
+        start = at - len(tokenizer.join_tokens(own[:over])) if i else 0
+        at = start + len(joined)
+        out.append((joined, start, at, tokenizer.count_window(own, joined), None))
+    return out
+
+
 def utf16_sizes(text: str):
     """The length in UTF-16 units of a span of the text, as a function of its ends."""
     if text.isascii() or max(text, default="") < "\U00010000":
@@ -141,7 +153,7 @@ def long_enough(spans: list[tuple[int, int]], least: int, size) -> list[tuple[in
 
 def recursive(text: str, config: RecursiveConfig) -> list[Chunk]:
     """Rule after rule on spans of the text: split, join short parts, join neighbours that fit; what is too large goes to the next rule."""
-    count, size, units = config.tokenizer.count_text, config.chunk_size, utf16_sizes(text)
+    count, size, units = config.tokenizer.count_texts, config.chunk_size, utf16_sizes(text)
     out, todo = [], [(0, len(text))]
     for level, rule in enumerate(config.rules):
         if not rule.delimiters and not rule.whitespace:
@@ -155,7 +167,7 @@ def recursive(text: str, config: RecursiveConfig) -> list[Chunk]:
         for begin, end in todo:
             parts = [(begin + a, begin + b) for a, b in split_at(text[begin:end], pattern, rule.include_delim or "prev")]
             parts = long_enough(parts, config.min_characters, units)
-            total = [0, *accumulate(count(text[a:b]) for a, b in parts)]
+            total = [0, *accumulate(count([text[a:b] for a, b in parts]))]
             i = 0
             while i < len(parts):
                 j = max(i + 1, bisect_right(total, total[i] + size, i + 1) - 1)
@@ -166,8 +178,7 @@ def recursive(text: str, config: RecursiveConfig) -> list[Chunk]:
                     out.append((text[a:b], a, b, n, about))
                 i = j
         todo = below
-    for a, b in todo:
-        n = count(text[a:b])
+    for (a, b), n in zip(todo, count([text[a:b] for a, b in todo])):
         out += token_windows(text[a:b], a, size, config.tokenizer) if n > size else [(text[a:b], a, b, n, {"recursive_rule_level": -1, "recursive_rule_type": "endOfRules"})]
     return sorted(out, key=lambda c: c[1])
 
@@ -245,12 +256,12 @@ def table(text: str, config: TableConfig) -> list[Chunk]:
     if parsed is None:
         return []
     header, columns, rows, footer = parsed
-    count = config.tokenizer.count_text
-    base = count(header) + (count(footer) if footer else 0)
+    count = config.tokenizer.count_texts
+    sizes = count([text[a:b] for a, b in rows]) if config.mode == "token" else [1] * len(rows)
+    base = sum(count([header, footer] if footer else [header]))
     groups: list[list[int]] = []
     used = 0
-    for i, (a, b) in enumerate(rows):
-        n = count(text[a:b]) if config.mode == "token" else 1
+    for i, n in enumerate(sizes):
         full = used + n > config.chunk_size if config.mode == "row" else base + used + n > config.chunk_size
         if not groups or full:
             groups.append([])
@@ -260,7 +271,7 @@ def table(text: str, config: TableConfig) -> list[Chunk]:
     out = []
     for group in groups:
         spans = [rows[i] for i in group]
-        tokens = len(group) if config.mode == "row" else base + sum(count(text[a:b]) for a, b in spans)
+        tokens = (0 if config.mode == "row" else base) + sum(sizes[i] for i in group)
         about = {"is_table": True, "table_format": kind, "table_mode": config.mode, "table_row_start": group[0], "table_row_end": group[-1], "table_row_count": len(group), "table_has_header": bool(trim(header))}
         if columns:
             about["table_columns"] = columns

@@ -1,4 +1,4 @@
-"""Token windows, in column functions only: no token is ever exploded."""
+"""Token windows, in column functions where tokens are cut by delimiters: no token is ever exploded."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.config import TokenConfig
 from ..functions.text import is_blank, starts_of, utf16_length
 from ..functions.tokenizers import Tokenizer
+from . import cuts
+from .chunk_lists import chunk_column
 
 CHUNK = "array<struct<text:string,start_idx:int,end_idx:int,token_count:int>>"
 
@@ -19,11 +21,13 @@ def window_numbers(n: Column, size: int, stride: int) -> Column:
 
 
 def token_chunks(text: Column, config: TokenConfig = TokenConfig()) -> Column:
-    """Array of (text, start_idx, end_idx, token_count).
+    """Array of (text, start_idx, end_idx, token_count); with a tokenizer of another kind than delimiters by a helper in tasks.
 
     A window starts where the one before ended less the length of the overlap as decoded; without overlap the
     joiner between two windows isn't counted.
     """
+    if not config.tokenizer.on_columns:
+        return F.transform(chunk_column(text, lambda t: cuts.windows(t, config)), lambda c: F.struct(*[c[k].alias(k) for k in ("text", "start_idx", "end_idx", "token_count")]))
     size, stride, over = config.chunk_size, config.chunk_size - config.chunk_overlap, config.chunk_overlap
 
     def windows(t: Column) -> Column:

@@ -5,6 +5,7 @@ Files, tables in texts, uploads and event logs don't exist as tables; each query
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -20,6 +21,8 @@ from ..sources.staging import new_folder
 from ..streaming import jobs
 from . import chunk_sql
 
+#: The playground's settings counting characters.
+CHARACTERS = {name: config if name == "fast" else dataclasses.replace(config, tokenizer=tok.CHARACTER) for name, config in PLAYGROUND.items()}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,7 +78,7 @@ w AS (SELECT doc_id, lang, t, unnest(range(0, CASE WHEN length(t) <= {size} THEN
 @query(TOKEN_SQL.format(text=normal_sql("text"), size=2048, stride=1848) + "SELECT lang, count(*) AS chunks, CAST(sum(length(substring(t, CAST(k * 1848 + 1 AS INT), 2048))) AS BIGINT) AS chars FROM w GROUP BY lang")
 def flagship_token_chunks_by_language(spark, sf_dir):
     """Normalised documents in windows of 2048 characters, overlapping by 200: chunks and characters per language."""
-    chunks = token_chunker.token_chunks(T.normalize_whitespace(F.col("text")), TokenConfig(2048, 200))
+    chunks = token_chunker.token_chunks(T.normalize_whitespace(F.col("text")), TokenConfig(2048, 200, tok.CHARACTER))
     rows = docs(spark, sf_dir).select("lang", F.inline(chunks))
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
@@ -382,7 +385,7 @@ def t4_decode(spark, sf_dir):
 
 @query(TOKEN_SQL.format(text="text", size=240, stride=216) + "SELECT doc_id, CAST(k AS INT) AS chunk_index, k * 216 AS start_idx, length(substring(t, CAST(k * 216 + 1 AS INT), 240)) AS token_count, md5(substring(t, CAST(k * 216 + 1 AS INT), 240)) AS digest FROM w")
 def c2_token_chunks(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(token_chunker.token_chunks(F.col("text"), PLAYGROUND["token"])).alias("chunk_index", "c"))
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(token_chunker.token_chunks(F.col("text"), CHARACTERS["token"])).alias("chunk_index", "c"))
     return rows.select("doc_id", "chunk_index", F.col("c.start_idx").cast("long").alias("start_idx"), F.col("c.token_count").cast("long").alias("token_count"), F.md5("c.text").alias("digest"))
 
 
@@ -419,12 +422,12 @@ SENTENCE_END = r"\. |! |\? |\n"
 
 @query(chunk_rows_sql(chunk_sql.sentence_sql(TEXTS_SQL, 180, 20, SENTENCE_END)))
 def c3_sentence_chunks(spark, sf_dir):
-    return chunk_rows(docs(spark, sf_dir), chunking.sentence_chunks(F.col("text"), PLAYGROUND["sentence"]))
+    return chunk_rows(docs(spark, sf_dir), chunking.sentence_chunks(F.col("text"), CHARACTERS["sentence"]))
 
 
 @query(chunk_rows_sql(chunk_sql.recursive_sql(TEXTS_SQL, 720, 48)))
 def c4_recursive_chunks(spark, sf_dir):
-    return chunk_rows(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), PLAYGROUND["recursive"]))
+    return chunk_rows(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), CHARACTERS["recursive"]))
 
 
 @query(
@@ -432,7 +435,7 @@ def c4_recursive_chunks(spark, sf_dir):
 )
 def p4_chunk_metadata(spark, sf_dir):
     """The rule that each recursive chunk came by."""
-    rows = chunking.exploded(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), PLAYGROUND["recursive"]), "doc_id")
+    rows = chunking.exploded(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), CHARACTERS["recursive"]), "doc_id")
     keys = F.col("recursive_rule_level").alias("level"), F.col("recursive_rule_type").alias("type"), F.col("recursive_delimiter").alias("delimiter")
     return rows.groupBy("doc_id", *keys).agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("chars"))
 
@@ -453,12 +456,12 @@ def c1_fast_rebuilt(spark, sf_dir):
 
 @query(REBUILT_SQL)
 def c3_sentence_rebuilt(spark, sf_dir):
-    return rebuilt(docs(spark, sf_dir), chunking.sentence_chunks(F.col("text"), SentenceConfig(300)))
+    return rebuilt(docs(spark, sf_dir), chunking.sentence_chunks(F.col("text"), SentenceConfig(300, tokenizer=tok.CHARACTER)))
 
 
 @query(REBUILT_SQL)
 def c4_recursive_rebuilt(spark, sf_dir):
-    return rebuilt(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), RecursiveConfig(120, 1, (Rule(("\n",)), Rule((". ", ", ")), Rule(whitespace=True), Rule()))))
+    return rebuilt(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), RecursiveConfig(120, 1, (Rule(("\n",)), Rule((". ", ", ")), Rule(whitespace=True), Rule()), tok.CHARACTER)))
 
 
 GROUPS_SQL = """t AS (SELECT l_orderkey AS doc_id, {row} AS row, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, {row}) - 1 AS i FROM lineitem),
@@ -484,7 +487,7 @@ def c5_html_table_rows(spark, sf_dir):
 @query(f"SELECT doc_id, CAST(n AS BIGINT) AS chunks, CAST(length(text) + (n - 1) * 31 AS BIGINT) AS tokens FROM {MARKDOWN_SQL}")
 def c5_table_tokens(spark, sf_dir):
     """Token mode with a budget below the header: a row per chunk, the header counted in each."""
-    rows = chunking.exploded(order_tables(spark, sf_dir), chunking.table_chunks(F.col("text"), TableConfig(10, "token")), "doc_id")
+    rows = chunking.exploded(order_tables(spark, sf_dir), chunking.table_chunks(F.col("text"), TableConfig(10, "token", tokenizer=tok.CHARACTER)), "doc_id")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("token_count").alias("tokens"))
 
 
@@ -578,7 +581,7 @@ l AS ({TOKEN_SQL.format(text="text", size=1000, stride=1000)} SELECT doc_id, 'wi
 SELECT config, doc_id, CAST(count(*) AS INT) AS chunks, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) AS chars, CAST(max(n) AS INT) AS longest FROM (SELECT * FROM c UNION ALL SELECT * FROM l) GROUP BY config, doc_id"""
 )
 def c8_chunk_report(spark, sf_dir):
-    cutters = {"token": lambda t: token_chunker.token_chunks(t, PLAYGROUND["token"]), "wide": lambda t: token_chunker.token_chunks(t, TokenConfig(1000))}
+    cutters = {"token": lambda t: token_chunker.token_chunks(t, CHARACTERS["token"]), "wide": lambda t: token_chunker.token_chunks(t, TokenConfig(1000, 0, tok.CHARACTER))}
     return chunking.compare(docs(spark, sf_dir), cutters)
 
 
@@ -586,7 +589,7 @@ def c8_chunk_report(spark, sf_dir):
     TOKEN_SQL.format(text="text", size=1000, stride=1000) + "SELECT doc_id, md5(string_agg('Chunk ' || (k + 1) || chr(10) || '--------' || chr(10) || substring(t, CAST(k * 1000 + 1 AS INT), 1000), chr(10) || chr(10) ORDER BY k)) AS digest FROM w GROUP BY doc_id"
 )
 def c8_text_export(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(token_chunker.token_chunks(F.col("text"), TokenConfig(1000))).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.text")
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(token_chunker.token_chunks(F.col("text"), TokenConfig(1000, 0, tok.CHARACTER))).alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.text")
     return chunking.export(rows, "doc_id").select("doc_id", F.md5("export").alias("digest"))
 
 
@@ -594,7 +597,7 @@ def c8_text_export(spark, sf_dir):
     TOKEN_SQL.format(text="text", size=100, stride=100) + ", n AS (SELECT doc_id, CAST(k AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS c FROM w) SELECT doc_id, chunk_index, chunk_index // 10 AS batch, CAST(least((chunk_index // 10 + 1) * 10, c) AS INT) AS processed FROM n"
 )
 def w1_w2_batches(spark, sf_dir):
-    chunks = token_chunker.token_chunks(F.col("text"), TokenConfig(100))
+    chunks = token_chunker.token_chunks(F.col("text"), TokenConfig(100, 0, tok.CHARACTER))
     rows = docs(spark, sf_dir).select("doc_id", F.posexplode(chunking.with_count(chunks)).alias("chunk_index", "n")).select("doc_id", "chunk_index", "n.chunk_count")
     return uploads.batch_progress(rows, 10).select("doc_id", "chunk_index", "batch", "processed")
 
@@ -772,7 +775,7 @@ SELECT CAST(doc_id AS VARCHAR), 'ingest-progress', CAST(least(i * 10, c) AS INT)
 )
 def st2_ingest_events(spark, sf_dir):
     error = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("bad "), "doc_id"))
-    counted = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.size(token_chunker.token_chunks(F.col("text"), TokenConfig(100))).alias("chunks"), error.alias("error"))
+    counted = docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_id"), F.size(token_chunker.token_chunks(F.col("text"), TokenConfig(100, 0, tok.CHARACTER))).alias("chunks"), error.alias("error"))
     return uploads.ingest_events(counted, 10).drop("ord")
 
 
@@ -843,7 +846,7 @@ def u3_embed_documents(spark, sf_dir):
 @query("SELECT lang, CAST(sum(ceil(length(text) / 500.0)) AS BIGINT) AS chunks FROM documents WHERE length(trim(text)) > 0 GROUP BY lang")
 def u2_chunks_in_sql(spark, sf_dir):
     """The chunker as a SQL table function, LATERAL over all documents."""
-    chunking.register_sql(spark, chunking.Router(token=TokenConfig(500)))
+    chunking.register_sql(spark, chunking.Router(token=TokenConfig(500, 0, tok.CHARACTER)))
     view = f"documents_{uuid.uuid4().hex}"
     docs(spark, sf_dir).createOrReplaceTempView(view)
     return spark.sql(f"SELECT lang, count(*) AS chunks FROM {view}, LATERAL chunk_text(text, 'token') GROUP BY lang")

@@ -10,8 +10,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from chunkmill.functions import text as T
 from chunkmill.functions import tokenizers as tok
-from chunkmill.functions.config import FastConfig, RecursiveConfig, Rule, SentenceConfig, TableConfig, TokenConfig, clamped
+from chunkmill.functions.config import PLAYGROUND, FastConfig, RecursiveConfig, Rule, SentenceConfig, TableConfig, TokenConfig, clamped
 from chunkmill.operators import chunking, cuts, token_chunker
 
 MD = "| city | pop |\n| --- | --- |\n| Rom | 28 |\n| Ulm | 12 |\n| Bern | 13 |\n| Oslo | 70 |\n"
@@ -36,25 +37,25 @@ def token(config):
     "config,text,want",
     [
         (TokenConfig(5, 2, tok.WORD), "red fox ran. It saw me. Gone", [("red fox ran. It saw", 0, 19, 5), ("It saw me. Gone", 13, 28, 4)]),
-        (TokenConfig(2), "klmno", [("kl", 0, 2, 2), ("mn", 2, 4, 2), ("o", 4, 5, 1)]),
-        (TokenConfig(4, 1), "qrstuvwxy", [("qrst", 0, 4, 4), ("tuvw", 3, 7, 4), ("wxy", 6, 9, 3)]),
+        (TokenConfig(2, 0, tok.CHARACTER), "klmno", [("kl", 0, 2, 2), ("mn", 2, 4, 2), ("o", 4, 5, 1)]),
+        (TokenConfig(4, 1, tok.CHARACTER), "qrstuvwxy", [("qrst", 0, 4, 4), ("tuvw", 3, 7, 4), ("wxy", 6, 9, 3)]),
         (TokenConfig(2, 0, tok.WORD), "one two three four", [("one two", 0, 7, 2), ("three four", 7, 17, 2)]),
-        (TokenConfig(2), "a\U0001f642b", [("a\U0001f642", 0, 3, 3), ("b", 3, 4, 1)]),
+        (TokenConfig(2, 0, tok.CHARACTER), "a\U0001f642b", [("a\U0001f642", 0, 3, 3), ("b", 3, 4, 1)]),
     ],
 )
 def test_token(spark, config, text, want):
     assert [tuple(r) for r in chunked(spark, token(config), text)] == want
-    assert [c[:4] for c in cuts.in_utf16(text, chunking.windows(text, config))] == want
+    assert [c[:4] for c in cuts.in_utf16(text, cuts.windows(text, config))] == want
 
 
 def test_sentence(spark):
-    run = lambda text, *a, **k: chunked(spark, lambda c: chunking.sentence_chunks(c, SentenceConfig(*a, **k)), text)
+    run = lambda text, *a, **k: chunked(spark, lambda c: chunking.sentence_chunks(c, SentenceConfig(*a, **k | {"tokenizer": tok.CHARACTER})), text)
     rows = run("Snow is cold. Rain is wet! Wind is loud? Fog is grey.", 40, 10, (". ", "! ", "? "))
     assert [(r.start_idx, r.end_idx, r.token_count) for r in rows] == [(0, 27, 27), (14, 53, 39)]
-    assert spans(run("Alpha beta", 20, 0, (".",))) == [("Alpha beta", 0, 10)]
-    assert [r.text for r in run("Alpha. Beta.", 7, 0, (". ",))] == ["Alpha. ", "Beta."]
-    assert [r.text for r in run("Alpha. Beta.", 7, 0, (". ",), "next")] == ["Alpha", ". Beta."]
-    assert [r.text for r in run("Alpha. Beta.", 5, 0, (". ",), None)] == ["Alpha", "Beta."]
+    assert spans(run("Kestrel nest", 20, 0, (".",))) == [("Kestrel nest", 0, 12)]
+    assert [r.text for r in run("Otter. Newt.", 7, 0, (". ",))] == ["Otter. ", "Newt."]
+    assert [r.text for r in run("Otter. Newt.", 7, 0, (". ",), "next")] == ["Otter", ". Newt."]
+    assert [r.text for r in run("Otter. Newt.", 5, 0, (". ",), None)] == ["Otter", "Newt."]
 
 
 @pytest.mark.parametrize(
@@ -73,7 +74,7 @@ def test_fast(spark, config, text, want):
 
 
 def test_recursive(spark):
-    run = lambda text, *a: chunked(spark, lambda c: chunking.recursive_chunks(c, RecursiveConfig(*a)), text)
+    run = lambda text, *a: chunked(spark, lambda c: chunking.recursive_chunks(c, RecursiveConfig(*a, tokenizer=tok.CHARACTER)), text)
     rows = run(HILLS, 12, 1, RULES)
     assert [(r.text, r.start_idx, r.recursive_rule_level) for r in rows] == [("Green hills ", 0, 2), ("roll.\n", 12, 2), ("Far.\n\n", 18, 1), ("End of it.", 24, 0)]
     rows = run("abcdefghij" * 3, 12, 1, RULES)
@@ -89,7 +90,7 @@ def test_short_parts_are_counted_in_utf16_units():
     """13 characters outside the basic plane are 26 units, so they are a part of their own at a least length of 24."""
     wide = "\U0001f600" * 13
     rule = (Rule(("|",)),)
-    assert [c[0] for c in cuts.recursive(f"{wide}|{wide}|", RecursiveConfig(30, 24, rule))] == [f"{wide}|", f"{wide}|"]
+    assert [c[0] for c in cuts.recursive(f"{wide}|{wide}|", RecursiveConfig(30, 24, rule, tok.CHARACTER))] == [f"{wide}|", f"{wide}|"]
 
 
 def short_parts_one_by_one(text, parts, least):
@@ -115,7 +116,7 @@ def test_joined_short_parts_against_one_by_one():
 
 def test_many_short_parts_take_linear_time():
     began = time.process_time()
-    assert "".join(c[0] for c in cuts.recursive("x\n" * 200_000, RecursiveConfig(2000, 24, RULES))) == "x\n" * 200_000
+    assert "".join(c[0] for c in cuts.recursive("x\n" * 200_000, RecursiveConfig(2000, 24, RULES, tok.CHARACTER))) == "x\n" * 200_000
     assert time.process_time() - began < 20
 
 
@@ -135,7 +136,7 @@ def test_markdown_segments(text, want):
 
 
 def test_table(spark):
-    run = lambda text, *a: chunked(spark, lambda c: chunking.table_chunks(c, TableConfig(*a)), text)
+    run = lambda text, *a: chunked(spark, lambda c: chunking.table_chunks(c, TableConfig(*a, tokenizer=tok.CHARACTER)), text)
     rows = run(MD, 2, "row", "markdown")
     assert [(r.start_idx, r.end_idx, r.token_count, r.table_columns) for r in rows] == [(29, 55, 2, ["city", "pop"]), (55, 83, 2, ["city", "pop"])]
     assert all(r.text.startswith("| city | pop |\n| --- | --- |\n") and r.is_table and r.table_has_header for r in rows)
@@ -218,3 +219,105 @@ def test_long_pages_and_all_types_are_in_the_results(spark, tmp_path):
     assert found == {(i, n): hashlib.md5(pages[i + n - 1].replace(" ", "").encode()).hexdigest() for i, n in parts}
     counts = {r.doc_id: r.chunk_count for r in plans.c7_a1_chunk_counts_as_csv(spark, str(tmp_path)).collect()}
     assert counts == {i: -(-len("\n".join(pages[i:]).strip()) // 2048) for i in range(4)}
+
+
+def test_long_white_space_takes_linear_time(spark):
+    """A megabyte of no-break spaces inside a text, behind a separator line and as a line; quadratic forms took minutes for a tenth."""
+    n = 1_000_000
+    space, table = "a" + "\xa0" * n + "b", "| a | b |\n|---|---|" + "\xa0" * n + "x\n" + "\xa0" * n
+    rows = spark.createDataFrame([(space,), (table,), ("|---" * 200_000,), ("a" + "\n" * n + "| b",)], "text string").cache()
+    assert rows.count() == 4
+    began = time.perf_counter()
+    text = F.col("text")
+    found = rows.select(F.length(T.js_trim(text)).alias("n"), T.looks_like_markdown_table(text).alias("looks"), T.is_separator_line(text).alias("line"), F.length(T.normalize_whitespace(text)).alias("m")).collect()
+    assert [(r.n, r.looks, r.line, r.m) for r in found] == [(n + 2, False, False, n + 2), (n + 20, False, False, n + 20), (800_000, False, True, 800_000), (n + 4, False, False, 6)]
+    for value in (space, table):
+        assert cuts.trim(value).endswith(value.strip("\xa0\n")[-1])
+        assert [k for k, _ in cuts.markdown_segments(value)] == ["text"] and cuts.parse_markdown(value) is None
+    assert time.perf_counter() - began < 30
+
+
+@pytest.mark.parametrize("letters", ["ab cd ", "äb cd ", "a\U0001f600 cd "])
+def test_many_character_windows_take_linear_time(spark, letters):
+    text = letters * 170_000
+    rows = spark.createDataFrame([(text,)], "text string").cache()
+    assert rows.count() == 1
+    began = time.perf_counter()
+    found = chunked_rows(rows, TokenConfig(240, 24, tok.CHARACTER))
+    assert time.perf_counter() - began < 15
+    units = lambda t: len(t.encode("utf-16-le")) // 2
+    assert len(found) == -(-(len(text) - 240) // 216) + 1
+    for k in (0, 1, 1000, len(found) - 1):
+        piece = text[k * 216 : k * 216 + 240]
+        assert tuple(found[k]) == (piece, units(text[: k * 216]), units(text[: k * 216]) + units(piece), units(piece))
+
+
+def chunked_rows(rows, config):
+    return rows.select(F.inline(token_chunker.token_chunks(F.col("text"), config))).collect()
+
+
+def test_character_windows_of_any_overlap(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["a", "b ", "é", "\U0001f600", "漢"], k=rng.randrange(40))) + "x" for _ in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for size, over in ((1, 0), (5, 4), (7, 2), (30, 29)):
+        config = TokenConfig(size, over, tok.CHARACTER)
+        found = rows.select("text", token_chunker.token_chunks(F.col("text"), config).alias("c")).collect()
+        for r in found:
+            assert [tuple(c) for c in r.c] == [c[:4] for c in cuts.in_utf16(r.text, cuts.windows(r.text, config))]
+
+
+def test_any_tokenizer_runs_through_the_chunkers(spark):
+    class Syllables(tok.TextTokenizer):
+        """Two letters to a token."""
+
+        def split_text(self, text):
+            return [text[i : i + 2] for i in range(0, len(text), 2)]
+
+        def join_tokens(self, tokens):
+            return "".join(tokens)
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), tok.LibraryTokenizer(path)
+    text = "Green hills roll over the land. Far off a bell rings twice, and then it stops.\n\nThe end of it all, unbelievably."
+    ids = library.encode(text).ids
+    rows = chunked(spark, token(TokenConfig(6, 2, own)), text)
+    assert [r.text for r in rows] == [library.decode(ids[i : i + 6]) for i in range(0, len(ids) - 2, 4)]
+    assert all(text[r.start_idx : r.end_idx] == r.text for r in rows) and rows[0].token_count == 6
+    rows = chunked(spark, lambda c: chunking.recursive_chunks(c, RecursiveConfig(8, 4, tokenizer=own)), text)
+    assert "".join(r.text for r in rows) == text and len(rows) > 3 and all(r.token_count <= 8 for r in rows)
+    rows = chunked(spark, lambda c: chunking.sentence_chunks(c, SentenceConfig(12, 0, tokenizer=own)), text)
+    assert "".join(r.text for r in rows) == text and all(r.token_count >= len(library.encode(r.text).ids) for r in rows)
+    rows = chunked(spark, lambda c: chunking.table_chunks(c, TableConfig(20, "token", tokenizer=own)), MD)
+    assert len(rows) > 1 and rows[0].token_count == sum(len(library.encode(x).ids) for x in ("| city | pop |\n| --- | --- |\n", "| Rom | 28 |\n"))
+    assert [r.text for r in chunked(spark, token(TokenConfig(2, 0, Syllables())), "abcdefg")] == ["abcd", "efg"]
+    router = chunking.Router(token=TokenConfig(3, 0, Syllables()))
+    docs = spark.createDataFrame([("a.csv", "abcdefgh"), ("b.txt", "abc")], "file_name string, text string")
+    assert sorted((r.text, r.chunk_strategy) for r in chunking.chunk_documents(docs, router).collect()) == [("abc", "sentence"), ("abcdef", "token"), ("gh", "token")]
+
+
+def test_defaults_count_words_but_the_router_characters():
+    for kind in (TokenConfig, SentenceConfig, RecursiveConfig, TableConfig):
+        assert kind().tokenizer == tok.WORD
+    assert {c.tokenizer for k, c in PLAYGROUND.items() if k != "fast"} == {tok.WORD}
+    router = chunking.Router()
+    assert {c.tokenizer for c in (router.token, router.sentence, router.recursive, router.table)} == {tok.CHARACTER}
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 22, 1])
+def test_encode_and_decode_of_odd_rows(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(tok, "BLOCK_BYTES", block_bytes)
+    texts = ["b a b", None, "", "a  c", "d", "a b c d e"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    vocab = tok.vocabulary(docs, tok.WORD)
+    assert {r.token: r.id for r in vocab.collect()} == {"b": 0, "a": 1, "": 2, "c": 3, "d": 4, "e": 5}
+    found = tok.encode(docs, tok.WORD, vocab.filter("token <> 'c'"))
+    assert {r.doc_id: r.ids for r in found.collect()} == {0: [0, 1, 0], 1: [], 2: [2], 3: [1, 2], 4: [4], 5: [1, 0, 4, 5]}
+    ids = spark.createDataFrame([(1, [0, 1, None]), (2, None), (3, []), (4, [0, 99, 98]), (None, [5])], "doc_id int, ids array<long>").repartition(2)
+    back = {r.doc_id: (r.text, r.error) for r in tok.decode(ids, tok.WORD, vocab).collect()}
+    assert back == {1: ("b a", None), 2: ("", None), 3: ("", None), 4: (None, "Unknown token id: 99"), None: ("e", None)}
+    none = docs.limit(0)
+    assert tok.vocabulary(none, tok.WORD).collect() == [] and tok.encode(none, tok.WORD, vocab).collect() == []
