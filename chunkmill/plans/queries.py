@@ -9,13 +9,14 @@ import dataclasses
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import tokenizers as tok
 from ..functions.config import PLAYGROUND, FastConfig, RecursiveConfig, Rule, SentenceConfig, TableConfig, TokenConfig
-from ..operators import chat, chunking, retrieve, token_chunker, uploads
+from ..operators import chat, chunking, metadata, retrieve, token_chunker, uploads
 from ..sources import collection, files
 from ..sources.staging import new_folder
 from ..streaming import jobs
@@ -430,6 +431,26 @@ def c4_recursive_chunks(spark, sf_dir):
     return chunk_rows(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), CHARACTERS["recursive"]))
 
 
+@query(
+    """WITH d AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents WHERE length(text) > 0), w AS (SELECT doc_id, t, unnest(range(0, CASE WHEN len(t) <= 240 THEN 1 ELSE CAST(ceil((len(t) - 240) / 216.0) AS INT) + 1 END)) AS k FROM d)
+SELECT doc_id, CAST(k AS INT) AS chunk_index, CASE k WHEN 0 THEN 0 ELSE length(array_to_string(t[1 : k * 216], ' ')) + 1 END AS start_idx, len(t[k * 216 + 1 : k * 216 + 240]) AS token_count, md5(array_to_string(t[k * 216 + 1 : k * 216 + 240], ' ')) AS digest FROM w"""
+)
+def c2_playground_tokens(spark, sf_dir):
+    """The playground's own settings, in words."""
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(token_chunker.token_chunks(F.col("text"), PLAYGROUND["token"])).alias("chunk_index", "c"))
+    return rows.select("doc_id", "chunk_index", F.col("c.start_idx").cast("long").alias("start_idx"), F.col("c.token_count").cast("long").alias("token_count"), F.md5("c.text").alias("digest"))
+
+
+@query(chunk_rows_sql(chunk_sql.sentence_sql(TEXTS_SQL, 180, 20, SENTENCE_END, chunk_sql.WORDS)))
+def c3_playground_sentences(spark, sf_dir):
+    return chunk_rows(docs(spark, sf_dir), chunking.sentence_chunks(F.col("text"), PLAYGROUND["sentence"]))
+
+
+@query(chunk_rows_sql(chunk_sql.recursive_sql(TEXTS_SQL, 720, 48, chunk_sql.WORDS)).replace("md5(substring(text,", "md5(coalesce(x, substring(text,").replace("start_idx)) AS digest", "start_idx))) AS digest"))
+def c4_playground_recursive(spark, sf_dir):
+    return chunk_rows(docs(spark, sf_dir), chunking.recursive_chunks(F.col("text"), PLAYGROUND["recursive"]))
+
+
 @query(
     f"WITH c AS ({chunk_sql.recursive_sql(TEXTS_SQL, 720, 48)}) SELECT doc_id, CAST(level AS INT) AS level, CASE level WHEN -1 THEN 'tokenFallback' WHEN 2 THEN 'whitespace' ELSE 'delimiter' END AS type, CASE level WHEN 0 THEN chr(10) || chr(10) WHEN 1 THEN chr(10) END AS delimiter, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS chars FROM c GROUP BY ALL"
 )
@@ -514,6 +535,20 @@ SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.csv'
 strategy AS chunk_strategy, CAST(start_idx AS INT) AS chunk_char_start, CAST(end_idx AS INT) AS chunk_char_end, CAST(n AS INT) AS chunk_token_count, md5(own) AS digest FROM y WHERE own <> ''"""
 
 
+@query(
+    f"""SELECT doc_id || '-' || chunk_index AS id, 'of ' || doc_id AS owner, CAST(chunk_index AS VARCHAR) AS "chunkIndex", CAST(chunk_count AS VARCHAR) AS "totalChunks", 'mine' AS "fileExt", chunk_strategy AS "chunkStrategy", mime_type AS "mimeType" FROM ({routed_sql()}) WHERE chunk_strategy <> 'sentence' AND contains('of ' || doc_id, '3')"""
+)
+def p4_f4_open_metadata(spark, sf_dir):
+    """Free metadata of files, some of whose keys clash with the chunker's and the ingest's, through a collection and metadata filters."""
+    free = F.create_map(F.lit("owner"), F.concat(F.lit("of "), "doc_id"), F.lit("fileExt"), F.lit("mine"), F.lit("chunkIndex"), F.lit("not this"))
+    own = docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("file_id"), "file_name", "text", free.alias("extra"))
+    records = metadata.with_metadata(chunking.ingest_records(chunking.chunk_documents(own, chunking.Router(fast_threshold=5000))))
+    into = collection.Collection(spark, new_folder(spark, "collections"), "open", 16)
+    into.upsert(records.select("id", F.col("text").alias("document"), "metadata"))
+    found = into.read().filter(~metadata.where("chunkStrategy", "sentence") & metadata.where_contains("owner", "3"))
+    return found.select("id", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("owner", "chunkIndex", "totalChunks", "fileExt", "chunkStrategy", "mimeType")])
+
+
 @query(f"SELECT file_ext, chunk_strategy, count(DISTINCT doc_id) AS files, count(*) AS chunks FROM ({routed_sql()}) GROUP BY file_ext, chunk_strategy")
 def c7_a1_csv_chunk_counts(spark, sf_dir):
     """Files and chunks by type and strategy."""
@@ -635,14 +670,15 @@ def k1_nearest_inner_product(spark, sf_dir):
     return nearest(spark, sf_dir, "ip")
 
 
-@query("""SELECT CAST(label AS BIGINT) AS query_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INT) AS rank, vec_id AS id, vec_id / 10.0 AS score, CASE WHEN label % 2 = 0 THEN 'd' || vec_id END AS document, 'm' || vec_id AS metadata FROM embeddings""")
+@query("""SELECT label * 1000000 + vec_id // 50 AS query_id, CAST(row_number() OVER (PARTITION BY label, vec_id // 50 ORDER BY vec_id) AS INT) AS rank, vec_id AS id, vec_id / 10.0 AS score, CASE WHEN label % 2 = 0 THEN 'd' || vec_id END AS document, 'm' || vec_id AS metadata FROM embeddings""")
 def p7_flat_hits(spark, sf_dir):
-    """Parallel arrays per query back to rows; half of the queries have no documents."""
+    """Parallel arrays per query back to rows; half of the queries have no documents. A query's arrays hold 50 identifiers at most."""
     e = read(spark, sf_dir, "embeddings")
     rows = F.array_sort(F.collect_list(F.struct("vec_id")))
-    g = e.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.transform(rows, lambda r: r["vec_id"]).alias("ids"))
-    g = g.withColumn("distances", F.transform("ids", lambda i: i / F.lit(10.0))).withColumn("documents", F.when(F.col("query_id") % 2 == 0, F.transform("ids", lambda i: F.concat(F.lit("d"), i))))
-    return retrieve.flat_hits(g.withColumn("metadatas", F.transform("ids", lambda i: F.concat(F.lit("m"), i))))
+    query_id = (F.col("label") * 1000000 + F.floor(F.col("vec_id") / 50)).cast("long")
+    g = e.groupBy(query_id.alias("query_id"), (F.col("label") % 2 == 0).alias("told")).agg(F.transform(rows, lambda r: r["vec_id"]).alias("ids"))
+    g = g.withColumn("distances", F.transform("ids", lambda i: i / F.lit(10.0))).withColumn("documents", F.when(F.col("told"), F.transform("ids", lambda i: F.concat(F.lit("d"), i))))
+    return retrieve.flat_hits(g.drop("told").withColumn("metadatas", F.transform("ids", lambda i: F.concat(F.lit("m"), i))))
 
 
 def model_parts(spark, sf_dir) -> DataFrame:
@@ -835,12 +871,23 @@ def a6_upload_summary(spark, sf_dir):
     return uploads.upload_summary(uploads.upload_states(*upload_events(spark, sf_dir)))
 
 
-@query("SELECT doc_id, 64 AS width, CAST(CASE WHEN length(trim(text)) > 0 THEN 1 ELSE 0 END AS DOUBLE) AS norm FROM documents")
+LETTERS = "aeiounrst"
+
+
+def count_letters(texts: list[str]):
+    """A batch embedding function that SQL can follow: how often each of some letters stands in a text."""
+    return np.array([[t.count(x) for x in LETTERS] for t in texts], np.float32).reshape(len(texts), len(LETTERS))
+
+
+def letters_sql(x: str) -> str:
+    return f"[{', '.join(f"CAST(length({x}) - length(replace({x}, '{c}', '')) AS DOUBLE)" for c in LETTERS)}]"
+
+
+@query(f"SELECT doc_id, array_to_string(list_transform({letters_sql('text')}, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ' ') AS vector FROM documents")
 def u3_embed_documents(spark, sf_dir):
-    """Embedding by a user's batch function; here the hashing one, whose vectors have length 1."""
-    out = retrieve.embed(docs(spark, sf_dir).select("doc_id", "text"), retrieve.hashing_embedder())
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return out.select("doc_id", F.size("embedding").alias("width"), F.round(F.sqrt(square), 4).alias("norm"))
+    """Embedding by a user's batch function."""
+    out = retrieve.embed(docs(spark, sf_dir).select("doc_id", "text"), count_letters)
+    return out.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), " ").alias("vector"))
 
 
 @query("SELECT lang, CAST(sum(ceil(length(text) / 500.0)) AS BIGINT) AS chunks FROM documents WHERE length(trim(text)) > 0 GROUP BY lang")
@@ -868,21 +915,22 @@ def w1_chunk_numbers(spark, sf_dir):
 
 
 @query(
-    """WITH q AS (SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0), r AS (SELECT doc_id AS id, text, lang FROM documents WHERE lang <> 'de' AND contains(text, 'e')),
-h AS (SELECT query_id, q.text = r.text AS same FROM q JOIN r ON q.text = r.text) SELECT query_id, CAST(least(3, count(*)) AS BIGINT) AS same FROM h GROUP BY query_id"""
+    f"""WITH e AS (SELECT doc_id, lang, text, {letters_sql('text')} AS v FROM documents), q AS (SELECT doc_id AS query_id, v FROM e WHERE doc_id % 100 = 0), r AS (SELECT * FROM e WHERE lang <> 'de' AND contains(text, 'e')),
+h AS (SELECT query_id, r.doc_id AS id, pow(list_distance(q.v, r.v), 2) AS d, md5(text) AS digest, lang FROM q, r), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d), id) AS rank FROM h)
+SELECT query_id, CAST(rank AS INT) AS rank, id, round(d) AS score, digest, lang FROM k WHERE rank <= 3"""
 )
 def k1_retrieve_texts(spark, sf_dir):
-    """Every 100th document's text as a query, filters on metadata and document at once: of the three hits how many are its very text."""
+    """Every 100th document's text as a query, filters on metadata and document at once: the three nearest with their texts."""
     own = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang", "text")
-    records = retrieve.embed(own, retrieve.hashing_embedder()).drop("text")
+    records = retrieve.embed(own, count_letters).drop("text")
     asked = docs(spark, sf_dir).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    found = retrieve.retrieve_texts(records, asked, retrieve.hashing_embedder(), 3, "l2", F.col("lang") != "de", "e")
-    return found.join(asked, "query_id").filter(F.col("document") == F.col("text")).groupBy("query_id").agg(F.count(F.lit(1)).alias("same"))
+    found = retrieve.retrieve_texts(records, asked, count_letters, 3, "l2", F.col("lang") != "de", "e")
+    return found.select("query_id", "rank", "id", "score", F.md5("document").alias("digest"), "lang")
 
 
-@query("""SELECT e.vec_id AS query_id, e.vec_id AS id, CASE WHEN e.vec_id % 2 = 0 THEN '' ELSE 'd' || e.vec_id END AS document, 0.0::DOUBLE AS score FROM embeddings e WHERE e.vec_id % 25 = 0""")
+@query(nearest_sql("l2").replace("e.label <> 3", "true").replace("SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) + 0.0 AS score FROM r", "SELECT query_id, CAST(rank AS INT) AS rank, id, round(score, 6) + 0.0 AS score, CASE WHEN id % 2 = 1 THEN 'd' || id ELSE '' END AS document FROM r"))
 def p8_hits(spark, sf_dir):
-    """Hits with their documents, null ones as empty text: every stated query finds itself first."""
+    """Hits with their documents, null ones as empty text: the three nearest, the query itself among them."""
     e = read(spark, sf_dir, "embeddings").withColumn("document", F.when(F.col("vec_id") % 2 == 1, F.concat(F.lit("d"), "vec_id"))).withColumnRenamed("vec_id", "id")
     asked = e.filter(F.col("id") % 25 == 0).select(F.col("id").alias("query_id"), "embedding")
-    return retrieve.hits(retrieve.top_k(e, asked, 1), e).select("query_id", "id", "document", "score")
+    return retrieve.hits(retrieve.top_k(e, asked, 3), e).select("query_id", "rank", "id", "document", (F.round("score", 6) + 0.0).alias("score"))
