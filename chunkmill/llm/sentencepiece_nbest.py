@@ -9,7 +9,8 @@ forward pass's edges at no loss, so the queue only needs the edges that leave it
 segmentations are still wanted. Edges are looked up when the search comes by; memory is two numbers a character.
 
 If no piece has a line end, or a space mark after another character, every word (with the marks before it) is a
-lattice of its own and the text's lattice is their chain. A short word is searched once while it stays in a
+lattice of its own and the text's lattice is their chain. Likewise a word is cut between a letter and a punctuation mark that no
+piece has behind a letter. A short word is searched once while it stays in a
 Python worker's cache, which lasts from task to task and is bounded. The best segmentation of a text joins its words'
 best; the N best of the text follow from the words whose second best costs least, by the same best-first search over
 how many steps each word goes down. With any other vocabulary the whole text is one word.
@@ -30,6 +31,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -45,7 +47,7 @@ from .common import free_names, numbered, text_of
 NBEST = 3
 MARK = "▁"
 #: Words whose segmentations a worker keeps in use; as many from before stay at hand.
-CACHE = 1 << 18
+CACHE = 5 << 16
 #: Texts whose new words are segmented together.
 TEXTS = 512
 #: A word of more characters isn't kept.
@@ -56,7 +58,7 @@ CHANGES = ArrayType(ArrayType(StructType().add("start", IntegerType()).add("leng
 CHANGES_ARROW = pa.list_(pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("ids", pa.list_(pa.int32()))])))
 #: Texts that only come back if the model's flags are the supported ones: spaces at the ends and in runs, characters that normalisation folds.
 PROBES = ("x", "  a  b ", "\n c\t", "\uff21\ufb01\u00e9e\u0301\u00bd\u3000")
-CHUNKS = re.compile(" +[^ \n]*|\n+|[^ \n]+")
+CHUNKS = " +[^ \n]*|\n+|[^ \n]+"
 
 
 class Lattice:
@@ -106,6 +108,9 @@ class Lattice:
         #: Below any piece's score, so that bytes are used only where no piece covers a character.
         self.byte_score = min(scores) - 10.0
         self.by_words = not any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids)
+        behind = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
+        apart = "".join(re.escape(c) for c in string.punctuation if c not in behind and c != MARK)
+        self.cut = re.compile(rf" *[^ \n{apart}]++(?<=[^\W\d_])(?=[{apart}])|{CHUNKS}" if apart else CHUNKS).findall
         #: Words in use, and those from before they last filled up.
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
@@ -270,7 +275,7 @@ class Lattice:
         if not text:
             return []
         text = " " + (text.replace(MARK, " ") if MARK in text else text)
-        return CHUNKS.findall(text) if self.by_words else [text]
+        return self.cut(text) if self.by_words else [text]
 
     def learn(self, chunked: list[list[str]]) -> dict[str, tuple]:
         """The words of texts that aren't in use yet; the short ones stay."""
