@@ -1,7 +1,9 @@
 """Nearest records to queries: exact distances, k best per query.
 
-Records come in blocks and queries in chunks of bounded size; each pair of a block and a chunk keeps the k best per
-query, Spark keeps the k best of a task before the shuffle, and nothing passes through the driver.
+Records are packed once into staged blocks and queries into chunks of bounded size. A first pass measures every query against
+``FIRST_BLOCKS`` blocks and bounds its k-th distance; in the second pass a block sends on only what is within a query's bound, so what is
+shuffled falls from k rows per query and block to little more than k per query. Blocks are dealt to as many salts as their number needs, a chunk
+goes to each; nothing passes through the driver but counts.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_or_all
+from ..sources.staging import stage_table
 
 EMBED_BATCH = 1000
-#: Numbers that blocks are dealt to; each chunk of queries goes to every one.
-SALTS = 64
+#: Blocks of a salt; each chunk of queries goes to every salt. Blocks that a first pass measures.
+SALT_BLOCKS, FIRST_BLOCKS = 16, 4
 #: Queries of a chunk, records of a block.
 QUERY_CHUNK, RECORD_BLOCK = 256, 1024
 METRICS = ("l2", "cosine", "ip")
@@ -33,41 +36,58 @@ def distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, v) as rows (ids, v) of at most ``size`` vectors, as bytes of doubles."""
+    """Rows (id, v, bound) as rows (ids, v, bounds) of at most ``size`` vectors, as bytes of doubles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), size):
                 own = batch.iloc[at : at + size]
-                yield pd.DataFrame({"ids": [own["id"].to_numpy()], "v": [np.array(own["v"].tolist(), np.float64).tobytes()]})
+                yield pd.DataFrame({"ids": [own["id"].to_numpy()], "v": [np.array(own["v"].tolist(), np.float64).tobytes()], "bounds": [own["bound"].to_numpy(np.float64).tobytes()]})
 
-    return rows.mapInPandas(run, f"ids array<{dict(rows.dtypes)['id']}>, v binary")
+    return rows.mapInPandas(run, f"ids array<{dict(rows.dtypes)['id']}>, v binary, bounds binary")
 
 
 def top_k(records: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where: Column | None = None, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) by ascending distance, ties by id. ``queries``: query_id, embedding."""
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    spark, unbounded = records.sparkSession, F.lit(float("inf")).alias("bound")
     found = records if where is None else records.filter(where)
-    found = found.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter(F.col("v").isNotNull())
-    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("v")).filter(F.col("v").isNotNull())
-    chunks = packed(asked, QUERY_CHUNK).select(F.col("ids").alias("query_ids"), F.col("v").alias("q"))
-    blocks = packed(found, RECORD_BLOCK).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)))
-    chunks = chunks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    pairs = blocks.join(chunks.hint("merge"), "salt").drop("salt")  # every stated query against every record, in blocks
-    every = pairs.mapInPandas(best_of(k, metric), f"query_id {dict(asked.dtypes)['id']}, id {dict(found.dtypes)['id']}, score double")
+    found = found.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), unbounded).filter(F.col("v").isNotNull())
+    asked = queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("v"), unbounded).filter(F.col("v").isNotNull())
+    blocks = stage_table(spark, packed(found, RECORD_BLOCK).drop("bounds").withColumn("block", F.monotonically_increasing_id()), "record-blocks")
+    salts = max(1, -(-blocks.count() // SALT_BLOCKS))
+    hits_ = f"query_id {dict(asked.dtypes)['id']}, id {dict(found.dtypes)['id']}, score double"
+    first = blocks.orderBy(F.xxhash64("block")).limit(FIRST_BLOCKS)
+    seeds = meet(first, asked, 1).mapInPandas(best_of(k, metric), hits_)
+    bounds = best(seeds, k).groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) == k, F.max("score")).alias("kth"))
+    bounded = asked.join(bounds, "id", "left").select("id", "v", F.coalesce("kth", "bound").alias("bound"))
+    every = meet(blocks, bounded, salts).mapInPandas(best_of(k, metric), hits_)
+    return best(every, k).select("query_id", "rank", "id", "score")
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "id")
-    return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def meet(blocks: DataFrame, asked: DataFrame, salts: int) -> DataFrame:
+    """Pairs of a block and a chunk of queries: every stated query against every record, in blocks."""
+    chunks = packed(asked, QUERY_CHUNK).select(F.col("ids").alias("query_ids"), F.col("v").alias("q"), "bounds", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = blocks.select("ids", "v", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
+    return dealt.join(chunks.hint("merge"), "salt").drop("salt")
 
 
 def best_of(k: int, metric: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, v, names, q in zip(batch["ids"], batch["v"], batch["query_ids"], batch["q"]):
+            for ids, v, names, q, bounds in zip(batch["ids"], batch["v"], batch["query_ids"], batch["q"], batch["bounds"]):
                 d = distances(np.frombuffer(q).reshape(len(names), -1), np.frombuffer(v).reshape(len(ids), -1), metric)
                 by_id = np.argsort(ids, kind="stable")
                 order = by_id[np.argsort(d[:, by_id], axis=1, kind="stable")[:, :k]]
-                yield pd.DataFrame({"query_id": np.repeat(names, order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(d, order, axis=1).ravel()})
+                score = np.take_along_axis(d, order, axis=1)
+                kept = score <= np.frombuffer(bounds)[:, None]
+                yield pd.DataFrame({"query_id": np.repeat(names, kept.sum(axis=1)), "id": ids[order[kept]], "score": score[kept]})
 
     return run
 
