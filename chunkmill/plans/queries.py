@@ -243,7 +243,13 @@ def a3_collection_summary(spark, sf_dir):
 
 @query("SELECT lang, count(*) AS count FROM documents GROUP BY lang")
 def a2_collection_count(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("count"))
+    """A collection per language, and how many records each has."""
+    rows, root, told = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "lang"), new_folder(spark, "collections"), []
+    for r in rows.select("lang").distinct().collect():  # a name per collection
+        own = collection.Collection(spark, root, f"lang-{r.lang}", 8)
+        own.upsert(rows.filter(F.col("lang").eqNullSafe(F.lit(r.lang))).drop("lang"))
+        told.append((r.lang, own.count()))
+    return spark.createDataFrame(told, "lang string, count long")
 
 
 @query("SELECT doc_id AS id, text AS document FROM documents WHERE contains(text, 'than') ORDER BY doc_id LIMIT 10")
@@ -287,16 +293,20 @@ def order_tables(spark, sf_dir, html: bool = False) -> DataFrame:
     return lines.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit(before), F.array_join(rows, between), F.lit(after)).alias("text"), F.count(F.lit(1)).alias("n"))
 
 
+SEPARATOR_SQL = f"{SP}*\\|?{SP}*:?-{{{{3,}}}}:?{SP}*(\\|{SP}*:?-{{{{3,}}}}:?{SP}*)+\\|?{SP}*".replace("{{", "{").replace("}}", "}")
+
+
 @query(
-    f"""SELECT doc_id, true AS looks, true AS pipe, CAST(['name', 'key'] AS VARCHAR) AS cells FROM {MARKDOWN_SQL} UNION ALL
-SELECT -doc_id - 1, false, regexp_full_match(split_part(text, chr(10), 1), '{SP}*\\|[^\\n\\r]*\\|{SP}*'), NULL FROM documents"""
+    f"""SELECT doc_id, true AS looks, true AS pipe, false AS first_separates, true AS second_separates, CAST(['name', 'key'] AS VARCHAR) AS cells FROM {MARKDOWN_SQL} UNION ALL
+SELECT -doc_id - 1, regexp_matches(text, '(^|\\n){SP}*\\|[^\\n\\r]*\\|{SP}*($|\\n)') AND regexp_matches(text, '(^|\\n){SEPARATOR_SQL}($|\\n)'), regexp_full_match(split_part(text, chr(10), 1), '{SP}*\\|[^\\n\\r]*\\|{SP}*'), regexp_full_match(split_part(text, chr(10), 1), '{SEPARATOR_SQL}'), regexp_full_match(split_part(text, chr(10), 2), '{SEPARATOR_SQL}'), NULL FROM documents"""
 )
 def f6_markdown_predicates(spark, sf_dir):
-    first = F.element_at(F.split("text", "\n"), 1)
+    """Whether a text looks like a table; whether its first line is one of pipes; whether its first and second separate."""
+    lines = F.split("text", "\n")
+    first, second = F.get(lines, F.lit(0)), F.coalesce(F.get(lines, F.lit(1)), F.lit(""))
     told = F.concat(F.lit("["), F.array_join(T.header_cells(first), ", "), F.lit("]"))
-    tables = order_tables(spark, sf_dir).select("doc_id", T.looks_like_markdown_table(F.col("text")).alias("looks"), T.is_pipe_line(first).alias("pipe"), told.alias("cells"))
-    plain = docs(spark, sf_dir).select(-F.col("doc_id") - 1, T.looks_like_markdown_table(F.col("text")).alias("looks"), T.is_pipe_line(first).alias("pipe"), F.lit(None).cast("string").alias("cells"))
-    return tables.union(plain)
+    own = lambda rows, key, cells: rows.select(key.alias("doc_id"), T.looks_like_markdown_table(F.col("text")).alias("looks"), T.is_pipe_line(first).alias("pipe"), T.is_separator_line(first).alias("first_separates"), T.is_separator_line(second).alias("second_separates"), cells.alias("cells"))
+    return own(order_tables(spark, sf_dir), F.col("doc_id"), told).union(own(docs(spark, sf_dir), -F.col("doc_id") - 1, F.lit(None).cast("string")))
 
 
 @query(

@@ -1,5 +1,6 @@
 import os
 import sys
+import time
 
 import pytest
 
@@ -21,4 +22,9 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    for query in session.streams.active:
+        query.stop()
+    ends = time.monotonic() + 30  # tasks that a limit made superfluous may still run
+    while time.monotonic() < ends and any(e.numRunningTasks() for e in session.sparkContext._jsc.sc().statusTracker().getExecutorInfos()):
+        time.sleep(0.1)
     session.stop()
