@@ -13,7 +13,7 @@ Nulls: vectors that are null or hold null, NaN or infinite components are droppe
 others in the first codebooks; rows of equal identifiers are taken in order of their vectors, each by itself. A table with
 fewer vectors than entries has smaller codebooks, an empty one an empty result. Shorter vectors, and all
 vectors whose length 8 doesn't divide, count as filled up with zeros to a common length, an empty vector as zeros. A component of 2^50 or more in size is an
-error; an error sum past 2^63 - 1 is that number. Other columns are kept by ``assign_codes``; where one has the name of an added column, the added one
+error; an error, or a sum of errors, past 2^63 - 1 is that number. Other columns are kept by ``assign_codes``; where one has the name of an added column, the added one
 gets ``_`` behind its name.
 """
 
@@ -198,7 +198,8 @@ def vector_codes(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", v
         return none.select("*", F.lit(0).cast("long").alias("label_error"), F.lit("").alias("codebooks_sha256"))
     codebooks, width = fitted
     coded = stage_table(spark, assign_codes(own, codebooks, width, "v").drop("v"), "vector-codes")
-    by_label = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "of_label")
+    summed = F.least(F.sum(F.col("error").cast("decimal(20,0)")), F.lit(LARGEST).cast("decimal(38,0)")).cast("long")
+    by_label = coded.groupBy("label").agg(summed.alias("label_error")).withColumnRenamed("label", "of_label")
     found = coded.join(by_label, F.col("label").eqNullSafe(F.col("of_label")))
     return found.select(F.col("id").alias(id_col), "code", "error", "label_error", F.lit(codebooks.digest).alias("codebooks_sha256"))
 
