@@ -16,17 +16,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import chat, uploads
 
 
+def by_name(name: str | None) -> tuple[str]:
+    """The state's key of an id that may be null."""
+    return ("n",) if name is None else (f"v{name}",)
+
+
 class Held:
     """A map state, read by key when asked for and written back once."""
 
-    def __init__(self, state, value=lambda x: x, stored=lambda x: x):
-        self.state, self.value, self.stored = state, value, stored
+    def __init__(self, state, value=lambda x: x, stored=lambda x: x, key=lambda k: (k,)):
+        self.state, self.value, self.stored, self.key = state, value, stored, key
         self.known: dict = {}
         self.emptied = False
 
     def get(self, key):
         if key not in self.known:
-            found = None if self.emptied or not self.state.containsKey((key,)) else self.state.getValue((key,))
+            found = None if self.emptied or not self.state.containsKey(self.key(key)) else self.state.getValue(self.key(key))
             self.known[key] = None if found is None else self.value(found[0])
         return self.known[key]
 
@@ -47,7 +52,7 @@ class Held:
             self.state.clear()
         for key, value in self.known.items():
             if value is not None:
-                self.state.updateValue((key,), (self.stored(value),))
+                self.state.updateValue(self.key(key), (self.stored(value),))
 
 
 def named(schema: str) -> Row:
@@ -131,7 +136,7 @@ class ModelLoop(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = self.loop.get()
         loop = chat.Loop(*before) if before else chat.Loop()
-        loop.calls = Held(self.calls)
+        loop.calls = Held(self.calls, key=by_name)
         for e in chat.numbered_events(loop, key[0], (r.asDict() for r in in_order(rows)), self.max_iterations):
             yield ChatEvent(e["session_id"], e["seq"], e["_tag"], *[e.get(k) for k in chat.EVENT_FIELDS])
         loop.calls.store()
@@ -157,13 +162,13 @@ class HeldSegments(chat.Segments):
 
     def add(self, segment: dict) -> None:
         if segment["tool"] is not None:
-            tool = segment["tool"]["id"] or ""
+            tool = segment["tool"]["id"]
             self.places[tool] = [*(self.places.get(tool) or []), self.size]
         self.segments[self.size] = segment
         self.size += 1
 
     def tools(self, tool_id: str | None) -> list[dict]:
-        return [self.segments.get(at)["tool"] for at in self.places.get(tool_id or "") or []]
+        return [self.segments.get(at)["tool"] for at in self.places.get(tool_id) or []]
 
 
 #: Rows of a session's changes: the head has no place; a segment counts if it is of the head's epoch. ``told`` is JSON.
@@ -182,7 +187,7 @@ class ChatSession(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         before = self.head.get()
         told, size, epoch = before if before else ("{}", 0, 0)
-        segments = HeldSegments(Held(self.segments, json.loads, json.dumps), Held(self.places, json.loads, json.dumps), size, epoch)
+        segments = HeldSegments(Held(self.segments, json.loads, json.dumps), Held(self.places, json.loads, json.dumps, by_name), size, epoch)
         state, seq = chat.initial_state(segments) | json.loads(told), None
         for r in in_order(rows):
             state, seq = chat.step(state, r.asDict()), r["seq"]

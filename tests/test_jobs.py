@@ -212,13 +212,13 @@ def test_files_and_events(spark, tmp_path):
 def test_collection(spark, tmp_path):
     own = Collection(spark, str(tmp_path), "docs", 4)
     assert own.read() is None and own.count() == 0
-    rows = spark.createDataFrame([("doc1", "France Paris", "rep.md"), ("doc2", "Jupiter", "x"), ("doc3", "Great Wall", "Rep")], "id string, document string, file_name string")
+    rows = spark.createDataFrame([("r1", "Kestrels hover", "rep.md"), ("r2", "Otters swim", "x"), ("r3", "A granite ledge", "Rep")], "id string, document string, file_name string")
     assert own.upsert(rows) == 3
-    assert own.upsert(spark.createDataFrame([("doc2", "Jupiter!", 7)], "id string, document string, more int")) == 1
-    assert own.count() == 3 and own.read().filter("id = 'doc2'").first().document == "Jupiter!"
-    assert [r.id for r in list_documents(own.read(), "Wall").collect()] == ["doc3"] and len(list_documents(own.read(), None, 2).collect()) == 2
-    assert [r.id for r in own.read().filter(where_file("rep")).collect()] == ["doc1"]
-    assert tuple(summary(own.read()).first()) == (3, "doc1", 12)
+    assert own.upsert(spark.createDataFrame([("r2", "Otters swim!", 7)], "id string, document string, more int")) == 1
+    assert own.count() == 3 and own.read().filter("id = 'r2'").first().document == "Otters swim!"
+    assert [r.id for r in list_documents(own.read(), "ledge").collect()] == ["r3"] and len(list_documents(own.read(), None, 2).collect()) == 2
+    assert [r.id for r in own.read().filter(where_file("rep")).collect()] == ["r1"]
+    assert tuple(summary(own.read()).first()) == (3, "r1", 14)
     assert own.drop() == "docs" and own.read() is None
 
 
@@ -341,6 +341,9 @@ def test_a_batch_touches_what_it_changes():
     out = list(own.handleInputRows(("s",), iter([event(900, "tool-execution-complete", id="t7", result="r", success=True), event(800, "tool-execution-start", id="t7")]), None))
     assert [r.pos for r in out] == [None, 7] and json.loads(out[1].told)["tool"]["status"] == "complete"
     assert own.segments.calls <= 2 and own.places.calls <= 2
+    odd = [event(1000, "tool-call-start", name="n"), event(1001, "tool-call-start", id="", name="n"), event(1002, "tool-call-complete", arguments="{}")]
+    out = list(own.handleInputRows(("s",), iter(odd), None))
+    assert [json.loads(r.told)["tool"]["arguments"] for r in out if r.pos is not None] == ["{}", None]  # a null id isn't an empty one
 
 
 def test_upload_states_stream(spark, tmp_path):
