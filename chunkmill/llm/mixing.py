@@ -2,15 +2,20 @@
 
 Sources in code-point order (null last) weigh 1, 2, 3, repeating, and share all words; a source's target stops
 at ``most`` times its size and the excess goes to the others by weight. A document's expected copies are its
-source's target over its source's size. Within a source one half of the documents stands in rising, the other in
-falling order of size; their expected copies are summed in that order, one random offset is added, and a document
-is emitted once per integer boundary that its interval crosses. Neighbours in that order are of like size and both
-ends are small, so the words taken come near the target, wherever the offset falls, but for a document that holds much of
-its source: so of ``DRAWS`` random offsets a source takes the one by which its words come nearest to the target.
-
-The running sum needs no task per source: documents fall into blocks (half, size class, hash of identifier and text) of
-about ``BLOCK_ROWS`` rows, as many as their size class has need of, each block is summed by itself, and only the blocks'
-counts are summed over a source. Blocks and sources meet their rows in sorted joins, on the keys that the rows are
+source's target over its source's size; they are summed within the source, one random offset is added, and a document
+is emitted once per integer boundary that its interval crosses.
+
+The words taken come near the target wherever the offset falls, by the order of the documents. First come the large ones,
+that hold more than a share of 1 in ``LARGE`` of their source, in falling order of size: after each the words that are left of
+the target and of the source give the expected copies of those behind it, so that what a large document took too
+much or too little is made up for by smaller ones. Then one half of the others stands in rising, the other in falling order of size, all
+with the same expected copies: neighbours are of like size and both ends are small. Where all documents of a source are large,
+it can miss its target by what its last ones can't make up for, as when one document holds more than the target.
+
+The running sum needs no task per source: documents fall into blocks (large or not, half, size class, hash of identifier and text) of
+about ``BLOCK_ROWS`` rows, as many as their size class has need of, each block is numbered by itself, and only the blocks'
+counts are summed over a source. A source has less than ``LARGE`` large documents, by their definition; their sizes are folded in
+one array. Blocks and sources meet their rows in sorted joins, on the keys that the rows are
 dealt by anyway; nothing is broadcast by its number of blocks. One row per source, its sums, goes through one task,
 which sorts them twice.
 
@@ -33,8 +38,8 @@ BLOCK_ROWS = 4096
 #: Size classes per doubling.
 CLASSES = 6
 SEED = 20
-#: Random offsets that a source draws.
-DRAWS = 16
+#: A document is large if it holds more than this part of its source; so a source has fewer large ones than this.
+LARGE = 1024
 #: Above twice any size class (6 for each of 63 doublings).
 LAST_PLACE = 1000
 BIG = "decimal(38,0)"
@@ -88,31 +93,51 @@ def decided(spark: SparkSession, docs: DataFrame, row: Column, id_col: str, text
     rising = F.pmod(F.col("salt"), F.lit(2)) == 0
     placed = sized.withColumn("source_key", source_key).withColumn("place", F.when(rising, size_class).otherwise(LAST_PLACE - size_class))
     rows = stage_table(spark, placed, "mix")
-    classes = rows.groupBy("source_key", "place").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("parts"))
-    rows = stage_table(spark, rows.join(classes.hint("merge"), ["source_key", "place"]).withColumn("sub", F.pmod(F.shiftright("salt", 1), F.col("parts"))).drop("parts", "salt"), "mix-rows")
-    blocks = rows.groupBy("source_key", "place", "sub").agg(F.first("source").alias("source"), F.sum("size").alias("block_size"), F.count(F.lit(1)).alias("block_rows"))
-    blocks = stage_table(spark, blocks, "mix-blocks")
-    sizes = blocks.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("block_size").alias("source_size"), F.sum("block_rows").alias("source_rows"))
-    before = Window.partitionBy("source_key").orderBy("place", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocks.withColumn("rows_before", F.coalesce(F.sum("block_rows").over(before), F.lit(0))).join(source_targets(sizes, most).drop("source").hint("merge"), "source_key")
-    placed = placed.select("source_key", "place", "sub", "rows_before", "source_rank", "source_size", "target")
-    inside = Window.partitionBy("source_key", "place", "sub").orderBy(F.when(F.col("place") < LAST_PLACE // 2, F.col("size")).otherwise(-F.col("size")), "id", "key")
-    at = rows.drop("source").withColumn("row", F.row_number().over(inside)).join(placed.hint("merge"), ["source_key", "place", "sub"])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    at = stage_table(spark, at.select("id", "key", "size", "source_rank", "source_size", "target", rate.alias("rate"), (F.col("rows_before") + F.col("row")).alias("number")), "mix-numbered")
-
-    def copies(offset: Column) -> Column:
-        crossed = lambda n: F.floor(n * F.col("rate") + offset)
-        return F.least(crossed(F.col("number")) - crossed(F.col("number") - 1), F.lit(most)).cast("long")
-
-    offsets = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "source_rank"), F.lit(1 << 20)) / F.lit(float(1 << 20)) for k in range(DRAWS)]
-    taken = at.groupBy("source_rank").agg(F.max("target").alias("target"), *[F.sum(copies(o) * F.col("size")).alias(f"t{k}") for k, o in enumerate(offsets)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), o.alias("offset")) for k, o in enumerate(offsets)]))
-    drawn = stage_table(spark, taken.select("source_rank", nearest["offset"].alias("offset")), "mix-offsets")  # its size is known to the join
-    found = at.join(drawn, "source_rank").withColumn("copies", copies(F.col("offset")))
+    classes = rows.groupBy("source_key", "place").agg(F.first("source").alias("source"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("class_rows"))
+    classes = stage_table(spark, classes, "mix-classes")
+    sizes = classes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("class_size").alias("source_size"), F.sum("class_rows").alias("source_rows"))
+    targets = stage_table(spark, source_targets(sizes, most).select("source_key", "source_rank", "source_size", "target"), "mix-targets")
+    parts = F.ceil(F.col("class_rows") / BLOCK_ROWS).alias("parts")
+    told = classes.join(targets.hint("merge"), "source_key").select("source_key", "place", parts, "source_rank", "source_size", "target")
+    large = F.col("size").cast(BIG) * LARGE > F.col("source_size")
+    falling = F.greatest("place", LAST_PLACE - F.col("place"))
+    rows = rows.drop("source").join(told.hint("merge"), ["source_key", "place"]).withColumn("large", large).withColumn("sub", F.pmod(F.shiftright("salt", 1), F.col("parts")))
+    rows = stage_table(spark, rows.withColumn("place", F.when(F.col("large"), falling).otherwise(F.col("place"))).drop("parts", "salt"), "mix-rows")
+    block = ["source_key", "large", "place", "sub"]
+    blocks = stage_table(spark, rows.groupBy(*block).agg(F.count(F.lit(1)).alias("block_rows")), "mix-blocks")
+    before = Window.partitionBy("source_key", "large").orderBy("place", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select(*block, F.coalesce(F.sum("block_rows").over(before), F.lit(0)).alias("rows_before"))
+    inside = Window.partitionBy(*block).orderBy(F.when(F.col("place") < LAST_PLACE // 2, F.col("size")).otherwise(-F.col("size")), "id", "key")
+    at = rows.withColumn("row", F.row_number().over(inside)).join(placed.hint("merge"), block)
+    at = stage_table(spark, at.select("id", "key", "size", "source_rank", "source_size", "target", "large", (F.col("rows_before") + F.col("row")).alias("number")), "mix-numbered")
+    sources = stage_table(spark, settled(at, most, seed), "mix-sources")  # its size is known to the join
+    rate, start = F.col("rate"), F.col("start")
+    crossed = F.floor(start + F.col("number") * rate) - F.floor(start + (F.col("number") - 1) * rate)
+    copies = F.when(F.col("large"), F.get("large_copies", F.col("number").cast("int") - 1)).otherwise(F.least(crossed, F.lit(most))).cast("long")
+    found = at.join(sources, "source_rank").withColumn("copies", copies)
     return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.col("key").alias("row_key"))
 
 
+def settled(at: DataFrame, most: int, seed: int) -> DataFrame:
+    """Per source the copies of its large documents, and the running sum ``start`` and expected copies ``rate`` of all others."""
+    numbered = F.array_sort(F.collect_list(F.when(F.col("large"), F.struct("number", "size"))))
+    own = at.groupBy("source_rank").agg(F.first("target").alias("target"), F.first("source_size").alias("source_size"), numbered.alias("documents"))
+    offset = F.pmod(F.xxhash64(F.lit(seed), "source_rank"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+    def expected(words: Column, size: Column) -> Column:
+        """What is left to take over what is left, 0 at least and ``most`` at most."""
+        return F.when(size > 0, F.least(F.greatest(words / size, F.lit(0.0)), F.lit(float(most)))).otherwise(0.0)
+
+    def settle(s: Column, d: Column) -> Column:
+        upto = s["upto"] + expected(s["words"], s["size"])
+        copies = F.least(F.floor(upto) - F.floor(s["upto"]), F.lit(most)).cast("int")
+        return F.struct(upto.alias("upto"), (s["words"] - copies * d["size"]).alias("words"), (s["size"] - d["size"]).alias("size"), F.concat(s["copies"], F.array(copies)).alias("copies"))
+
+    none = F.struct(offset.alias("upto"), F.col("target").alias("words"), F.col("source_size").alias("size"), F.array().cast("array<int>").alias("copies"))
+    folded = own.select("source_rank", F.aggregate("documents", none, settle).alias("s"))
+    return folded.select("source_rank", F.col("s.copies").alias("large_copies"), F.col("s.upto").alias("start"), expected(F.col("s.words"), F.col("s.size")).alias("rate"))
+
+
 def mixed_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as it was taken, with its columns, whatever names those have.
 
