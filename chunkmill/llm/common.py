@@ -2,18 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import new_folder, stage_table
 
-__all__ = ["SPACE_RUN", "WORD", "free_names", "nested", "new_folder", "numbered", "one_space", "quoted", "row_hash", "row_key", "stage_table", "table", "text_of"]
+__all__ = ["SPACE_RUN", "WORD", "free_names", "nested", "new_folder", "numbered", "of_worker", "one_space", "quoted", "row_hash", "row_key", "stage_table", "table", "text_of"]
 
 #: White space of the text contracts: space and U+0009 to U+000D. A plain single space needs no replacing.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OF_WORKER: dict[tuple, Any] = {}
+
+
+def of_worker(make: Callable, *args) -> Any:
+    """What ``make`` gives for these arguments, kept by a Python worker from task to task until another is asked for.
+
+    One at a time: a worker that goes on to another operator's tasks, as in a pipeline, gives up the cache of the one before, so
+    that their bounds don't add up.
+    """
+    key = make, *args
+    if key not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[key] = make(*args)
+    return _OF_WORKER[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

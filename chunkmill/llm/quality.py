@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, stage_table, text_of
+from .common import numbered, of_worker, stage_table, text_of
 
 FIT_ROWS, FIT_TASKS, FEWEST = 6144, 24, 50
 DIMENSIONS, NONZERO, WINDOW, HIDDEN = 32, 4, 2, 32
@@ -138,10 +138,9 @@ class Words:
             yield group
 
 
-@functools.lru_cache(maxsize=1)
 def words_of_worker() -> Words:
     """One per Python worker, so that its next task starts with known words."""
-    return Words()
+    return of_worker(Words)
 
 
 def add_by_key(out: np.ndarray, keys: np.ndarray, rows: np.ndarray) -> None:

@@ -28,7 +28,6 @@ behind its name.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 import string
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from .common import free_names, numbered, text_of
+from .common import free_names, numbered, of_worker, text_of
 
 NBEST = 3
 MARK = "▁"
@@ -333,9 +332,12 @@ class Lattice:
         return out, taken, places
 
 
-@functools.lru_cache(maxsize=2)
 def lattice_of(model_path: str, nbest: int = NBEST) -> tuple[Lattice, Decoder]:
     """One per Python worker, so that a worker's next task starts with a filled cache."""
+    return of_worker(lattice_and_decoder, model_path, nbest)
+
+
+def lattice_and_decoder(model_path: str, nbest: int) -> tuple[Lattice, Decoder]:
     lattice = Lattice(model_path, nbest)
     return lattice, Decoder(lattice)
 

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chunkmill.llm import exact_dedup, mixing, pii, quality, secrets, sentencepiece_nbest, simhash, token_files
+from chunkmill.llm import common, exact_dedup, mixing, pii, quality, secrets, sentencepiece_nbest, simhash, token_files
 
 SECRET, MAIL = "AKIA" + "Q7" * 9, "long.text@example.org"
 
@@ -70,3 +70,10 @@ def test_stages_on_empty_tables(spark, tmp_path):
     few = spark.createDataFrame([(None, None, None, None, None), (None, "", "", "", 0), (1, "a b", "en", "s", 3)], schema)
     few.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert all(r.decoded for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_a_worker_keeps_one_operators_cache():
+    words = quality.words_of_worker()
+    assert quality.words_of_worker() is words and common.of_worker(list, "ab") == ["a", "b"]
+    assert common.of_worker(list, "ab") is common.of_worker(list, "ab")
+    assert quality.words_of_worker() is not words and len(common._OF_WORKER) == 1
