@@ -2,8 +2,12 @@
 
 import glob
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from chunkmill.functions import tokenizers as tok
+from chunkmill.functions.config import RecursiveConfig
+from chunkmill.operators import chunk_lists, cuts
 from chunkmill.plans import queries as plans
 from chunkmill.sources.staging import new_folder
 from chunkmill.streaming import jobs
@@ -30,3 +34,22 @@ def test_streams_read_back_what_the_last_call_left(spark):
     found = plans.streamed(spark, (rows.filter("id < 10"), rows.filter("id >= 10")), path, "id long, k long", run)
     last = found.groupBy("k").agg(F.max_by("count", "batch")).collect()
     assert sorted(map(tuple, last)) == [(0, 7), (1, 7), (2, 6)]
+
+
+def test_chunks_are_python_objects_for_a_slice_at_a_time():
+    texts = pa.array(["a b\n" * 50] * 30_000 + [None, "", "x y " * 600_000])
+    parts = list(chunk_lists.sliced(texts))
+    assert sum(map(len, parts)) == len(texts) and all(len(p) == 1 or p.nbytes <= chunk_lists.SLICE_BYTES for p in parts)
+    cut = lambda t: cuts.recursive(t, RecursiveConfig(120, 1, tokenizer=tok.CHARACTER))
+    held = []
+
+    def run(part):
+        rows = [chunk_lists.cut_all(t, cut) for t in part.to_pylist()]
+        held.append(sum(map(len, rows)))
+        return chunk_lists.lists(rows, chunk_lists.CUT)
+
+    few = texts.slice(0, 20_000)
+    found = chunk_lists.by_slices(few, run)
+    whole = [chunk_lists.cut_all(t, cut) for t in few.slice(0, 3).to_pylist()]
+    assert len(held) > 3 and max(held) < sum(held) / 3
+    assert found.slice(0, 3).equals(chunk_lists.lists(whole, chunk_lists.CUT)) and found.slice(19_997).equals(found.slice(0, 3))
