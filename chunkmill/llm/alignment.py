@@ -22,13 +22,13 @@ the added one gets ``_`` behind its name.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import os
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +38,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import free_names, numbered, stage_table, text_of
+from .common import forget_worker, free_names, numbered, of_worker, stage_table, text_of
 from .token_counts import SPACE, by_size, byte_letters
 
 MARK = "▁"
 #: Units that a worker keeps in use; as many from before stay at hand. Characters of a kept one.
-CACHE = 3 << 16
+CACHE = 4 << 16
 SHORT = 64
 #: Texts whose new units are encoded together, and bytes from which fewer are.
 TEXTS, BATCH_BYTES = 256, 1 << 20
+#: Rows whose links are counted or scored at once.
+ROWS = 512
 #: From a place behind white space to the next where a space or line end follows another character.
 UNITS = re.compile(rf"[{SPACE}]*+(?:[^{SPACE}]++(?:(?![ \n])[{SPACE}]++)?+)++|[{SPACE}]++")
 
@@ -161,14 +163,9 @@ class Aligner:
         parts_a, parts_b = [own_a[i] for i in ids_a], [own_b[i] for i in ids_b]
         if b"".join(parts_a) != data or b"".join(parts_b) != data:
             return None
-        ends_a, ends_b, n = [], [], 0
-        for p in parts_a:
-            n += len(p)
-            ends_a.append(n)
-        n = 0
-        for p in parts_b:
-            n += len(p)
-            ends_b.append(n)
+        if len(ids_a) == 1 or len(ids_b) == 1:  # one group
+            return f"{','.join(map(str, ids_a))}|{','.join(map(str, ids_b))}".encode(), [ids_a[-1] << 32 | ids_b[-1]]
+        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
         groups, links, i, j = [], [], 0, 0
         for i_end, j_end in shared_cuts(ends_a, ends_b):
             groups.append(",".join(map(str, ids_a[i:i_end])) + "|" + ",".join(map(str, ids_b[j:j_end])))
@@ -190,10 +187,13 @@ class Aligner:
                 yield sum(n_a), sum(n_b), b";".join(groups), b"".join(links)
 
 
-@functools.lru_cache(maxsize=2)
 def aligner_of(path_a: str, path_b: str) -> Aligner:
     """One per Python worker, so that a worker's next task starts with filled caches."""
-    return Aligner(path_a, path_b)
+    return of_worker(Aligner, path_a, path_b)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "text", with_groups: bool = True) -> DataFrame:
@@ -219,10 +219,12 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, text_col: str = "
 
 def pair_counts(aligned: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """(pair, n): links per pair number over all rows; each task counts its own before the shuffle."""
+    pairs = len(aligner_of(path_a, path_b).pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(aligner_of(path_a, path_b).pairs), np.int64)
-        for batch in batches:
+        forget_worker()  # the units' caches
+        counts = np.zeros(pairs, np.int64)
+        for batch in slices(batches):
             numbers = batch.column(0).flatten().to_numpy()
             counts += np.bincount(numbers, minlength=len(counts))
         seen = np.flatnonzero(counts)
@@ -247,8 +249,9 @@ def scored(aligned: DataFrame, sent: Broadcast) -> DataFrame:
     """``links`` of each row as ``n_links``, ``n_best`` and ``count_sum``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_worker()
         counts, best = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             links = batch.column(batch.num_columns - 1)
             numbers, ends = links.flatten().to_numpy(), np.r_[0, np.cumsum(pc.list_value_length(links).to_numpy())]
             sums = lambda x: np.diff(np.r_[0, np.cumsum(x, dtype=np.int64)][ends])

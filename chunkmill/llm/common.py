@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import new_folder, stage_table
 
-__all__ = ["SPACE_RUN", "WORD", "free_names", "nested", "new_folder", "numbered", "of_worker", "one_space", "quoted", "row_hash", "row_key", "stage_table", "table", "text_of"]
+__all__ = ["SPACE_RUN", "WORD", "forget_worker", "free_names", "nested", "new_folder", "numbered", "of_worker", "one_space", "quoted", "row_hash", "row_key", "stage_table", "table", "text_of"]
 
 #: White space of the text contracts: space and U+0009 to U+000D. A plain single space needs no replacing.
 SPACE_RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -33,6 +33,11 @@ def of_worker(make: Callable, *args) -> Any:
     return _OF_WORKER[key]
 
 
+def forget_worker() -> None:
+    """Give up what a Python worker keeps, in tasks that have no use for it."""
+    _OF_WORKER.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
