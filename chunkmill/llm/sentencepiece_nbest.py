@@ -63,9 +63,11 @@ CHUNKS = " +[^ \n]*|\n+|[^ \n]+"
 class Lattice:
     """Segments words into piece ids; ``scores`` and ``ids`` come from the model file."""
 
-    def __init__(self, model_path: str, nbest: int = NBEST):
+    def __init__(self, model_path: str, nbest: int = NBEST, cache: int = CACHE):
         import sentencepiece
 
+        self.cache = cache
+
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         if any(model.decode(model.encode(t)) != t or model.encode(t, out_type=str)[0][:1] != MARK for t in PROBES):
             raise ValueError("the model must put a mark in front, remove no white space and fold no character")
@@ -265,7 +267,7 @@ class Lattice:
         if found is None:
             found = self.search(word)
             if len(word) <= SHORT:
-                if len(self.ladders) > CACHE:
+                if len(self.ladders) > self.cache:
                     self.ladders = {}
                 self.ladders[word] = found
         return found
@@ -279,7 +281,7 @@ class Lattice:
     def learn(self, chunked: list[list[str]]) -> dict[str, tuple]:
         """The words of texts that aren't in use yet; the short ones stay."""
         new = {c for chunks in chunked for c in chunks}.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > self.cache:
             self.known, self.older = {}, self.known
         found = {c: own for c in new if (own := self.older.get(c)) is not None}
         rest = list(new.difference(found)) if found else list(new)
@@ -332,13 +334,13 @@ class Lattice:
         return out, taken, places
 
 
-def lattice_of(model_path: str, nbest: int = NBEST) -> tuple[Lattice, Decoder]:
+def lattice_of(model_path: str, nbest: int = NBEST, cache: int = CACHE) -> tuple[Lattice, Decoder]:
     """One per Python worker, so that a worker's next task starts with a filled cache."""
-    return of_worker(lattice_and_decoder, model_path, nbest)
+    return of_worker(lattice_and_decoder, model_path, nbest, cache)
 
 
-def lattice_and_decoder(model_path: str, nbest: int) -> tuple[Lattice, Decoder]:
-    lattice = Lattice(model_path, nbest)
+def lattice_and_decoder(model_path: str, nbest: int, cache: int) -> tuple[Lattice, Decoder]:
+    lattice = Lattice(model_path, nbest, cache)
     return lattice, Decoder(lattice)
 
 
@@ -366,14 +368,15 @@ def list_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), values)
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", nbest: int = NBEST, with_changes: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", nbest: int = NBEST, with_changes: bool = False, cache: int = CACHE) -> DataFrame:
     """Each row with its columns and ``piece_ids``, ``best_score``, ``nbest_losses``, ``decoded`` (whether decoding any of the N best gives the text back).
 
-    If asked for, with ``nbest_changes``: what segmentations 2 to N have in place of the best one's pieces.
+    If asked for, with ``nbest_changes``: what segmentations 2 to N have in place of the best one's pieces. ``cache`` bounds the words that
+    a Python worker keeps in use; fewer take more time and less memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, decoder = lattice_of(model_path, nbest)
+        lattice, decoder = lattice_of(model_path, nbest, cache)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS):
                 batch = whole.slice(at, TEXTS)

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from chunkmill.llm import exact_dedup, mixing, quality, sentencepiece_nbest, simhash
 from chunkmill.llm.common import stage_table, table
 
+#: Words that a worker keeps for the last stage: the executors' heaps are grown by then, so fewer than in a job of that stage alone.
+WORDS = 1 << 16
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.good_documents(spark, docs, table(spark, sf_dir, "labels"))
@@ -32,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_nbest.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_changes=True)
+    return sentencepiece_nbest.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), with_changes=True, cache=WORDS)
 
 
 STAGES = [

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chunkmill.llm import alignment, common
+from chunkmill.llm import alignment, common, sentencepiece_nbest
 
 
 def test_counting_gives_up_the_units_of_a_worker(monkeypatch):
@@ -47,3 +47,12 @@ def test_links_are_counted_by_slices():
     parts = list(alignment.slices([batch]))
     assert [p.num_rows for p in parts] == [alignment.ROWS] * 3 + [1]
     assert [x for p in parts for x in p.column(0).flatten().to_pylist()] == list(range(3 * alignment.ROWS + 1))
+
+
+def test_a_small_cache_gives_the_same_segmentations():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    small, large = sentencepiece_nbest.Lattice(path, cache=4), sentencepiece_nbest.Lattice(path)
+    for text in ("one two three four five six", "seven eight one two", "", "a b c d e f g h"):
+        assert list(small.segmentations([text])) == list(large.segmentations([text]))
+        assert len(small.known) <= 8
+    assert len(large.known) > 8
