@@ -162,7 +162,8 @@ class Counter:
 
     def by_bytes(self, pieces: list[bytes]) -> Iterator[list[int]]:
         """Per piece the counts of its prefixes of 0, 1, 2 .. bytes. Pieces come sorted: what one shares with the one before stays."""
-        steps, falls, ends, borders, stands = self.steps, self.falls, self.ends, self.borders, self.stands
+        falls, ends, borders, stands = self.falls, self.ends, self.borders, self.stands
+        step, known = self.steps.get, self.borders.get
         states, last, count, before = [0], [-1], [0], b""
         for data in pieces:
             if len(borders) > BORDERS:
@@ -174,17 +175,17 @@ class Counter:
             state = states[i]
             for i in range(i, len(data)):
                 c = data[i]
-                after = steps.get(state << 8 | c)
+                after = step(state << 8 | c)
                 while after is None:
                     state = falls[state]
-                    after = steps.get(state << 8 | c)
+                    after = step(state << 8 | c)
                 state = after
                 for token, size in ends[state]:
                     a = i + 1 - size
                     if not a:
                         break
                     pair = last[a] << 32 | token
-                    good = borders.get(pair)
+                    good = known(pair)
                     if good is None:
                         good = borders[pair] = stands(last[a], token)
                     if good:
@@ -213,7 +214,12 @@ class Counter:
 
     def cut(self, unit: str) -> list[str]:
         """The pieces of a unit; in front, those of its leading white space as it stands when nothing follows."""
-        parts = self.latin(unit) if self.latin is not None and max(unit) < chr(LATIN) else [unit[a:b] for _, (a, b) in self.split(unit)]
+        latin = self.latin is not None and (unit.isascii() or max(unit) < chr(LATIN))
+        if latin and unit[unit[0] == " " :].isalpha():
+            return ["", unit]
+        parts = self.latin(unit) if latin else [unit[a:b] for _, (a, b) in self.split(unit)]
+        if len(parts) == 1:  # white space in front is one character at most, and a byte's token as a piece too
+            return ["", unit]
         return [unit[: LEADING.match(unit).end()], *parts]
 
     def learn(self, new: set[str]) -> dict[str, bytes | list[int]]:
@@ -225,6 +231,10 @@ class Counter:
         before = self.pieces
         fresh = self.count_pieces({p for parts in pieces.values() for p in parts if p}.difference(before))
         for u, (spaces, *parts) in pieces.items():
+            if len(parts) == 1:
+                own = fresh.get(u) or before[u]
+                found[u] = bytes(own[1:]) if len(u) <= SHORT else own[1:]
+                continue
             out, at, base = [], 0, 0
             if spaces:
                 own = fresh.get(spaces) or before[spaces]
@@ -241,14 +251,16 @@ class Counter:
             self.known.update((u, own) for u, own in found.items() if len(u) <= SHORT)
         return found
 
-    def learn_texts(self, texts: list[str]) -> None:
-        """The new short units of several texts at once."""
-        new = {u for t in texts for u in units(t)}.difference(self.known)
+    def learn_texts(self, texts: list[str]) -> list[list[str]]:
+        """The units of several texts, of which the new short ones are learnt at once."""
+        cut = [units(t) for t in texts]
+        new = {u for own in cut for u in own}.difference(self.known)
         self.learn({u for u in new if len(u) <= SHORT})
+        return cut
 
-    def plain(self, text: str) -> np.ndarray:
-        """The counts of all prefixes of a text without special tokens, from the empty one on."""
-        own = units(text)
+    def plain(self, text: str, own: list[str] | None = None) -> np.ndarray:
+        """The counts of all prefixes of a text without special tokens, from the empty one on; ``own`` are its units, if known."""
+        own = units(text) if own is None else own
         before = self.known
         found = list(map(before.get, own))
         if None in found:
@@ -256,18 +268,18 @@ class Counter:
             found = [new[u] if c is None else c for u, c in zip(own, found)]
         if not own:
             return np.zeros(1, np.int32)
-        if max(map(len, own)) <= SHORT:
+        sizes = np.fromiter(map(len, own), np.int64, len(own))
+        if sizes.max() <= SHORT:
             counts = np.frombuffer(b"".join(found), np.uint8).astype(np.int32)
         else:
             counts = np.concatenate([np.frombuffer(c, np.uint8) if isinstance(c, bytes) else np.array(c) for c in found]).astype(np.int32)
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
         last = counts[np.cumsum(sizes) - 1]
         return np.r_[np.int32(0), counts + np.repeat(np.cumsum(last, dtype=np.int32) - last, sizes)]
 
-    def prefixes(self, text: str) -> np.ndarray:
-        """The counts of the prefixes of 0, 1, 2 .. characters."""
+    def prefixes(self, text: str, own: list[str] | None = None) -> np.ndarray:
+        """The counts of the prefixes of 0, 1, 2 .. characters; ``own`` are the text's units, if known."""
         if self.specials is None or self.specials.search(text) is None:
-            return self.plain(text)
+            return self.plain(text, own)
         out, at, base = [np.zeros(1, np.int32)], 0, 0
         for m in self.specials.finditer(text):
             counts = self.plain(text[at : m.end() - 1])  # a special token without its last character is plain text
@@ -316,9 +328,8 @@ def prefix_counts(docs: DataFrame, tokenizer_path: str, text_col: str = "text",
         for whole in batches:
             for batch in by_size(whole, TEXTS, BATCH_CHARS):
                 texts = batch.column(batch.num_columns - 1).to_pylist()
-                if len(texts) > 1:
-                    counter.learn_texts(texts)
-                held = [counter.prefixes(t) for t in texts]
+                cut = counter.learn_texts(texts) if len(texts) > 1 else [None]
+                held = [counter.prefixes(t, own) for t, own in zip(texts, cut)]
                 ends = pa.array(np.cumsum([0, *map(len, held)]).astype(np.int32))
                 columns = [*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))]
                 if limits:

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from chunkmill.llm import alignment, common, sentencepiece_nbest
+from chunkmill.llm import alignment, common, sentencepiece_nbest, token_counts
 
 
 def test_counting_gives_up_the_units_of_a_worker(monkeypatch):
@@ -56,3 +56,16 @@ def test_a_small_cache_gives_the_same_segmentations():
         assert list(small.segmentations([text])) == list(large.segmentations([text]))
         assert len(small.known) <= 8
     assert len(large.known) > 8
+
+
+def test_units_are_cut_once_per_text(monkeypatch):
+    counter = token_counts.Counter(public_tokenizers.path("byte_bpe_50k.json"))
+    cut, calls = token_counts.units, []
+    monkeypatch.setattr(token_counts, "units", lambda t: calls.append(t) or cut(t))
+    texts = ["one two", "it's\u3000three \n four", "don't 's"]
+    found = [counter.prefixes(t, own).tolist() for t, own in zip(texts, counter.learn_texts(texts))]
+    assert calls == texts
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert found == [[len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)] for t in texts]
