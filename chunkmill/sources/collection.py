@@ -1,7 +1,7 @@
 """Collections: Parquet tables of records, upserted by id.
 
 Records are dealt to buckets by a hash of the id. A version is a small table of the folders that hold its buckets; an
-upsert rewrites the buckets that its ids fall into and takes the others over. Versions are written under their number, and
+upsert rewrites the buckets that its ids fall into and takes the others over; a large bucket is written by several tasks. Versions are written under their number, and
 a number can be created only once: of two writers that start from the same version one succeeds and the other starts
 again from the new one. Readers of an old version aren't disturbed, and a failed write leaves no version. ``vacuum``
 removes what no kept version needs.
@@ -109,7 +109,7 @@ class Collection:
                 whole = old.join(ids, F.col("id").eqNullSafe(F.col("new_id")), "left_anti").unionByName(new, allowMissingColumns=True)
             out = f"{self.base}/data/{version + 1:012d}-{uuid.uuid4().hex}"
             if touched:
-                whole.select("*", bucket).repartition("bucket").write.partitionBy("bucket").parquet(out)
+                whole.select("*", bucket).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(out)
             if self.publish(version + 1, known | dict.fromkeys(touched, out), sources | ({} if source is None else {source: batch})):
                 return counted.get["n"]
         raise RuntimeError(f"{self.name}: other writers came first {TRIES} times")

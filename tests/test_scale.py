@@ -9,6 +9,7 @@ from chunkmill.functions import tokenizers as tok
 from chunkmill.functions.config import RecursiveConfig
 from chunkmill.operators import chunk_lists, cuts
 from chunkmill.plans import queries as plans
+from chunkmill.sources.collection import Collection
 from chunkmill.sources.staging import new_folder
 from chunkmill.streaming import jobs
 
@@ -36,6 +37,26 @@ def test_streams_read_back_what_the_last_call_left(spark):
     assert sorted(map(tuple, last)) == [(0, 7), (1, 7), (2, 6)]
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 20_000, 1, 8).select(F.col("id").cast("string").alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("document"))
+    own = Collection(spark, f"file://{tmp_path}", "few", 1)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64m"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        own.upsert(rows.repartition(8, "id"))
+        own.upsert(rows.filter("id < 5").withColumn("document", F.lit("new")))
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    for version in (1, 2):
+        files = glob.glob(f"{own.folders(version)['0'].removeprefix('file://')}/bucket=0/*.parquet")
+        sizes = [spark.read.parquet(f"file://{f}").count() for f in files]
+        assert len(sizes) > 1 and max(sizes) < 15_000 and sum(sizes) == 20_000
+    found = own.read()
+    assert found.count() == found.select("id").distinct().count() == 20_000 and found.filter("document = 'new'").count() == rows.filter("id < 5").count()
+
+
 def test_chunks_are_python_objects_for_a_slice_at_a_time():
     texts = pa.array(["a b\n" * 50] * 30_000 + [None, "", "x y " * 600_000])
     parts = list(chunk_lists.sliced(texts))
