@@ -57,6 +57,26 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     assert found.count() == found.select("id").distinct().count() == 20_000 and found.filter("document = 'new'").count() == rows.filter("id < 5").count()
 
 
+def test_blocks_take_whole_texts_and_ids_need_no_window_over_tokens(spark, monkeypatch):
+    texts = ["b a b", None, "", " ", "a  c ", "\u00e4 \U0001f600 b", "a, b, , c", "x" * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    asked = []
+    monkeypatch.setattr(tok.Tokenizer, "tokens", lambda self, text, own=tok.Tokenizer.tokens: asked.append(self) or own(self, text))
+    for tokenizer in (tok.WORD, tok.Tokenizer(", ")):
+        vocab = tok.vocabulary(docs, tokenizer)
+        assert not asked and "row_number" not in vocab._jdf.queryExecution().toString()
+        ids, want = {r.token: r.id for r in vocab.collect()}, {}
+        for t in texts:
+            for x in tokenizer.split_text(t) if t is not None else ():
+                want.setdefault(x, len(want))
+        assert ids == want
+        encoded = tok.encode(docs, tokenizer, vocab)
+        assert {r.doc_id: r.ids for r in encoded.collect()} == {i: [ids[x] for x in tokenizer.split_text(t)] if t is not None else [] for i, t in enumerate(texts)}
+        odd = encoded.withColumn("ids", F.when(F.col("doc_id") == 3, F.array(*map(F.lit, (0, None, -7, -8))).cast("array<bigint>")).otherwise(F.col("ids")))
+        back = {r.doc_id: (r.text, r.error) for r in tok.decode(odd, tokenizer, vocab).collect()}
+        assert back == {i: (None, "Unknown token id: -7") if i == 3 else (t or "", None) for i, t in enumerate(texts)}
+
+
 def test_chunks_are_python_objects_for_a_slice_at_a_time():
     texts = pa.array(["a b\n" * 50] * 30_000 + [None, "", "x y " * 600_000])
     parts = list(chunk_lists.sliced(texts))
