@@ -1,6 +1,7 @@
 """What grows with the tables: how work is dealt to tasks and memory is bounded."""
 
 import glob
+import tracemalloc
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -77,6 +78,20 @@ def test_blocks_take_whole_texts_and_ids_need_no_window_over_tokens(spark, monke
         assert back == {i: (None, "Unknown token id: -7") if i == 3 else (t or "", None) for i, t in enumerate(texts)}
 
 
+def test_html_tables_are_parsed_without_an_object_per_tag():
+    rows = "".join(f"<TR><td>{i}</td></tr>" for i in range(3))
+    text = f"<p>\u0130</p><Table id=1><tbody>{rows}</TBODY></table>"
+    for t in (text, text + "<b>" * 300_000):
+        header, _, spans, footer = cuts.parse_html(t)
+        assert (header, "".join(t[a:b] for a, b in spans), footer) == ("<Table id=1><tbody>", rows, "</TBODY></table>") and len(spans) == 3
+    long = text + ">" * 300_000
+    tracemalloc.start()
+    cuts.parse_html(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(long)
+
+
 def test_chunks_are_python_objects_for_a_slice_at_a_time():
     texts = pa.array(["a b\n" * 50] * 30_000 + [None, "", "x y " * 600_000])
     parts = list(chunk_lists.sliced(texts))
