@@ -109,3 +109,26 @@ def test_chunks_are_python_objects_for_a_slice_at_a_time():
     whole = [chunk_lists.cut_all(t, cut) for t in few.slice(0, 3).to_pylist()]
     assert len(held) > 3 and max(held) < sum(held) / 3
     assert found.slice(0, 3).equals(chunk_lists.lists(whole, chunk_lists.CUT)) and found.slice(19_997).equals(found.slice(0, 3))
+
+
+def test_a_short_markdown_file_is_prepared_once_and_cut_by_few_calls(spark, tmp_path):
+    """The extension is made once a row, the helper runs once, rows of a table are told before the shuffle, and rules end when nothing is left to cut."""
+    spark.createDataFrame([(1, 7, 1), (1, 8, 2), (2, 9, 1)], "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = plans.c6_markdown_segments(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("ArrowEvalPython") == 1
+    assert plan.index("partial_collect_list") < plan.rindex("Exchange hashpartitioning(l_orderkey") < plan.index("concat(| ")
+    head = len("| name | key |\n| --- | :---: |\n")
+    assert sorted(map(tuple, found.collect())) == [(1, "recursive", 1, 10), (1, "table", 1, head + 19), (2, "recursive", 1, 10), (2, "table", 1, head + 9)]
+
+    asked = []
+
+    class Counted(tok.TextTokenizer):
+        def split_text(self, text):
+            return list(text)
+
+        def count_texts(self, texts):
+            asked.append(len(texts))
+            return [len(t) for t in texts]
+
+    assert [c[0] for c in cuts.recursive("Prose of 1", RecursiveConfig(tokenizer=Counted()))] == ["Prose of 1"] and sum(asked) == 1 and len(asked) <= 2
