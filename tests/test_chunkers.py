@@ -14,6 +14,7 @@ from chunkmill.functions import text as T
 from chunkmill.functions import tokenizers as tok
 from chunkmill.functions.config import PLAYGROUND, FastConfig, RecursiveConfig, Rule, SentenceConfig, TableConfig, TokenConfig, clamped
 from chunkmill.operators import chunking, cuts, token_chunker
+from chunkmill.plans import queries as plans
 
 MD = "| city | pop |\n| --- | --- |\n| Rom | 28 |\n| Ulm | 12 |\n| Bern | 13 |\n| Oslo | 70 |\n"
 HTML = "<table><thead><tr><th>city</th><th>pop</th></tr></thead><tbody>" + "".join(f"<tr><td>{n}</td><td>{s}</td></tr>" for n, s in (("Rom", 28), ("Ulm", 12), ("Bern", 13), ("Oslo", 70))) + "</tbody></table>"
@@ -221,6 +222,20 @@ def test_long_pages_and_all_types_are_in_the_results(spark, tmp_path):
     assert counts == {i: -(-len("\n".join(pages[i:]).strip()) // 2048) for i in range(4)}
 
 
+ODD = ["", None, " \n\t\xa0", ".", "One is here. Two, three\nfour " * 30, " \u00e4 b" * 60]
+
+
+def odd_documents(spark, path):
+    spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["c1_fast_rebuilt"])
+def test_texts_without_chunks_are_rebuilt_too(spark, tmp_path, name):
+    rows = plans.QUERIES[name](spark, odd_documents(spark, tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == [(i, t if t is None else hashlib.md5(t.encode()).hexdigest(), t if t is None else len(t)) for i, t in enumerate(ODD)]
+
+
 def test_long_white_space_takes_linear_time(spark):
     """A megabyte of no-break spaces inside a text, behind a separator line and as a line; quadratic forms took minutes for a tenth."""
     n = 1_000_000
