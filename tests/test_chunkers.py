@@ -230,7 +230,7 @@ def odd_documents(spark, path):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["c1_fast_rebuilt", "c3_sentence_rebuilt"])
+@pytest.mark.parametrize("name", ["c1_fast_rebuilt", "c3_sentence_rebuilt", "c4_recursive_rebuilt"])
 def test_texts_without_chunks_are_rebuilt_too(spark, tmp_path, name):
     rows = plans.QUERIES[name](spark, odd_documents(spark, tmp_path)).collect()
     assert sorted(map(tuple, rows)) == [(i, t if t is None else hashlib.md5(t.encode()).hexdigest(), t if t is None else len(t)) for i, t in enumerate(ODD)]
