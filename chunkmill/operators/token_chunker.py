@@ -20,19 +20,19 @@ def window_numbers(n: Column, size: int, stride: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), last.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def token_chunks(text: Column, config: TokenConfig = TokenConfig()) -> Column:
+def token_chunks(text: Column, config: TokenConfig = TokenConfig(), keep_blank: bool = False) -> Column:
     """Array of (text, start_idx, end_idx, token_count); with a tokenizer of another kind than delimiters by a helper in tasks.
 
     A window starts where the one before ended less the length of the overlap as decoded; without overlap the
-    joiner between two windows isn't counted.
+    joiner between two windows isn't counted. Blank texts have no chunks, unless ``keep_blank`` asks for the windows of any text's tokens.
     """
     if not config.tokenizer.on_columns:
-        return F.transform(chunk_column(text, lambda t: cuts.windows(t, config)), lambda c: F.struct(*[c[k].alias(k) for k in ("text", "start_idx", "end_idx", "token_count")]))
+        return F.transform(chunk_column(text, lambda t: cuts.windows(t, config), keep_blank), lambda c: F.struct(*[c[k].alias(k) for k in ("text", "start_idx", "end_idx", "token_count")]))
     size, stride, over = config.chunk_size, config.chunk_size - config.chunk_overlap, config.chunk_overlap
 
     def windows(t: Column) -> Column:
         made = character_windows(t, size, stride) if config.tokenizer.delimiter == "" else joined_windows(config.tokenizer, config.tokenizer.tokens(t), size, stride, over)
-        return F.when(is_blank(t), F.array().cast(CHUNK)).otherwise(made)
+        return F.when(t.isNull() if keep_blank else is_blank(t), F.array().cast(CHUNK)).otherwise(made)
 
     return bound(text, windows)
 

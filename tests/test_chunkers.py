@@ -236,6 +236,32 @@ def test_texts_without_chunks_are_rebuilt_too(spark, tmp_path, name):
     assert sorted(map(tuple, rows)) == [(i, t if t is None else hashlib.md5(t.encode()).hexdigest(), t if t is None else len(t)) for i, t in enumerate(ODD)]
 
 
+def test_report_has_a_row_where_there_are_chunks(spark, tmp_path):
+    rows = plans.c8_chunk_report(spark, odd_documents(spark, tmp_path)).collect()
+    want = []
+    for i, t in enumerate(ODD):
+        for name, size, stride in ("token", 240, 216), ("wide", 1000, 1000):
+            n = [len(t[k : k + size]) for k in range(0, max(len(t) - size + stride, 1), stride)] if t else []
+            want += [(name, i, len(n), sum(n), sum(n), max(n))] if n else []
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
+def test_windows_of_blank_texts_where_they_are_asked_for(spark):
+    class Letters(tok.TextTokenizer):
+        """Characters, by a tokenizer that has no column form."""
+
+        def split_text(self, text):
+            return list(text)
+
+        def join_tokens(self, tokens):
+            return "".join(tokens)
+
+    rows = spark.createDataFrame([(t,) for t in ODD], "text string")
+    windows = lambda t: token_chunker.token_chunks(F.col("text"), TokenConfig(3, 1, t), keep_blank=True)
+    on_columns, helped = (rows.select(windows(t).alias("c")).collect() for t in (tok.CHARACTER, Letters()))
+    assert on_columns == helped and [[c.text for c in r.c] for r in on_columns[:4]] == [[], [], [" \n\t", "\t\xa0"], ["."]]
+
+
 def test_long_white_space_takes_linear_time(spark):
     """A megabyte of no-break spaces inside a text, behind a separator line and as a line; quadratic forms took minutes for a tenth."""
     n = 1_000_000
