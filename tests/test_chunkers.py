@@ -246,6 +246,16 @@ def test_report_has_a_row_where_there_are_chunks(spark, tmp_path):
     assert sorted(map(tuple, rows)) == sorted(want)
 
 
+def test_empty_and_blank_texts_have_word_frames(spark, tmp_path):
+    rows = plans.w4_word_windows(spark, odd_documents(spark, tmp_path)).collect()
+    want = []
+    for i, t in enumerate(ODD):
+        words = [] if t is None else t.split(" ")
+        frames = [words[k : k + 50] for k in range(0, max(len(words) - 10, min(len(words), 1)), 40)]
+        want += [(i, k, len(f), hashlib.md5(" ".join(f).encode()).hexdigest()) for k, f in enumerate(frames)]
+    assert want[0][:3] == (0, 0, 1) and sorted(map(tuple, rows)) == want
+
+
 def test_windows_of_blank_texts_where_they_are_asked_for(spark):
     class Letters(tok.TextTokenizer):
         """Characters, by a tokenizer that has no column form."""
